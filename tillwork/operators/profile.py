@@ -155,6 +155,11 @@ def date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 REPORTED = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Put two one-row results side by side."""
+    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def transaction_distribution(df: DataFrame, customer: str) -> tuple[DataFrame, DataFrame]:
     """Statistics of rows per customer, and the histogram rows -> customers (first 50 levels)."""
     per_customer = pin(df.where(F.col(customer).isNotNull()).groupBy(customer)
@@ -163,8 +168,7 @@ def transaction_distribution(df: DataFrame, customer: str) -> tuple[DataFrame, D
     basic = per_customer.agg(
         F.count(F.lit(1)).alias("customers"), F.sum("n").alias("transactions"),
         F.min("n").alias("min_n"), F.max("n").alias("max_n"))
-    # Both sides are one row.
-    stats = basic.join(F.broadcast(shares)).select(
+    stats = _beside(basic, shares).select(
         "customers", "transactions", "min_n", "max_n",
         rounded(ratio(F.col("transactions"), F.col("customers")), 2).alias("mean_n"),
         *[F.floor(F.col(p)).cast("bigint").alias(p) for p in REPORTED])
@@ -184,7 +188,7 @@ def spend_distribution(df: DataFrame, customer: str, amount: str) -> DataFrame:
     basic = spend.agg(
         F.count(F.lit(1)).alias("customers"), F.sum("spend").alias("total"),
         F.min("spend").alias("lo"), F.max("spend").alias("hi"))
-    return basic.join(F.broadcast(shares)).select(
+    return _beside(basic, shares).select(
         "customers", rounded(F.col("total"), 2).alias("total_spend"), rounded(F.col("lo"), 2).alias("min_spend"),
         rounded(F.col("hi"), 2).alias("max_spend"),
         rounded(ratio(F.col("total"), F.col("customers")), 2).alias("mean_spend"),
