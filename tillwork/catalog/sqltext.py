@@ -25,7 +25,7 @@ def msum(x: str) -> str:
 def r(x: str, digits: int = 2) -> str:
     """Half away from zero on doubles, the same steps as the Spark side."""
     s = f"1e{digits}"
-    return f"(sign(CAST({x} AS DOUBLE)) * floor(abs(CAST({x} AS DOUBLE)) * {s} + 0.5e0) / {s})"
+    return f"(sign(CAST({x} AS DOUBLE)) * floor(abs(CAST({x} AS DOUBLE)) * {s} + 0.5e0) / {s} + 0e0)"
 
 
 def pct(num: str, den: str, digits: int = 2) -> str:

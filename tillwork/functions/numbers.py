@@ -18,10 +18,10 @@ def exact_sum(c: Column | str) -> Column:
 
 
 def rounded(c: Column, digits: int) -> Column:
-    """Half away from zero on doubles."""
+    """Half away from zero on doubles; adding 0 turns a negative zero into zero."""
     scale = float(10 ** digits)
     x = c.cast("double")
-    return F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale) + F.lit(0.0)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

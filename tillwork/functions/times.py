@@ -31,3 +31,22 @@ def cyclical(seconds: Column, period: str) -> tuple[Column, Column]:
     length = F.lit(PERIOD_DAYS[period])
     angle = F.pmod(days, length) / length * F.lit(2.0) * F.pi()
     return F.sin(angle), F.cos(angle)
+
+
+def calendar_cycles(ts: Column) -> dict[str, Column]:
+    """Sine and cosine of calendar positions, and of the fractional positions of an older feature set."""
+    days = epoch_seconds(ts).cast("double") / F.lit(86400.0)
+    # Positions and cycle lengths.
+    cycles = {
+        "weekday": (F.weekday(ts), 7.0),
+        "month_day": (F.dayofmonth(ts), 31.0),
+        "week": (F.pmod(days / F.lit(7.0), F.lit(52.0)), 52.0),
+        "month": (F.pmod(days / F.lit(30.44), F.lit(12.0)), 12.0),
+        "legacy_day": (F.pmod(days + F.lit(3.0), F.lit(7.0)), 7.0),
+        "legacy_month_day": (F.pmod(days, F.lit(30.44)), 30.44),
+    }
+    out = {}
+    for name, (at, length) in cycles.items():
+        angle = F.lit(2.0) * F.pi() * at / F.lit(length)
+        out[f"{name}_sin"], out[f"{name}_cos"] = F.sin(angle), F.cos(angle)
+    return out

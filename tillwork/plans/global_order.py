@@ -112,3 +112,32 @@ def percentiles(df: DataFrame, value: str, shares: Mapping[str, float], group: S
     return picked.select(*group, *[
         (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_w")).alias(n) for n in shares
     ])
+
+
+def quantile_points(df: DataFrame, value: str, parts: int, group: Sequence[str] = ()) -> DataFrame:
+    """The ``parts`` - 1 inner quantiles as rows (``k``, ``boundary``), exact with linear interpolation.
+
+    Each distinct value finds the few quantiles whose neighbours it holds by arithmetic on its row numbers.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    run = with_running(counted, [F.col(value).asc()], {"_upto": ("sum", "_c")}, group=group,
+                       totals={"_all": "_upto"})
+    first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
+    gaps = F.greatest(F.col("_all") - 1, F.lit(1)).cast("double")
+
+    def at(k: Column) -> Column:
+        return (F.col("_all") - 1).cast("double") * (k.cast("double") / F.lit(float(parts)))
+
+    low = F.greatest(F.lit(1), F.floor((first - 1) * parts / gaps).cast("int") - 1)
+    high = F.least(F.lit(parts - 1), F.ceil((last + 1) * parts / gaps).cast("int") + 1)
+    near = F.filter(
+        F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")),
+        lambda k: F.floor(at(k)).between(first, last) | F.ceil(at(k)).between(first, last))
+    hits = run.select(*group, F.col(value).cast("double").alias("_x"), first.alias("_a"), last.alias("_b"), "_all",
+                      F.explode(near).alias("k"))
+    place = at(F.col("k"))
+    picked = hits.groupBy(*group, "k").agg(
+        F.max(F.when(F.floor(place).between(F.col("_a"), F.col("_b")), F.col("_x"))).alias("_lo"),
+        F.max(F.when(F.ceil(place).between(F.col("_a"), F.col("_b")), F.col("_x"))).alias("_hi"),
+        F.max(place - F.floor(place)).alias("_w"))
+    return picked.select(*group, "k", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias("boundary"))
