@@ -245,10 +245,11 @@ def regexp_extract_resource(t):
 JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
 def unnest_credits(t):
     credit = F.struct((-F.col("l_discount")).cast("decimal(28,6)").alias("amount"))
-    bills = t.lineitem.groupBy("l_orderkey").agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(28,6)")).cast("decimal(28,6)").alias("cost"),
-        F.collect_list(F.when(F.col("l_linenumber") > 1, credit)).alias("credits"))
-    rows = bills.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = t.lineitem.select(
+        "l_orderkey", F.col("l_extendedprice").alias("cost"),
+        F.when(F.col("l_linenumber") > 1, F.array(credit)).otherwise(F.array().cast("array<struct<amount:decimal(28,6)>>"))
+        .alias("credits"))
+    rows = lines.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     return rows.groupBy(F.col("o_orderpriority").alias("service")).agg(
         F.sum(f.net_cost(F.col("cost"), F.col("credits"))).cast("double").alias("net"))
 
