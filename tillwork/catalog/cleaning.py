@@ -1 +1,265 @@
+from pyspark.sql import functions as F
+
+from tillwork.catalog import query
+from tillwork.catalog.sqltext import TX
+from tillwork.functions import casts
+from tillwork.operators import typing as ty
+from tillwork.plans.transactions import transactions
+
+_TS_TEXT = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def _text_events(t):
+    """Events as a source would deliver them: everything text, some of it bad."""
+    kind = F.col("event_type")
+    ts = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return t.events.select(
+        "event_id",
+        F.when(kind == "error", "n/a").when(kind == "signup", F.lit(None)).otherwise(
+            F.get_json_object("props", "$.k")).alias("number"),
+        F.when(kind == "click", "broken").otherwise(F.col("value").cast("string")).alias("amount"),
+        F.when(kind == "error", "soon").when(kind == "view", F.date_format("ts", "yyyy-MM-dd"))
+        .when(kind == "click", F.date_format("ts", "HH:mm:ss")).otherwise(ts).alias("moment"),
+        F.when(kind == "view", "Yes").when(kind == "click", "1").when(kind == "error", "TRUE").when(
+            kind == "signup", F.lit(None)).otherwise("no").alias("flag"),
+        F.when(kind == "view", F.lit(None)).otherwise(F.lower(kind)).alias("label"),
+    )
+
+
+_TEXT = f"""txt AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'n/a' WHEN 'signup' THEN NULL
+    ELSE json_extract_string(props, '$.k') END AS number,
+  CASE event_type WHEN 'click' THEN 'broken' ELSE CAST(value AS VARCHAR) END AS amount,
+  CASE event_type WHEN 'error' THEN 'soon' WHEN 'view' THEN strftime(ts, '%Y-%m-%d') WHEN 'click' THEN strftime(ts, '%H:%M:%S')
+    ELSE {_TS_TEXT} END AS moment,
+  CASE event_type WHEN 'view' THEN 'Yes' WHEN 'click' THEN '1' WHEN 'error' THEN 'TRUE' WHEN 'signup' THEN NULL ELSE 'no' END AS flag,
+  CASE event_type WHEN 'view' THEN NULL ELSE lower(event_type) END AS label FROM events)"""
+
+
+def _iso(c):
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+@query("rename_and_project", """SELECT c_custkey AS customer_key, c_name AS col_1st_name, c_mktsegment AS market_segment,
+  c_acctbal AS market_segment_2 FROM customer""")
+def rename_and_project(t):
+    messy = t.customer.select(
+        F.col("c_custkey").alias("Customer  Key"), F.col("c_name").alias("1st-Name"),
+        F.col("c_mktsegment").alias("__Market Segment"), F.col("c_acctbal").alias("market_segment!"),
+        F.col("c_nationkey").alias("%%%"))
+    return ty.rename_and_project(messy, ["customer_key", "col_1st_name", "market_segment", "market_segment_2"])
+
+
+@query("cast_lenient_standard", f"""WITH {_TEXT}
+SELECT event_id, coalesce(TRY_CAST(number AS BIGINT), 0) AS number, TRY_CAST(amount AS DOUBLE) AS amount,
+  strftime(CASE WHEN moment LIKE '____-%' THEN TRY_CAST(moment AS TIMESTAMP) END, '%Y-%m-%dT%H:%M:%S.%f') AS moment,
+  label FROM txt""")
+def cast_lenient_standard(t):
+    # A time of day alone would be read as a time of today; only full dates are offered here.
+    rows = _text_events(t).withColumn("moment", F.when(F.col("moment").rlike("^....-"), F.col("moment"))
+                                      .otherwise(F.lit("soon")))
+    out = casts.cast_standard(rows, {"number": "INTEGER", "amount": "FLOAT", "moment": "TIMESTAMP", "label": "STRING"})
+    return out.select("event_id", "number", "amount", _iso("moment").alias("moment"), "label")
+
+
+@query("cast_lenient_schema", f"""WITH {_TEXT}
+SELECT t.event_id, TRY_CAST(number AS BIGINT) AS number, TRY_CAST(amount AS DOUBLE) AS amount,
+  strftime(TRY_CAST(CASE WHEN length(moment) = 8 THEN concat('1970-01-01T', moment) ELSE moment END AS TIMESTAMP),
+    '%Y-%m-%dT%H:%M:%S.%f') AS moment, lower(flag) IN ('true', '1', 'yes') AS flag,
+  to_json({{'kind': e.event_type, 'tags': [e.event_type, 'x']}})::VARCHAR AS nested
+FROM txt t JOIN events e ON t.event_id = e.event_id""")
+def cast_lenient_schema(t):
+    nested = t.events.select("event_id", F.struct(
+        F.col("event_type").alias("kind"), F.array("event_type", F.lit("x")).alias("tags")).alias("nested"))
+    rows = _text_events(t).join(nested, "event_id")
+    out = casts.cast_for_schema(rows, {"number": "INTEGER", "amount": "FLOAT", "moment": "TIMESTAMP",
+                                       "flag": "BOOLEAN", "nested": "STRING"})
+    return out.select("event_id", "number", "amount", _iso("moment").alias("moment"), "flag", "nested")
+
+
+@query("cast_epoch_integer", """SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN NULL
+  WHEN 'view' THEN user_id ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS seconds FROM events""")
+def cast_epoch_integer(t):
+    kind = F.col("event_type")
+    text = F.when(kind == "error", "None").when(kind == "click", "").when(
+        kind == "view", F.col("user_id").cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    return t.events.select("event_id", casts.epoch_integer(text).alias("seconds"))
+
+
+@query("serialize_values", """SELECT event_id,
+  CASE WHEN event_type NOT IN ('error', 'click') THEN value END AS number,
+  CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m-%dT00:00:00') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS moment,
+  strftime(ts, '%Y-%m-%d') AS day, CAST(CAST(value AS DECIMAL(18,4)) AS DOUBLE) AS price, base64(encode(props)) AS raw,
+  to_json([CASE WHEN event_type NOT IN ('error', 'click') THEN value END, value])::VARCHAR AS pair FROM events""")
+def serialize_values(t):
+    kind, value = F.col("event_type"), F.col("value")
+    odd = F.when(kind == "error", F.lit(float("nan"))).when(kind == "click", F.lit(float("-inf"))).otherwise(value)
+    rows = t.events.select(
+        "event_id", odd.alias("number"),
+        F.when(kind == "view", F.date_trunc("day", "ts").cast("timestamp_ntz")).otherwise(F.col("ts")).alias("moment"),
+        F.to_date("ts").alias("day"), value.cast("decimal(18,4)").alias("price"),
+        F.col("props").cast("binary").alias("raw"), F.array(odd, value).alias("pair"))
+    out = casts.serialize(rows)
+    return out.withColumn("pair", F.to_json("pair", {"ignoreNullFields": "false"}))
+
+
+@query("fill_required", f"""WITH {_TEXT}
+SELECT event_id, coalesce(TRY_CAST(number AS BIGINT), 0) AS number, coalesce(TRY_CAST(amount AS DOUBLE), 0) AS amount,
+  CAST(coalesce(CASE WHEN moment LIKE '____-%' THEN TRY_CAST(moment AS TIMESTAMP) END, TIMESTAMP '1970-01-01') AS DATE) AS day,
+  coalesce(label, '') AS label, coalesce(flag = 'Yes', false) AS flag FROM txt""")
+def fill_required(t):
+    rows = _text_events(t).select(
+        "event_id", F.col("number").try_cast("bigint").alias("number"), F.col("amount").try_cast("double").alias("amount"),
+        F.when(F.col("moment").rlike("^....-"), F.col("moment").try_cast("timestamp_ntz")).alias("moment"), "label",
+        (F.col("flag") == "Yes").alias("flag"))
+    out = casts.fill_defaults(rows, ["number", "amount", "moment", "label", "flag"])
+    return out.select("event_id", "number", "amount", F.to_date("moment").alias("day"), "label", "flag")
+
+
+def _text_orders(t):
+    return t.orders.select(
+        F.col("o_orderkey").cast("string").alias("order_no"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.col("o_totalprice").cast("string").alias("total"),
+        F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("closed"),
+        F.when(F.col("o_orderstatus") == "F", "1").otherwise("0").alias("open_flag"),
+        F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority")).alias("priority"),
+        F.when(F.col("o_orderstatus") == "F", "true").otherwise("false").alias("shipped"))
+
+
+_TEXT_ORDERS = """txt AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_no, strftime(o_orderdate, '%Y-%m-%d') AS order_date,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created_at, CAST(o_totalprice AS VARCHAR) AS total,
+  CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS closed, CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS open_flag,
+  CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS priority,
+  CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS shipped FROM orders)"""
+
+
+def _guess_sql(c: str, named: bool) -> str:
+    v = f"nullif({c}, '')"
+    dates = (f"""WHEN count(*) FILTER (WHERE regexp_matches({v}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')) > count({v}) * 0.8 THEN 'DATE'
+    WHEN count(*) FILTER (WHERE regexp_matches({v}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}[\\sT]\\d{{2}}:\\d{{2}}:\\d{{2}}')) > count({v}) * 0.8 THEN 'TIMESTAMP'"""
+             if named else "")
+    return f"""SELECT '{c}' AS column_name, count({v}) AS n_values, CASE WHEN count({v}) = 0 THEN NULL {dates}
+    WHEN count(*) FILTER (WHERE regexp_matches({v}, '^\\s*[+-]?\\d+\\s*$')) = count({v}) THEN 'INT64'
+    WHEN count(TRY_CAST({v} AS DOUBLE)) = count({v}) THEN 'FLOAT64'
+    WHEN count(*) FILTER (WHERE lower({v}) IN ('true','false','yes','no','0','1','t','f','y','n')) > count({v}) * 0.9 THEN 'BOOL'
+    END AS suggested_type FROM txt"""
+
+
+@query("infer_string_type", f"WITH {_TEXT_ORDERS} " + " UNION ALL ".join(
+    _guess_sql(c, n) for c, n in (("order_no", False), ("order_date", True), ("created_at", True), ("total", False),
+                                  ("closed", False), ("open_flag", False), ("priority", False), ("shipped", False))))
+def infer_string_type(t):
+    return ty.infer_string_types(_text_orders(t))
+
+
+def _file_sql(c: str) -> str:
+    v = f"nullif({c}, '')"
+    dated = f"regexp_matches({v}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}($|[\\sT]\\d{{2}}:\\d{{2}}:\\d{{2}})')"
+    return f"""SELECT '{c}' AS column_name, '{c}' AS original_name, CASE WHEN count({v}) = 0 THEN 'STRING'
+    WHEN count(*) FILTER (WHERE regexp_matches({v}, '^\\s*[+-]?\\d+\\s*$')) = count({v}) THEN 'INT64'
+    WHEN count(TRY_CAST({v} AS DOUBLE)) = count({v}) THEN 'FLOAT64'
+    WHEN count(*) FILTER (WHERE lower({v}) IN ('true', 'false')) = count({v}) THEN 'BOOL'
+    WHEN count(*) FILTER (WHERE {dated}) = count({v}) THEN 'TIMESTAMP' ELSE 'STRING' END AS value_type,
+  CASE WHEN count({v}) = count(*) THEN 'REQUIRED' ELSE 'NULLABLE' END AS mode FROM txt"""
+
+
+@query("infer_file_schema", f"WITH {_TEXT_ORDERS} " + " UNION ALL ".join(
+    _file_sql(c) for c in ("order_no", "order_date", "created_at", "total", "closed", "open_flag", "priority", "shipped")))
+def infer_file_schema(t):
+    from tillwork.session import fresh_path
+    from tillwork.sources.files import read_csv_text
+
+    path = fresh_path(t.spark, "orders-csv")
+    _text_orders(t).write.csv(path, header=True)
+    return ty.infer_file_schema(read_csv_text(t.spark, path, _text_orders(t).columns))
+
+
+def _semantic_sql(table, c, kind, period="NULL::INTEGER"):
+    return f"SELECT '{c}' AS column_name, {kind} AS semantic_type, {period} AS period FROM {table}"
+
+
+def _numeric_kind(c, period):
+    many = f"(count(DISTINCT {c}) > 100 AND count(DISTINCT {c})::DOUBLE / count(*) > 0.1)"
+    cyc = f"""((min({c}) >= 0 AND max({c}) <= 23 AND max({c}) - min({c}) >= 10) OR (min({c}) >= 0 AND max({c}) <= 6)
+      OR (min({c}) >= 1 AND max({c}) <= 12 AND max({c}) - min({c}) >= 6) OR (min({c}) >= 1 AND max({c}) <= 31 AND max({c}) - min({c}) >= 15))"""
+    by_range = f"""CASE WHEN min({c}) >= 0 AND max({c}) <= 23 THEN 24 WHEN min({c}) >= 0 AND max({c}) <= 6 THEN 7
+      WHEN min({c}) >= 1 AND max({c}) <= 12 THEN 12 WHEN min({c}) >= 1 AND max({c}) <= 31 THEN 31
+      WHEN min({c}) >= 1 AND max({c}) <= 4 THEN 4 ELSE 12 END"""
+    return (f"CASE WHEN {many} THEN 'id' WHEN {cyc} THEN 'cyclical' ELSE 'number' END",
+            f"CASE WHEN NOT {many} AND {cyc} THEN {period or by_range} END")
+
+
+_SEM = """s AS (SELECT l_partkey AS product_id, l_linenumber AS line_hour, l_quantity AS quantity, l_discount AS discount,
+  CAST(l_shipdate AS DATE) AS shipped, month(l_shipdate) AS ship_month, day(l_shipdate) AS monthday, l_returnflag AS returnflag,
+  strftime(l_shipdate, '%Y/%m/%d') AS ship_text, l_extendedprice AS price, l_linenumber AS position FROM lineitem)"""
+
+
+@query("detect_semantic_type", f"WITH {_SEM} " + " UNION ALL ".join([
+    "SELECT 'product_id' AS column_name, 'id' AS semantic_type, NULL::INTEGER AS period",
+    _semantic_sql("s", "line_hour", *_numeric_kind("line_hour", "24")),
+    _semantic_sql("s", "quantity", *_numeric_kind("quantity", None)),
+    _semantic_sql("s", "discount", *_numeric_kind("discount", None)),
+    "SELECT 'shipped', 'date', NULL::INTEGER", _semantic_sql("s", "ship_month", *_numeric_kind("ship_month", "12")),
+    _semantic_sql("s", "monthday", *_numeric_kind("monthday", "12")),
+    "SELECT 'returnflag', 'category', NULL::INTEGER", "SELECT 'ship_text', 'date', NULL::INTEGER",
+    _semantic_sql("s", "price", *_numeric_kind("price", None)), _semantic_sql("s", "position", *_numeric_kind("position", None)),
+    "SELECT 'embedding', 'history', NULL::INTEGER"]))
+def detect_semantic_type(t):
+    rows = t.lineitem.select(
+        F.col("l_partkey").alias("product_id"), F.col("l_linenumber").alias("line_hour"), F.col("l_quantity").alias("quantity"),
+        F.col("l_discount").alias("discount"), F.to_date("l_shipdate").alias("shipped"),
+        F.month("l_shipdate").alias("ship_month"), F.dayofmonth("l_shipdate").alias("monthday"),
+        F.col("l_returnflag").alias("returnflag"), F.date_format("l_shipdate", "yyyy/MM/dd").alias("ship_text"),
+        F.col("l_extendedprice").alias("price"), F.col("l_linenumber").alias("position"))
+    return ty.detect_semantic_types(rows).unionByName(ty.detect_semantic_types(t.embeddings.select("embedding")))
+
+
+def _drifted(t):
+    existing = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority")
+    batch = t.orders.select(
+        F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(
+            F.col("o_totalprice").cast("string")).alias("o_totalprice"), F.col("o_orderstatus").alias("channel"))
+    return ty.append_evolving(existing, batch)
+
+
+@query("append_evolving_schema", """SELECT o_orderkey, o_totalprice, o_orderpriority, NULL::VARCHAR AS channel FROM orders
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END, NULL, o_orderstatus FROM orders""")
+def append_evolving_schema(t):
+    return _drifted(t)[0]
+
+
+@query("append_evolving_report", """SELECT 'o_totalprice' AS column_name, 'converted' AS change,
+  count(*) FILTER (WHERE o_orderstatus = 'P') AS bad_values FROM orders
+UNION ALL SELECT 'channel', 'added', 0 UNION ALL SELECT 'o_orderpriority', 'missing', count(*) FROM orders""")
+def append_evolving_report(t):
+    return _drifted(t)[1]
+
+
+@query("safe_cast_filter", f"WITH {_TEXT} SELECT event_id, TRY_CAST(amount AS DOUBLE) AS amount FROM txt WHERE TRY_CAST(amount AS DOUBLE) > 0")
+def safe_cast_filter(t):
+    return _text_events(t).where(casts.positive_amount(F.col("amount"))).select(
+        "event_id", F.col("amount").try_cast("double").alias("amount"))
+
+
+@query("composite_key", """SELECT l_partkey * 1000000 + l_suppkey AS product_id, count(*) AS n FROM lineitem GROUP BY 1""")
+def composite_key(t):
+    key = casts.composite_key(F.col("l_partkey"), F.col("l_suppkey"))
+    return t.lineitem.groupBy(key.alias("product_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("coalesce_by_type", """SELECT d.doc_id, coalesce(quality, 0) AS quality, coalesce(score, 0.0) AS score, coalesce(note, '') AS note,
+  coalesce(bad, false) AS bad FROM documents d LEFT JOIN (SELECT doc_id, quality, quality::DOUBLE / 2 AS score,
+    concat('t', toxic) AS note, toxic = 1 AS bad FROM labels) l ON d.doc_id = l.doc_id""")
+def coalesce_by_type(t):
+    side = t.labels.select("doc_id", "quality", (F.col("quality") / 2).alias("score"),
+                           F.concat(F.lit("t"), F.col("toxic")).alias("note"), (F.col("toxic") == 1).alias("bad"))
+    joined = t.documents.select("doc_id").join(side, "doc_id", "left")
+    return casts.fill_defaults(joined, ["quality", "score", "note", "bad"])
+
+
+@query("timestamp_to_epoch", f"""WITH {TX}
+SELECT order_id, line_no, product_id, store_id, CASE WHEN priority = '5-LOW' THEN 0 ELSE CAST(epoch(ts) AS BIGINT) END AS ts FROM tx""")
+def timestamp_to_epoch(t):
+    rows = transactions(t).withColumn("ts", F.when(F.col("priority") != "5-LOW", F.col("ts")))
+    return casts.export_times(rows, ["ts"]).select("order_id", "line_no", "product_id", "store_id", "ts")
+
 
