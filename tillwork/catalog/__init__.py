@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from tillwork.catalog import (  # noqa: F401
-        cleaning, evaluation, features, filters, joins, loading, profiling, reports, sampling, splits, windows,
+        billing, cleaning, evaluation, experiments, features, filters, joins, loading, profiling, reports, sampling, splits, windows,
     )

@@ -31,3 +31,8 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 def percent(numerator: Column, denominator: Column, digits: int = 2) -> Column:
     return rounded(F.try_divide(numerator.cast("double") * F.lit(100.0), denominator.cast("double")), digits)
+
+
+def weighted_sum(value: Column, weight: Column) -> Column:
+    """Exact sum of value x weight, with eight digits of the value."""
+    return F.sum(value.cast("decimal(18,8)") * weight.cast("decimal(12,0)"))
