@@ -100,7 +100,7 @@ def epoch_downsample(t):
   FROM flat f JOIN best b ON f.experiment_id = b.experiment_id WHERE rank_no <= 10 AND at_ % 10 = 0)
 SELECT *, (SELECT min(loss) FROM cells) AS scale_min, (SELECT max(loss) FROM cells) AS scale_max FROM cells""")
 def training_heatmap(t):
-    return x.training_heatmap(_log(t), _flat(t), "experiment_id", F.col("recall"))
+    return x.training_heatmap(_histories(t), "experiment_id", "history", F.col("recall"))
 
 
 def _score(rows: str, metric: str, lower: bool) -> str:

@@ -203,7 +203,7 @@ SELECT customer_id, array_to_string(list_resize(ids, 50, 0), ',') AS ids FROM en
 def history_encode(t):
     hist = rolling.purchase_history(rolling.pair_last_dates(transactions(t)))
     enc = f.encode_history(hist, "customer_id", "purchase_history", _early(t), 50)
-    return enc.select("customer_id", F.array_join(F.transform("history_ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return enc.select("customer_id", F.array_join(F.col("history_ids").cast("array<string>"), ",").alias("ids"))
 
 
 _DIMS = 64
@@ -224,8 +224,8 @@ def history_masked_mean(t):
 SELECT customer_id, array_to_string(list_resize(h, 50, 0), ',') AS padded FROM hist""")
 def taste_padding_raw(t):
     hist = rolling.purchase_history(rolling.pair_last_dates(transactions(t)))
-    return hist.select("customer_id", F.array_join(F.transform(
-        f.pad_right(F.col("purchase_history"), 50), lambda x: x.cast("string")), ",").alias("padded"))
+    return hist.select("customer_id", F.array_join(
+        f.pad_right(F.col("purchase_history"), 50).cast("array<string>"), ",").alias("padded"))
 
 
 @query("regexp_extract_resource", """SELECT event_id, nullif(regexp_extract(path, '(?:services|jobs)/([^/]+)', 1), '') AS service

@@ -24,8 +24,18 @@ def _examples(t):
                                _segments(t), EXCLUDED)
 
 
+# The whole history is checked by its own query; wide outputs show its length, newest and oldest entry.
+_ENDS_SQL = "len(h) AS n_history, h[1] AS newest, h[len(h)] AS oldest"
+
+
+def _ends():
+    h = F.col("purchase_history")
+    return [F.when(h.isNotNull(), F.size(h)).alias("n_history"), F.try_element_at(h, F.lit(1)).alias("newest"),
+            F.try_element_at(h, F.lit(-1)).alias("oldest")]
+
+
 def _text(c):
-    return F.array_join(F.transform(F.col(c), lambda x: x.cast("string")), ",")
+    return F.array_join(F.col(c).cast("array<string>"), ",")
 
 
 _EXAMPLES = f"""{TX}, {PRODUCTS}, {STORES}, facts AS (SELECT *, CAST(ts AS DATE) AS day FROM tx WHERE sales > 0),
@@ -79,7 +89,7 @@ cut AS (SELECT CAST(max(ts)::DATE - 29 AS TIMESTAMP) AS c FROM ex),
 rows_ AS (SELECT *, CASE WHEN ts >= (SELECT c FROM cut) THEN 'test' ELSE 'train' END AS split FROM ex
   WHERE product_id IN (SELECT product_id FROM top)),
 train AS (SELECT * FROM rows_ WHERE split = 'train'), {_hist('train')}
-SELECT e.split, e.customer_id, e.product_id, e.sales, e.cust_value, array_to_string(h, ',') AS history,
+SELECT e.split, e.customer_id, e.product_id, e.sales, e.cust_value, {_ENDS_SQL},
   unique_buyers, order_count, total_sales, avg_sale
 FROM rows_ e LEFT JOIN hist ON e.customer_id = hist.customer_id LEFT JOIN stats ON e.product_id = stats.product_id""")
 def split_last_day(t):
@@ -87,8 +97,7 @@ def split_last_day(t):
 
     df = v.train_test_by_last_day(pin(_examples(t), "examples"), 80, test_days=30)
     return df.select("split", "customer_id", "product_id", "sales", "cust_value",
-                     _text("purchase_history").alias("history"), "unique_buyers", "order_count", "total_sales",
-                     "avg_sale")
+                     *_ends(), "unique_buyers", "order_count", "total_sales", "avg_sale")
 
 
 _ROW = "order_id, line_no, product_id, store_id, sales"
@@ -191,13 +200,14 @@ _CONTEXTS = """ctx AS (SELECT * FROM (SELECT customer_id, target_group, ts, stor
 slots AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY ts) AS slot,
   count(*) OVER (PARTITION BY customer_id) AS n FROM ctx)"""
 _OUT = """customer_id, product_id, label, sales, CAST(ts AS DATE) AS day, store_id, cust_value, days_since_last_purchase,
-  city, segment, category, history, unique_buyers, order_count, total_sales, avg_sale"""
+  city, segment, category, n_history, newest, oldest, unique_buyers, order_count, total_sales, avg_sale"""
+_POS_OUT = _OUT.replace("n_history, newest, oldest", "history")
 
 
-def _show(df):
-    return df.withColumn("history", _text("purchase_history")).select(
+def _show(df, *history):
+    return df.select(
         "customer_id", "product_id", "label", "sales", F.to_date("ts").alias("day"), "store_id", "cust_value",
-        "days_since_last_purchase", "city", "segment", "category", "history", "unique_buyers", "order_count",
+        "days_since_last_purchase", "city", "segment", "category", *history, "unique_buyers", "order_count",
         "total_sales", "avg_sale")
 
 
@@ -212,7 +222,7 @@ _POS = f"""pos AS (SELECT e.customer_id, e.product_id, 1 AS label, e.sales, e.ts
 
 def _neg(context: str) -> str:
     return f"""negs AS (SELECT n.customer_id, n.product_id, 0 AS label, 0.0::DOUBLE AS sales, c.ts, c.store_id,
-    c.cust_value, c.days_since_last_purchase, c.city, c.segment, p.category, array_to_string(h, ',') AS history,
+    c.cust_value, c.days_since_last_purchase, c.city, c.segment, p.category, {_ENDS_SQL},
     unique_buyers, order_count, total_sales, avg_sale
   FROM neg n JOIN {context} JOIN products p ON n.product_id = p.product_id
   LEFT JOIN hist ON n.customer_id = hist.customer_id LEFT JOIN stats ON n.product_id = stats.product_id)"""
@@ -230,27 +240,27 @@ def _inputs(t):
     return ex, rolling.purchase_history(rolling.pair_last_dates(ex)), rolling.product_stats(ex)
 
 
-@query("positives_labelled", f"WITH {_EXAMPLES}, {_hist('ex')}, {_POS} SELECT {_OUT} FROM pos")
+@query("positives_labelled", f"WITH {_EXAMPLES}, {_hist('ex')}, {_POS} SELECT {_POS_OUT} FROM pos")
 def positives_labelled(t):
-    return _show(v.labelled_positives(*_inputs(t)))
+    return _show(v.labelled_positives(*_inputs(t)), _text("purchase_history").alias("history"))
 
 
 @query("negatives_point_in_time", f"""WITH {_EXAMPLES}, {_hist('ex')}, {_walk('train', 'ex')}, {_CONTEXTS}, {_neg(_SLOT)}
 SELECT {_OUT} FROM negs""")
 def negatives_point_in_time(t):
     ex, history, stats = _inputs(t)
-    return _show(v.labelled_negatives(ex, _catalog(t), history, stats))
+    return _show(v.labelled_negatives(ex, _catalog(t), history, stats), *_ends())
 
 
 @query("negatives_latest_context", f"""WITH {_EXAMPLES}, {_hist('ex')}, {_walk('train', 'ex')}, {_neg(_LATEST)}
 SELECT {_OUT} FROM negs""")
 def negatives_latest_context(t):
     ex, history, stats = _inputs(t)
-    return _show(v.labelled_negatives(ex, _catalog(t), history, stats, point_in_time=False))
+    return _show(v.labelled_negatives(ex, _catalog(t), history, stats, point_in_time=False), *_ends())
 
 
 @query("union_pos_neg", f"""WITH {_EXAMPLES}, {_hist('ex')}, {_walk('train', 'ex')}, {_CONTEXTS}, {_POS}, {_neg(_SLOT)},
-both_ AS (SELECT * FROM pos UNION ALL SELECT * FROM negs)
+both_ AS (SELECT label, customer_id, product_id, sales, ts FROM pos UNION ALL SELECT label, customer_id, product_id, sales, ts FROM negs)
 SELECT label, customer_id, count(*) AS n_rows, count(DISTINCT product_id) AS n_products,
   CAST({msum('sales')} AS DOUBLE) AS revenue, CAST(min(ts) AS DATE) AS first_day FROM both_ GROUP BY 1, 2""")
 def union_pos_neg(t):

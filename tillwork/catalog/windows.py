@@ -136,7 +136,7 @@ hist AS (SELECT customer_id, list(product_id ORDER BY rn) AS h FROM ranked WHERE
 
 
 def _text(array):
-    return F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
+    return F.array_join(array.cast("array<string>"), ",")
 
 
 @query("purchase_history_topk", f"""WITH {TX}, {_HISTORY}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwork.functions.hashing import hash_number
@@ -13,6 +13,7 @@ from tillwork.plans.global_order import with_running
 from tillwork.session import pin
 
 STRIDE_TRIES = 256
+CHUNK = 4096
 
 
 def strides(size: int, tries: int = STRIDE_TRIES) -> list[int]:
@@ -36,41 +37,55 @@ def sample_negatives(
     salt: str = "train",
     customer: str = "customer_id",
     product: str = "product_id",
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """``ratio`` products per positive that the customer never bought, numbered by ``neg_rank``.
 
     Every customer walks through the catalogue in an own order: start and stride come from a salted hash of
     the customer, and a stride coprime to the catalogue size meets each product once. The first
     (ratio + 1) * p steps of a customer with p positives meet at most p of them, so they hold enough
-    negatives (or the walk has met the whole catalogue). The i-th positive proposes steps
-    (ratio + 1) * (i - 1) ..., which keeps the work proportional to the positives and spread over them.
+    negatives (or the walk has met the whole catalogue). The work is proportional to the positives.
+
+    Walks are cut into chunks of bounded length, which are spread over tasks; the negatives are numbered
+    inside a chunk, and only the counts of the chunks of long walks are added up per customer.
     """
     listed = pin(with_running(catalog.select(product).distinct(), [F.col(product).asc()], position="_place"),
                  "catalog")
     size = listed.count()
-    bought = positives.select(customer, product).distinct().join(listed.select(product), product, "left_semi")
+    # Read by the walk lengths and the anti joins: written once instead of scanning the facts each time.
+    bought = pin(positives.select(customer, product).distinct().join(listed.select(product), product, "left_semi"),
+                 "bought")
     if size == 0:
         return bought.withColumn("neg_rank", F.lit(None).cast("bigint")).limit(0)
-    pairs = pin(with_running(bought, [F.col(product).asc()], position="_i", group=[customer], group_size="_p"),
-                "positives")
-    steps = strides(size)
-    stride = F.element_at(
-        F.array(*[F.lit(s).cast("bigint") for s in steps]),
-        (F.pmod(_number(salt, "stride", customer), F.lit(len(steps))) + 1).cast("int"))
-    start = F.pmod(_number(salt, "start", customer), F.lit(size).cast("bigint"))
-    width = ratio + 1
-    offsets = F.explode(F.array(*[F.lit(m).cast("bigint") for m in range(width)]))
-    proposals = (
-        pairs.select(customer, "_p", stride.alias("_stride"), start.alias("_start"),
-                     (F.col("_i") - 1).alias("_i0"), offsets.alias("_m"))
-        .withColumn("_step", F.col("_i0") * width + F.col("_m"))
-        .where(F.col("_step") < size)
-        .withColumn("_place", F.pmod(F.col("_start") + F.pmod(F.col("_step") * F.col("_stride"),
-                                                              F.lit(size).cast("bigint")),
-                                     F.lit(size).cast("bigint")) + 1)
-        .join(listed, "_place")
-        .join(pairs.select(customer, product), [customer, product], "left_anti")
-        .select(customer, product, "_p", "_step")
+    steps, m = strides(size), F.lit(size).cast("bigint")
+    walks = bought.groupBy(customer).agg(F.count(F.lit(1)).alias("_p")).select(
+        customer, "_p", F.least(F.col("_p") * (ratio + 1), m).alias("_length"),
+        F.pmod(_number(salt, "start", customer), m).alias("_start"),
+        F.element_at(F.array(*[F.lit(s).cast("bigint") for s in steps]),
+                     (F.pmod(_number(salt, "stride", customer), F.lit(len(steps))) + 1).cast("int")).alias("_stride"))
+
+    def survivors(of: DataFrame) -> DataFrame:
+        """Steps of the walks that meet a product the customer never bought."""
+        last_chunk = F.floor((F.col("_length") - 1) / chunk).cast("bigint")
+        chunks = of.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk))) \
+            .repartition(customer, "_chunk")
+        first = F.col("_chunk") * chunk
+        until = F.least(first + chunk, F.col("_length")) - 1
+        return (
+            chunks.withColumn("_step", F.explode(F.sequence(first, until)))
+            .withColumn("_place", F.pmod(F.col("_start") + F.col("_step") * F.col("_stride"), m) + 1)
+            .select(customer, "_p", "_chunk", "_step", "_place")
+            .join(listed, "_place")
+            .join(bought, [customer, product], "left_anti")
+        )
+
+    in_chunk = Window.partitionBy(customer, "_chunk").orderBy("_step")
+    numbered = survivors(walks).withColumn("_at", F.row_number().over(in_chunk))
+    before = Window.partitionBy(customer).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        survivors(walks.where(F.col("_length") > chunk)).groupBy(customer, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+        .select(customer, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    ranked = with_running(proposals, [F.col("_step").asc()], position="neg_rank", group=[customer])
+    ranked = numbered.join(offsets, [customer, "_chunk"], "left").withColumn(
+        "neg_rank", F.coalesce("_before", F.lit(0)) + F.col("_at"))
     return ranked.where(F.col("neg_rank") <= F.col("_p") * ratio).select(customer, product, "neg_rank")

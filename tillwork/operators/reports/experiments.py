@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tillwork.functions.numbers import ratio, rounded
 from tillwork.operators.rolling import running_best
 from tillwork.plans.global_order import with_running
-from tillwork.session import pin
 
 # Share of experiments that count as good, smoothing, confidence limits, sampling steps.
 GOOD_PERCENT = 30
@@ -85,18 +84,18 @@ def downsample_epochs(epochs: DataFrame, step: int = EPOCH_STEP) -> DataFrame:
     return epochs.where((n <= step) | (F.pmod(at, F.lit(step)) == 0) | (at == n - 1))
 
 
-def training_heatmap(log: DataFrame, epochs: DataFrame, key: str, main: Column, runs: int = HEATMAP_RUNS,
+def training_heatmap(log: DataFrame, key: str, history: str, main: Column, runs: int = HEATMAP_RUNS,
                      step: int = HEATMAP_STEP) -> DataFrame:
     """Validation loss at every ``step``-th epoch of the best runs, with the range of the colour scale."""
     best = log.withColumn("_main", main).where(F.col("_main").isNotNull()).orderBy(
         F.col("_main").desc(), F.col(key).asc()).limit(runs)
     # The limit bounds what this window sees.
     ranked = best.withColumn("rank_no", F.row_number().over(Window.orderBy(F.col("_main").desc(), F.col(key).asc())))
+    epochs = flatten_history(best, key, history)
     cells = epochs.where(F.pmod("epoch", F.lit(step)) == 0).join(ranked.select(key, "rank_no"), key).select(
         key, "rank_no", "epoch", rounded(F.col("val"), 2).alias("loss"))
-    cells = pin(cells, "heatmap")
-    scale = cells.agg(F.min("loss").alias("lo"), F.max("loss").alias("hi"))
-    return cells.select("*", scale.select("lo").scalar().alias("scale_min"), scale.select("hi").scalar().alias("scale_max"))
+    scale = Window.partitionBy()  # a few cells of a few runs
+    return cells.select("*", F.min("loss").over(scale).alias("scale_min"), F.max("loss").over(scale).alias("scale_max"))
 
 
 # Parameter scores ----------------------------------------------------------------------------------------

@@ -18,10 +18,10 @@ RANDOM_BUCKETS = {"train": 16, "eval": 3, "test": 1}
 
 
 def _cut(df: DataFrame, ts: str, last_days: int) -> Column:
-    """Midnight that starts the last ``last_days`` calendar days of the data."""
-    return df.select(
-        F.date_sub(F.to_date(F.max(ts)), last_days - 1).cast("timestamp_ntz")
-    ).scalar()
+    """Midnight that starts the last ``last_days`` calendar days of the data. The subquery is the same for
+    every number of days, so it runs once."""
+    latest = df.select(F.max(ts)).scalar()
+    return F.date_sub(F.to_date(latest), last_days - 1).cast("timestamp_ntz")
 
 
 def last_days(df: DataFrame, ts: str, test_days: int = 1) -> DataFrame:

@@ -128,12 +128,13 @@ def quantile_points(df: DataFrame, value: str, parts: int, group: Sequence[str]
     def at(k: Column) -> Column:
         return (F.col("_all") - 1).cast("double") * (k.cast("double") / F.lit(float(parts)))
 
-    low = F.greatest(F.lit(1), F.floor((first - 1) * parts / gaps).cast("int") - 1)
-    high = F.least(F.lit(parts - 1), F.ceil((last + 1) * parts / gaps).cast("int") + 1)
-    near = F.filter(
-        F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")),
-        lambda k: F.floor(at(k)).between(first, last) | F.ceil(at(k)).between(first, last))
-    hits = run.select(*group, F.col(value).cast("double").alias("_x"), first.alias("_a"), last.alias("_b"), "_all",
+    # Quantiles k whose place lies between the neighbours of these row numbers; most values have none.
+    slack = F.lit(1e-6)
+    low = F.greatest(F.lit(1), F.ceil((first - 1) * parts / gaps - slack).cast("int"))
+    high = F.least(F.lit(parts - 1), F.floor((last + 1) * parts / gaps + slack).cast("int"))
+    near = F.filter(F.sequence(low, high),
+                    lambda k: F.floor(at(k)).between(first, last) | F.ceil(at(k)).between(first, last))
+    hits = run.where(low <= high).select(*group, F.col(value).cast("double").alias("_x"), first.alias("_a"), last.alias("_b"), "_all",
                       F.explode(near).alias("k"))
     place = at(F.col("k"))
     picked = hits.groupBy(*group, "k").agg(
