@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.hashing import hash_bucket
 from tillwork.plans.global_order import percentiles, quantile_points, with_running
+from tillwork.session import pin
 
 # Vocabulary cut-offs, bucket counts and history length used by default.
 ID_MIN_COUNT = 5
@@ -107,9 +108,10 @@ def minmax(x: Column, bounds: tuple[float, float]) -> Column:
 # Buckets -------------------------------------------------------------------------------------------------
 
 def fit_quantiles(df: DataFrame, columns: Sequence[str], buckets: int = QUANTILE_BUCKETS) -> dict[str, list[float]]:
-    """Inner quantile boundaries of all columns at once."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "feature", "value")
+    """Inner quantile boundaries of all columns at once. The columns are written once, since they are read
+    twice and ``df`` is often a join."""
+    values = pin(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "values")
+    long = values.unpivot([], list(columns), "feature", "value")
     out: dict[str, list[float]] = {c: [] for c in columns}
     # Boundaries only: columns x (buckets - 1) numbers.
     for row in quantile_points(long, "value", buckets, group=["feature"]).orderBy("feature", "k").collect():
@@ -179,7 +181,7 @@ def fit_target(df: DataFrame, column: str, clip_low: float | None = None, clip_h
         shares["low"] = min(clip_low / 100.0, 0.999)
     if clip_high is not None:
         shares["high"] = min(clip_high / 100.0, 0.999)
-    row = percentiles(df, column, shares).first() if shares else None
+    row = percentiles(pin(df.select(column), "target"), column, shares).first() if shares else None
     t = TargetTransform(row["low"] if clip_low is not None else None,
                         row["high"] if clip_high is not None else None, log)
     if norm is None:

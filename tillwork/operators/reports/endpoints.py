@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.numbers import percent, ratio, rounded, weighted_sum
 from tillwork.plans.global_order import percentiles
+from tillwork.session import pin
 
 _LATENCIES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95, "latency_p99_ms": 0.99}
 
@@ -17,6 +18,7 @@ def endpoint_metrics(requests: DataFrame, latency: str, failed: str, client: str
     ``requests`` has day, project and name. Percentiles hold for endpoints of any traffic.
     """
     keys = ["day", "project", "name"]
+    requests = pin(requests.select(*keys, latency, failed, client), "requests")
     volume = requests.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(F.col(failed)).alias("errors"),
         F.count_distinct(client).alias("peak"))

@@ -92,22 +92,67 @@ def tie_running(df: DataFrame, value: str, sums: Mapping[str, str], descending:
     return out.drop("position", *[f"_v_{name}" for name in sums])
 
 
-def percentiles(df: DataFrame, value: str, shares: Mapping[str, float], group: Sequence[str] = ()) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group.
+# Exact percentiles -----------------------------------------------------------------------------------------
+
+_STEPS_PER_OCTAVE = 64
+
+
+def _bin(value: str) -> Column:
+    """A coarse bin that keeps the order of numbers: sign, then the logarithm in steps of about one percent."""
+    x = F.col(value).cast("double")
+    step = F.floor(F.log2(F.abs(x)) * _STEPS_PER_OCTAVE).cast("int")
+    sign = F.signum(x).cast("int")
+    return F.struct(sign.alias("sign"), F.when(sign == 0, F.lit(0)).otherwise(step * sign).alias("step"))
 
-    Equal values are counted first and travel as one row.
+
+def _around(df: DataFrame, value: str, group: Sequence[str], touched) -> DataFrame:
+    """Counted values around the wanted ranks, with ``_upto`` (rows up to and including the value) and ``_all``.
+
+    The first pass only counts rows per bin, which is little after the map-side sums. ``touched(first, last,
+    all)`` says whether the zero-based rows of a bin hold a wanted rank; the second pass sorts the values of
+    those bins and nothing else, so the bulk of the rows is never shuffled.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    run = with_running(counted, [F.col(value).asc()], {"_upto": ("sum", "_c")}, group=group,
-                       totals={"_all": "_upto"})
-    # Zero-based row numbers _upto - _c .. _upto - 1 hold this value.
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        *group, value, _bin(value).alias("_bin"))
+    counts = rows.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*group)
+    # A few thousand bins per group at most: the range of doubles in steps of one percent.
+    placed = counts.select(*group, "_bin", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), "_n",
+                           F.sum("_n").over(whole).alias("_all"))
+    wanted = placed.where(touched(F.col("_before"), F.col("_before") + F.col("_n") - 1, F.col("_all")))
+    side = wanted.select(*[F.col(g).alias(f"_w{i}") for i, g in enumerate(group)], F.col("_bin").alias("_wb"),
+                         "_before", "_all")
+    match = F.col("_bin") == F.col("_wb")
+    for i, g in enumerate(group):
+        match = match & F.col(g).eqNullSafe(F.col(f"_w{i}"))
+    counted = rows.join(side, match).groupBy(*group, "_bin", "_before", "_all", value).agg(
+        F.count(F.lit(1)).alias("_c"))
+    run = with_running(counted, [F.col(value).asc()], {"_inside": ("sum", "_c")}, group=[*group, "_bin"])
+    return run.withColumn("_upto", F.col("_before") + F.col("_inside"))
+
+
+def percentiles(df: DataFrame, value: str, shares: Mapping[str, float], group: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per group."""
+
+    def at(all_rows: Column, share: float) -> Column:
+        return (all_rows - F.lit(1)).cast("double") * F.lit(float(share))
+
+    def touched(first: Column, last: Column, all_rows: Column) -> Column:
+        hit = F.lit(False)
+        for share in shares.values():
+            place = at(all_rows, share)
+            hit = hit | F.floor(place).between(first, last) | F.ceil(place).between(first, last)
+        return hit
+
+    run = _around(df, value, group, touched)
     aggs = []
     for name, share in shares.items():
-        at = (F.col("_all") - F.lit(1)).cast("double") * F.lit(float(share))
-        for side, row in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("_upto") > row) & (F.col("_upto") - F.col("_c") <= row)
-            aggs.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"{name}_{side}"))
-        aggs.append(F.max(at - F.floor(at)).alias(f"{name}_w"))
+        place = at(F.col("_all"), share)
+        for side, row in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            holds = (F.col("_upto") > row) & (F.col("_upto") - F.col("_c") <= row)
+            aggs.append(F.max(F.when(holds, F.col(value).cast("double"))).alias(f"{name}_{side}"))
+        aggs.append(F.max(place - F.floor(place)).alias(f"{name}_w"))
     picked = run.groupBy(*group).agg(*aggs)
     return picked.select(*group, *[
         (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_w")).alias(n) for n in shares
@@ -119,23 +164,30 @@ def quantile_points(df: DataFrame, value: str, parts: int, group: Sequence[str]
 
     Each distinct value finds the few quantiles whose neighbours it holds by arithmetic on its row numbers.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    run = with_running(counted, [F.col(value).asc()], {"_upto": ("sum", "_c")}, group=group,
-                       totals={"_all": "_upto"})
+
+    def candidates(first: Column, last: Column, all_rows: Column) -> tuple[Column, Column]:
+        """Range of the quantiles whose place lies between the neighbours of these rows; mostly empty."""
+        gaps = F.greatest(all_rows - 1, F.lit(1)).cast("double")
+        slack = F.lit(1e-6)
+        low = F.greatest(F.lit(1), F.ceil((first - 1) * parts / gaps - slack).cast("int"))
+        high = F.least(F.lit(parts - 1), F.floor((last + 1) * parts / gaps + slack).cast("int"))
+        return low, high
+
+    def touched(first: Column, last: Column, all_rows: Column) -> Column:
+        low, high = candidates(first, last, all_rows)
+        return low <= high
+
+    run = _around(df, value, group, touched)
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
-    gaps = F.greatest(F.col("_all") - 1, F.lit(1)).cast("double")
+    low, high = candidates(first, last, F.col("_all"))
 
     def at(k: Column) -> Column:
         return (F.col("_all") - 1).cast("double") * (k.cast("double") / F.lit(float(parts)))
 
-    # Quantiles k whose place lies between the neighbours of these row numbers; most values have none.
-    slack = F.lit(1e-6)
-    low = F.greatest(F.lit(1), F.ceil((first - 1) * parts / gaps - slack).cast("int"))
-    high = F.least(F.lit(parts - 1), F.floor((last + 1) * parts / gaps + slack).cast("int"))
     near = F.filter(F.sequence(low, high),
                     lambda k: F.floor(at(k)).between(first, last) | F.ceil(at(k)).between(first, last))
-    hits = run.where(low <= high).select(*group, F.col(value).cast("double").alias("_x"), first.alias("_a"), last.alias("_b"), "_all",
-                      F.explode(near).alias("k"))
+    hits = run.where(low <= high).select(*group, F.col(value).cast("double").alias("_x"), first.alias("_a"),
+                                         last.alias("_b"), "_all", F.explode(near).alias("k"))
     place = at(F.col("k"))
     picked = hits.groupBy(*group, "k").agg(
         F.max(F.when(F.floor(place).between(F.col("_a"), F.col("_b")), F.col("_x"))).alias("_lo"),
