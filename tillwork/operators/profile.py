@@ -155,23 +155,18 @@ def date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 REPORTED = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
-def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Put two one-row results side by side."""
-    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
-
-
 def transaction_distribution(df: DataFrame, customer: str) -> tuple[DataFrame, DataFrame]:
     """Statistics of rows per customer, and the histogram rows -> customers (first 50 levels)."""
     per_customer = pin(df.where(F.col(customer).isNotNull()).groupBy(customer)
                        .agg(F.count(F.lit(1)).alias("n")), "per_customer")
-    shares = percentiles(per_customer, "n", REPORTED)
+    shares = percentiles(per_customer, "n", REPORTED).first()  # five numbers
     basic = per_customer.agg(
         F.count(F.lit(1)).alias("customers"), F.sum("n").alias("transactions"),
         F.min("n").alias("min_n"), F.max("n").alias("max_n"))
-    stats = _beside(basic, shares).select(
+    stats = basic.select(
         "customers", "transactions", "min_n", "max_n",
         rounded(ratio(F.col("transactions"), F.col("customers")), 2).alias("mean_n"),
-        *[F.floor(F.col(p)).cast("bigint").alias(p) for p in REPORTED])
+        *[F.floor(F.lit(shares[p]).cast("double")).cast("bigint").alias(p) for p in REPORTED])
     all_customers = per_customer.select(F.count(F.lit(1))).scalar()
     histogram = (
         per_customer.groupBy("n").agg(F.count(F.lit(1)).alias("customers"))
@@ -184,15 +179,15 @@ def spend_distribution(df: DataFrame, customer: str, amount: str) -> DataFrame:
     """Statistics of positive spend per customer."""
     spend = pin(df.where(F.col(customer).isNotNull()).groupBy(customer).agg(exact_sum(amount).alias("spend"))
                 .where(F.col("spend") > 0), "spend")
-    shares = percentiles(spend, "spend", REPORTED)
+    shares = percentiles(spend, "spend", REPORTED).first()  # five numbers
     basic = spend.agg(
         F.count(F.lit(1)).alias("customers"), F.sum("spend").alias("total"),
         F.min("spend").alias("lo"), F.max("spend").alias("hi"))
-    return _beside(basic, shares).select(
+    return basic.select(
         "customers", rounded(F.col("total"), 2).alias("total_spend"), rounded(F.col("lo"), 2).alias("min_spend"),
         rounded(F.col("hi"), 2).alias("max_spend"),
         rounded(ratio(F.col("total"), F.col("customers")), 2).alias("mean_spend"),
-        *[rounded(F.col(p), 2).alias(p) for p in REPORTED])
+        *[rounded(F.lit(shares[p]), 2).alias(p) for p in REPORTED])
 
 
 # Feature report ------------------------------------------------------------------------------------------
