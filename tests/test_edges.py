@@ -146,6 +146,11 @@ def test_serialize_nested(spark):
     assert (r["a"], r["s"]["x"], r["t"], r["b"]) == ([None, 1.5, None], "2024-01-02", "2024-01-02T03:04:05.500000", "aGk=")
 
 
+def test_schema_from_warehouse_types(spark):
+    ddl = casts.schema_ddl({"a b": "INT64", "c": "Numeric", "d": "timestamp"})
+    assert spark.createDataFrame([], ddl).dtypes == [("a b", "bigint"), ("c", "decimal(38,9)"), ("d", "timestamp_ntz")]
+
+
 def test_zero_one_strings_are_integers_not_booleans(spark):
     df = spark.createDataFrame([("0", "yes", "2024-01-01", ""), ("1", "no", "2024-01-02", "")],
                                "flag string, ok string, ship_date string, empty string")

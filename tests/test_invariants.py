@@ -86,13 +86,23 @@ def test_history_is_newest_first_and_bounded(tx):
 
 def test_test_rows_do_not_reach_the_fit(tx):
     labelled = pin(splits.time_holdout(tx, "ts", 60), "labelled")
-    fit = labelled.where(F.col("split") != "test")
-    noise = labelled.where(F.col("split") == "test").withColumn("sales", F.col("sales") * 1000)
-    spec = FeatureSpec(vocabulary={"customer_id": 1}, scaled=("sales",), bucketed={"quantity": 5}, crosses=((("quantity", "store_id"), 50),),
-                       cyclical={"ts": ("weekly",)}, target={"column": "sales", "clip_high": 95, "log": True, "norm": "zscore"})
-    a = spec.fit(fit)
-    b = spec.fit(fit.unionByName(noise).where(F.col("split") != "test"))
+    in_test = F.col("split") == "test"
+    other = labelled.withColumns({
+        "sales": F.when(in_test, F.col("sales") * 1000).otherwise(F.col("sales")),
+        "quantity": F.when(in_test, -F.col("quantity")).otherwise(F.col("quantity")),
+        "priority": F.when(in_test, "unseen").otherwise(F.col("priority")),
+    }).drop("split")
+    assert other.join(tx, tx.columns, "left_anti").count() > 0
+    spec = FeatureSpec(
+        ids=("customer_id",), vocabulary={"priority": 1}, scaled=("sales",), bucketed={"quantity": 5},
+        crosses=((("quantity", "store_id"), 50),), cyclical={"ts": ("weekly",)},
+        target={"column": "sales", "clip_high": 95, "log": True, "norm": "zscore"})
+    a = spec.fit(labelled.where(~in_test))
+    b = spec.fit(splits.time_holdout(other, "ts", 60).where(~in_test))
     assert np.allclose(a.moments["sales"], b.moments["sales"], rtol=1e-12) and a.boundaries == b.boundaries
+    assert np.isclose(a.target.a, b.target.a) and a.target.upper == b.target.upper
+    for c in a.vocabularies:
+        assert sorted(map(tuple, a.vocabularies[c].collect())) == sorted(map(tuple, b.vocabularies[c].collect()))
     out = a.transform(labelled, keep=["split"])
     assert out.count() == labelled.count() and "ts_weekly_sin" in out.columns and "quantity_x_store_id" in out.columns
 

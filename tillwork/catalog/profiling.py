@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from tillwork.catalog import query
 from tillwork.catalog.sqltext import PRODUCTS, TX, msum, pct, r
-from tillwork.functions.numbers import exact_sum
 from tillwork.operators import profile as p
 from tillwork.operators import rolling
 from tillwork.plans.dataset_spec import DatasetSpec, JoinSpec

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from tillwork.catalog import query
 from tillwork.catalog.sqltext import TX, bucket
 from tillwork.operators import sampling as s

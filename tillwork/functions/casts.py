@@ -21,8 +21,9 @@ NULL_WORDS = ("none", "nan", "")
 COMPLEX = (T.StructType, T.ArrayType, T.MapType)
 
 
-def spark_type(warehouse_type: str) -> str:
-    return WAREHOUSE_TYPES[warehouse_type.upper()]
+def schema_ddl(columns: Mapping[str, str]) -> str:
+    """Schema text for a reader, from column names and warehouse type names."""
+    return ", ".join(f"`{name}` {WAREHOUSE_TYPES[kind.upper()]}" for name, kind in columns.items())
 
 
 def iso_text(ts: Column) -> Column:

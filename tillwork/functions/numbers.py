@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
 _LOW_BITS = 20
 
 
-def money(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast(MONEY)
-
-
 def exact_sum(c: Column | str) -> Column:
     """Sum of amounts to four digits, the same whatever the order in which partitions are merged.
 

@@ -39,10 +39,6 @@ def fit_vocabulary(df: DataFrame, column: str, min_count: int = 1, max_size: int
     return listed.where(F.col("idx") < max_size) if max_size is not None else listed
 
 
-def vocabulary_cap(cardinality: int) -> int:
-    return min(int(1.5 * cardinality), MAX_VOCABULARY)
-
-
 def apply_vocabulary(df: DataFrame, column: str, vocabulary: DataFrame, output: str) -> DataFrame:
     """Index of the token; unknown tokens share one index, the vocabulary size.
 

@@ -78,16 +78,6 @@ def date_fixed(df: DataFrame, column: str, start: str | None = None, end: str |
 
 # Entity filters ------------------------------------------------------------------------------------------
 
-def entity_totals(df: DataFrame, entity: str, amount: str) -> DataFrame:
-    """One row per entity: rows, exact sum, and mean of the amount."""
-    return (
-        df.where(F.col(entity).isNotNull()).groupBy(entity)
-        .agg(F.count(F.lit(1)).alias("row_count"), exact_sum(amount).alias("total"),
-             F.count(amount).alias("_n"))
-        .withColumn("mean", ratio(F.col("total"), F.col("_n"))).drop("_n")
-    )
-
-
 def top_revenue_entities(df: DataFrame, entity: str, amount: str, percent: float) -> DataFrame:
     """Entities that make up the top ``percent`` of revenue, the one crossing the line included.
 

@@ -17,6 +17,7 @@ from tillwork.session import pin
 class FeatureSpec:
     """What to make of which column."""
 
+    ids: Sequence[str] = ()  # vocabulary with the usual minimum count of ids
     vocabulary: Mapping[str, int] = field(default_factory=dict)  # column -> minimum count
     scaled: Sequence[str] = ()
     bucketed: Mapping[str, int] = field(default_factory=dict)  # column -> quantile buckets
@@ -25,9 +26,9 @@ class FeatureSpec:
     target: Mapping | None = None  # column, clip_low, clip_high, log, norm
 
     def fit(self, df: DataFrame) -> FeatureModel:
+        minimum = dict.fromkeys(self.ids, f.ID_MIN_COUNT) | dict(self.vocabulary)
         vocabularies = {
-            c: pin(f.fit_vocabulary(df, c, least, f.MAX_VOCABULARY), "vocabulary")
-            for c, least in self.vocabulary.items()
+            c: pin(f.fit_vocabulary(df, c, least, f.MAX_VOCABULARY), "vocabulary") for c, least in minimum.items()
         }
         moments = f.fit_moments(df, self.scaled) if self.scaled else {}
         by_size: dict[int, list[str]] = {}
