@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +48,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
 
+_RUN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
@@ -53,15 +59,48 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tillwork-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_fallback(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_fallback(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tillwork-{application}-")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; ``release`` or the end of the process removes it."""
+    application = spark.sparkContext.applicationId
+    if application not in _RUN_FOLDERS:
+        folder = f"{shared_dir(spark)}/tillwork-{application}-{uuid.uuid4().hex[:8]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+
+        def remove() -> None:
+            with contextlib.suppress(Exception):  # the JVM may be gone already
+                system.delete(path, True)
+
+        _RUN_FOLDERS[application] = folder
+        _REMOVERS[application] = remove
+        atexit.register(remove)
+    return _RUN_FOLDERS[application]
+
+
+_REMOVERS: dict[str, Callable[[], None]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every written intermediate of this application. Frames that still read them can't be used afterwards."""
+    application = spark.sparkContext.applicationId
+    if application in _RUN_FOLDERS:
+        _REMOVERS.pop(application)()
+        del _RUN_FOLDERS[application]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
