@@ -66,69 +66,88 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE_OF_SIZES, repe
     return table.withColumn("target", F.when(above, (F.col("_words") * repeats).cast("double")).otherwise(shared))
 
 
-def _hypergeometric(total: Column, marked: Column, draws: Column, u: Column) -> Column:
-    """How many of ``marked`` among ``total`` are in ``draws`` draws: inversion, outward from the mode.
+_UP = "(cast(_marked - k + 1 as double) * (_draws - k + 1)) / (cast(k as double) * (_total - _marked - _draws + k))"
+_DOWN = "(cast(k + 1 as double) * (_total - _marked - _draws + k + 1)) / (cast(_marked - k as double) * (_draws - k))"
 
-    Weights are relative to the mode's; beyond 14 standard deviations they vanish in a double.
+
+def _mass(steps: str, ratio: str) -> str:
+    """Sum of the weights along ``steps``, the first relative to 1."""
+    return f"aggregate({steps}, named_struct('w', 1D, 'm', 0D), (s, k) -> named_struct('w', s.w * {ratio}, 'm', s.m + s.w * {ratio})).m"
+
+
+def _passed(steps: str, ratio: str, before: str) -> str:
+    """How many of ``steps`` begin at or below _level, when ``before`` is the sum of weights ahead of them."""
+    return (f"aggregate({steps}, named_struct('w', 1D, 'm', {before}, 'n', 0L), (s, k) -> named_struct('w', s.w * {ratio}, "
+            f"'m', s.m + s.w * {ratio}, 'n', s.n + if(s.m <= _level, 1L, 0L))).n")
+
+
+def _draw(rows: DataFrame) -> DataFrame:
+    """Add ``_k``: how many of ``_marked`` among ``_total`` are in ``_draws`` draws, by inversion with the uniform ``_u``.
+
+    Counts are walked from the mode upward, then from the mode downward, with weights relative to the mode's; beyond 14
+    standard deviations those vanish in a double.
     """
-    low = F.greatest(F.lit(0), draws - (total - marked)).cast("long")
-    high = F.least(draws, marked).cast("long")
-    mode = F.greatest(low, F.least(high, F.floor((draws + 1) * (marked + 1).cast("double") / (total + 2)).cast("long")))
-    spread = (F.sqrt(draws.cast("double") * marked / F.greatest(total, F.lit(1)) + 1) * 14 + 20).cast("long")
-    low, high = F.greatest(low, mode - spread), F.least(high, mode + spread)
-
-    def grow(state: Column, k: Column) -> Column:  # weight of k from that of k - 1
-        w = state["w"] * ((marked - k + 1).cast("double") * (draws - k + 1)) / (k.cast("double") * (total - marked - draws + k))
-        return F.struct(w.alias("w"), F.concat(state["ws"], F.array(w)).alias("ws"))
-
-    def fall(state: Column, k: Column) -> Column:  # weight of k from that of k + 1
-        w = state["w"] * ((k + 1).cast("double") * (total - marked - draws + k + 1)) / ((marked - k).cast("double") * (draws - k))
-        return F.struct(w.alias("w"), F.concat(state["ws"], F.array(w)).alias("ws"))
-
-    start = F.struct(F.lit(1.0).alias("w"), F.expr("cast(array() as array<double>)").alias("ws"))
-    no_steps = F.expr("cast(array() as array<bigint>)")
-    ups = F.aggregate(F.when(high > mode, F.sequence(mode + 1, high)).otherwise(no_steps), start, grow)["ws"]
-    downs = F.aggregate(F.when(mode > low, F.sequence(mode - 1, low, F.lit(-1).cast("long"))).otherwise(no_steps), start, fall)["ws"]
-    weights = F.concat(F.reverse(downs), F.array(F.lit(1.0)), ups)
-    level = u * F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
-    passed = F.aggregate(
-        weights, F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")),
-        lambda s, w: F.struct((s["sum"] + w).alias("sum"), (s["n"] + F.when(s["sum"] + w <= level, 1).otherwise(0)).alias("n")),
-    )["n"]
-    return F.least(low + passed, high)
+    kept = rows.columns
+    rows = rows.selectExpr(
+        "*", "greatest(0L, _draws - (_total - _marked)) AS _low", "least(_draws, _marked) AS _high",
+        "cast(14 * sqrt(cast(_draws as double) * _marked / greatest(_total, 1L) + 1) + 20 as bigint) AS _spread",
+        "cast(floor((_draws + 1) * cast(_marked + 1 as double) / (_total + 2)) as bigint) AS _guess")
+    rows = rows.selectExpr("*", "greatest(_low, least(_high, _guess)) AS _mode")
+    rows = rows.selectExpr(
+        "*", "if(_high > _mode, sequence(_mode + 1, least(_high, _mode + _spread)), cast(array() as array<bigint>)) AS _ups",
+        "if(_low < _mode, sequence(_mode - 1, greatest(_low, _mode - _spread), -1L), cast(array() as array<bigint>)) AS _downs")
+    rows = rows.selectExpr("*", f"{_mass('_ups', _UP)} AS _above", f"{_mass('_downs', _DOWN)} AS _below")
+    rows = rows.selectExpr("*", "_u * (_above + _below + 1) AS _level")
+    return rows.selectExpr(*kept, f"_mode + if(_level < _above + 1, {_passed('_ups', _UP, '1D')}, - {_passed('_downs', _DOWN, '_above + 1')}) AS _k")
+
+
+def _sum(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _dealt_left(nodes: DataFrame, n_sources: int, seed: int) -> DataFrame:
+    """(_lo, _from, _left): the counts of each source that a node sends to the left half of its shards.
+
+    The draws of a node are split between two halves of its sources, again and again, each time by one
+    hypergeometric draw; a single source gets what is left. Together that is one multivariate draw.
+    """
+    ranges = nodes.select("_lo", "_hi", F.lit(0).alias("_from"), "_counts", "_draws")
+    for _ in range(max(0, math.ceil(math.log2(max(1, n_sources))))):
+        size = F.size("_counts")
+        half = F.floor((size + 1) / 2).cast("int")
+        first, second = F.slice("_counts", F.lit(1), half), F.slice("_counts", half + 1, F.greatest(F.lit(0), size - half))
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_lo"), F.col("_hi"), F.col("_from"), size), 11) / F.lit(float(1 << 53))
+        rows = _draw(ranges.withColumns({"_half": half, "_first": first, "_second": second, "_total": _sum(F.col("_counts")), "_marked": _sum(first), "_u": u}))
+        halves = F.array(
+            F.struct(F.col("_from").alias("f"), F.col("_first").alias("c"), F.col("_k").alias("d")),
+            F.struct((F.col("_from") + F.col("_half")).alias("f"), F.col("_second").alias("c"), (F.col("_draws") - F.col("_k")).alias("d")),
+        )
+        ranges = pin(rows.select("_lo", "_hi", F.explode(F.filter(halves, lambda h: F.size(h["c"]) > 0)).alias("_h")).select(
+            "_lo", "_hi", F.col("_h.f").alias("_from"), F.col("_h.c").alias("_counts"), F.col("_h.d").alias("_draws")), "mix-ranges")
+    return ranges.groupBy("_lo").agg(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_draws"))), lambda x: x["_draws"]).alias("_left"))
 
 
 def shard_cuts(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(_source, _cuts): of each source's draws, shard j gets numbers _cuts[j] up to _cuts[j + 1]."""
     root = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("_source").isNull().alias("last"), "_source", "_draws"))).alias("_all"))
-    root = root.select(
+    root = pin(root.select(
         F.lit(0).alias("_lo"), F.lit(shards).alias("_hi"), F.col("_all._source").alias("_sources"), F.col("_all._draws").alias("_counts"),
-        F.aggregate("_all._draws", F.lit(0).cast("long"), lambda s, x: s + x).alias("_total"),
-    )
-    at = lambda shard: F.floor(F.col("_total") * shard / F.lit(shards)).cast("long")
+        _sum(F.col("_all._draws")).alias("_whole"),
+    ), "mix-tree")
+    n_sources = root.select(F.size("_counts")).first()[0]
+    at = lambda shard: F.floor(F.col("_whole") * shard / F.lit(shards)).cast("long")
     nodes = root
     for _ in range(max(0, math.ceil(math.log2(shards)))):
-        mid = F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("int")
-        split = F.col("_hi") - F.col("_lo") > 1
-        draws = at(F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("long")) - at(F.col("_lo"))
-        have = F.aggregate("_counts", F.lit(0).cast("long"), lambda s, x: s + x)
-
-        def deal(state: Column, x: Column) -> Column:
-            u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_lo"), F.col("_hi"), F.size(state["out"])), 11) / F.lit(float(1 << 53))
-            k = _hypergeometric(state["total"], x, state["draws"], u)
-            return F.struct((state["total"] - x).alias("total"), (state["draws"] - k).alias("draws"), F.concat(state["out"], F.array(k)).alias("out"))
-
-        dealt = F.aggregate("_counts", F.struct(have.alias("total"), draws.alias("draws"), F.expr("cast(array() as array<bigint>)").alias("out")), deal)["out"]
-        nodes = nodes.withColumn("_mid", mid).withColumn("_left", F.when(split, dealt).otherwise(F.col("_counts")))
+        nodes = nodes.withColumn("_mid", F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("int"))
+        open_ = nodes.where(F.col("_hi") - F.col("_lo") > 1).withColumn("_draws", at(F.col("_mid")) - at(F.col("_lo")))
+        left = _dealt_left(open_, n_sources, seed).withColumnRenamed("_lo", "_lo2")
+        dealt = nodes.join(left, F.col("_lo") == F.col("_lo2"), "left")
         right = F.zip_with("_counts", "_left", lambda x, y: x - y)
-        halves = F.when(split, F.array(
-            F.struct(F.col("_lo").alias("lo"), F.col("_mid").alias("hi"), F.col("_left").alias("counts")),
-            F.struct(F.col("_mid").alias("lo"), F.col("_hi").alias("hi"), right.alias("counts")),
-        )).otherwise(F.array(F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_counts").alias("counts"))))
-        nodes = pin(
-            nodes.select("_sources", "_total", F.explode(halves).alias("_h")).select("_sources", "_total", F.col("_h.lo").alias("_lo"), F.col("_h.hi").alias("_hi"), F.col("_h.counts").alias("_counts")),
-            "mix-tree",
-        )
+        part = lambda lo, hi, counts: F.struct(lo.alias("lo"), hi.alias("hi"), counts.alias("counts"))
+        halves = F.when(F.col("_left").isNotNull(), F.array(part(F.col("_lo"), F.col("_mid"), F.col("_left")), part(F.col("_mid"), F.col("_hi"), right)))
+        halves = halves.otherwise(F.array(part(F.col("_lo"), F.col("_hi"), F.col("_counts"))))
+        nodes = pin(dealt.select("_sources", "_whole", F.explode(halves).alias("_h")).select(
+            "_sources", "_whole", F.col("_h.lo").alias("_lo"), F.col("_h.hi").alias("_hi"), F.col("_h.counts").alias("_counts")), "mix-tree")
     each = nodes.select("_lo", F.explode(F.arrays_zip(F.col("_sources").alias("source"), F.col("_counts").alias("count"))).alias("_x"))
     per = each.groupBy(F.col("_x.source").alias("_source")).agg(F.array_sort(F.collect_list(F.struct(F.col("_lo"), F.col("_x.count").alias("count")))).alias("_quotas"))
     cuts = F.aggregate("_quotas.count", F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))

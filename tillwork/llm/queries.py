@@ -51,3 +51,74 @@ c AS (
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, rest - before)) AS taken FROM c
 """
+
+
+@_query
+def op10_exact_top_k(t: Tables) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tillwork.llm.topk import exact_top_k
+
+    return exact_top_k(t.embeddings, F.col("vec_id") % 20 == 0, 20)
+
+
+ORACLE["op10_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@_query
+def op3_substring_dedup(t: Tables) -> DataFrame:
+    from tillwork.llm.substrings import remove_repeated_substrings
+
+    return remove_repeated_substrings(t.documents)
+
+
+ORACLE["op3_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+first AS (SELECT k, min(doc_id) AS doc FROM win GROUP BY k),
+hit AS (SELECT win.doc_id, i FROM win JOIN first ON win.k = first.k AND first.doc < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM hit, range(13) r(j)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+  SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS t, count(*) AS n
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i WHERE gone.i IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@_query
+def op6_minhash_near_dedup(t: Tables) -> DataFrame:
+    from tillwork.llm.neardup import near_duplicate_groups
+
+    return near_duplicate_groups(t.documents)
+
+
+ORACLE["op6_minhash_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_transform(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []),
+         lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS x FROM d),
+n AS (SELECT doc_id, len(x)::BIGINT AS n FROM s),
+item AS (SELECT doc_id, unnest(x) AS x FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM item a JOIN item b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (
+  SELECT a AS doc_id, b AS other FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(other), n.doc_id)) AS component_id,
+       n.doc_id <= coalesce(min(other), n.doc_id) AS kept
+FROM n LEFT JOIN reach ON n.doc_id = reach.doc_id GROUP BY n.doc_id, n.n
+"""
