@@ -122,3 +122,32 @@ SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(other), n.doc_i
        n.doc_id <= coalesce(min(other), n.doc_id) AS kept
 FROM n LEFT JOIN reach ON n.doc_id = reach.doc_id GROUP BY n.doc_id, n.n
 """
+
+
+@_query
+def op4_quality_classifier(t: Tables) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tillwork.llm.ngrams import fit_quality, fold_of, score_quality
+
+    held_out = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = fit_quality(t.documents, t.labels.where(~held_out))
+    scored = score_quality(t.documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@_query
+def op9_lm_scoring(t: Tables) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tillwork.llm.mixing_lm import score_texts
+    from tillwork.llm.ngrams import fold_of
+
+    return score_texts(t.documents, fold_of(F.col("doc_id"), 7), 2)
+
+
+@_query
+def op2_benchmark_decontamination(t: Tables) -> DataFrame:
+    from tillwork.llm.decontaminate import find_leaks
+
+    return find_leaks(t.documents, t.benchmark).select("doc_id", "item_id", "n_windows", "n_words", "similarity")
