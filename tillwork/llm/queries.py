@@ -151,3 +151,10 @@ def op2_benchmark_decontamination(t: Tables) -> DataFrame:
     from tillwork.llm.decontaminate import find_leaks
 
     return find_leaks(t.documents, t.benchmark).select("doc_id", "item_id", "n_windows", "n_words", "similarity")
+
+
+@_query
+def op5_secret_scan(t: Tables) -> DataFrame:
+    from tillwork.llm.secrets import fit_scanner, scan_secrets
+
+    return scan_secrets(t.documents, fit_scanner(t.documents))
