@@ -158,3 +158,10 @@ def op5_secret_scan(t: Tables) -> DataFrame:
     from tillwork.llm.secrets import fit_scanner, scan_secrets
 
     return scan_secrets(t.documents, fit_scanner(t.documents))
+
+
+@_query
+def op8_html_extraction(t: Tables) -> DataFrame:
+    from tillwork.llm.html import extract_main_text, fit_extractor
+
+    return extract_main_text(t.pages, fit_extractor(t.pages))
