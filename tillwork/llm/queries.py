@@ -165,3 +165,23 @@ def op8_html_extraction(t: Tables) -> DataFrame:
     from tillwork.llm.html import extract_main_text, fit_extractor
 
     return extract_main_text(t.pages, fit_extractor(t.pages))
+
+
+@_query
+def op1_warc_revisits(t: Tables) -> DataFrame:
+    from tillwork.llm.warc import deduplicate, read_headers, resolve, write_pages
+    from tillwork.session import pin
+
+    archives = deduplicate(t.spark, write_pages(t.pages))
+    return resolve(pin(read_headers(t.spark, archives), "warc-read"))
+
+
+ORACLE["op1_warc_revisits"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM r
+"""
