@@ -28,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwork.llm.components import components
@@ -77,7 +78,7 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 def _sign(size: int, bands: int, rows: int, hashes: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, text_hash = batch.column("doc_id"), batch.column("text_hash")
             for first, stop, words in blocks(batch.column("text"), 1 << 19):
                 sets = list(shingle_sets(words, size))
                 sums = [digest(s) for s in sets]
@@ -92,7 +93,7 @@ def _sign(size: int, bands: int, rows: int, hashes: int):
                     for i, k, v in zip(full, key, (values & 0xFF).astype(np.uint8)):
                         keys[i], sig[i] = k, v.tobytes()
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": ids.slice(first, stop - first), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "doc_id": ids.slice(first, stop - first), "text_hash": text_hash.slice(first, stop - first), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "d1": pa.array([s[0] for s in sums], pa.int64()), "d2": pa.array([s[1] for s in sums], pa.int64()),
                     "signature": pa.array(sig, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())),
                 })
@@ -277,12 +278,12 @@ def near_duplicate_groups(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS,
     hashes: int = HASHES, miss: float = MISS, part: int = PART,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
+    """(doc_id, text_hash, n_shingles, component_id, kept), one row per row of ``docs``.
 
     Links: 100 * |intersection| >= percent * |union| of the sets of ``shingle`` words.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = pin(docs.mapInArrow(_sign(shingle, bands, rows, hashes), "doc_id long, n long, d1 long, d2 long, signature binary, keys array<long>"), "neardup-signed")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    signed = pin(docs.mapInArrow(_sign(shingle, bands, rows, hashes), "doc_id long, text_hash long, n long, d1 long, d2 long, signature binary, keys array<long>"), "neardup-signed")
     # One row per distinct set. Its number is a hash of the digest; the digest itself tells classes apart.
     classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
     classes = pin(classes.withColumn("doc_class", F.xxhash64("n", "d1", "d2")), "neardup-classes")
@@ -307,4 +308,17 @@ def near_duplicate_groups(
     of_class = in_group.join(least, F.col("group") == F.col("_group")).select(F.col("n").alias("_n"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "component_id")
     out = signed.join(of_class, (F.col("n") == F.col("_n")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, unchanged: one of every group, and everything without a group.
+
+    Rows equal in id and text stay once.
+    """
+    gone = near_duplicate_groups(docs, doc_id=doc_id, text=text, **options).where(~F.col("kept"))
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_text"))
+    # The join has brought rows of one id and text together.
+    copy = W.partitionBy(F.col(doc_id).cast("long"), F.xxhash64(text)).orderBy(F.lit(1))
+    return docs.join(gone, same, "left_anti").withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").drop("_copy")

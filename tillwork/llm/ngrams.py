@@ -16,12 +16,13 @@ that are missing from the texts, are left out; an id labelled twice counts with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillwork.llm.text import U, Words, blocks, mix, window_hashes
 
@@ -113,7 +114,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, slot_bits: int, *, epochs: i
 
 def _unit(values: np.ndarray) -> np.ndarray:
     norm = np.sqrt(values @ values)
-    return values / norm if norm else values
+    return (values / norm if norm else values).astype(np.float32)
 
 
 def margins(text: np.ndarray, slots: np.ndarray, n_texts: int, ratio: np.ndarray, weights: np.ndarray, intercept: float) -> np.ndarray:
@@ -143,6 +144,7 @@ def _rows_of(text_column) -> list[np.ndarray]:
     for first, stop, words in blocks(text_column):
         text, slots = features(words)
         cut = np.searchsorted(text, np.arange(stop - first + 1))
+        slots = slots.astype(np.int32)
         rows += [slots[a:z] for a, z in zip(cut[:-1], cut[1:])]
     return rows
 
@@ -195,29 +197,29 @@ def _unpack(model: bytes, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return rest, both[:1 << slot_bits].astype(np.float64), both[1 << slot_bits:].astype(np.float64)
 
 
-def _score(shared, slot_bits: int):
+def _score(shared, slot_bits: int, text: str, with_text: bool, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (intercept, slope, offset), ratio, weights = _unpack(shared.value, slot_bits)
         for batch in batches:
-            place = batch.schema.get_field_index("_text")
+            place = batch.schema.get_field_index(text)
             scores = np.zeros(batch.num_rows)
             for first, stop, words in blocks(batch.column(place)):
                 found, slots = features(words, slot_bits)
                 margin = margins(found, slots, stop - first, ratio, weights, intercept)
                 scores[first:stop] = 1 / (1 + np.exp(-np.clip(slope * margin + offset, -500, 500)))
-            columns = [c for i, c in enumerate(batch.columns) if i != place] + [pa.array(scores)]
-            names = [n for i, n in enumerate(batch.schema.names) if i != place] + ["score"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            out = [i for i in range(batch.num_columns) if with_text or i != place]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in out], pa.array(scores)], [*[batch.schema.names[i] for i in out], name])
 
     return score
 
 
-def score_quality(docs: DataFrame, model: bytes, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), slot_bits: int = SLOT_BITS) -> DataFrame:
-    """The columns ``keep`` and ``score`` (0 to 1) for every row."""
+def score_quality(docs: DataFrame, model: bytes, *, text: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "score", slot_bits: int = SLOT_BITS) -> DataFrame:
+    """The columns ``keep`` and the score (0 to 1) as ``name``, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", score double"
-    return rows.mapInArrow(_score(shared, slot_bits), schema)
+    with_text = text in keep
+    rows = docs.select(*keep) if with_text else docs.select(*keep, text)
+    out = StructType([f for f in rows.schema if with_text or f.name != text]).add(name, "double")
+    return rows.mapInArrow(_score(shared, slot_bits, text, with_text, name), out)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -101,7 +101,7 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 def op6_minhash_near_dedup(t: Tables) -> DataFrame:
     from tillwork.llm.neardup import near_duplicate_groups
 
-    return near_duplicate_groups(t.documents)
+    return near_duplicate_groups(t.documents).drop("text_hash")
 
 
 ORACLE["op6_minhash_near_dedup"] = r"""
