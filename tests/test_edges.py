@@ -1,18 +1,23 @@
 """Hand-made rows: ties, NULLs, empty input, boundaries, bad lines, stale marks."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwork import session
 from tillwork.functions import casts
 from tillwork.functions.names import clean_name, clean_names
 from tillwork.functions.numbers import exact_sum, rounded
 from tillwork.operators import filters, joins, pareto, profile, rolling, splits
 from tillwork.operators import typing as ty
+from tillwork.operators.features import fit_target
 from tillwork.operators.reports import runs as run_reports
 from tillwork.plans.dataset_spec import DatasetSpec, JoinSpec
+from tillwork.plans.feature_model import FeatureSpec
+from tillwork.plans.global_order import percentiles
 from tillwork.session import fresh_path
 from tillwork.sources import files, loads, tables
 from tillwork.streaming import incremental
@@ -207,7 +212,7 @@ def test_stale_mark_over_an_empty_destination(spark):
 
 def test_time_slices_cover_the_span():
     start, end = ts("2024-01-01"), ts("2024-01-03T05:00:00")
-    for rows, seconds in ((1000, 86400), (1_000_000, 3600), (100_000_000, 900)):
+    for rows, seconds in ((1000, 86_400), (1_000_000, 86_400 // 7), (100_000_000, 86_400 // 667)):
         plan = tables.TimeSlices.plan(start, end, rows)
         bounds = plan.bounds()
         assert plan.seconds == seconds and bounds[0][0] == start and bounds[-1][1] == end
@@ -219,7 +224,7 @@ def test_hash_slices_hold_every_row_once(spark):
     df.createOrReplaceTempView("hash_rows")
     parts = [spark.sql(f"SELECT * FROM hash_rows WHERE {p}").count() for p in tables.hash_predicates("k", 7)]
     assert sum(parts) == 500 and min(parts) > 0
-    assert (tables.hash_slices(10), tables.hash_slices(120_000), tables.hash_slices(10 ** 9)) == (1, 2, 100)
+    assert (tables.hash_slices(10), tables.hash_slices(120_000), tables.hash_slices(10 ** 9)) == (1, 2, 20_000)
 
 
 def test_repeated_stream_run_loads_nothing_twice(spark):
@@ -244,3 +249,88 @@ def test_error_order(spark):
     df = spark.createDataFrame([("Config table missing",), ("Load failed",), ("",), (None,)], "m string")
     rows = df.select(run_reports.error_stage(F.col("m")), run_reports.error_kind(F.col("m"))).collect()
     assert [r[0] for r in rows][:3] == ["init", "load", "unknown"] and rows[3][1] == "Unknown"
+
+
+# Values and sizes beyond the ordinary --------------------------------------------------------------------------
+
+def test_exact_sum_beyond_the_range_of_longs(spark):
+    df = spark.createDataFrame([(5e15,), (5e15,), (0.25,), (-0.00005,)], "v double")
+    assert str(df.select(exact_sum("v").alias("s")).first()["s"]) == "10000000000000000.2499"
+
+
+def test_rounding_of_large_values(spark):
+    df = spark.createDataFrame([(3e15,), (-1e300,), (float("inf"),), (None,)], "v double")
+    assert [r[0] for r in df.select(rounded(F.col("v"), 4)).collect()] == [3e15, -1e300, float("inf"), None]
+
+
+def test_percentiles_with_infinite_values(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("inf"),), (float("-inf"),), (3.0,)], "v double")
+    row = percentiles(df, "v", {"low": 0.0, "mid": 0.5, "high": 1.0}).first()
+    assert (row["low"], row["mid"], row["high"]) == (float("-inf"), 2.0, float("inf"))
+
+
+def test_csv_with_doubled_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('1,"a ""b"", c",x\n2,"two\nlines",y\n3,plain\n')
+    schema = T.StructType().add("k", "integer").add("v", "string").add("w", "string")
+    good, bad = files.read_csv_split(spark, str(path), schema, header=False, multiline=True)
+    assert sorted(map(tuple, good.collect())) == [(1, 'a "b", c', "x"), (2, "two\nlines", "y")]
+    assert [r["k"] for r in bad.collect()] == ["3"]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_csv(spark, str(path), schema, header=False, multiline=True).collect()
+
+
+def test_offsets_in_times_are_applied(spark):
+    rows = [("2024-01-01T00:00:00Z", 1704067200), ("2024-01-01T02:00:00+02:00", 1704067200), ("2024-01-01T00:00:00", 1704067200),
+            ("2023-12-31T19:00:00-0500", 1704067200), ("2024-01-01", 1704067200)]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string")
+    got = df.select(casts.epoch_integer(F.col("t")), F.unix_timestamp(casts.for_schema(F.col("t"), T.StringType(), "TIMESTAMP").cast("timestamp"))).collect()
+    assert [tuple(r) for r in got] == [(s, s) for _, s in rows]
+
+
+def test_a_vocabulary_keeps_every_token(spark):
+    df = spark.range(20).selectExpr("cast(id as string) as c")
+    assert FeatureSpec(vocabulary={"c": 1}).fit(df).vocabularies["c"].count() == 20
+
+
+def test_a_ten_day_run_counts_ten_days(spark):
+    rows = [(1, "gpu", 2, ts("2024-01-01"), ts("2024-01-11")), (2, "cpu", 1, ts("2024-01-20"), ts("2024-01-20T01:00:00"))]
+    runs = spark.createDataFrame(rows, "run_id int, device string, devices int, started_at timestamp_ntz, completed_at timestamp_ntz")
+    got = {(r["day"], r["device"]): r["device_hours"] for r in run_reports.resource_hours_by_day(runs, "device", "devices").collect()}
+    assert len([k for k in got if k[1] == "gpu"]) == 10 and set(got.values()) == {48.0, 1.0}
+
+
+def test_clipping_takes_the_percentile_that_was_asked_for(spark):
+    df = spark.range(10_001).selectExpr("cast(id as double) as v")
+    assert fit_target(df, "v", clip_high=99.95).upper == pytest.approx(9995.0)
+
+
+def test_time_slices_cover_the_table(spark):
+    events = spark.range(1000).selectExpr("id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id * 7 as int)) as ts")
+    plan = tables.TimeSlices.plan(ts("2024-01-01"), ts("2024-01-06"), 1000, target=40)
+    parts = [[r["id"] for r in events.where(p).select("id").collect()] for p in plan.predicates("ts")]
+    assert sorted(sum(parts, [])) == list(range(1000)) and len(parts) > 5
+
+
+def test_the_shared_folder_without_a_setting(spark, monkeypatch):
+    class Context:
+        master, applicationId = "local[2]", "app-without-setting"
+
+    class Plain:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    first = session.shared_dir(Plain())
+    assert os.path.isdir(first) and session.shared_dir(Plain()) == first
+    monkeypatch.setattr(Context, "master", "spark://somewhere:7077")
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Plain())
+
+
+def test_release_deletes_written_intermediates(spark):
+    path = session.fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert session.pin(spark.range(2)).count() == 2
+    session.release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -111,17 +111,14 @@ def scan_documents(t):
 @query("partitioned_read_date", """SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS slice_start, count(*) AS n_rows,
   CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1""")
 def partitioned_read_date(t):
-    span = t.events.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    # The target is set so that the days of this table are too heavy and hours are chosen at every scale.
-    days = (span["b"] - span["a"]).days + 1
-    plan = tables.TimeSlices.plan(span["a"], span["b"] + dt.timedelta(microseconds=1), span["n"],
-                                  target=max(1, span["n"] // days // 2))
+    span = t.events.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("a"), F.max("ts").alias("b")).first()
+    plan = tables.TimeSlices(span["a"], span["b"] + dt.timedelta(microseconds=1), seconds=3600)
     sliced = t.events.withColumn("slice_start", plan.start_of(F.col("ts")))
     return sliced.groupBy(F.date_format("slice_start", "yyyy-MM-dd HH:mm:ss").alias("slice_start")).agg(
         F.count(F.lit(1)).alias("n_rows"), exact_sum("value").cast("double").alias("total"))
 
 
-@query("partitioned_read_hash", f"""WITH n AS (SELECT greatest(1, least(100, count(*) // 5000)) AS slices FROM lineitem)
+@query("partitioned_read_hash", f"""WITH n AS (SELECT greatest(1, count(*) // 5000) AS slices FROM lineitem)
 SELECT {bucket('l_orderkey', '(SELECT slices FROM n)')} AS slice, count(*) AS n_rows,
   CAST({msum('l_extendedprice')} AS DOUBLE) AS total FROM lineitem GROUP BY 1""")
 def partitioned_read_hash(t):

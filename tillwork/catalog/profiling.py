@@ -82,22 +82,22 @@ def dataset_analysis(t):
     return p.dataset_analysis(transactions(t), "customer_id", "product_id")
 
 
-@query("sample_values", "SELECT DISTINCT p_name AS value FROM part WHERE p_name IS NOT NULL ORDER BY value LIMIT 10")
+@query("sample_values", "SELECT DISTINCT p_name AS value FROM part WHERE p_name IS NOT NULL ORDER BY md5(p_name), value LIMIT 10")
 def sample_values(t):
     return p.sample_values(t.part, "p_name", 10)
 
 
-def _category_sql(column, table):
+def _category_sql(column, table, top=None):
     return f"""SELECT '{column}' AS column_name, value, n, {pct('n', 'total')} AS pct, rank_no FROM (
-  SELECT {column}::VARCHAR AS value, count(*) AS n, sum(count(*)) OVER () AS total, count(*) OVER () AS d,
+  SELECT {column}::VARCHAR AS value, count(*) AS n, sum(count(*)) OVER () AS total,
     ROW_NUMBER() OVER (ORDER BY count(*) DESC, {column}::VARCHAR) AS rank_no
-  FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}) WHERE rank_no <= CASE WHEN d <= 100 THEN 100 ELSE 20 END"""
+  FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}) {f'WHERE rank_no <= {top}' if top else ''}"""
 
 
-@query("category_values", _category_sql("p_brand", "part") + " UNION ALL " + _category_sql("url", "pages"))
+@query("category_values", _category_sql("p_brand", "part") + " UNION ALL " + _category_sql("url", "pages", 20))
 def category_values(t):
     few = p.category_values(t.part, "p_brand").withColumn("column_name", F.lit("p_brand"))
-    many = p.category_values(t.pages, "url").withColumn("column_name", F.lit("url"))
+    many = p.category_values(t.pages, "url", top=20).withColumn("column_name", F.lit("url"))
     return few.unionByName(many)
 
 
@@ -137,7 +137,7 @@ def customer_txn_distribution(t):
 
 @query("customer_txn_histogram", f"""WITH {TX}, c AS (SELECT customer_id, count(*) AS n FROM tx GROUP BY 1)
 SELECT n, count(*) AS customers, {pct('count(*)', '(SELECT count(*) FROM c)')} AS customer_pct
-FROM c GROUP BY n ORDER BY n LIMIT 50""")
+FROM c GROUP BY n""")
 def customer_txn_histogram(t):
     return p.transaction_distribution(transactions(t), "customer_id")[1]
 
@@ -231,7 +231,7 @@ def data_statistics_missing(t):
     ("quality", "INT", "NULL::VARCHAR"))))
 def schema_report(t):
     df = t.documents.select("doc_id", "lang", "text").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return p.schema_report(df)
+    return p.schema_report(df, domain_up_to=20)
 
 
 @query("product_stats", f"""WITH {TX}

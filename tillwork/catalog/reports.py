@@ -84,10 +84,10 @@ def activity_calendar(t):
     return rr.activity_calendar(runs_of(t), 10)
 
 
-@query("resource_hours_by_day", f"""WITH {_RUNS}, days AS (SELECT DISTINCT CAST(started_at AS DATE) AS day FROM runs),
+@query("resource_hours_by_day", f"""WITH {_RUNS}, days AS (SELECT CAST(unnest(generate_series(min(CAST(started_at AS DATE)), max(CAST(started_at AS DATE)), INTERVAL 1 DAY)) AS DATE) AS day FROM runs),
 o AS (SELECT day, device_type, devices, epoch_us(least(coalesce(completed_at, CAST(day + 1 AS TIMESTAMP)), CAST(day + 1 AS TIMESTAMP)))
     - epoch_us(greatest(started_at, CAST(day AS TIMESTAMP))) AS us
-  FROM runs JOIN days ON started_at < CAST(day + 1 AS TIMESTAMP) AND started_at >= CAST(day - 7 AS TIMESTAMP)
+  FROM runs JOIN days ON started_at < CAST(day + 1 AS TIMESTAMP)
     AND (completed_at IS NULL OR completed_at >= CAST(day AS TIMESTAMP)))
 SELECT day, device_type, count(*) AS n_runs, {r('CAST(sum(us * devices) AS DOUBLE) / 3.6e9')} AS device_hours
 FROM o WHERE us > 0 GROUP BY 1, 2""")

@@ -30,7 +30,7 @@ def random_sample(t):
 
 @query("seeded_join_sample", f"""WITH {TX}, sample AS (
   SELECT * FROM tx ORDER BY md5(concat('7:', {_KEY_SQL})), order_id, line_no, product_id, store_id LIMIT 500),
-keys AS (SELECT DISTINCT product_id FROM sample ORDER BY product_id LIMIT 1000)
+keys AS (SELECT DISTINCT product_id FROM sample)
 SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT product_id FROM keys)
 ORDER BY md5(concat('7:', p_partkey)), p_partkey LIMIT 200""")
 def seeded_join_sample(t):

@@ -55,6 +55,14 @@ def cast_standard(df: DataFrame, targets: Mapping[str, str]) -> DataFrame:
 
 # Schema-driven conversion --------------------------------------------------------------------------------
 
+def _utc(text: Column) -> Column:
+    """Date-time text as a UTC time without a zone: an offset in the text is applied, none means UTC."""
+    has_offset = text.rlike(r"[T ]\d{2}:\d{2}.*(Z|z|UTC|[+-]\d{2}(:?\d{2})?)$")
+    spread = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    moment = F.when(has_offset, spread).try_cast("timestamp").cast("timestamp_ntz")
+    return F.when(has_offset, F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment)).otherwise(text.try_cast("timestamp_ntz"))
+
+
 def _timestamp_text(c: Column) -> Column:
     """Date-only text starts at midnight; time-only text belongs to 1970-01-01."""
     text = F.trim(c)
@@ -79,7 +87,7 @@ def for_schema(c: Column, source: T.DataType, target: str) -> Column:
     if target in ("BOOLEAN", "BOOL"):
         return F.lower(c).isin(*TRUE_WORDS) if is_text else c.cast("boolean")
     if target in ("TIMESTAMP", "DATETIME"):
-        return (_timestamp_text(c) if is_text else c).try_cast("timestamp_ntz")
+        return _utc(_timestamp_text(c)) if is_text else c.try_cast("timestamp_ntz")
     if target == "DATE":
         return c.try_cast("date")
     return c
@@ -99,7 +107,7 @@ def epoch_integer(c: Column) -> Column:
     iso = F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}"), clean)
     number = clean.try_cast("double")
     return F.coalesce(clean.try_cast("bigint"), F.when(~F.isnan(number), number).try_cast("bigint"),
-                      epoch_seconds(iso.try_cast("timestamp_ntz")))
+                      epoch_seconds(_utc(iso)))
 
 
 # Serializable values -------------------------------------------------------------------------------------

@@ -6,27 +6,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LOW_BITS = 20
+_LARGEST = 9e14
+_WHOLE = float(1 << 52)  # doubles from here on have no digits after the point
 
 
 def exact_sum(c: Column | str) -> Column:
     """Sum of amounts to four digits, the same whatever the order in which partitions are merged.
 
-    Amounts are whole numbers of 1/10000 cut into a high and a low part, whose sums are plain longs: as fast
-    as a sum of doubles, without rounding, and without overflow up to 10^12 rows.
+    Amounts are whole numbers of 1/10000 (halves away from zero) cut into a high and a low part, whose sums are
+    plain longs: as fast as a sum of doubles, without rounding, and without overflow up to 10^12 rows. Amounts
+    that do not fit a long that way are summed as decimals beside them.
     """
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
-    units = F.floor(x * F.lit(1e4) + F.lit(0.5))
+    fits = F.abs(x) < F.lit(_LARGEST)
+    size = F.floor(F.when(fits, F.abs(x)) * F.lit(1e4) + F.lit(0.5))
+    units = F.when(x < 0, -size).otherwise(size)
+    rest = F.sum(F.when(~fits, x.cast("decimal(38,4)")))
     high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(24,0)")
     low = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(19,0)")
     whole = high * F.lit(1 << _LOW_BITS).cast("decimal(7,0)") + low
-    return (whole * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(38,4)")
+    small = (whole * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(38,4)")
+    return F.when(rest.isNull(), small).otherwise((F.coalesce(small, F.lit(0).cast("decimal(38,4)")) + rest).cast("decimal(38,4)"))
 
 
 def rounded(c: Column, digits: int) -> Column:
-    """Half away from zero on doubles; adding 0 turns a negative zero into zero."""
+    """Half away from zero on doubles; adding 0 turns a negative zero into zero. Values without digits to round,
+    infinities among them, stay as they are."""
     scale = float(10 ** digits)
     x = c.cast("double")
-    return F.signum(x) * F.floor(F.abs(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale) + F.lit(0.0)
+    small = F.abs(x) * F.lit(scale) < F.lit(_WHOLE)
+    return F.when(x.isNull() | small, F.signum(x) * F.floor(F.when(small, F.abs(x)) * F.lit(scale) + F.lit(0.5)) / F.lit(scale) + F.lit(0.0)).otherwise(x)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -15,9 +15,8 @@ from tillwork.functions.hashing import hash_bucket
 from tillwork.plans.global_order import percentiles, quantile_points, with_running
 from tillwork.session import pin
 
-# Vocabulary cut-offs, bucket counts and history length used by default.
+# Least count of ids, bucket counts and history length used by default.
 ID_MIN_COUNT = 5
-MAX_VOCABULARY = 500_000
 HASH_CROSS_BUCKETS = 5000
 QUANTILE_BUCKETS = 100
 HISTORY_LENGTH = 50
@@ -171,12 +170,12 @@ class TargetTransform:
 
 def fit_target(df: DataFrame, column: str, clip_low: float | None = None, clip_high: float | None = None,
                log: bool = False, norm: str | None = None) -> TargetTransform:
-    """Fit clipping percentiles (in percent, at most 99.9) and the normalization of what they leave."""
+    """Fit clipping percentiles (in percent) and the normalization of what they leave."""
     shares = {}
     if clip_low is not None:
-        shares["low"] = min(clip_low / 100.0, 0.999)
+        shares["low"] = clip_low / 100.0
     if clip_high is not None:
-        shares["high"] = min(clip_high / 100.0, 0.999)
+        shares["high"] = clip_high / 100.0
     row = percentiles(pin(df.select(column), "target"), column, shares).first() if shares else None
     t = TargetTransform(row["low"] if clip_low is not None else None,
                         row["high"] if clip_high is not None else None, log)

@@ -47,7 +47,7 @@ def _every(points: int):
     return F.greatest(F.lit(1), F.floor(n / F.lit(float(points)) + F.lit(0.5)).cast("long"))
 
 
-def curve_points(curve: DataFrame, points: int = 100, limit: int = 150) -> DataFrame:
+def curve_points(curve: DataFrame, points: int = 100) -> DataFrame:
     """First, last, threshold and evenly spaced points of the curve."""
     pinned = pin(curve, "curve")
     crossing = F.lit(False)
@@ -57,7 +57,7 @@ def curve_points(curve: DataFrame, points: int = 100, limit: int = 150) -> DataF
     rank = F.col("rank_no")
     return pinned.where(
         (rank == 1) | (rank == F.col("n_entities")) | crossing | (F.pmod(rank, _every(points)) == 0)
-    ).orderBy("rank_no").limit(limit)
+    )
 
 
 def banded_points(curve: DataFrame, points: int = 50, band: float = 0.5) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwork.functions.numbers import exact_sum, percent, ratio, rounded
-from tillwork.plans.global_order import percentiles
+from tillwork.plans.global_order import percentiles, with_running
 from tillwork.session import pin
 
 
@@ -99,24 +99,23 @@ def dataset_analysis(df: DataFrame, user: str, product: str) -> DataFrame:
     )
 
 
-def sample_values(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
-    """The first distinct non-null values in order."""
+def sample_values(df: DataFrame, column: str, limit: int) -> DataFrame:
+    """``limit`` distinct non-null values in pseudo-random order."""
     return df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct() \
-        .orderBy("value").limit(limit)
+        .orderBy(F.md5(F.col("value").cast("string").cast("binary")), "value").limit(limit)
 
 
-def category_values(df: DataFrame, column: str, full_up_to: int = 100, top: int = 20) -> DataFrame:
-    """All value counts when there are few values, else the most frequent ones."""
+def category_values(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
+    """Value counts with their share and rank: all of them, or the ``top`` most frequent ones that are asked for."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
     total = df.select(F.count(column)).scalar()
-    distinct = df.select(F.count_distinct(column)).scalar()
     order = (F.col("n").desc(), F.col("value").asc())
-    listed = counts.orderBy(*order).limit(full_up_to)
-    # The limit bounds what this window sees.
-    ranked = listed.withColumn("rank_no", F.row_number().over(Window.orderBy(*order)))
-    return ranked.where((distinct <= full_up_to) | (F.col("rank_no") <= top)).select(
-        "value", "n", percent(F.col("n"), total).alias("pct"), "rank_no")
+    if top is None:
+        ranked = with_running(counts, order, position="rank_no")
+    else:  # the limit bounds what this window sees
+        ranked = counts.orderBy(*order).limit(top).withColumn("rank_no", F.row_number().over(Window.orderBy(*order)))
+    return ranked.select("value", "n", percent(F.col("n"), total).alias("pct"), F.col("rank_no").cast("long").alias("rank_no"))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -156,7 +155,7 @@ REPORTED = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
 def transaction_distribution(df: DataFrame, customer: str) -> tuple[DataFrame, DataFrame]:
-    """Statistics of rows per customer, and the histogram rows -> customers (first 50 levels)."""
+    """Statistics of rows per customer, and the histogram rows -> customers (all levels)."""
     per_customer = pin(df.where(F.col(customer).isNotNull()).groupBy(customer)
                        .agg(F.count(F.lit(1)).alias("n")), "per_customer")
     shares = percentiles(per_customer, "n", REPORTED).first()  # five numbers
@@ -171,7 +170,7 @@ def transaction_distribution(df: DataFrame, customer: str) -> tuple[DataFrame, D
     histogram = (
         per_customer.groupBy("n").agg(F.count(F.lit(1)).alias("customers"))
         .withColumn("customer_pct", percent(F.col("customers"), all_customers))
-        .orderBy("n").limit(50))
+        .orderBy("n"))
     return stats, histogram
 
 
@@ -270,8 +269,9 @@ def average_missing(df: DataFrame) -> DataFrame:
                   rounded(total / F.lit(float(len(shares))), 2).alias("avg_missing_pct"))
 
 
-def schema_report(df: DataFrame, domain_up_to: int = 20) -> DataFrame:
-    """Per column: type, required or optional, presence, and the value domain of text columns with few values."""
+def schema_report(df: DataFrame, domain_up_to: int) -> DataFrame:
+    """Per column: type, required or optional, presence, and the value domain of text columns with at most
+    ``domain_up_to`` values."""
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     types = {"numeric": "FLOAT", "date": "TIMESTAMP", "bool": "BOOL", "string": "STRING", "array": "ARRAY"}
     aggs, parts = [F.count(F.lit(1)).alias("_rows")], []

@@ -87,13 +87,12 @@ def activity_calendar(runs: DataFrame, weeks: int = 10) -> DataFrame:
     return days.join(done, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("completed_runs"))
 
 
-def resource_hours_by_day(runs: DataFrame, device_type: str, devices: str, look_back_days: int = 7) -> DataFrame:
-    """Hours x devices per day and device type. An open run counts to the end of each day; a run counts for
-    days that begin at most ``look_back_days`` after its start."""
+def resource_hours_by_day(runs: DataFrame, device_type: str, devices: str) -> DataFrame:
+    """Hours x devices per day and device type, for every day that a run covers. An open run counts to the end
+    of each day up to the last day with a start."""
     last_day = runs.select(F.max(F.to_date("started_at"))).scalar()
     first = F.to_date("started_at")
-    until = F.least(F.to_date(F.col("started_at") + F.expr(f"INTERVAL {int(look_back_days)} DAYS")),
-                    F.coalesce(F.to_date("completed_at"), last_day), last_day)
+    until = F.least(F.coalesce(F.to_date("completed_at"), last_day), last_day)
     days = F.sequence(first, F.greatest(first, until))
     per_day = runs.withColumn("day", F.explode(days))
     begin = F.greatest("started_at", F.col("day").cast("timestamp_ntz"))

@@ -43,10 +43,10 @@ def random_rows(df: DataFrame, key: Sequence[str], n: int, seed: str = "0") -> D
 
 
 def join_key_sample(primary_sample: DataFrame, secondary: DataFrame, primary_key: str, secondary_key: str,
-                    order_key: Sequence[str], n: int, max_keys: int = 1000, seed: str = "0") -> DataFrame:
+                    order_key: Sequence[str], n: int, seed: str = "0") -> DataFrame:
     """A sample of the secondary table restricted to keys of the primary sample, so that the two join."""
     keys = (primary_sample.select(F.col(primary_key).alias(secondary_key))
-            .where(F.col(secondary_key).isNotNull()).distinct().orderBy(secondary_key).limit(max_keys))
+            .where(F.col(secondary_key).isNotNull()).distinct())
     return random_rows(secondary.join(keys, secondary_key, "left_semi"), order_key, n, seed)
 
 

@@ -28,7 +28,7 @@ class FeatureSpec:
     def fit(self, df: DataFrame) -> FeatureModel:
         minimum = dict.fromkeys(self.ids, f.ID_MIN_COUNT) | dict(self.vocabulary)
         vocabularies = {
-            c: pin(f.fit_vocabulary(df, c, least, f.MAX_VOCABULARY), "vocabulary") for c, least in minimum.items()
+            c: pin(f.fit_vocabulary(df, c, least), "vocabulary") for c, least in minimum.items()
         }
         moments = f.fit_moments(df, self.scaled) if self.scaled else {}
         by_size: dict[int, list[str]] = {}

@@ -95,12 +95,14 @@ def tie_running(df: DataFrame, value: str, sums: Mapping[str, str], descending:
 # Exact percentiles -----------------------------------------------------------------------------------------
 
 _STEPS_PER_OCTAVE = 64
+_BROADCAST_BINS = 200_000  # rows of a few numbers each: some ten megabytes
 
 
 def _bin(value: str) -> Column:
     """A coarse bin that keeps the order of numbers: sign, then the logarithm in steps of about one percent."""
     x = F.col(value).cast("double")
-    step = F.floor(F.log2(F.abs(x)) * _STEPS_PER_OCTAVE).cast("int")
+    infinite = F.abs(x) == F.lit(float("inf"))
+    step = F.when(infinite, F.lit(1 << 30)).otherwise(F.floor(F.log2(F.when(~infinite, F.abs(x))) * _STEPS_PER_OCTAVE).cast("int"))
     sign = F.signum(x).cast("int")
     return F.struct(sign.alias("sign"), F.when(sign == 0, F.lit(0)).otherwise(step * sign).alias("step"))
 
@@ -110,7 +112,8 @@ def _around(df: DataFrame, value: str, group: Sequence[str], touched) -> DataFra
 
     The first pass only counts rows per bin, which is little after the map-side sums. ``touched(first, last,
     all)`` says whether the zero-based rows of a bin hold a wanted rank; the second pass sorts the values of
-    those bins and nothing else, so the bulk of the rows is never shuffled.
+    those bins and nothing else. The wanted bins are written and counted; up to ``_BROADCAST_BINS`` of them are
+    broadcast, so that the other rows are dropped where they are read and never shuffled.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
         *group, value, _bin(value).alias("_bin"))
@@ -121,8 +124,10 @@ def _around(df: DataFrame, value: str, group: Sequence[str], touched) -> DataFra
     placed = counts.select(*group, "_bin", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), "_n",
                            F.sum("_n").over(whole).alias("_all"))
     wanted = placed.where(touched(F.col("_before"), F.col("_before") + F.col("_n") - 1, F.col("_all")))
-    side = wanted.select(*[F.col(g).alias(f"_w{i}") for i, g in enumerate(group)], F.col("_bin").alias("_wb"),
-                         "_before", "_all")
+    side = pin(wanted.select(*[F.col(g).alias(f"_w{i}") for i, g in enumerate(group)], F.col("_bin").alias("_wb"),
+                             "_before", "_all"), "bins")
+    if side.count() <= _BROADCAST_BINS:
+        side = F.broadcast(side)
     match = F.col("_bin") == F.col("_wb")
     for i, g in enumerate(group):
         match = match & F.col(g).eqNullSafe(F.col(f"_w{i}"))
@@ -154,9 +159,12 @@ def percentiles(df: DataFrame, value: str, shares: Mapping[str, float], group: S
             aggs.append(F.max(F.when(holds, F.col(value).cast("double"))).alias(f"{name}_{side}"))
         aggs.append(F.max(place - F.floor(place)).alias(f"{name}_w"))
     picked = run.groupBy(*group).agg(*aggs)
-    return picked.select(*group, *[
-        (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_w")).alias(n) for n in shares
-    ])
+    return picked.select(*group, *[_between(F.col(f"{n}_lo"), F.col(f"{n}_hi"), F.col(f"{n}_w")).alias(n) for n in shares])
+
+
+def _between(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation; equal ends, infinite ones too, are the result."""
+    return F.when(low == high, low).otherwise(low + (high - low) * share)
 
 
 def quantile_points(df: DataFrame, value: str, parts: int, group: Sequence[str] = ()) -> DataFrame:
@@ -193,4 +201,4 @@ def quantile_points(df: DataFrame, value: str, parts: int, group: Sequence[str]
         F.max(F.when(F.floor(place).between(F.col("_a"), F.col("_b")), F.col("_x"))).alias("_lo"),
         F.max(F.when(F.ceil(place).between(F.col("_a"), F.col("_b")), F.col("_x"))).alias("_hi"),
         F.max(place - F.floor(place)).alias("_w"))
-    return picked.select(*group, "k", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias("boundary"))
+    return picked.select(*group, "k", _between(F.col("_lo"), F.col("_hi"), F.col("_w")).alias("boundary"))

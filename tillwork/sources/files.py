@@ -11,20 +11,23 @@ from pyspark.sql import types as T
 REJECTED = "_corrupt_record"
 
 
-def _csv(spark: SparkSession, sep: str, encoding: str, header: bool):
-    return spark.read.options(sep=sep, encoding=encoding, header=header, nullValue="", emptyValue="")
+def _csv(spark: SparkSession, sep: str, encoding: str, header: bool, multiline: bool):
+    """A quote inside a quoted value is doubled; ``multiline`` lets quoted values hold line breaks."""
+    return spark.read.options(sep=sep, encoding=encoding, header=header, nullValue="", emptyValue="", quote='"',
+                              escape='"', multiLine=multiline)
 
 
-def read_csv(spark: SparkSession, path, schema, sep: str = ",", encoding: str = "utf-8",
-             header: bool = True) -> DataFrame:
-    return _csv(spark, sep, encoding, header).schema(schema).csv(path)
+def read_csv(spark: SparkSession, path, schema, sep: str = ",", encoding: str = "utf-8", header: bool = True,
+             multiline: bool = False) -> DataFrame:
+    """Typed rows; a line that does not fit the schema is an error (``read_csv_split`` keeps such lines apart)."""
+    return _csv(spark, sep, encoding, header, multiline).option("mode", "FAILFAST").schema(schema).csv(path)
 
 
 def read_csv_text(spark: SparkSession, path, columns: Sequence[str], sep: str = ",", encoding: str = "utf-8",
-                  header: bool = True) -> DataFrame:
+                  header: bool = True, multiline: bool = False) -> DataFrame:
     """All columns as text, for type inference over the whole file."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return read_csv(spark, path, schema, sep, encoding, header)
+    return read_csv(spark, path, schema, sep, encoding, header, multiline)
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -57,16 +60,17 @@ def _split(raw: DataFrame, schema: T.StructType, rebuilt: Column) -> tuple[DataF
 
 
 def read_csv_split(spark: SparkSession, path, schema: T.StructType, sep: str = ",", encoding: str = "utf-8",
-                   header: bool = True) -> tuple[DataFrame, DataFrame]:
+                   header: bool = True, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """Good rows, and rejected lines: those with another number of fields or values that do not parse.
 
     Column pruning is off, because a pruned parser no longer sees surplus or missing fields.
     """
     raw = (
-        _csv(spark, sep, encoding, header).option("mode", "PERMISSIVE").option("columnPruning", False)
+        _csv(spark, sep, encoding, header, multiline).option("mode", "PERMISSIVE").option("columnPruning", False)
         .option("columnNameOfCorruptRecord", REJECTED).schema(_as_text(schema)).csv(path)
     )
-    line = F.concat_ws(sep, *[F.coalesce(F.col(f.name), F.lit("")) for f in schema])
+    # A line that the typing rejects is written again from its fields, quoted where it has to be.
+    line = F.to_csv(F.struct(*[f.name for f in schema]), {"sep": sep, "escape": '"', "nullValue": "", "emptyValue": ""})
     return _split(raw, schema, line)
 
 

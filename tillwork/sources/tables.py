@@ -13,9 +13,8 @@ from pyspark.sql import types as T
 from tillwork.functions.casts import COMPLEX
 from tillwork.functions.hashing import hash_bucket
 
-# Rows per slice and the most slices of a hash split.
+# Fixed value: rows per slice.
 ROWS_PER_SLICE = 50_000
-MAX_HASH_SLICES = 100
 
 
 def read_table(spark: SparkSession, source: str, columns: Sequence[str] | None = None, fmt: str = "parquet",
@@ -54,10 +53,10 @@ class TimeSlices:
 
     @staticmethod
     def plan(start: dt.datetime, end: dt.datetime, rows: int, target: int = ROWS_PER_SLICE) -> TimeSlices:
-        """Daily slices when a day holds at most ``target`` rows, else hourly, else a quarter of an hour."""
+        """Equal parts of a day, as many as it takes for about ``target`` rows each (a second at least)."""
         per_day = rows / ((end - start).days + 1)
-        hours = 24.0 if per_day <= target else 1.0 if per_day <= target * 24 else 0.25
-        return TimeSlices(start, end, int(hours * 3600))
+        parts = min(86_400, max(1, -(-int(per_day) // target)))
+        return TimeSlices(start, end, 86_400 // parts)
 
     def bounds(self) -> list[tuple[dt.datetime, dt.datetime]]:
         out, at = [], self.start
@@ -79,7 +78,8 @@ class TimeSlices:
 
 
 def hash_slices(rows: int, target: int = ROWS_PER_SLICE) -> int:
-    return max(1, min(MAX_HASH_SLICES, rows // target))
+    """As many slices as it takes for about ``target`` rows each, whatever the number of rows."""
+    return max(1, rows // target)
 
 
 def hash_predicates(column: str, slices: int) -> list[str]:
