@@ -1,0 +1,400 @@
+"""The operators on odd rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tillwork.llm import decontaminate, html, mixing, mixing_lm, neardup, ngrams, secrets, substrings, topk, warc
+from tillwork.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def fold(text):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+
+
+def collected(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+# 1 WARC -------------------------------------------------------------------------------------------------------
+
+PAGES = "page_id long, url string, html string, extra string"
+
+
+def test_warc_round_trip_with_revisits(spark):
+    long_, other = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" + "x" * 1000, "y" * 1000
+    rows = [(1, "http://a/ b\r\nX: y", long_, "e"), (2, None, long_, "e"), (3, "u", long_, None), (3, "u", long_, None), (4, "u", "short", "e"), (5, "u", "short", "e"),
+            (6, "u", None, "e"), (7, "u", "", "e"), (None, "u", other, "e"), (8, "u", other, "e"), (None, None, "z" * 1000, None), (None, None, "z" * 1000, None)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+    got = warc.resolve(warc.read_headers(spark, warc.deduplicate(spark, warc.write_pages(pages)))).collect()
+    assert len(got) == len(rows)
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
+    assert kinds == Counter({
+        (1, "revisit", 3): 1, (2, "revisit", 3): 1, (3, "response", None): 1, (3, "revisit", 3): 1, (4, "response", None): 1, (5, "response", None): 1, (6, "response", None): 1,
+        (7, "response", None): 1, (None, "revisit", 8): 1, (8, "response", None): 1, (None, "response", None): 1, (None, "revisit", None): 1})
+    assert Counter((r["payload_digest"], r["payload_bytes"]) for r in got) == Counter((sha(h), len((h or "").encode())) for _, _, h, _ in rows)
+
+
+def test_warc_payloads_come_back_unchanged(spark):
+    rows = [(i, "u", h, "") for i, h in enumerate(["", "\r\n\r\n", "a\r\n\r\nWARC/1.1\r\n\r\n", "é" * 5000, "\x00\x01"])]
+    path = warc.write_pages(spark.createDataFrame(rows, PAGES))
+    found = {}
+    for row in warc._files(spark, path).collect():
+        data = warc._unpack(bytes(row["content"]))
+        found |= {int(h["x-page-id"]): data[a:z].decode() for _, h, a, z in warc.records(data)}
+    assert found == {i: h for i, _, h, _ in rows}
+
+
+def test_warc_of_nothing(spark):
+    pages = spark.createDataFrame([], PAGES)
+    assert warc.resolve(warc.read_headers(spark, warc.deduplicate(spark, warc.write_pages(pages)))).collect() == []
+
+
+# 2 decontamination --------------------------------------------------------------------------------------------
+
+def test_every_run_with_two_substitutions_has_a_seed():
+    for a in range(13):
+        for b in range(a + 1):
+            assert any(
+                all(shift + k not in (a, b) for k, c in enumerate(mask) if c == "1")
+                for mask in decontaminate.MASKS for shift in range(13 - len(mask) + 1))
+
+
+def brute_leaks(texts, items):
+    core = lambda t: [x for x in (fold(w).strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in WORD.findall(t or "")) if x]
+    out = set()
+    for key, text in texts:
+        words = core(text)
+        for item in items:
+            test = core(item)
+            size = min(13, len(test))
+            if size < 5:
+                continue
+            need = 11 if size == 13 else size
+            for i in range(len(test) - size + 1):
+                for p in range(len(words) - size + 1):
+                    if sum(x == y for x, y in zip(test[i:i + size], words[p:p + size])) >= need:
+                        out.add(key)
+    return out
+
+
+def test_leaks_against_brute_force(spark, prose):
+    passage = prose[0].split()[5:30]
+    changed = list(passage)
+    for k in (3, 9, 14, 20):
+        changed[k] = "other"
+    far = ["zz" if k % 4 == 0 else w for k, w in enumerate(passage)]
+    texts = [
+        (0, " ".join(passage)), (1, f"pre {' '.join(changed)} post"), (2, " ".join(far)), (3, prose[1]), (4, None), (5, ""), (6, " ".join(w.upper() + "!!" for w in passage)),
+        (7, " ".join(passage[:12])), (8, "so five short words here ok"), (9, "four words are few"), (10, " ".join(prose[2].split() + passage[:13])), (None, " ".join(passage))]
+    items = [" ".join(passage), " ".join(passage), None, "", "five short words here ok", "four words are few", prose[9]]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in texts], "doc_id long, text string, item_id int").repartition(2)
+    bench = spark.createDataFrame([(k, t, "x") for k, t in enumerate(items)], "item_id long, text string, doc_id string")
+    got = decontaminate.find_leaks(docs, bench).collect()
+    assert {r["doc_id"] for r in got} == brute_leaks(texts, items) and len(got) == len({r["doc_id"] for r in got})
+    assert {r["doc_id"]: r["item_id"] for r in got}[8] == 4 and {r["doc_id"]: r["n_words"] for r in got}[0] == 25
+    kept = decontaminate.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {2, 3, 4, 5, 7, 9}
+    assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+# 3 substrings --------------------------------------------------------------------------------------------------
+
+def brute_substrings(rows, size=13):
+    first = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - size + 1) if i is not None else ():
+            key = tuple(w[k:k + size])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, t in rows:
+        w, gone = WORD.findall(t or ""), set()
+        for k in range(len(w) - size + 1) if i is not None else ():
+            if first[tuple(w[k:k + size])] < i:
+                gone |= set(range(k, k + size))
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("cells", [8, 16])  # crowded or not, the sketch changes nothing
+def test_substrings_against_brute_force(odd, prose, cells):
+    extra = odd.sparkSession.createDataFrame([(40, " ".join(prose[6].split()[:20] + prose[7].split()[10:23])), (41, "a " * 30), (42, "a " * 14)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").union(extra).repartition(4)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = substrings.remove_repeated_substrings(docs, cell_bits=cells)
+    assert collected(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
+
+
+def test_substrings_of_nothing(empty):
+    assert substrings.remove_repeated_substrings(empty).count() == 0
+
+
+# 4 quality -------------------------------------------------------------------------------------------------------
+
+def test_quality_learns_and_is_defined_for_odd_rows(spark, odd, prose):
+    good = [(100 + i, prose[i % 15]) for i in range(60)]
+    bad = [(200 + i, " ".join(w.upper() + "!!" for w in prose[i % 15].split()[:30])) for i in range(30)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(100, None), (None, 1), (999, 0), (101, 1)], "doc_id long, quality int")
+    model = ngrams.fit_quality(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in ngrams.score_quality(docs, model).collect()}
+    assert min(scores[i] for i, _ in good) > max(scores[i] for i, _ in bad)
+    odd_scores = ngrams.score_quality(odd, model, keep=("doc_id", "source")).collect()
+    assert len(odd_scores) == odd.count() and all(0 <= r["score"] <= 1 for r in odd_scores)
+    by_id = Counter((r["doc_id"], r["score"]) for r in odd_scores if r["doc_id"] in (20, 21, 22))
+    assert len({s for _, s in by_id}) == 1  # null, empty and blank texts are alike
+    whole = ngrams.score_quality(odd, model, keep=odd.columns, name="q")
+    assert whole.columns == [*odd.columns, "q"] and whole.count() == odd.count()
+    assert ngrams.score_quality(odd.limit(0), model).count() == 0
+
+
+def test_quality_without_both_classes(spark, odd):
+    for label, want in ((1, 1.0), (0, 0.0), (None, 0.5)):
+        labels = spark.createDataFrame([(1, label)], "doc_id long, quality int")
+        scores = {round(r["score"], 3) for r in ngrams.score_quality(odd, ngrams.fit_quality(odd, labels)).collect()}
+        assert scores == {want}
+
+
+def test_folds_are_those_of_crc32(spark):
+    df = spark.createDataFrame([(0,), (12,), (-5,), (10 ** 15,)], "doc_id long").select("doc_id", ngrams.fold_of(F.col("doc_id"), 5).alias("f"))
+    assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in df.collect())
+
+
+# 5 secrets ---------------------------------------------------------------------------------------------------------
+
+def test_secrets_are_found_and_redacted(spark, odd, prose):
+    key, pem = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "-----BEGIN RSA PRIVATE KEY-----\nMIIEow\nAAAA\n-----END RSA PRIVATE KEY-----"
+    texts = [(1, f'{prose[0]} token = "{key}" {prose[1]}'), (2, f"é {pem} end"), (3, f"commit {key} of {prose[2]}"), (4, "mail ba.12@mail3.example.com now 4111111111111111 (499) 555-0100"), (5, None), (6, ""),
+             (7, f'a token = "{key}" b token = "{key}"'), (7, f'a token = "{key}" b token = "{key}"')]
+    docs = spark.createDataFrame([(i, t, "web", 3) for i, t in texts], "doc_id long, text string, source string, n_chars long")
+    model = secrets.fit_scanner(odd.unionByName(docs, allowMissingColumns=True))
+    found = secrets.scan_secrets(docs, model).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter({1: 1, 2: 1, 7: 4})
+    text = dict(texts)
+    for r in found:
+        assert hashlib.sha256(text[r["doc_id"]][r["start"]:r["start"] + r["length"]].encode()).hexdigest() == r["sha256"]
+    clean = {r["doc_id"]: r for r in secrets.redact_secrets(docs, model).collect()}
+    assert clean[1]["text"] == text[1].replace(key, "[SECRET]") and clean[1]["n_chars"] == len(clean[1]["text"])
+    assert clean[2]["text"] == "é [SECRET] end" and clean[7]["text"].count("[SECRET]") == 2
+    assert all(clean[i]["text"] == text[i] and clean[i]["n_chars"] == 3 for i in (3, 4, 5, 6))
+    assert secrets.redact_secrets(docs, model).schema == docs.schema and secrets.scan_secrets(docs.limit(0), model).count() == 0
+
+
+def test_secrets_learned_from_an_empty_corpus(empty):
+    assert secrets.scan_secrets(empty, secrets.fit_scanner(empty)).count() == 0
+
+
+# 6 near duplicates ---------------------------------------------------------------------------------------------------
+
+def brute_groups(rows, size, percent):
+    sets = []
+    for _, t in rows:
+        w = [fold(x) for x in WORD.findall(t or "")]
+        sets.append({tuple(w[k:k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()})
+    up = list(range(len(rows)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    out = []
+    for i, (doc, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        least = doc if not sets[i] else min(ids, default=None)
+        out.append((doc, len(sets[i]), least, doc == least))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("part", [2, 256])  # parts of two rows make every bucket and group a split one
+def test_groups_against_brute_force(odd, prose, part):
+    spark, near = odd.sparkSession, []
+    base = (prose[8] + " " + prose[9]).split()
+    for i in range(30):
+        words = list(base)
+        for k in range(0, i * 3, 7):
+            words[(k * 5 + i) % len(words)] = f"new{i}x{k}"
+        near.append((50 + i, " ".join(words)))
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string")).repartition(3)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for size, percent in ((3, 85), (5, 80)):
+        got = neardup.near_duplicate_groups(docs, shingle=size, percent=percent, part=part, bands=31, rows=4)
+        assert collected(got, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows, size, percent)
+
+
+def test_one_of_each_group_stays(odd, empty):
+    kept = neardup.one_of_each_group(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and {25, 26, None, 28, 29, 31}.isdisjoint(ids) and {3, 20, 21, 22, 23, 27} <= set(ids)
+    assert neardup.one_of_each_group(empty).count() == 0
+
+
+def test_least_matches_is_the_posterior_bound():
+    for places in (32, 128):
+        m = neardup.least_matches(places, 0.85, 1e-4)
+        tail = lambda k: sum(math.comb(places + 1, i) * 0.85 ** i * 0.15 ** (places + 1 - i) for i in range(k + 1))
+        assert tail(m) >= 1e-4 > tail(m - 1)
+
+
+def test_components_of_chains_rings_and_stars(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 110), (110, 120), (120, 100)] + [(500, 500 + i) for i in range(1, 200)] + [(9, 9)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 110: 100, 120: 100, **{500 + i: 500 for i in range(200)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 7 mixing ------------------------------------------------------------------------------------------------------------
+
+def test_targets_are_reached_and_shards_are_exact(spark, odd):
+    words = [(i, " ".join(["w"] * (5 + i % 17)), s) for i, s in enumerate(["x"] * 400 + ["y"] * 40 + ["z"] * 10 + [None] * 60)]
+    docs = spark.createDataFrame(words, "doc_id long, text string, source string").repartition(3)
+    out = [r.asDict() for r in mixing.mix_sources(docs, shards=5, block_rows=8).collect()]
+    assert len(out) == len(words)
+    for s in ("x", "y", "z", None):
+        rows = [r for r in out if r["source"] == s]
+        assert sum(r["taken"] for r in rows) == math.floor(rows[0]["target"]) and rows[0]["source_size"] == sum(r["size"] for r in rows)
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+        assert all(len(r["shards"]) * r["size"] >= r["taken"] for r in rows)
+    assert sum(r["target"] for r in out if r["doc_id"] in (0, 400, 440, 450)) == pytest.approx(1.5 * sum(r["size"] for r in out))
+    again = [r.asDict() for r in mixing.mix_sources(docs.repartition(7), shards=5, block_rows=8).collect()]
+    key = lambda r: r["doc_id"]
+    assert sorted(out, key=key) == sorted(again, key=key)
+    odd_rows = mixing.mix_sources(odd.withColumn("size", F.lit("mine")).withColumn("target", F.lit(1)), block_rows=4).collect()
+    assert len(odd_rows) == odd.count()
+    assert mixing.mix_sources(odd.limit(0)).count() == 0
+
+
+def test_quotas_of_the_splitting_tree(spark):
+    quotas = spark.createDataFrame([("a", 1000), ("b", 300), (None, 51), ("c", 0), ("d", 2000)], "_source string, _draws long")
+    cuts = {r["_source"]: r["_cuts"] for r in mixing.shard_cuts(quotas, 6, 1).collect()}
+    assert {s: c[-1] for s, c in cuts.items()} == {"a": 1000, "b": 300, None: 51, "c": 0, "d": 2000}
+    totals = np.sum([np.diff(c) for c in cuts.values()], axis=0)
+    assert totals.sum() == 3351 and totals.max() - totals.min() <= 1 and all((np.diff(c) >= 0).all() for c in cuts.values())
+
+
+def test_draws_are_hypergeometric(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("50L AS _total", "20L AS _marked", "15L AS _draws", "(id + 0.5D) / 20000 AS _u")
+    got = dict(mixing._draw(df).groupBy("_k").count().collect())
+    for k in range(16):
+        want = n * math.comb(20, k) * math.comb(30, 15 - k) / math.comb(50, 15)
+        assert abs(got.get(k, 0) - want) <= 2
+
+
+# 8 html --------------------------------------------------------------------------------------------------------------
+
+@pytest.fixture(scope="session")
+def extractor(spark, prose):
+    pages = [f"<html><body><nav><ul><li><a href=x>{p[:8]}</a></li></ul></nav><div class=ad>{p[8:30]}.</div><article><h1>{p[:40]}</h1><p>{p}.</p><p>{p[::-1]}.</p></article>"
+             f"<footer>&copy; {p[5:20]}</footer></body></html>" for p in prose]
+    return html.fit_extractor(spark.createDataFrame([(p,) for p in pages], "html string"))
+
+
+def test_html_main_text(spark, extractor, prose):
+    one, two = "The quick brown fox jumps over the lazy dog, again and again.", "A second paragraph follows here, and it says a little more than that."
+    page = (f"<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><a href='/'>Home</a></nav><article><h1>Head&amp;line</h1>"
+            f"<p>{one}<br>next&nbsp;\n line &lt;b&gt;</p><p><b>{two}<!-- <p>no</p> --></p><div class='comments'><p>I like it a lot, thank you.</p></div></article><footer>&copy; All rights reserved</footer>")
+    want = f"Head&line\n\n{one} next line <b>\n\n{two}"
+    rows = [(1, "u", page), (1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<script>never closed <p>x"), (5, "u", "<p" * 50), (6, "u", "<div>" * 400 + "deep" + "</p>")]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "page_id long, url string, html string, text string")
+    got = html.extract_main_text(df, extractor).collect()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert [r["text"] for r in got if r["page_id"] == 1] == [want, want]
+    assert {r["text"] for r in got if r["page_id"] in (2, 3, None)} == {""}
+    assert html.extract_main_text(df.limit(0), extractor).count() == 0
+
+
+def test_html_layouts_held_out(prose, extractor):
+    rng = np.random.default_rng(99)
+    words = " ".join(prose).split()
+    right = total = 0
+    for _ in range(60):
+        texts = [" ".join(rng.choice(words, int(rng.integers(4, 50)))) + "." for _ in range(6)]
+        page, label = html.labelled_layout(html._rendered(rng, texts, words))
+        marginal, _ = html.Batch([page]).beliefs(*extractor)
+        right += sum((marginal[i] >= 0.5) == label[i] for i in page.leaf)
+        total += len(page.leaf)
+    assert right / total > 0.95
+
+
+def test_messages_are_exact_marginals():
+    page = html.parse("<body><div class=menu><p>a b</p></div><article><p>c d e.</p><h2>f</h2></article></body>")
+    rng = np.random.default_rng(2)
+    weights, pair = rng.normal(size=html.N_FEATURES), rng.normal(size=(3, 2, 2))
+    batch = html.Batch([page])
+    marginal, pairs = batch.beliefs(weights, pair, with_pairs=True)
+    n, local = len(page.parent), batch.x @ weights
+    mass, on, joint = 0.0, np.zeros(n), np.zeros((n, 2, 2))
+    for state in range(1 << n):
+        y = [(state >> i) & 1 for i in range(n)]
+        w = math.exp(sum(local[i] * y[i] for i in range(n)) + sum(pair[batch.bound[i], y[batch.parent[i]], y[i]] for i in range(1, n)))
+        mass += w
+        on += w * np.array(y)
+        for i in range(1, n):
+            joint[i, y[batch.parent[i]], y[i]] += w
+    assert np.allclose(marginal, on / mass, atol=1e-4) and np.allclose(pairs[1:], joint[1:] / mass, atol=1e-4)
+
+
+# 9 language model ------------------------------------------------------------------------------------------------------
+
+def test_lm_base_scores_and_odd_rows(odd, empty):
+    fold_ = F.coalesce(ngrams.fold_of(F.col("doc_id"), 7), F.lit(-1))
+    for heavy in (1 << 20, 5):  # with few broadcast words most of them are joined
+        got = mixing_lm.score_texts(odd, fold_, 2, heavy=heavy).collect()
+        rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+        held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+        tokens = lambda t: [*map(fold, WORD.findall(t or "")), "\n"]
+        counts = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+        n, v = sum(counts.values()), len(counts)
+        want = Counter((i, held(i), len(tokens(t)), sum(w in counts for w in tokens(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows)
+        assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+        assert all(r["score"] < 0 for r in got)
+    assert mixing_lm.score_texts(empty, fold_, 2).count() == 0
+
+
+def test_lm_probabilities_of_a_step_sum_to_one():
+    import pyarrow as pa
+
+    code = mixing_lm.Code(np.bincount(np.frombuffer(b"some bytes to code here", np.uint8), minlength=256))
+    assert sum(2.0 ** -int(n) for n in code.length) == 1.0  # a full tree: every byte has a path of its own
+    odds = np.random.default_rng(0).normal(size=mixing_lm._SLOTS).astype(np.float16)
+    model = mixing_lm.Model(code, odds, refined=np.random.default_rng(1).uniform(0.01, 0.99, 256 * mixing_lm._LEVELS).astype(np.float32))
+    # Texts of one letter differ in their first byte only; what is left is the end of the word and of the text.
+    letters = [bytes([b]).decode("latin1") for b in range(33, 127)]
+    (_, _, tokens), = mixing_lm.groups(pa.array(letters))
+    assert model.log10(tokens).max() < 0 and (10 ** model.log10(tokens)).sum() < 1
+
+
+def test_lm_learns(spark, prose):
+    texts = [(i, prose[i % 12]) for i in range(300)] + [(1000, prose[0]), (1001, " ".join(prose[0].split()[::-1])), (1002, "qxz vwq zzx " * 20)]
+    held = F.when(F.col("doc_id") >= 1000, 2).when(F.col("doc_id") % 5 == 3, 3).otherwise(0)
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in mixing_lm.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), held, 2).collect()}
+    assert got[1000] > got[1001] > got[1002]
+
+
+# 10 top-k ----------------------------------------------------------------------------------------------------------------
+
+def test_top_k_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(90)]
+    vectors += [(100, None), (101, [1.0, None, 2.0]), (102, [float("nan")] * 6), (103, [float("inf")] * 6), (104, []), (105, [2.0] * 9), (106, vectors[0][1]), (107, vectors[0][1]), (None, [1.0] * 6), (20, vectors[20][1])]
+    df = spark.createDataFrame([(i, v, "c") for i, v in vectors], "vec_id long, embedding array<float>, score string").repartition(4)
+    usable = {(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    want = []
+    for q in sorted({i for i, _ in usable if i % 20 == 0}):
+        found = sorted((-sum(a * b for a, b in zip(w, v)), i) for j, w in usable if j == q for i, v in usable if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(found[:7], 1)]
+    for block in (8, 4096):
+        got = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, 7, candidate_block=block, query_block=3)
+        assert collected(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
+    assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0, 7).count() == 0

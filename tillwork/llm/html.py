@@ -389,10 +389,15 @@ def fit_extractor(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         htmls = sorted(h for b in batches for h in b.column("html").to_pylist())
+        if not htmls:
+            return
         weights, pair = train(*labelled_pages(htmls))
         yield pa.RecordBatch.from_pydict({"theta": pa.array([np.concatenate([weights, pair.ravel()])], pa.list_(pa.float64()))})
 
-    theta = np.array(some.mapInArrow(fit, "theta array<double>").first()["theta"])
+    row = some.mapInArrow(fit, "theta array<double>").first()
+    if row is None:
+        return train(*labelled_pages([]))
+    theta = np.array(row["theta"])
     return theta[:N_FEATURES], theta[N_FEATURES:].reshape(3, 2, 2)
 
 

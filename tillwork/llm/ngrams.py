@@ -171,13 +171,14 @@ def fit_scores(rows: list[np.ndarray], labels: np.ndarray, slot_bits: int = SLOT
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(batches)
     if not held:
-        rows, labels = [], np.empty(0, np.int64)
-    else:
-        table = pa.Table.from_batches(held).sort_by([("order", "ascending"), ("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-        rows, labels = _rows_of(table.column("text")), table.column("label").to_numpy().astype(np.int64)
-    model = fit_scores(rows, labels)
-    body = np.concatenate([model["rest"].astype(np.float64).view(np.uint8), model["ratio"].astype(np.float32).view(np.uint8), model["weights"].astype(np.float32).view(np.uint8)])
-    yield pa.RecordBatch.from_pydict({"model": pa.array([body.tobytes()], pa.binary()), "n": pa.array([len(rows)], pa.int64())})
+        return
+    table = pa.Table.from_batches(held).sort_by([("order", "ascending"), ("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    rows, labels = _rows_of(table.column("text")), table.column("label").to_numpy().astype(np.int64)
+    yield pa.RecordBatch.from_pydict({"model": pa.array([_pack(fit_scores(rows, labels))], pa.binary())})
+
+
+def _pack(model: dict[str, np.ndarray]) -> bytes:
+    return model["rest"].astype(np.float64).tobytes() + model["ratio"].astype(np.float32).tobytes() + model["weights"].astype(np.float32).tobytes()
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> bytes:
@@ -187,8 +188,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     chosen = chosen.orderBy("order", "_id", "label").limit(sample)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     rows = rows.select("order", "doc_id", "label", "text").repartition(1)
-    found = rows.mapInArrow(_train, "model binary, n long").collect()
-    return bytes(found[0]["model"])
+    found = rows.mapInArrow(_train, "model binary").collect()
+    return bytes(found[0]["model"]) if found else _pack(fit_scores([], np.empty(0, np.int64)))
 
 
 def _unpack(model: bytes, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -253,10 +253,10 @@ _PATHS = ("src/config.py", "deploy/prod.env", "app/settings.yaml", "web", "crawl
 def planted_findings(docs: DataFrame, *, text: str = "text", source: str = "source", texts: int = SAMPLE_TEXTS, findings: int = FINDINGS) -> DataFrame:
     """(path, before, value, after, label): generated keys and look-alikes beside words of at most ``texts`` documents."""
     sample = docs.select(F.col(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("path")).where("text is not null")
-    sample = sample.orderBy(F.md5("text"), "path").limit(texts).repartition(1)
+    sample = sample.orderBy(F.md5("text"), "path").limit(texts).agg(F.collect_list("text").alias("text"), F.collect_list("path").alias("path"))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((t, p) for b in batches for t, p in zip(b.column("text").to_pylist(), b.column("path").to_pylist()))
+        rows = sorted(pair for b in batches for texts, paths in zip(b.column("text").to_pylist(), b.column("path").to_pylist()) for pair in zip(texts, paths))
         words = [_WORD.findall(t.encode()) for t, _ in rows]
         words = [w for w in words if w]
         flat = [x for w in words for x in w[:200] if 3 <= len(x) <= 14 and x.isalpha()] or [b"word", b"other", b"name"]
@@ -279,7 +279,7 @@ def planted_findings(docs: DataFrame, *, text: str = "text", source: str = "sour
             out.append((paths[int(rng.integers(len(paths)))], left + lead, value, tail + right, label))
         yield pa.RecordBatch.from_pydict(dict(zip(("path", "before", "value", "after", "label"), map(list, zip(*out)))))
 
-    return sample.select("text", "path").mapInArrow(plant, "path string, before binary, value binary, after binary, label long")
+    return sample.mapInArrow(plant, "path string, before binary, value binary, after binary, label long")
 
 
 def train_forest(findings: DataFrame, language: Language, *, trees: int = TREES, depth: int = DEPTH) -> Forest:
