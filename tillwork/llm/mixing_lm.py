@@ -1,9 +1,10 @@
 """Language-model scores by online logistic context mixing over hashed-context bit predictors.
 
-A text is its words with A-Z lower-cased, each closed by a space, then one end mark. Every byte is a path of bits through
-a Huffman tree of the training bytes, and every bit is predicted by four hashed contexts: the last two and the last four
-bytes inside the word, the word's beginning, and the word before together with the beginning. A predictor's slot holds
-the stretched share of ones seen there. A gate (place in the word, and whether the long contexts are known)
+A text is its words with A-Z lower-cased, then one end mark. A frequent word is a path of bits through a Huffman tree of
+words; any other takes the path of an escape and is then spelled, byte by byte and closed by a space, through a Huffman
+tree of bytes. Every bit is predicted by hashed contexts: the place in the tree with the word's beginning, the last two
+and the last four bytes of a spelled word, and the word before together with the first of these. A predictor's slot holds the
+stretched share of ones seen there. A gate (depth or place in the word, and whether the long contexts are known)
 selects the weights that mix the predictions; an adaptive map from (tree node, mixed prediction) to the share of
 ones seen there refines the result, and both are averaged. A text's score is the sum of its bits' log-probabilities.
 
@@ -31,41 +32,64 @@ from pyspark.sql import functions as F
 from tillwork.llm.text import U, Words, as_long, blocks, mix
 from tillwork.session import pin
 
-TABLE_BITS = (20, 22, 22, 22)
+TABLE_BITS = (22, 18, 20, 22)
 HEAVY = 1 << 20
+DICTIONARY = 1 << 16  # words with a path of their own
 MIX_FOLD = 3
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 _SPACE, _END = 0x20, 0x0A
 _GATES, _INPUTS = 32, len(TABLE_BITS) + 1
-_LEVELS = 64
+_ROWS, _LEVELS = 256, 64  # of the refining map
 _PART = 1 << 16
 _LIMIT = 8.0
+_SCALE = 127 / _LIMIT  # stretched shares are kept as bytes
 _END_HASH = (int(mix(np.array([0xE11D], U))[0]), int(mix(np.array([0xE22D], U))[0]))
 
 
-class Code:
-    """A Huffman code of the 256 bytes: the tree nodes and bits on the way to each byte."""
+class Tree:
+    """A Huffman code: tree nodes and bits on the way to each symbol, the root having number 0."""
 
     def __init__(self, counts: np.ndarray):
-        heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]  # every byte can be coded
+        n = len(counts)
+        heap = [(int(c) + 1, s) for s, c in enumerate(counts)]  # every symbol can be coded
         heapq.heapify(heap)
-        up, node = {}, 256
+        up, side = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8)
+        node = n
         while len(heap) > 1:
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            up[x], up[y] = (node, 0), (node, 1)
-            heapq.heappush(heap, (a + b, node, node))
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            up[x] = up[y] = node
+            side[y] = 1
+            heapq.heappush(heap, (a + b, node))
             node += 1
+        root = node - 1
         nodes, bits = [], []
-        for s in range(256):
-            path, at = [], s
-            while at in up:
-                at, bit = up[at]
-                path.append((at - 256, bit))
-            nodes.append([n for n, _ in reversed(path)]), bits.append([b for _, b in reversed(path)])
-        self.length = np.array([len(n) for n in nodes])
-        self.start = np.cumsum(np.append(0, self.length[:-1]))
-        self.node = np.concatenate([np.array(n, np.uint8) for n in nodes])
-        self.bit = np.concatenate([np.array(b, np.uint8) for b in bits])
+        for at in range(n):
+            path, turns = [], []
+            while at != root:
+                turns.append(side[at])
+                at = up[at]
+                path.append(root - at)
+            nodes.append(path[::-1]), bits.append(turns[::-1])
+        self.length = np.array([len(x) for x in nodes])
+        self.start = np.cumsum(self.length) - self.length
+        self.node = np.array([x for path in nodes for x in path], np.int32)
+        self.bit = np.array([x for path in bits for x in path], np.uint8)
+
+
+class Code:
+    """Words with a path of their own, the escape behind them, and the bytes."""
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, others: int, symbols: np.ndarray):
+        by = np.argsort(h1, kind="stable")
+        self.h1, self.h2 = h1[by], h2[by]
+        self.words, self.bytes = Tree(np.append(counts[by], others)), Tree(symbols)
+
+    def number(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The symbol of each word; that of the escape is the number of words."""
+        if not len(self.h1):
+            return np.zeros(len(h1), np.int64)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), at, len(self.h1))
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -102,17 +126,20 @@ class Tokens:
         self.first_at = first
 
     def spell(self, code: Code) -> None:
-        """Bit arrays of all distinct words, one word after another."""
+        """Bit arrays of all distinct words, one word after another: node, bit, gate and contexts."""
         self.distinct()
-        start, stop = self.start[self.first_at], self.stop[self.first_at]
+        number = code.number(self.h1[self.first_at], self.h2[self.first_at])
+        n_words = code.words.length[number]
+        other = np.flatnonzero(number == len(code.h1))
+        start, stop = self.start[self.first_at[other]], self.stop[self.first_at[other]]
         length = np.where(start < 0, 1, stop - start + 1)
-        where = ranges(np.maximum(start, 0), length)
         last = np.cumsum(length) - 1
         data = self.words.data
-        symbol = _LOWER[data[np.minimum(where, len(data) - 1)]] if len(data) else np.zeros(len(where), np.uint8)
+        symbol = _LOWER[data[np.minimum(ranges(np.maximum(start, 0), length), len(data) - 1)]] if len(data) else np.zeros(int(length.sum()), np.uint8)
         symbol[last] = np.where(start < 0, _END, _SPACE)
-        place = np.arange(len(symbol)) - np.repeat(last + 1 - length, length)
-        # Contexts of each symbol inside its word: the last two and four symbols, and the beginning of the word.
+        begin = np.repeat(last + 1 - length, length)
+        place = np.arange(len(symbol)) - begin
+        # Contexts of a byte inside its word: the last two and four bytes, and the beginning of the word.
         wide = symbol.astype(U)
         recent = np.zeros(len(symbol), U)
         orders = []
@@ -124,22 +151,39 @@ class Tokens:
             if back in (2, 4):
                 orders.append(mix(recent * U(0x9E3779B97F4A7C15) + U(back)))
         powers = np.cumprod(np.append(U(1), np.full(int(length.max(initial=1)), U(0x9FB21C651E98DF25), U)), dtype=U)
-        sums = np.cumsum((wide + U(1)) * _NODE[symbol] * powers[np.minimum(place, len(powers) - 1)], dtype=U)
-        sums = np.append(U(0), sums)
-        begin = np.repeat(last + 1 - length, length)
-        prefix = mix(sums[:-1] - sums[begin] + place.astype(U))
-        n = code.length[symbol]
-        self.node = code.node[(path := ranges(code.start[symbol], n))]
-        self.bit = code.bit[path]
-        node = _NODE[self.node]
-        self.context = [np.repeat(c, n) + node for c in (*orders, prefix)]
-        self.gate = np.repeat(np.minimum(place, 7), n).astype(np.uint8)
-        bits = np.add.reduceat(n, last + 1 - length) if len(n) else n
-        self.n_bits, self.bits_at = bits, np.cumsum(bits) - bits
-
-
-def _slots(context: np.ndarray, bits: int) -> np.ndarray:
-    return (context * U(0xD1342543DE82EF95) >> U(64 - bits)).astype(np.int64)
+        sums = np.append(U(0), np.cumsum((wide + U(1)) * _NODE[symbol] * powers[place], dtype=U))
+        prefix = mix(sums[:-1] - sums[begin] + place.astype(U) + U(1 << 40))
+        n_bytes = code.bytes.length[symbol]
+        n_spelled = np.zeros(len(number), np.int64)
+        n_spelled[other] = np.add.reduceat(n_bytes, last + 1 - length) if len(other) else 0
+        self.n_bits = n_words + n_spelled
+        self.bits_at = np.cumsum(self.n_bits) - self.n_bits
+        total = int(self.n_bits.sum())
+        self.node, self.bit, self.gate = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, np.uint8)
+        self.main = np.empty(total, U)
+        # The path through the tree of words.
+        to, path = ranges(self.bits_at, n_words), ranges(code.words.start[number], n_words)
+        node = code.words.node[path]
+        self.bit[to], self.main[to] = code.words.bit[path], mix(node.astype(U) + U(1 << 41))
+        self.node[to] = np.minimum(node, _ROWS // 2 - 1)
+        self.gate[to] = np.minimum(path - np.repeat(code.words.start[number], n_words), 3)
+        # The spelling behind the escape.
+        self.spelled = to = ranges(self.bits_at[other] + n_words[other], n_spelled[other])
+        path = ranges(code.bytes.start[symbol], n_bytes)
+        node = code.bytes.node[path]
+        salt = _NODE[node]
+        self.bit[to], self.main[to] = code.bytes.bit[path], np.repeat(prefix, n_bytes) + salt
+        self.node[to] = _ROWS // 2 + (node >> 1)
+        self.gate[to] = 4 + np.repeat(np.minimum(place, 3), n_bytes)
+        self.orders = [np.repeat(c, n_bytes) + salt for c in orders]
+
+
+def _slots(context: np.ndarray, table: int) -> np.ndarray:
+    return (context * U(0xD1342543DE82EF95) >> U(64 - TABLE_BITS[table])).astype(np.int64) + _OFFSETS[table]
+
+
+_OFFSETS = [sum(1 << b for b in TABLE_BITS[:k]) for k in range(len(TABLE_BITS))]
+_SLOTS = sum(1 << b for b in TABLE_BITS)
 
 
 def _pair(prefix: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -184,28 +228,27 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 # (2) bit counts per slot --------------------------------------------------------------------------------------
 
-_SLOTS = sum(1 << b for b in TABLE_BITS)
-_OFFSETS = np.cumsum([0] + [1 << b for b in TABLE_BITS])
-
-
-def _count_bits(code: Code):
+def _count_bits(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = shared.value
         table = np.zeros(2 * _SLOTS, np.uint32)
         for batch in batches:
             for _, _, tokens in groups(batch.column("text")):
                 tokens.spell(code)
-                times = np.repeat(np.bincount(tokens.word), tokens.n_bits).astype(np.uint32)
-                for k, context in enumerate(tokens.context):
-                    np.add.at(table, 2 * (_slots(context, TABLE_BITS[k]) + _OFFSETS[k]) + tokens.bit, times)
-                for at in range(0, len(tokens.word), 16384):
-                    word = tokens.word[at:at + 16384]
+                times = np.repeat(np.bincount(tokens.word).astype(np.uint32), tokens.n_bits)
+                np.add.at(table, 2 * _slots(tokens.main, 0) + tokens.bit, times)
+                for k, context in enumerate(tokens.orders, 1):
+                    np.add.at(table, 2 * _slots(context, k) + tokens.bit[tokens.spelled], times[tokens.spelled])
+                for at in range(0, len(tokens.word), 8192):
+                    word = tokens.word[at:at + 8192]
                     n = tokens.n_bits[word]
                     flat = ranges(tokens.bits_at[word], n)
-                    context = _pair(tokens.context[2][flat], np.repeat(tokens.before[at:at + 16384], n))
-                    np.add.at(table, 2 * (_slots(context, TABLE_BITS[3]) + _OFFSETS[3]) + tokens.bit[flat], np.uint32(1))
-        parts = np.minimum(table, 65535).astype(np.uint16).reshape(-1, _PART)
-        for i in np.flatnonzero(parts.any(axis=1)):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([pa.compress(parts[i].tobytes(), "zstd", asbytes=True)], pa.binary())})
+                    slots = _slots(_pair(tokens.main[flat], np.repeat(tokens.before[at:at + 8192], n)), 3)
+                    np.add.at(table, 2 * slots + tokens.bit[flat], np.uint32(1))
+        for i in range(len(table) // _PART):
+            part = np.minimum(table[i * _PART:(i + 1) * _PART], 65535).astype(np.uint16)
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
     return count
 
@@ -216,7 +259,9 @@ def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         pairs = total.reshape(-1, 2).astype(np.float64)
         odds = np.log((pairs[:, 1] + 0.4) / (pairs[:, 0] + 0.4))
-        body = np.clip(odds, -_LIMIT, _LIMIT).astype(np.float16).tobytes()
+        body = np.rint(np.clip(odds, -_LIMIT, _LIMIT) * _SCALE).astype(np.int8)
+        body[(body == 0) & (pairs.sum(axis=1) > 0)] = 1  # 0 is kept for slots without any bit
+        body = body.tobytes()
         return pa.RecordBatch.from_pydict({"part": pa.array([now], pa.int32()), "odds": pa.array([body], pa.binary())})
 
     for batch in batches:
@@ -233,11 +278,12 @@ def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bit_tables(texts: DataFrame, code: Code) -> np.ndarray:
-    """Stretched probability of a one per slot, 0 where nothing was seen."""
-    odds = np.zeros((2 * _SLOTS // _PART, _PART // 2), np.float16)
-    parts = texts.mapInArrow(_count_bits(code), "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    """Stretched share of ones per slot as a byte, 0 where nothing was seen."""
+    shared = texts.sparkSession.sparkContext.broadcast(code)
+    odds = np.zeros((2 * _SLOTS // _PART, _PART // 2), np.int8)
+    parts = texts.mapInArrow(_count_bits(shared), "part int, counts binary").repartition("part").sortWithinPartitions("part")
     for row in parts.mapInArrow(_merge_bits, "part int, odds binary").toLocalIterator():
-        odds[row["part"]] = np.frombuffer(bytes(row["odds"]), np.float16)
+        odds[row["part"]] = np.frombuffer(bytes(row["odds"]), np.int8)
     return odds.ravel()
 
 
@@ -250,34 +296,34 @@ class Model:
         self.weights = weights if weights is not None else np.concatenate([np.full((_GATES, _INPUTS - 1), 0.4), np.zeros((_GATES, 1))], 1).astype(np.float32)
         self.refined = refined
 
-    def prepared(self, tokens: Tokens) -> list[np.ndarray]:
-        tokens.spell(self.code)
-        return [self.odds[_slots(c, TABLE_BITS[k]) + _OFFSETS[k]].astype(np.float32) for k, c in enumerate(tokens.context)]
-
     def slices(self, tokens: Tokens, size: int = 8192) -> Iterator[tuple]:
-        """(token numbers, bits of each, tree nodes, bits, gates, stretched inputs) for some tokens at a time."""
-        inside = self.prepared(tokens)
+        """(token numbers, bits of each, rows of the map, bits, gates, stretched inputs) for some tokens at a time."""
+        tokens.spell(self.code)
+        inside = [self.odds[_slots(tokens.main, 0)], np.zeros(len(tokens.main), np.int8), np.zeros(len(tokens.main), np.int8)]
+        for k, context in enumerate(tokens.orders, 1):
+            inside[k][tokens.spelled] = self.odds[_slots(context, k)]
+        gates = tokens.gate + 8 * (inside[0] != 0).astype(np.uint8)
         for at in range(0, len(tokens.word), size):
             word = tokens.word[at:at + size]
             n = tokens.n_bits[word]
             flat = ranges(tokens.bits_at[word], n)
-            pair = _pair(tokens.context[2][flat], np.repeat(tokens.before[at:at + size], n))
-            inputs = [x[flat] for x in inside]
-            inputs.append(self.odds[_slots(pair, TABLE_BITS[3]) + _OFFSETS[3]].astype(np.float32))
-            gate = tokens.gate[flat] + 8 * (inputs[2] != 0).astype(np.uint8) + 16 * (inputs[3] != 0).astype(np.uint8)
-            yield slice(at, at + len(word)), n, tokens.node[flat], tokens.bit[flat], gate, inputs
+            slots = _slots(_pair(tokens.main[flat], np.repeat(tokens.before[at:at + size], n)), 3)
+            inputs = [*(x[flat] for x in inside), self.odds[slots]]
+            gate = gates[flat].astype(np.int64)
+            gate[inputs[3] != 0] += 16
+            yield slice(at, at + len(word)), n, tokens.node[flat], tokens.bit[flat], gate, [x * np.float32(1 / _SCALE) for x in inputs]
 
     def mixed(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-        w = self.weights
-        out = w[:, -1][gate]
-        for k, x in enumerate(inputs):
-            out += w[:, k][gate] * x
+        columns = np.ascontiguousarray(self.weights.T)
+        out = columns[-1].take(gate)
+        for w, x in zip(columns, inputs):
+            out += w.take(gate) * x
         return np.clip(out, -_LIMIT, _LIMIT, out=out)
 
     @staticmethod
     def cells(node: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        level = ((mixed + np.float32(_LIMIT)) * np.float32((_LEVELS - 1) / (2 * _LIMIT)) + np.float32(0.5)).astype(np.int32)
-        return node.astype(np.int32) * _LEVELS + level
+        level = ((mixed + np.float32(_LIMIT)) * np.float32((_LEVELS - 1) / (2 * _LIMIT)) + np.float32(0.5)).astype(np.int64)
+        return node.astype(np.int64) * _LEVELS + level
 
     def log10(self, tokens: Tokens) -> np.ndarray:
         """Log-probability of each text."""
@@ -286,8 +332,10 @@ class Model:
             mixed = self.mixed(gate, inputs)
             p = 1 / (1 + np.exp(-mixed))
             if self.refined is not None:
-                p = (p + self.refined[self.cells(node, mixed)]) * np.float32(0.5)
-            p = np.where(bit == 1, p, 1 - p)
+                p += self.refined.take(self.cells(node, mixed))
+                p *= np.float32(0.5)
+            zero = bit == 0
+            p[zero] = 1 - p[zero]
             logs = np.log10(np.maximum(p, np.float32(1e-7)))
             per_token = np.add.reduceat(logs, np.cumsum(n) - n, dtype=np.float64)
             total += np.bincount(tokens.text[where], per_token, tokens.n_texts)
@@ -298,7 +346,7 @@ def _learn(shared, rate: float):
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, odds = shared.value
         model = Model(code, odds)
-        seen = np.zeros((256 * _LEVELS, 2))
+        seen = np.zeros((_ROWS * _LEVELS, 2))
         bits = 0
         for batch in batches:
             for _, _, tokens in groups(batch.column("text")):
@@ -333,7 +381,7 @@ def fit_mixer(texts: DataFrame, code: Code, odds: np.ndarray, rate: float = 0.02
         values[row["place"]] = row["value"]
     weights = (values[1:1 + _GATES * _INPUTS] / values[0]).reshape(_GATES, _INPUTS).astype(np.float32)
     seen = values[1 + _GATES * _INPUTS:].reshape(-1, 2)
-    level = (np.arange(256 * _LEVELS) % _LEVELS) * (2 * _LIMIT / (_LEVELS - 1)) - _LIMIT
+    level = (np.arange(_ROWS * _LEVELS) % _LEVELS) * (2 * _LIMIT / (_LEVELS - 1)) - _LIMIT
     prior = 1 / (1 + np.exp(-level))
     return Model(code, odds, weights, ((seen[:, 1] + 4 * prior) / (seen[:, 0] + 4)).astype(np.float32))
 
@@ -388,7 +436,9 @@ def score_texts(docs: DataFrame, fold: Column, held_fold: int, *, doc_id: str =
     table = words.where(is_heavy).select("h1", "h2", "n").toArrow()
     by = np.argsort(table["h1"].to_numpy().view(U), kind="stable")
     heavy_words = tuple(table[c].to_numpy()[by].view(k) for c, k in (("h1", U), ("h2", U), ("n", np.int64)))
-    code = Code(symbols)
+    most = np.lexsort((heavy_words[1], heavy_words[0], -heavy_words[2]))[:DICTIONARY]
+    chosen = [x[most] for x in heavy_words]
+    code = Code(*chosen, int(n) - int(chosen[2].sum()), symbols)
     odds = bit_tables(training.where(F.col("fold") != mix_fold).select("text"), code)
     model = fit_mixer(training.where(F.col("fold") == mix_fold).select("text"), code, odds)
     shared = spark.sparkContext.broadcast((model, heavy_words))
