@@ -3,7 +3,7 @@
 A text is its words with A-Z lower-cased, then one end mark. A frequent word is a path of bits through a Huffman tree of
 words; any other takes the path of an escape and is then spelled, byte by byte and closed by a space, through a Huffman
 tree of bytes. Every bit is predicted by hashed contexts: the place in the tree with the word's beginning, the last two
-and the last four bytes of a spelled word, and the word before together with the first of these. A predictor's slot holds the
+and the last four bytes of a spelled word, and, in the tree of words, the word before. A predictor's slot holds the
 stretched share of ones seen there. A gate (depth or place in the word, and whether the long contexts are known)
 selects the weights that mix the predictions; an adaptive map from (tree node, mixed prediction) to the share of
 ones seen there refines the result, and both are averaged. A text's score is the sum of its bits' log-probabilities.
@@ -36,7 +36,7 @@ TABLE_BITS = (22, 18, 20, 22)
 HEAVY = 1 << 20
 DICTIONARY = 1 << 16  # words with a path of their own
 MIX_FOLD = 3
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 4 << 20
 _SPACE, _END = 0x20, 0x0A
 _GATES, _INPUTS = 32, len(TABLE_BITS) + 1
 _ROWS, _LEVELS = 256, 64  # of the refining map
@@ -156,7 +156,7 @@ class Tokens:
         n_bytes = code.bytes.length[symbol]
         n_spelled = np.zeros(len(number), np.int64)
         n_spelled[other] = np.add.reduceat(n_bytes, last + 1 - length) if len(other) else 0
-        self.n_bits = n_words + n_spelled
+        self.n_words, self.n_bits = n_words, n_words + n_spelled
         self.bits_at = np.cumsum(self.n_bits) - self.n_bits
         total = int(self.n_bits.sum())
         self.node, self.bit, self.gate = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, np.uint8)
@@ -166,7 +166,7 @@ class Tokens:
         node = code.words.node[path]
         self.bit[to], self.main[to] = code.words.bit[path], mix(node.astype(U) + U(1 << 41))
         self.node[to] = np.minimum(node, _ROWS // 2 - 1)
-        self.gate[to] = np.minimum(path - np.repeat(code.words.start[number], n_words), 3)
+        self.gate[to] = path - np.repeat(code.words.start[number], n_words) >= 6
         # The spelling behind the escape.
         self.spelled = to = ranges(self.bits_at[other] + n_words[other], n_spelled[other])
         path = ranges(code.bytes.start[symbol], n_bytes)
@@ -174,10 +174,18 @@ class Tokens:
         salt = _NODE[node]
         self.bit[to], self.main[to] = code.bytes.bit[path], np.repeat(prefix, n_bytes) + salt
         self.node[to] = _ROWS // 2 + (node >> 1)
-        self.gate[to] = 4 + np.repeat(np.minimum(place, 3), n_bytes)
+        self.gate[to] = np.repeat(2 + np.digitize(place, [1, 2, 3, 5, 8]), n_bytes)
         self.orders = [np.repeat(c, n_bytes) + salt for c in orders]
 
 
+    def pairs(self, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of some tokens the bits in the tree of words, and their slots with the word before."""
+        word = self.word[at:stop]
+        n = self.n_words[word]
+        flat = ranges(self.bits_at[word], n)
+        return flat, _slots(_pair(self.main[flat], np.repeat(self.before[at:stop], n)), 3)
+
+
 def _slots(context: np.ndarray, table: int) -> np.ndarray:
     return (context * U(0xD1342543DE82EF95) >> U(64 - TABLE_BITS[table])).astype(np.int64) + _OFFSETS[table]
 
@@ -240,10 +248,7 @@ def _count_bits(shared):
                 for k, context in enumerate(tokens.orders, 1):
                     np.add.at(table, 2 * _slots(context, k) + tokens.bit[tokens.spelled], times[tokens.spelled])
                 for at in range(0, len(tokens.word), 8192):
-                    word = tokens.word[at:at + 8192]
-                    n = tokens.n_bits[word]
-                    flat = ranges(tokens.bits_at[word], n)
-                    slots = _slots(_pair(tokens.main[flat], np.repeat(tokens.before[at:at + 8192], n)), 3)
+                    flat, slots = tokens.pairs(at, at + 8192)
                     np.add.at(table, 2 * slots + tokens.bit[flat], np.uint32(1))
         for i in range(len(table) // _PART):
             part = np.minimum(table[i * _PART:(i + 1) * _PART], 65535).astype(np.uint16)
@@ -307,8 +312,9 @@ class Model:
             word = tokens.word[at:at + size]
             n = tokens.n_bits[word]
             flat = ranges(tokens.bits_at[word], n)
-            slots = _slots(_pair(tokens.main[flat], np.repeat(tokens.before[at:at + size], n)), 3)
-            inputs = [*(x[flat] for x in inside), self.odds[slots]]
+            pair = np.zeros(len(flat), np.int8)
+            pair[ranges(np.cumsum(n) - n, tokens.n_words[word])] = self.odds[tokens.pairs(at, at + size)[1]]
+            inputs = [*(x[flat] for x in inside), pair]
             gate = gates[flat].astype(np.int64)
             gate[inputs[3] != 0] += 16
             yield slice(at, at + len(word)), n, tokens.node[flat], tokens.bit[flat], gate, [x * np.float32(1 / _SCALE) for x in inputs]
@@ -354,10 +360,10 @@ def _learn(shared, rate: float):
                     mixed = model.mixed(gate, inputs)
                     error = bit - 1 / (1 + np.exp(-mixed))
                     met = np.maximum(np.bincount(gate, minlength=_GATES), 1)
-                    step = rate / (1 + bits / 3e6)
                     bits += len(bit)
+                    step = rate * np.minimum(1, met / 256) / met / (1 + bits / 1e8)
                     for k, x in enumerate([*inputs, 1.0]):
-                        model.weights[:, k] += (step * np.bincount(gate, error * x, _GATES) / np.sqrt(met) / np.sqrt(64)).astype(np.float32)
+                        model.weights[:, k] += (step * np.bincount(gate, error * x, _GATES)).astype(np.float32)
                     np.clip(model.weights, -2, 4, out=model.weights)
                     cells = model.cells(node, mixed)
                     seen[:, 0] += np.bincount(cells, minlength=len(seen))
@@ -369,7 +375,7 @@ def _learn(shared, rate: float):
     return learn
 
 
-def fit_mixer(texts: DataFrame, code: Code, odds: np.ndarray, rate: float = 0.02) -> Model:
+def fit_mixer(texts: DataFrame, code: Code, odds: np.ndarray, rate: float = 0.1) -> Model:
     """Weights learned online in every partition and averaged; the refining map counted over all of them."""
     shared = texts.sparkSession.sparkContext.broadcast((code, odds))
     learned = texts.mapInArrow(_learn(shared, rate), "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
