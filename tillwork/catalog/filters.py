@@ -162,25 +162,42 @@ def filter_min_transactions(t):
     return _by_customer(f.min_transactions(transactions(t), "customer_id", 40))
 
 
-@query("filter_order", f"""WITH {TX}, base AS (
-  SELECT * FROM tx WHERE ts >= (SELECT max(ts) FROM tx) - INTERVAL 365 DAY AND priority <> '5-LOW' AND quantity >= 5),
+@query("filter_order", f"""WITH {TX}, {PRODUCTS}, {STORES}, base AS (
+  SELECT tx.*, s.city FROM tx LEFT JOIN products p ON tx.product_id = p.product_id LEFT JOIN stores s ON tx.store_id = s.store_id
+  WHERE ts >= (SELECT max(ts) FROM tx) - INTERVAL 365 DAY AND priority <> '5-LOW' AND quantity >= 5
+    AND city IN ('NATION_1', 'NATION_3', 'NATION_5', 'NATION_7', 'NATION_9', 'NATION_11') AND category NOT IN ('PROMO')),
 totals AS (SELECT product_id, {msum('sales')} AS total FROM base GROUP BY 1),
 run AS (SELECT *, SUM(total) OVER (ORDER BY total DESC) AS running, SUM(total) OVER () AS grand FROM totals),
 kept AS (SELECT product_id FROM run WHERE CAST(running AS DOUBLE) <= CAST(grand AS DOUBLE) * 0.8e0
      OR CAST(running - total AS DOUBLE) < CAST(grand AS DOUBLE) * 0.8e0),
-active AS (SELECT customer_id FROM base GROUP BY 1 HAVING count(*) >= 3)
+active AS (SELECT customer_id FROM base GROUP BY 1 HAVING count(*) >= 2)
 SELECT {_BY_CUST} FROM base WHERE product_id IN (SELECT product_id FROM kept)
   AND customer_id IN (SELECT customer_id FROM active) GROUP BY customer_id""")
 def filter_order(t):
+    """Date, category and numeric filters on the joined tables, then the top products and the active customers among them."""
     spec = DatasetSpec(
         primary="tx", timestamp="ts", rolling_days=365,
-        categories=({"column": "priority", "values": ["5-LOW"], "exclude": True},),
+        joins=(JoinSpec("products", "product_id"), JoinSpec("stores", "store_id")),
+        categories=({"column": "priority", "values": ["5-LOW"], "exclude": True},
+                    {"column": "stores.city", "values": [f"NATION_{i}" for i in (1, 3, 5, 7, 9, 11)]},
+                    {"column": "products.category", "values": ["PROMO"], "exclude": True}),
         numerics=({"column": "quantity", "op": "range", "low": 5},),
         top_revenue=({"entity": "product_id", "amount": "sales", "percent": 80},),
-        entity_metrics=({"entity": "customer_id", "metric": "count", "op": "between", "low": 3},),
+        entity_metrics=({"entity": "customer_id", "metric": "count", "op": "between", "low": 2},),
         columns={"tx": ("customer_id", "product_id", "sales")},
     )
-    return _by_customer(spec.to_df({"tx": transactions(t)}))
+    return _by_customer(spec.to_df({"tx": transactions(t), "products": products(t), "stores": stores(t)}))
+
+
+@query("dataset_export", f"""WITH {TX}, {PRODUCTS}
+SELECT tx.customer_id, CAST(epoch(tx.ts) AS BIGINT) AS ts, coalesce(p.name, '') AS name, coalesce(p.size, 0) AS size
+FROM tx LEFT JOIN (SELECT * FROM products WHERE category <> 'LARGE') p ON tx.product_id = p.product_id
+WHERE ts >= (SELECT max(ts) FROM tx) - INTERVAL 30 DAY""")
+def dataset_export(t):
+    spec = DatasetSpec(primary="tx", timestamp="ts", rolling_days=30, joins=(JoinSpec("products", "product_id"),),
+                       columns={"tx": ("customer_id", "ts"), "products": ("name", "size")})
+    some = products(t).where(F.col("category") != "LARGE")
+    return spec.to_df({"tx": transactions(t), "products": some}, for_export=True)
 
 
 @query("filter_topn_rank", f"""WITH {TX}

@@ -163,6 +163,18 @@ def export_times(df: DataFrame, columns) -> DataFrame:
     return df.withColumns({c: F.coalesce(epoch_seconds(F.col(c)), F.lit(0).cast("bigint")) for c in columns})
 
 
+def exported(c: Column, dtype: T.DataType, may_be_null: bool) -> Column:
+    """A column as model training takes it: times as epoch seconds, NULL as the type's default where it may occur."""
+    from tillwork.functions.times import epoch_seconds
+
+    if isinstance(dtype, COMPLEX):
+        return c
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        seconds = epoch_seconds(c)
+        return F.coalesce(seconds, F.lit(0).cast("bigint")) if may_be_null else seconds
+    return F.coalesce(c, default_of(dtype)) if may_be_null else c
+
+
 def positive_amount(c: Column) -> Column:
     """Predicate: text or number that reads as a positive number."""
     return c.try_cast("double") > 0
