@@ -1,7 +1,7 @@
 """Properties that must hold whatever the data: splits, negatives, histories, leaks, retrieval."""
 
 import hashlib
-import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -39,13 +39,30 @@ def number(text):
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
 
 
+def order_by_hand(size, keys):
+    """Places of the catalogue in one customer's order."""
+    a, b = negatives.grid(size)
+    mixed = lambda x, key: pow(x * 40503 + key, 2, 2147483647) * 48271 % 2147483647 // 16
+    out = []
+    for step in range(a * b):
+        left, right = divmod(step, b)
+        for i, key in enumerate(keys):
+            if i % 2 == 0:
+                left = (left + mixed(right, key)) % a
+            else:
+                right = (right + mixed(left, key)) % b
+        out.append(left * b + right)
+    return out
+
+
+def keys_of(salt, customer):
+    return [number(f"{salt}_key{i}_{customer}") for i in range(negatives.ROUNDS)]
+
+
 def walk_by_hand(bought, catalog, ratio, salt):
-    listed, size = sorted(catalog), len(catalog)
-    steps = negatives.strides(size)
-    out = {}
+    listed, out = sorted(catalog), {}
     for c, have in bought.items():
-        stride, start = steps[number(f"{salt}_stride_{c}") % len(steps)], number(f"{salt}_start_{c}") % size
-        free = [listed[(start + s * stride) % size] for s in range(size)]
+        free = [listed[place] for place in order_by_hand(len(listed), keys_of(salt, c)) if place < len(listed)]
         out[c] = [p for p in free if p not in have][:ratio * len(have)]
     return out
 
@@ -66,11 +83,20 @@ def test_negatives_as_by_hand(spark, chunk):
         assert not set(ps) & bought[c] and len(set(ps)) == len(ps) == min(4 * len(bought[c]), 97 - len(bought[c]))
 
 
-def test_strides_reach_every_product():
-    for size in (1, 2, 12, 97, 1000):
-        for s in negatives.strides(size):
-            assert math.gcd(s, size) == 1
-            assert len({i * s % size for i in range(size)}) == size
+def test_every_order_reaches_every_product_and_looks_random():
+    for size in (1, 2, 3, 12, 97, 1000, 1009):
+        a, b = negatives.grid(size)
+        assert a * b >= size and a * b - size <= max(1, size // 20)
+        for c in range(3):
+            assert sorted(order_by_hand(size, keys_of("train", c))) == list(range(a * b))
+    first, size, draws = Counter(), 1000, 40
+    for c in range(500):
+        places = [p for p in order_by_hand(size, keys_of("train", c)) if p < size][:draws]
+        gaps = Counter((y - x) % size for x, y in zip(places, places[1:]))
+        assert max(gaps.values()) <= 8  # no stride
+        first.update(places)
+    counts = np.array([first[p] for p in range(size)])
+    assert counts.min() > 2 and counts.max() < 50 and abs(counts.std() / np.sqrt(counts.mean()) - 1) < 0.35
 
 
 def test_history_is_newest_first_and_bounded(tx):
@@ -113,7 +139,12 @@ def test_labelled_pairs(t):
                                F.col("o_orderdate").alias("updated_at"))
     items = products(t).select("product_id", "name", "brand", "category")
     ex = training_view.training_examples(facts, items, stores(t), segments, ("PROMO",))
-    both = pin(training_view.labelled_pairs(ex, items.where("category <> 'PROMO'")), "both")
+    view = training_view.LabelledView.of(ex)
+    both = pin(view.pairs(), "both")
+    last = ex.select(F.max(F.to_date("ts"))).first()[0]
+    assert both.where(F.to_date("ts") >= F.lit(last)).count() == 0
+    assert both.join(view.catalog, "product_id", "left_anti").count() == 0
+    assert both.where("revenue_pctile < 0 OR revenue_pctile > 1").count() == 0
     assert both.groupBy("customer_id", "product_id").count().where("count > 1").count() == 0
     counts = both.groupBy("customer_id").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
     assert counts.where("n - p > 4 * p").count() == 0

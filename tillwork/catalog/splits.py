@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tillwork.catalog import query
 from tillwork.catalog.sqltext import PRODUCTS, STORES, TX, bucket, msum, r
 from tillwork.functions.times import epoch_seconds
-from tillwork.operators import negatives, rolling, splits
+from tillwork.operators import negatives, splits
 from tillwork.plans import training_view as v
 from tillwork.plans.transactions import products, stores, transactions
 
@@ -80,7 +80,8 @@ def _hist(source: str) -> str:
   SELECT customer_id, product_id, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY max(ts) DESC, product_id) AS rn
   FROM {source} GROUP BY 1, 2) WHERE rn <= 50 GROUP BY 1),
 stats AS (SELECT product_id, count(DISTINCT customer_id) AS unique_buyers, count(*) AS order_count,
-  {r(msum('sales'))} AS total_sales, {r(f"CAST({msum('sales')} AS DOUBLE) / count(sales)")} AS avg_sale
+  {r(msum('sales'))} AS total_sales, {r(f"CAST({msum('sales')} AS DOUBLE) / count(sales)")} AS avg_sale,
+  {r(f"percent_rank() OVER (PARTITION BY min(category) ORDER BY {msum('sales')})", 4)} AS revenue_pctile
   FROM {source} GROUP BY 1)"""
 
 
@@ -90,14 +91,14 @@ rows_ AS (SELECT *, CASE WHEN ts >= (SELECT c FROM cut) THEN 'test' ELSE 'train'
   WHERE product_id IN (SELECT product_id FROM top)),
 train AS (SELECT * FROM rows_ WHERE split = 'train'), {_hist('train')}
 SELECT e.split, e.customer_id, e.product_id, e.sales, e.cust_value, {_ENDS_SQL},
-  unique_buyers, order_count, total_sales, avg_sale
+  unique_buyers, order_count, total_sales, avg_sale, revenue_pctile
 FROM rows_ e LEFT JOIN hist ON e.customer_id = hist.customer_id LEFT JOIN stats ON e.product_id = stats.product_id""")
 def split_last_day(t):
     from tillwork.session import pin
 
     df = v.train_test_by_last_day(pin(_examples(t), "examples"), 80, test_days=30)
     return df.select("split", "customer_id", "product_id", "sales", "cust_value",
-                     *_ends(), "unique_buyers", "order_count", "total_sales", "avg_sale")
+                     *_ends(), "unique_buyers", "order_count", "total_sales", "avg_sale", "revenue_pctile")
 
 
 _ROW = "order_id, line_no, product_id, store_id, sales"
@@ -148,31 +149,43 @@ def split_outputs(t):
     return out
 
 
-def _walk(salt: str, pairs: str) -> str:
+def _walk(salt: str, pairs: str, catalog: str) -> str:
     """The walk through the catalogue that proposes negatives, in SQL."""
 
     def h(text: str) -> str:
         return f"CAST(concat('0x', substr(md5({text}), 1, 8)) AS BIGINT)"
 
-    return f"""places AS (SELECT p_partkey AS product_id, ROW_NUMBER() OVER (ORDER BY p_partkey) AS place FROM part
-  WHERE p_type NOT IN ('PROMO')),
-size_ AS (SELECT count(*) AS m FROM places),
-steps AS (SELECT list(DISTINCT s ORDER BY s) AS l FROM (
-  SELECT CAST(1 AS BIGINT) AS s UNION ALL SELECT x FROM (
-    SELECT {h("concat('stride_', i)")} % (SELECT m FROM size_) AS x FROM range(256) t(i))
-  WHERE gcd(x, (SELECT m FROM size_)) = 1)),
+    def mixed(x: str, key: str) -> str:
+        v = f"((({x}) * 40503 + {key}) % 2147483647)"
+        return f"(({v} * {v} % 2147483647 * 48271 % 2147483647) // 16)"
+
+    rounds, sides = [], ["l0", "r0"]
+    for i in range(negatives.ROUNDS):
+        left, right = sides
+        if i % 2 == 0:
+            rounds.append(f"w{i + 1} AS (SELECT *, ({left} + {mixed(right, f'k{i}')}) % a AS l{i + 1} FROM w{i})")
+            sides[0] = f"l{i + 1}"
+        else:
+            rounds.append(f"w{i + 1} AS (SELECT *, ({right} + {mixed(left, f'k{i}')}) % b AS r{i + 1} FROM w{i})")
+            sides[1] = f"r{i + 1}"
+    keys = ", ".join(f"{h(f"concat('{salt}_key{i}_', customer_id)")} AS k{i}" for i in range(negatives.ROUNDS))
+    return f"""places AS (SELECT product_id, ROW_NUMBER() OVER (ORDER BY product_id) AS place FROM {catalog}),
+size_ AS (SELECT count(*) AS m, greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS root FROM places),
+grid AS (SELECT m, (m + x - 1) // x AS a, x AS b FROM size_, range(1, 100000) t(x)
+  WHERE x BETWEEN greatest(1, root // 2) AND 2 * root ORDER BY (x - m % x) % x, x LIMIT 1),
 bought AS (SELECT DISTINCT customer_id, product_id FROM {pairs}),
 counts AS (SELECT customer_id, count(*) AS p FROM bought GROUP BY 1),
-walks AS (SELECT customer_id, p, m, l[{h(f"concat('{salt}_stride_', customer_id)")} % len(l) + 1] AS stride,
-  {h(f"concat('{salt}_start_', customer_id)")} % m AS start, unnest(range(0, least(5 * p, m))) AS step
-  FROM counts, size_, steps),
-proposed AS (SELECT w.customer_id, pl.product_id, p, step FROM walks w JOIN places pl
-  ON pl.place = (start + step * stride) % m + 1
+w0 AS (SELECT *, step // b AS l0, step % b AS r0 FROM (
+  SELECT customer_id, p, a, b, {keys}, unnest(range(0, least(5 * p + a * b - m, a * b))) AS step FROM counts, grid)),
+{", ".join(rounds)},
+proposed AS (SELECT w.customer_id, pl.product_id, p, step FROM w{negatives.ROUNDS} w JOIN places pl
+  ON pl.place = {sides[0]} * b + {sides[1]} + 1
   WHERE NOT EXISTS (SELECT 1 FROM bought b WHERE b.customer_id = w.customer_id AND b.product_id = pl.product_id)),
 neg AS (SELECT customer_id, product_id, neg_rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id
   ORDER BY step) AS neg_rank FROM proposed) WHERE neg_rank <= 4 * p)"""
 
 
+_SELL = "(SELECT p_partkey AS product_id FROM part WHERE p_type NOT IN ('PROMO'))"
 _BASE = f"""{TX}, {PRODUCTS}, base AS (SELECT tx.* FROM tx JOIN products USING (product_id) WHERE category NOT IN ('PROMO'))"""
 
 
@@ -180,14 +193,14 @@ def _catalog(t):
     return products(t).where(~F.col("category").isin(*EXCLUDED)).select("product_id", "name", "brand", "category")
 
 
-@query("negative_sampling", f"WITH {_BASE}, {_walk('train', 'base')} SELECT customer_id, product_id, neg_rank FROM neg")
+@query("negative_sampling", f"WITH {_BASE}, {_walk('train', 'base', _SELL)} SELECT customer_id, product_id, neg_rank FROM neg")
 def negative_sampling(t):
     bought = transactions(t).join(_catalog(t).select("product_id"), "product_id", "left_semi")
     return negatives.sample_negatives(bought, _catalog(t), salt="train")
 
 
 @query("negative_sampling_test_salt",
-       f"WITH {_BASE}, {_walk('test', 'base')} SELECT customer_id, product_id, neg_rank FROM neg")
+       f"WITH {_BASE}, {_walk('test', 'base', _SELL)} SELECT customer_id, product_id, neg_rank FROM neg")
 def negative_sampling_test_salt(t):
     bought = transactions(t).join(_catalog(t).select("product_id"), "product_id", "left_semi")
     return negatives.sample_negatives(bought, _catalog(t), salt="test")
@@ -196,11 +209,11 @@ def negative_sampling_test_salt(t):
 _CONTEXTS = """ctx AS (SELECT * FROM (SELECT customer_id, target_group, ts, store_id, cust_value,
     days_since_last_purchase, cust_order_days, cust_unique_products, city, segment,
     ROW_NUMBER() OVER (PARTITION BY customer_id, CAST(ts AS DATE) ORDER BY ts DESC, target_group DESC, store_id DESC) AS rn
-  FROM ex) WHERE rn = 1),
+  FROM before) WHERE rn = 1),
 slots AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY ts) AS slot,
   count(*) OVER (PARTITION BY customer_id) AS n FROM ctx)"""
 _OUT = """customer_id, product_id, label, sales, CAST(ts AS DATE) AS day, store_id, cust_value, days_since_last_purchase,
-  city, segment, category, n_history, newest, oldest, unique_buyers, order_count, total_sales, avg_sale"""
+  city, segment, category, n_history, newest, oldest, unique_buyers, order_count, total_sales, avg_sale, revenue_pctile"""
 _POS_OUT = _OUT.replace("n_history, newest, oldest", "history")
 
 
@@ -208,65 +221,65 @@ def _show(df, *history):
     return df.select(
         "customer_id", "product_id", "label", "sales", F.to_date("ts").alias("day"), "store_id", "cust_value",
         "days_since_last_purchase", "city", "segment", "category", *history, "unique_buyers", "order_count",
-        "total_sales", "avg_sale")
+        "total_sales", "avg_sale", "revenue_pctile")
 
 
 _POS = f"""pos AS (SELECT e.customer_id, e.product_id, 1 AS label, e.sales, e.ts, e.store_id, e.cust_value,
     e.days_since_last_purchase, e.city, e.segment, e.category,
     array_to_string(list_filter(h, lambda x: x <> e.product_id), ',') AS history,
-    unique_buyers, order_count, total_sales, avg_sale
+    unique_buyers, order_count, total_sales, avg_sale, revenue_pctile
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id, product_id
-      ORDER BY ts DESC, target_group DESC, store_id DESC, sales DESC) AS rn FROM ex) e
+      ORDER BY ts DESC, target_group DESC, store_id DESC, sales DESC) AS rn FROM train) e
   LEFT JOIN hist ON e.customer_id = hist.customer_id LEFT JOIN stats ON e.product_id = stats.product_id WHERE rn = 1)"""
 
 
 def _neg(context: str) -> str:
     return f"""negs AS (SELECT n.customer_id, n.product_id, 0 AS label, 0.0::DOUBLE AS sales, c.ts, c.store_id,
     c.cust_value, c.days_since_last_purchase, c.city, c.segment, p.category, {_ENDS_SQL},
-    unique_buyers, order_count, total_sales, avg_sale
-  FROM neg n JOIN {context} JOIN products p ON n.product_id = p.product_id
+    unique_buyers, order_count, total_sales, avg_sale, revenue_pctile
+  FROM neg n JOIN {context} JOIN sold p ON n.product_id = p.product_id
   LEFT JOIN hist ON n.customer_id = hist.customer_id LEFT JOIN stats ON n.product_id = stats.product_id)"""
 
 
 _SLOT = "slots c ON n.customer_id = c.customer_id AND c.slot = 1 + (n.neg_rank - 1) % c.n"
 _LATEST = """(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id
-    ORDER BY ts DESC, target_group DESC, store_id DESC) AS rn FROM ex) WHERE rn = 1) c ON n.customer_id = c.customer_id"""
+    ORDER BY ts DESC, target_group DESC, store_id DESC) AS rn FROM before) WHERE rn = 1) c ON n.customer_id = c.customer_id"""
 
 
-def _inputs(t):
-    from tillwork.session import pin
-
-    ex = pin(_examples(t), "examples")
-    return ex, rolling.purchase_history(rolling.pair_last_dates(ex)), rolling.product_stats(ex)
+# As the view defines them: the last day is held out, the best-selling 80 % of products (over all days) are the
+# catalogue, and history, statistics and positives see their rows of the days before.
+_VIEW = f"""{_EXAMPLES}, {_top('ex')},
+before AS (SELECT * FROM ex WHERE CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM ex)),
+train AS (SELECT * FROM before WHERE product_id IN (SELECT product_id FROM top)),
+sold AS (SELECT product_id, category FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY ts DESC) AS rn
+  FROM ex WHERE product_id IN (SELECT product_id FROM top)) WHERE rn = 1), {_hist('train')}"""
 
 
-@query("positives_labelled", f"WITH {_EXAMPLES}, {_hist('ex')}, {_POS} SELECT {_POS_OUT} FROM pos")
+@query("positives_labelled", f"WITH {_VIEW}, {_POS} SELECT {_POS_OUT} FROM pos")
 def positives_labelled(t):
-    return _show(v.labelled_positives(*_inputs(t)), _text("purchase_history").alias("history"))
+    return _show(v.LabelledView.of(_examples(t)).positives(), _text("purchase_history").alias("history"))
 
 
-@query("negatives_point_in_time", f"""WITH {_EXAMPLES}, {_hist('ex')}, {_walk('train', 'ex')}, {_CONTEXTS}, {_neg(_SLOT)}
+@query("negatives_point_in_time", f"""WITH {_VIEW}, {_walk('train', 'train', 'sold')}, {_CONTEXTS}, {_neg(_SLOT)}
 SELECT {_OUT} FROM negs""")
 def negatives_point_in_time(t):
-    ex, history, stats = _inputs(t)
-    return _show(v.labelled_negatives(ex, _catalog(t), history, stats), *_ends())
+    return _show(v.LabelledView.of(_examples(t)).negatives(), *_ends())
 
 
-@query("negatives_latest_context", f"""WITH {_EXAMPLES}, {_hist('ex')}, {_walk('train', 'ex')}, {_neg(_LATEST)}
+@query("negatives_latest_context", f"""WITH {_VIEW}, {_walk('train', 'train', 'sold')}, {_neg(_LATEST)}
 SELECT {_OUT} FROM negs""")
 def negatives_latest_context(t):
-    ex, history, stats = _inputs(t)
-    return _show(v.labelled_negatives(ex, _catalog(t), history, stats, point_in_time=False), *_ends())
+    return _show(v.LabelledView.of(_examples(t)).negatives(point_in_time=False), *_ends())
 
 
-@query("union_pos_neg", f"""WITH {_EXAMPLES}, {_hist('ex')}, {_walk('train', 'ex')}, {_CONTEXTS}, {_POS}, {_neg(_SLOT)},
+@query("union_pos_neg", f"""WITH {_VIEW}, {_walk('train', 'train', 'sold')}, {_CONTEXTS}, {_POS}, {_neg(_SLOT)},
 both_ AS (SELECT label, customer_id, product_id, sales, ts FROM pos UNION ALL SELECT label, customer_id, product_id, sales, ts FROM negs)
 SELECT label, customer_id, count(*) AS n_rows, count(DISTINCT product_id) AS n_products,
   CAST({msum('sales')} AS DOUBLE) AS revenue, CAST(min(ts) AS DATE) AS first_day FROM both_ GROUP BY 1, 2""")
 def union_pos_neg(t):
     from tillwork.functions.numbers import exact_sum
 
-    return v.labelled_pairs(_examples(t), _catalog(t)).groupBy("label", "customer_id").agg(
+    return v.LabelledView.of(_examples(t)).pairs().groupBy("label", "customer_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("product_id").alias("n_products"),
         exact_sum("sales").cast("double").alias("revenue"), F.to_date(F.min("ts")).alias("first_day"))
 

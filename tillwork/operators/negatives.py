@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,18 +11,31 @@ from tillwork.functions.hashing import hash_number
 from tillwork.plans.global_order import with_running
 from tillwork.session import pin
 
-STRIDE_TRIES = 256
 CHUNK = 4096
+ROUNDS = 6
 
 
-def strides(size: int, tries: int = STRIDE_TRIES) -> list[int]:
-    """Steps without a common factor with ``size``: each walks through all positions of the catalogue."""
-    out = {1}
-    for i in range(tries):
-        step = int(hashlib.md5(f"stride_{i}".encode()).hexdigest()[:8], 16) % size
-        if math.gcd(step, size) == 1:
-            out.add(step)
-    return sorted(out)
+def grid(size: int) -> tuple[int, int]:
+    """Sides (a, b) of a grid with at least ``size`` cells and as few more as possible; b is near the square root."""
+    root = max(1, math.isqrt(size))
+    b = min(range(max(1, root // 2), 2 * root + 1), key=lambda x: (-size % x, x))
+    return -(-size // b), b
+
+
+def shuffled_place(step: Column, keys: list[Column], a: int, b: int) -> Column:
+    """A keyed permutation of 0 .. a*b-1: rounds that add a mixed function of one grid side to the other."""
+
+    def mixed(x: Column, key: Column) -> Column:
+        v = F.pmod(x * 40503 + key, F.lit(2147483647))
+        return F.floor(F.pmod(F.pmod(v * v, F.lit(2147483647)) * 48271, F.lit(2147483647)) / 16)
+
+    left, right = F.floor(step / b), F.pmod(step, F.lit(b))
+    for i, key in enumerate(keys):
+        if i % 2 == 0:
+            left = F.pmod(left + mixed(right, key), F.lit(a))
+        else:
+            right = F.pmod(right + mixed(left, key), F.lit(b))
+    return left * b + right
 
 
 def _number(salt: str, what: str, customer: str) -> Column:
@@ -41,10 +53,10 @@ def sample_negatives(
 ) -> DataFrame:
     """``ratio`` products per positive that the customer never bought, numbered by ``neg_rank``.
 
-    Every customer walks through the catalogue in an own order: start and stride come from a salted hash of
-    the customer, and a stride coprime to the catalogue size meets each product once. The first
-    (ratio + 1) * p steps of a customer with p positives meet at most p of them, so they hold enough
-    negatives (or the walk has met the whole catalogue). The work is proportional to the positives.
+    Every customer walks through the catalogue in an own pseudo-random order: a permutation of the places of a
+    grid, keyed by a salted hash of the customer; the few places past the catalogue's end are passed over. The
+    first (ratio + 1) * p steps inside the catalogue meet at most p products of a customer with p positives, so they
+    hold enough negatives (or the whole catalogue). The work is proportional to the positives.
 
     Walks are cut into chunks of bounded length, which are spread over tasks; the negatives are numbered
     inside a chunk, and only the counts of the chunks of long walks are added up per customer.
@@ -57,12 +69,11 @@ def sample_negatives(
                  "bought")
     if size == 0:
         return bought.withColumn("neg_rank", F.lit(None).cast("bigint")).limit(0)
-    steps, m = strides(size), F.lit(size).cast("bigint")
+    rows, columns = grid(size)
+    spare = rows * columns - size
     walks = bought.groupBy(customer).agg(F.count(F.lit(1)).alias("_p")).select(
-        customer, "_p", F.least(F.col("_p") * (ratio + 1), m).alias("_length"),
-        F.pmod(_number(salt, "start", customer), m).alias("_start"),
-        F.element_at(F.array(*[F.lit(s).cast("bigint") for s in steps]),
-                     (F.pmod(_number(salt, "stride", customer), F.lit(len(steps))) + 1).cast("int")).alias("_stride"))
+        customer, "_p", F.least(F.col("_p") * (ratio + 1) + spare, F.lit(size + spare).cast("bigint")).alias("_length"),
+        *[_number(salt, f"key{i}", customer).alias(f"_key{i}") for i in range(ROUNDS)])
 
     def survivors(of: DataFrame) -> DataFrame:
         """Steps of the walks that meet a product the customer never bought."""
@@ -73,7 +84,7 @@ def sample_negatives(
         until = F.least(first + chunk, F.col("_length")) - 1
         return (
             chunks.withColumn("_step", F.explode(F.sequence(first, until)))
-            .withColumn("_place", F.pmod(F.col("_start") + F.col("_step") * F.col("_stride"), m) + 1)
+            .withColumn("_place", shuffled_place(F.col("_step"), [F.col(f"_key{i}") for i in range(ROUNDS)], rows, columns) + 1)
             .select(customer, "_p", "_chunk", "_step", "_place")
             .join(listed, "_place")
             .join(bought, [customer, product], "left_anti")

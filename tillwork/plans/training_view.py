@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def train_test_by_last_day(examples: DataFrame, percent: float = 80, test_days:
     rows = labelled.join(top, "product_id", "left_semi")
     train = rows.where(F.col("split") == "train")
     hist = rolling.purchase_history(rolling.pair_last_dates(train), history)
-    stats = rolling.product_stats(train)
+    stats = product_statistics(train)
     return rows.join(hist, "customer_id", "left").join(stats, "product_id", "left")
 
 
@@ -72,39 +73,60 @@ def latest_context(examples: DataFrame) -> DataFrame:
     return joins.latest_per_key(examples.select("customer_id", *CONTEXT), ["customer_id"], ["ts"])
 
 
-def labelled_positives(examples: DataFrame, history: DataFrame, stats: DataFrame) -> DataFrame:
-    """Latest row per (customer, product), label 1; the pair's own product is taken out of the history."""
-    latest = joins.latest_per_key(examples, ["customer_id", "product_id"], ["ts"])
-    return (
-        latest.withColumn("label", F.lit(1))
-        .join(history, "customer_id", "left").join(stats, "product_id", "left")
-        .withColumn("purchase_history", rolling.without_target("purchase_history", "product_id"))
-    )
-
-
-def labelled_negatives(examples: DataFrame, products: DataFrame, history: DataFrame, stats: DataFrame,
-                       ratio: int = 4, salt: str = "train", point_in_time: bool = True) -> DataFrame:
-    """Sampled negatives, label 0, each with one of the customer's own day contexts in turn (or the latest)."""
-    sampled = negatives.sample_negatives(examples, products, ratio, salt)
-    if point_in_time:
-        placed = joins.round_robin(sampled, customer_contexts(examples).drop("day"), "customer_id", "neg_rank", ["ts"])
-    else:
-        placed = sampled.join(latest_context(examples), "customer_id")
-    return (
-        placed.withColumn("sales", F.lit(0.0)).withColumn("label", F.lit(0))
-        .join(products, "product_id").join(history, "customer_id", "left").join(stats, "product_id", "left")
-    )
-
-
-def labelled_pairs(examples: DataFrame, products: DataFrame, ratio: int = 4, salt: str = "train",
-                   history_length: int = 50) -> DataFrame:
-    """Positives and negatives in one frame."""
-    examples = pin(examples, "examples")
-    history = rolling.purchase_history(rolling.pair_last_dates(examples), history_length)
-    stats = rolling.product_stats(examples)
-    pos = labelled_positives(examples, history, stats)
-    neg = labelled_negatives(examples, products, history, stats, ratio, salt)
-    return pos.unionByName(neg.select(*pos.columns))
+def product_statistics(rows: DataFrame) -> DataFrame:
+    """Buyers, orders and sales per product, and the rank of its revenue in its category (0 to 1)."""
+    place = rolling.category_percentile(rows, "product_id", "category", "sales").select("product_id", "revenue_pctile")
+    return rolling.product_stats(rows).join(place, "product_id")
+
+
+@dataclass(frozen=True)
+class LabelledView:
+    """What the labelled rows are made of: all rows before the held-out days, those of the best-selling products,
+    the catalogue of these products (the latest row of each, over all days), histories and product statistics."""
+
+    before: DataFrame
+    train: DataFrame
+    catalog: DataFrame
+    history: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def of(examples: DataFrame, percent: float = 80, test_days: int = 1, history: int = 50) -> LabelledView:
+        examples = pin(examples, "examples")
+        before = splits.last_days(examples, "ts", test_days).where(F.col("split") == "train").drop("split")
+        top = pin(filters.top_revenue_entities(examples, "product_id", "sales", percent), "top-products")
+        train = before.join(top, "product_id", "left_semi").select(*examples.columns)
+        sold = joins.latest_per_key(examples.join(top, "product_id", "left_semi"), ["product_id"], ["ts"])
+        return LabelledView(
+            before, train, sold.select("product_id", *[c for c in ("name", "brand", "category") if c in sold.columns]),
+            rolling.purchase_history(rolling.pair_last_dates(train), history), product_statistics(train))
+
+    def positives(self) -> DataFrame:
+        """Latest row per (customer, product), label 1; the pair's own product is taken out of the history."""
+        latest = joins.latest_per_key(self.train, ["customer_id", "product_id"], ["ts"])
+        return (
+            latest.withColumn("label", F.lit(1))
+            .join(self.history, "customer_id", "left").join(self.stats, "product_id", "left")
+            .withColumn("purchase_history", rolling.without_target("purchase_history", "product_id"))
+        )
+
+    def negatives(self, ratio: int = 4, salt: str = "train", point_in_time: bool = True) -> DataFrame:
+        """Sampled negatives, label 0, each with one of the customer's own day contexts in turn (or the latest)."""
+        sampled = negatives.sample_negatives(self.train, self.catalog, ratio, salt)
+        if point_in_time:
+            contexts = customer_contexts(self.before).drop("day")
+            placed = joins.round_robin(sampled, contexts, "customer_id", "neg_rank", ["ts"])
+        else:
+            placed = sampled.join(latest_context(self.before), "customer_id")
+        return (
+            placed.withColumn("sales", F.lit(0.0)).withColumn("label", F.lit(0)).join(self.catalog, "product_id")
+            .join(self.history, "customer_id", "left").join(self.stats, "product_id", "left")
+        )
+
+    def pairs(self, ratio: int = 4, salt: str = "train") -> DataFrame:
+        """Positives and negatives in one frame."""
+        positives = self.positives()
+        return positives.unionByName(self.negatives(ratio, salt).select(*positives.columns))
 
 
 def training_slice(
