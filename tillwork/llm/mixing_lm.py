@@ -21,7 +21,7 @@ and ids get a row each. With no training text at all N is 0, V is 0 and every bi
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +34,10 @@ from tillwork.session import pin
 
 TABLE_BITS = (22, 18, 20, 22)
 HEAVY = 1 << 20
-DICTIONARY = 1 << 16  # words with a path of their own
+DICTIONARY = 1 << 18  # words with a path of their own, at most
+LEAST = 5  # times that such a word occurs; rarer ones teach how unknown words are spelled
 MIX_FOLD = 3
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 _SPACE, _END = 0x20, 0x0A
 _GATES, _INPUTS = 32, len(TABLE_BITS) + 1
 _ROWS, _LEVELS = 256, 64  # of the refining map
@@ -47,33 +48,50 @@ _END_HASH = (int(mix(np.array([0xE11D], U))[0]), int(mix(np.array([0xE22D], U))[
 
 
 class Tree:
-    """A Huffman code: tree nodes and bits on the way to each symbol, the root having number 0."""
+    """A canonical Huffman code; the node at depth d on a symbol's path is named by d and the first d bits of its code."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, salt: int):
         n = len(counts)
-        heap = [(int(c) + 1, s) for s, c in enumerate(counts)]  # every symbol can be coded
-        heapq.heapify(heap)
-        up, side = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8)
-        node = n
-        while len(heap) > 1:
-            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-            up[x] = up[y] = node
-            side[y] = 1
-            heapq.heappush(heap, (a + b, node))
+        order = np.argsort(counts, kind="stable").tolist()
+        leaves = [(int(counts[s]) + 1, s) for s in order]  # every symbol can be coded
+        joined: deque[tuple[int, int]] = deque()
+        up, at, node = [0] * (2 * n), 0, n
+        while (n - at) + len(joined) > 1:  # the two smallest of two sorted queues, again and again
+            pair = []
+            for _ in range(2):
+                if at < n and (not joined or leaves[at] <= joined[0]):
+                    pair.append(leaves[at])
+                    at += 1
+                else:
+                    pair.append(joined.popleft())
+            up[pair[0][1]] = up[pair[1][1]] = node
+            joined.append((pair[0][0] + pair[1][0], node))
             node += 1
-        root = node - 1
-        nodes, bits = [], []
-        for at in range(n):
-            path, turns = [], []
-            while at != root:
-                turns.append(side[at])
-                at = up[at]
-                path.append(root - at)
-            nodes.append(path[::-1]), bits.append(turns[::-1])
-        self.length = np.array([len(x) for x in nodes])
-        self.start = np.cumsum(self.length) - self.length
-        self.node = np.array([x for path in nodes for x in path], np.int32)
-        self.bit = np.array([x for path in bits for x in path], np.uint8)
+        depth = [0] * (2 * n)
+        for x in range(node - 2, -1, -1):
+            depth[x] = depth[up[x]] + 1
+        self.length = np.array(depth[:n], np.int64)
+        by = np.argsort(self.length, kind="stable")
+        steps = np.zeros(n, U)
+        code, last = 0, int(self.length[by[0]]) if n else 0
+        for place, length in enumerate(self.length[by].tolist()):
+            code <<= length - last
+            steps[place], last = code, length
+            code += 1
+        self.code = np.empty(n, U)
+        self.code[by] = steps
+        self.salt = U(salt)
+
+    def paths(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all bits of the symbols, one after another: depth, hash of the node, row of the map (0-127), bit."""
+        n = self.length[symbols]
+        depth = ranges(np.zeros(len(n), np.int64), n)
+        rest = (np.repeat(n, n) - depth).astype(U)
+        prefix = np.repeat(self.code[symbols], n) >> (rest - U(1))
+        bit = (prefix & U(1)).astype(np.uint8)
+        prefix >>= U(1)
+        row = np.where(depth < 7, (1 << np.minimum(depth, 7)) - 1 + prefix.astype(np.int64), 127)
+        return depth, mix(prefix * U(64) + depth.astype(U) + self.salt), np.minimum(row, 127), bit
 
 
 class Code:
@@ -82,7 +100,7 @@ class Code:
     def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, others: int, symbols: np.ndarray):
         by = np.argsort(h1, kind="stable")
         self.h1, self.h2 = h1[by], h2[by]
-        self.words, self.bytes = Tree(np.append(counts[by], others)), Tree(symbols)
+        self.words, self.bytes = Tree(np.append(counts[by], others), 1 << 62), Tree(symbols, 1 << 61)
 
     def number(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The symbol of each word; that of the escape is the number of words."""
@@ -162,22 +180,16 @@ class Tokens:
         self.node, self.bit, self.gate = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, np.uint8)
         self.main = np.empty(total, U)
         # The path through the tree of words.
-        to, path = ranges(self.bits_at, n_words), ranges(code.words.start[number], n_words)
-        node = code.words.node[path]
-        self.bit[to], self.main[to] = code.words.bit[path], mix(node.astype(U) + U(1 << 41))
-        self.node[to] = np.minimum(node, _ROWS // 2 - 1)
-        self.gate[to] = path - np.repeat(code.words.start[number], n_words) >= 6
+        to = ranges(self.bits_at, n_words)
+        depth, self.main[to], self.node[to], self.bit[to] = code.words.paths(number)
+        self.gate[to] = depth >= 6
         # The spelling behind the escape.
         self.spelled = to = ranges(self.bits_at[other] + n_words[other], n_spelled[other])
-        path = ranges(code.bytes.start[symbol], n_bytes)
-        node = code.bytes.node[path]
-        salt = _NODE[node]
-        self.bit[to], self.main[to] = code.bytes.bit[path], np.repeat(prefix, n_bytes) + salt
-        self.node[to] = _ROWS // 2 + (node >> 1)
+        _, salt, row, self.bit[to] = code.bytes.paths(symbol)
+        self.main[to], self.node[to] = np.repeat(prefix, n_bytes) + salt, _ROWS // 2 + row
         self.gate[to] = np.repeat(2 + np.digitize(place, [1, 2, 3, 5, 8]), n_bytes)
         self.orders = [np.repeat(c, n_bytes) + salt for c in orders]
 
-
     def pairs(self, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """Of some tokens the bits in the tree of words, and their slots with the word before."""
         word = self.word[at:stop]
@@ -301,50 +313,75 @@ class Model:
         self.weights = weights if weights is not None else np.concatenate([np.full((_GATES, _INPUTS - 1), 0.4), np.zeros((_GATES, 1))], 1).astype(np.float32)
         self.refined = refined
 
-    def slices(self, tokens: Tokens, size: int = 8192) -> Iterator[tuple]:
-        """(token numbers, bits of each, rows of the map, bits, gates, stretched inputs) for some tokens at a time."""
+    def inside(self, tokens: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Gates (without the word before) and the stretched inputs of the bits of all distinct words."""
         tokens.spell(self.code)
-        inside = [self.odds[_slots(tokens.main, 0)], np.zeros(len(tokens.main), np.int8), np.zeros(len(tokens.main), np.int8)]
+        inputs = [self.odds[_slots(tokens.main, 0)], np.zeros(len(tokens.main), np.int8), np.zeros(len(tokens.main), np.int8)]
         for k, context in enumerate(tokens.orders, 1):
-            inside[k][tokens.spelled] = self.odds[_slots(context, k)]
-        gates = tokens.gate + 8 * (inside[0] != 0).astype(np.uint8)
+            inputs[k][tokens.spelled] = self.odds[_slots(context, k)]
+        return tokens.gate + np.int64(8) * (inputs[0] != 0), [x * np.float32(1 / _SCALE) for x in inputs]
+
+    def slices(self, tokens: Tokens, size: int) -> Iterator[tuple]:
+        """(rows of the map, bits, gates, stretched inputs) for some tokens at a time."""
+        gates, inside = self.inside(tokens)
         for at in range(0, len(tokens.word), size):
             word = tokens.word[at:at + size]
             n = tokens.n_bits[word]
             flat = ranges(tokens.bits_at[word], n)
             pair = np.zeros(len(flat), np.int8)
             pair[ranges(np.cumsum(n) - n, tokens.n_words[word])] = self.odds[tokens.pairs(at, at + size)[1]]
-            inputs = [*(x[flat] for x in inside), pair]
-            gate = gates[flat].astype(np.int64)
-            gate[inputs[3] != 0] += 16
-            yield slice(at, at + len(word)), n, tokens.node[flat], tokens.bit[flat], gate, [x * np.float32(1 / _SCALE) for x in inputs]
+            yield tokens.node[flat], tokens.bit[flat], gates[flat] + 16 * (pair != 0), [*(x[flat] for x in inside), pair * np.float32(1 / _SCALE)]
 
     def mixed(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
         columns = np.ascontiguousarray(self.weights.T)
         out = columns[-1].take(gate)
         for w, x in zip(columns, inputs):
             out += w.take(gate) * x
-        return np.clip(out, -_LIMIT, _LIMIT, out=out)
+        return out
 
     @staticmethod
     def cells(node: np.ndarray, mixed: np.ndarray) -> np.ndarray:
         level = ((mixed + np.float32(_LIMIT)) * np.float32((_LEVELS - 1) / (2 * _LIMIT)) + np.float32(0.5)).astype(np.int64)
         return node.astype(np.int64) * _LEVELS + level
 
+    def bit_logs(self, mixed: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Log-probability of each bit."""
+        mixed = np.clip(mixed, -_LIMIT, _LIMIT)
+        p = 1 / (1 + np.exp(-mixed))
+        if self.refined is not None:
+            p += self.refined.take(self.cells(node, mixed))
+            p *= np.float32(0.5)
+        zero = bit == 0
+        p[zero] = 1 - p[zero]
+        return np.log10(np.maximum(p, np.float32(1e-7)))
+
     def log10(self, tokens: Tokens) -> np.ndarray:
-        """Log-probability of each text."""
+        """Log-probability of each text.
+
+        Without the word before, a bit's prediction is that of its distinct word; only bits whose pair of words is
+        known are predicted again for each token.
+        """
+        gates, inside = self.inside(tokens)
+        alone = self.bit_logs(self.mixed(gates, inside), tokens.node, tokens.bit)
+        with_pair = self.mixed(gates + 16, inside)
+        pair_weight = np.ascontiguousarray(self.weights[:, len(inside)]) * np.float32(1 / _SCALE)
+        upto = np.append(0.0, np.cumsum(alone, dtype=np.float64))
+        ends = tokens.bits_at + tokens.n_bits
+        spelling = upto[ends] - upto[tokens.bits_at + tokens.n_words]
         total = np.zeros(tokens.n_texts)
-        for where, n, node, bit, gate, inputs in self.slices(tokens):
-            mixed = self.mixed(gate, inputs)
-            p = 1 / (1 + np.exp(-mixed))
-            if self.refined is not None:
-                p += self.refined.take(self.cells(node, mixed))
-                p *= np.float32(0.5)
-            zero = bit == 0
-            p[zero] = 1 - p[zero]
-            logs = np.log10(np.maximum(p, np.float32(1e-7)))
-            per_token = np.add.reduceat(logs, np.cumsum(n) - n, dtype=np.float64)
-            total += np.bincount(tokens.text[where], per_token, tokens.n_texts)
+        for at in range(0, len(tokens.word), 8192):
+            word = tokens.word[at:at + 8192]
+            flat, slots = tokens.pairs(at, at + 8192)
+            pair = self.odds[slots]
+            known = np.flatnonzero(pair)
+            there = flat[known]
+            logs = alone[flat]
+            mixed = with_pair[there] + pair_weight.take(gates[there] + 16) * pair[known]
+            logs[known] = self.bit_logs(mixed, tokens.node[there], tokens.bit[there])
+            sums = np.append(0.0, np.cumsum(logs, dtype=np.float64))
+            last = np.cumsum(tokens.n_words[word])
+            per_token = sums[last] - sums[last - tokens.n_words[word]] + spelling[word]
+            total += np.bincount(tokens.text[at:at + 8192], per_token, tokens.n_texts)
         return total
 
 
@@ -356,8 +393,8 @@ def _learn(shared, rate: float):
         bits = 0
         for batch in batches:
             for _, _, tokens in groups(batch.column("text")):
-                for _, _, node, bit, gate, inputs in model.slices(tokens, 1024):
-                    mixed = model.mixed(gate, inputs)
+                for node, bit, gate, inputs in model.slices(tokens, 1024):
+                    mixed = np.clip(model.mixed(gate, inputs), -_LIMIT, _LIMIT)
                     error = bit - 1 / (1 + np.exp(-mixed))
                     met = np.maximum(np.bincount(gate, minlength=_GATES), 1)
                     bits += len(bit)
@@ -443,7 +480,7 @@ def score_texts(docs: DataFrame, fold: Column, held_fold: int, *, doc_id: str =
     by = np.argsort(table["h1"].to_numpy().view(U), kind="stable")
     heavy_words = tuple(table[c].to_numpy()[by].view(k) for c, k in (("h1", U), ("h2", U), ("n", np.int64)))
     most = np.lexsort((heavy_words[1], heavy_words[0], -heavy_words[2]))[:DICTIONARY]
-    chosen = [x[most] for x in heavy_words]
+    chosen = [x[most][heavy_words[2][most] >= LEAST] for x in heavy_words]
     code = Code(*chosen, int(n) - int(chosen[2].sum()), symbols)
     odds = bit_tables(training.where(F.col("fold") != mix_fold).select("text"), code)
     model = fit_mixer(training.where(F.col("fold") == mix_fold).select("text"), code, odds)
