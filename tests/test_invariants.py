@@ -209,3 +209,15 @@ def test_missing_metric_does_not_pass(spark):
     limits = spark.createDataFrame([("rmse", 0.4), ("recall_at_5", 0.1)], "metric string, limit_value double")
     got = {r["metric"]: r["passes"] for r in evaluate.metric_gate(metrics, limits).collect()}
     assert got == {"rmse": True, "recall_at_5": None}
+
+
+def test_top_k_of_text_ids(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"v{i:03d}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    got = retrieval.topk(df, df, 5, "id", "v", "id", "v", item_block=16, query_block=16).collect()
+    want = []
+    for q, a in rows:
+        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows)[:5]
+        want += [(q, i, -s, rank) for rank, (s, i) in enumerate(found, 1)]
+    assert sorted((r["query_id"], r["item_id"], r["score"], r["rank_no"]) for r in got) == sorted(want)

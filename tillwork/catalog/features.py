@@ -44,17 +44,17 @@ def vocabulary_apply(t):
 
 
 _SORTED = """sv AS (SELECT value, ROW_NUMBER() OVER (ORDER BY value) AS idx FROM (
-  SELECT DISTINCT product_id AS value FROM fit WHERE ts < TIMESTAMP '1996-01-01'))"""
+  SELECT DISTINCT product_id AS value FROM fit))"""
 
 
-def _early(t):
-    return f.fit_sorted_vocabulary(_fit(t).where(F.col("ts") < F.lit("1996-01-01").cast("timestamp_ntz")), "product_id")
+def _products_seen(t):
+    return f.fit_sorted_vocabulary(_fit(t), "product_id")
 
 
 @query("vocabulary_sorted", f"""WITH {TX}, {_SPLIT}, {_SORTED}
 SELECT {_ROW}, coalesce(idx, 0) AS product_idx FROM sp LEFT JOIN sv ON value = product_id""")
 def vocabulary_sorted(t):
-    return f.apply_sorted_vocabulary(_split(t), "product_id", _early(t), "product_idx").select(*_ROWS, "product_idx")
+    return f.apply_sorted_vocabulary(_split(t), "product_id", _products_seen(t), "product_idx").select(*_ROWS, "product_idx")
 
 
 @query("zscore", f"""WITH {TX}, {_SPLIT}, m AS (SELECT avg(sales) AS m, stddev_pop(sales) AS s, avg(quantity) AS qm,
@@ -202,7 +202,7 @@ enc AS (SELECT customer_id, list(coalesce(idx, 0) ORDER BY pos) AS ids FROM e LE
 SELECT customer_id, array_to_string(list_resize(ids, 50, 0), ',') AS ids FROM enc""")
 def history_encode(t):
     hist = rolling.purchase_history(rolling.pair_last_dates(transactions(t)))
-    enc = f.encode_history(hist, "customer_id", "purchase_history", _early(t), 50)
+    enc = f.encode_history(hist, "customer_id", "purchase_history", _products_seen(t), 50)
     return enc.select("customer_id", F.array_join(F.col("history_ids").cast("array<string>"), ",").alias("ids"))
 
 
