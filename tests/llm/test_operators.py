@@ -297,7 +297,7 @@ def test_draws_are_hypergeometric(spark):
 def extractor(spark, prose):
     pages = [f"<html><body><nav><ul><li><a href=x>{p[:8]}</a></li></ul></nav><div class=ad>{p[8:30]}.</div><article><h1>{p[:40]}</h1><p>{p}.</p><p>{p[::-1]}.</p></article>"
              f"<footer>&copy; {p[5:20]}</footer></body></html>" for p in prose]
-    return html.fit_extractor(spark.createDataFrame([(p,) for p in pages], "html string"))
+    return html.fit_extractor(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
 
 
 def test_html_main_text(spark, extractor, prose):

@@ -4,7 +4,7 @@ A page becomes a tree of block elements with its text blocks as leaves. Every no
 come from tag, class and id words, text and link features, place and depth; parent-child potentials depend on whether the
 child carries a cue of its own. One upward and one downward pass of sum-product messages give each block's exact marginal,
 for all pages of a batch at once, level by level. Weights are trained on labelled pages by the gradient of the exact
-likelihood (the same two passes). Labelled pages come from a bounded sample (``sample`` pages by md5): pages that mark
+likelihood (the same two passes). Labelled pages come from a bounded sample (``sample`` pages by a hash of the id): pages that mark
 their article, as they are, and their texts set anew in layouts with menus, notices, adverts, forms, sidebars and comments.
 
 Blocks above one half are joined in page order by two line feeds. Character references are decoded, runs of white
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwork.llm.samples import smallest_hashes
+
 SAMPLE = 240
 LAYOUTS = 3  # rendered pages for each labelled one
 STEPS = 200
@@ -383,9 +385,10 @@ def labelled_pages(htmls: list[str], layouts: int = LAYOUTS, seed: int = 3) -> t
 # On Spark -----------------------------------------------------------------------------------------------------------
 
 
-def fit_extractor(pages: DataFrame, *, html: str = "html", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of fixed size, fitted in one task from at most ``sample`` pages (the smallest md5 of their html)."""
-    some = pages.where(F.col(html).isNotNull()).select(F.col(html).alias("html")).orderBy(F.md5("html")).limit(sample).repartition(1)
+def fit_extractor(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of fixed size, fitted in one task from at most ``sample`` pages (the smallest hashes of their ids)."""
+    rows = pages.where(F.col(html).isNotNull()).select(F.col(page_id).alias("page_id"), F.col(html).alias("html"))
+    some = smallest_hashes(rows, F.col("page_id"), sample, "html").select("html").repartition(1)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         htmls = sorted(h for b in batches for h in b.column("html").to_pylist())

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tillwork.llm.samples import smallest_hashes
 from tillwork.llm.text import U, Words, blocks, mix, window_hashes
 
 SLOT_BITS = 20
@@ -172,7 +173,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(batches)
     if not held:
         return
-    table = pa.Table.from_batches(held).sort_by([("order", "ascending"), ("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+    table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
     rows, labels = _rows_of(table.column("text")), table.column("label").to_numpy().astype(np.int64)
     yield pa.RecordBatch.from_pydict({"model": pa.array([_pack(fit_scores(rows, labels))], pa.binary())})
 
@@ -183,11 +184,10 @@ def _pack(model: dict[str, np.ndarray]) -> bytes:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> bytes:
     """A model of fixed size from at most ``sample`` labelled rows, fitted in one task."""
-    order = F.xxhash64(F.col(doc_id).cast("long"), F.lit(4))
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("label"), order.alias("order"))
-    chosen = chosen.orderBy("order", "_id", "label").limit(sample)
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
+    chosen = smallest_hashes(chosen, F.col("_id"), sample, "_id", "label")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("order", "doc_id", "label", "text").repartition(1)
+    rows = rows.select("doc_id", "label", "text").repartition(1)
     found = rows.mapInArrow(_train, "model binary").collect()
     return bytes(found[0]["model"]) if found else _pack(fit_scores([], np.empty(0, np.int64)))
 

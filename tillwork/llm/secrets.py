@@ -31,6 +31,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwork.llm.samples import smallest_hashes
 from tillwork.llm.text import blocks
 from tillwork.session import fresh_path, pin
 
@@ -250,10 +251,10 @@ _LEADS = (b'token = "', b'password = "', b"api_key=", b'"secret": "', b"SECRET_K
 _PATHS = ("src/config.py", "deploy/prod.env", "app/settings.yaml", "web", "crawl/a", "tests/fixtures/keys.json", "docs/example.md", "")
 
 
-def planted_findings(docs: DataFrame, *, text: str = "text", source: str = "source", texts: int = SAMPLE_TEXTS, findings: int = FINDINGS) -> DataFrame:
+def planted_findings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", texts: int = SAMPLE_TEXTS, findings: int = FINDINGS) -> DataFrame:
     """(path, before, value, after, label): generated keys and look-alikes beside words of at most ``texts`` documents."""
-    sample = docs.select(F.col(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("path")).where("text is not null")
-    sample = sample.orderBy(F.md5("text"), "path").limit(texts).agg(F.collect_list("text").alias("text"), F.collect_list("path").alias("path"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("path")).where("text is not null")
+    sample = smallest_hashes(rows, F.col("doc_id"), texts, "text", "path").agg(F.collect_list("text").alias("text"), F.collect_list("path").alias("path"))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(pair for b in batches for texts, paths in zip(b.column("text").to_pylist(), b.column("path").to_pylist()) for pair in zip(texts, paths))
@@ -329,10 +330,10 @@ def _judged(texts: pa.Array, paths: list, model: tuple[Language, Forest], thresh
                 yield first + t, data[int(words.offsets[t]):int(words.offsets[t + 1])], a - int(words.offsets[t]), z - int(words.offsets[t]), probability
 
 
-def fit_scanner(docs: DataFrame, findings: DataFrame | None = None, *, text: str = "text", source: str = "source") -> tuple[Language, Forest]:
+def fit_scanner(docs: DataFrame, findings: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[Language, Forest]:
     """Dictionary and forest; ``findings`` are labelled findings, by default planted ones."""
     language = learn_language(docs, text=text)
-    return language, train_forest(findings if findings is not None else planted_findings(docs, text=text, source=source), language)
+    return language, train_forest(findings if findings is not None else planted_findings(docs, doc_id=doc_id, text=text, source=source), language)
 
 
 def scan_secrets(docs: DataFrame, model: tuple[Language, Forest], *, doc_id: str = "doc_id", text: str = "text", source: str = "source", threshold: float = THRESHOLD) -> DataFrame:
