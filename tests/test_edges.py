@@ -334,3 +334,12 @@ def test_release_deletes_written_intermediates(spark):
     session.release(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_a_keyed_append_reads_the_destination_from_the_mark(spark, tmp_path):
+    rows = [(1, ts("2024-01-01")), (2, ts("2024-01-02")), (3, ts("2024-01-02"))]
+    first = spark.createDataFrame(rows, "k int, at timestamp_ntz")
+    loads.load_append(first, str(tmp_path / "t"))
+    again = spark.createDataFrame([(2, ts("2024-01-02")), (3, ts("2024-01-02")), (4, ts("2024-01-03")), (4, ts("2024-01-03"))], first.schema)
+    loads.load_append(again, str(tmp_path / "t"), ["k"], "at", "2024-01-02")
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3, 4]

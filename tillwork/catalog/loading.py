@@ -201,7 +201,7 @@ def load_transactional(t):
     for mode, keys in (("append", None), ("dedup", ["o_orderkey"])):
         path = fresh_path(t.spark, "transactional")
         loads.load_append(first, path)
-        loads.load_append(second, path, keys)
+        loads.load_append(second, path, keys, "o_orderdate" if keys else None, mark)
         one = _orders_sum(t.spark.read.schema(t.orders.schema).parquet(path)).withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
     return out

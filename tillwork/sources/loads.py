@@ -68,12 +68,15 @@ def load_full(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def load_append(df: DataFrame, path: str, keys: Sequence[str] | None = None) -> None:
+def load_append(df: DataFrame, path: str, keys: Sequence[str] | None = None, ts: str | None = None, mark=None) -> None:
     """Append a batch. With keys, rows whose key is already there are left out, so that a batch that starts
-    at the last mark does not load the boundary twice."""
+    at the last mark does not load the boundary twice. Only rows at or after the batch's start can be there
+    already: with ``ts`` and ``mark`` the destination is read from the mark on, and older files are passed over."""
     if keys:
-        there = df.sparkSession.read.schema(df.schema).parquet(path).select(*keys)
-        df = df.dropDuplicates(list(keys)).join(there, list(keys), "left_anti")
+        there = df.sparkSession.read.schema(df.schema).parquet(path)
+        if ts is not None and mark is not None:
+            there = there.where(F.col(ts) >= F.lit(mark).cast(df.schema[ts].dataType))
+        df = df.dropDuplicates(list(keys)).join(there.select(*keys), list(keys), "left_anti")
     df.write.mode("append").parquet(path)
 
 
