@@ -3,7 +3,7 @@
 A text is its words with A-Z lower-cased, then one end mark. A frequent word is a path of bits through a Huffman tree of
 words; any other takes the path of an escape and is then spelled, byte by byte and closed by a space, through a Huffman
 tree of bytes. Every bit is predicted by hashed contexts: the place in the tree with the word's beginning, the last two
-and the last four bytes of a spelled word, and, in the tree of words, the word before. A predictor's slot holds the
+and the last four bytes of a spelled word, and, for the first bits in the tree of words, the word before. A predictor's slot holds the
 stretched share of ones seen there. A gate (depth or place in the word, and whether the long contexts are known)
 selects the weights that mix the predictions; an adaptive map from (tree node, mixed prediction) to the share of
 ones seen there refines the result, and both are averaged. A text's score is the sum of its bits' log-probabilities.
@@ -36,11 +36,13 @@ TABLE_BITS = (22, 18, 20, 22)
 HEAVY = 1 << 20
 DICTIONARY = 1 << 18  # words with a path of their own, at most
 LEAST = 5  # times that such a word occurs; rarer ones teach how unknown words are spelled
+PAIR_DEPTH = 20  # bits of a word's path that the word before predicts too
 MIX_FOLD = 3
 GROUP_BYTES = 1 << 20
 _SPACE, _END = 0x20, 0x0A
 _GATES, _INPUTS = 32, len(TABLE_BITS) + 1
 _ROWS, _LEVELS = 256, 64  # of the refining map
+_FINE = 512  # steps of a mixed prediction in the table of log-probabilities
 _PART = 1 << 16
 _LIMIT = 8.0
 _SCALE = 127 / _LIMIT  # stretched shares are kept as bytes
@@ -82,17 +84,6 @@ class Tree:
         self.code[by] = steps
         self.salt = U(salt)
 
-    def paths(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all bits of the symbols, one after another: depth, hash of the node, row of the map (0-127), bit."""
-        n = self.length[symbols]
-        depth = ranges(np.zeros(len(n), np.int64), n)
-        rest = (np.repeat(n, n) - depth).astype(U)
-        prefix = np.repeat(self.code[symbols], n) >> (rest - U(1))
-        bit = (prefix & U(1)).astype(np.uint8)
-        prefix >>= U(1)
-        row = np.where(depth < 7, (1 << np.minimum(depth, 7)) - 1 + prefix.astype(np.int64), 127)
-        return depth, mix(prefix * U(64) + depth.astype(U) + self.salt), np.minimum(row, 127), bit
-
 
 class Code:
     """Words with a path of their own, the escape behind them, and the bytes."""
@@ -147,7 +138,6 @@ class Tokens:
         """Bit arrays of all distinct words, one word after another: node, bit, gate and contexts."""
         self.distinct()
         number = code.number(self.h1[self.first_at], self.h2[self.first_at])
-        n_words = code.words.length[number]
         other = np.flatnonzero(number == len(code.h1))
         start, stop = self.start[self.first_at[other]], self.stop[self.first_at[other]]
         length = np.where(start < 0, 1, stop - start + 1)
@@ -171,29 +161,40 @@ class Tokens:
         powers = np.cumprod(np.append(U(1), np.full(int(length.max(initial=1)), U(0x9FB21C651E98DF25), U)), dtype=U)
         sums = np.append(U(0), np.cumsum((wide + U(1)) * _NODE[symbol] * powers[place], dtype=U))
         prefix = mix(sums[:-1] - sums[begin] + place.astype(U) + U(1 << 40))
-        n_bytes = code.bytes.length[symbol]
-        n_spelled = np.zeros(len(number), np.int64)
-        n_spelled[other] = np.add.reduceat(n_bytes, last + 1 - length) if len(other) else 0
-        self.n_words, self.n_bits = n_words, n_words + n_spelled
+        # Units in order: a word's own symbol, then the bytes of its spelling.
+        n_units = np.ones(len(number), np.int64)
+        n_units[other] += length
+        units_at = np.cumsum(n_units) - n_units
+        spelled = ranges(units_at[other] + 1, length)
+        n = np.empty(int(n_units.sum()), np.int64)
+        path, salt, context, gate = np.empty(len(n), U), np.full(len(n), code.words.salt), np.zeros(len(n), U), np.zeros(len(n), np.uint8)
+        n[units_at], n[spelled] = code.words.length[number], code.bytes.length[symbol]
+        path[units_at], path[spelled] = code.words.code[number], code.bytes.code[symbol]
+        salt[spelled], context[spelled], gate[spelled] = code.bytes.salt, prefix, 2 + np.digitize(place, [1, 2, 3, 5, 8])
+        # Bits of the units: the node is named by the depth and the path so far.
+        depth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        so_far = np.repeat(path, n) >> (np.repeat(n, n) - depth - 1).astype(U)
+        self.bit = (so_far & U(1)).astype(np.uint8)
+        so_far >>= U(1)
+        node = mix(so_far * U(64) + depth.astype(U) + np.repeat(salt, n))
+        self.main = node + np.repeat(context, n)
+        self.gate = np.repeat(gate, n)
+        is_byte = self.gate >= 2
+        self.gate[~is_byte & (depth >= 6)] = 1
+        self.node = np.where(is_byte, np.int32(_ROWS - 1), np.int32(_ROWS // 2 - 1))
+        top = np.flatnonzero(depth < 7)
+        self.node[top] += ((1 << depth[top]) - _ROWS // 2 + so_far[top].astype(np.int64)).astype(np.int32)
+        self.spelled = np.flatnonzero(is_byte)
+        salted, n_bytes = node[self.spelled], n[spelled]
+        self.orders = [np.repeat(c, n_bytes) + salted for c in orders]
+        self.n_pairs = np.minimum(n[units_at], PAIR_DEPTH)
+        self.n_bits = np.add.reduceat(n, units_at) if len(n) else n
         self.bits_at = np.cumsum(self.n_bits) - self.n_bits
-        total = int(self.n_bits.sum())
-        self.node, self.bit, self.gate = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, np.uint8)
-        self.main = np.empty(total, U)
-        # The path through the tree of words.
-        to = ranges(self.bits_at, n_words)
-        depth, self.main[to], self.node[to], self.bit[to] = code.words.paths(number)
-        self.gate[to] = depth >= 6
-        # The spelling behind the escape.
-        self.spelled = to = ranges(self.bits_at[other] + n_words[other], n_spelled[other])
-        _, salt, row, self.bit[to] = code.bytes.paths(symbol)
-        self.main[to], self.node[to] = np.repeat(prefix, n_bytes) + salt, _ROWS // 2 + row
-        self.gate[to] = np.repeat(2 + np.digitize(place, [1, 2, 3, 5, 8]), n_bytes)
-        self.orders = [np.repeat(c, n_bytes) + salt for c in orders]
 
     def pairs(self, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of some tokens the bits in the tree of words, and their slots with the word before."""
+        """Of some tokens the first bits in the tree of words, and their slots with the word before."""
         word = self.word[at:stop]
-        n = self.n_words[word]
+        n = self.n_pairs[word]
         flat = ranges(self.bits_at[word], n)
         return flat, _slots(_pair(self.main[flat], np.repeat(self.before[at:stop], n)), 3)
 
@@ -312,6 +313,14 @@ class Model:
         self.code, self.odds = code, odds
         self.weights = weights if weights is not None else np.concatenate([np.full((_GATES, _INPUTS - 1), 0.4), np.zeros((_GATES, 1))], 1).astype(np.float32)
         self.refined = refined
+        # Log-probability of a bit by row of the map, mixed prediction (in fine steps) and bit.
+        steps = np.arange(_FINE, dtype=np.float64) * (2 * _LIMIT / (_FINE - 1)) - _LIMIT
+        p = np.tile(1 / (1 + np.exp(-steps)), (_ROWS, 1))
+        if refined is not None:
+            level = np.rint(np.arange(_FINE) * ((_LEVELS - 1) / (_FINE - 1))).astype(np.int64)
+            p = (p + refined.reshape(_ROWS, _LEVELS)[:, level]) / 2
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        self.logs = np.log10(np.stack([1 - p, p], axis=2)).astype(np.float32).ravel()
 
     def inside(self, tokens: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
         """Gates (without the word before) and the stretched inputs of the bits of all distinct words."""
@@ -329,7 +338,7 @@ class Model:
             n = tokens.n_bits[word]
             flat = ranges(tokens.bits_at[word], n)
             pair = np.zeros(len(flat), np.int8)
-            pair[ranges(np.cumsum(n) - n, tokens.n_words[word])] = self.odds[tokens.pairs(at, at + size)[1]]
+            pair[ranges(np.cumsum(n) - n, tokens.n_pairs[word])] = self.odds[tokens.pairs(at, at + size)[1]]
             yield tokens.node[flat], tokens.bit[flat], gates[flat] + 16 * (pair != 0), [*(x[flat] for x in inside), pair * np.float32(1 / _SCALE)]
 
     def mixed(self, gate: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
@@ -346,14 +355,8 @@ class Model:
 
     def bit_logs(self, mixed: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Log-probability of each bit."""
-        mixed = np.clip(mixed, -_LIMIT, _LIMIT)
-        p = 1 / (1 + np.exp(-mixed))
-        if self.refined is not None:
-            p += self.refined.take(self.cells(node, mixed))
-            p *= np.float32(0.5)
-        zero = bit == 0
-        p[zero] = 1 - p[zero]
-        return np.log10(np.maximum(p, np.float32(1e-7)))
+        step = (np.clip(mixed, -_LIMIT, _LIMIT) + np.float32(_LIMIT)) * np.float32((_FINE - 1) / (2 * _LIMIT)) + np.float32(0.5)
+        return self.logs.take((node * _FINE + step.astype(np.int32)) * 2 + bit)
 
     def log10(self, tokens: Tokens) -> np.ndarray:
         """Log-probability of each text.
@@ -366,8 +369,7 @@ class Model:
         with_pair = self.mixed(gates + 16, inside)
         pair_weight = np.ascontiguousarray(self.weights[:, len(inside)]) * np.float32(1 / _SCALE)
         upto = np.append(0.0, np.cumsum(alone, dtype=np.float64))
-        ends = tokens.bits_at + tokens.n_bits
-        spelling = upto[ends] - upto[tokens.bits_at + tokens.n_words]
+        by_word = upto[tokens.bits_at + tokens.n_bits] - upto[tokens.bits_at]
         total = np.zeros(tokens.n_texts)
         for at in range(0, len(tokens.word), 8192):
             word = tokens.word[at:at + 8192]
@@ -375,12 +377,10 @@ class Model:
             pair = self.odds[slots]
             known = np.flatnonzero(pair)
             there = flat[known]
-            logs = alone[flat]
             mixed = with_pair[there] + pair_weight.take(gates[there] + 16) * pair[known]
-            logs[known] = self.bit_logs(mixed, tokens.node[there], tokens.bit[there])
-            sums = np.append(0.0, np.cumsum(logs, dtype=np.float64))
-            last = np.cumsum(tokens.n_words[word])
-            per_token = sums[last] - sums[last - tokens.n_words[word]] + spelling[word]
+            gain = self.bit_logs(mixed, tokens.node[there], tokens.bit[there]) - alone[there]
+            token = np.repeat(np.arange(len(word)), tokens.n_pairs[word])[known]
+            per_token = by_word[word] + np.bincount(token, gain, len(word))
             total += np.bincount(tokens.text[at:at + 8192], per_token, tokens.n_texts)
         return total
 
