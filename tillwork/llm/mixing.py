@@ -165,7 +165,7 @@ def mix_sources(
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
     added = ("size", "source_size", "target", "taken", "shards", "shuffle_key")
     kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(*kept, word_count(text).alias("size"), key.alias("shuffle_key"), F.col(source).alias("_source"))
+    rows = docs.select(*kept, word_count(text).alias("size"), key.alias("shuffle_key"), F.col(source).alias("_source"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_tie"))
     ids = rows.select("_source", "size", "shuffle_key")
     n_rows = docs.count()
     digits = max(1, math.ceil(math.log(max(1, n_rows / block_rows), 16)))
@@ -192,7 +192,7 @@ def mix_sources(
         F.transform(numbers, lambda d: F.size(F.filter("_cuts", lambda x: x <= d)) - 1).alias("_shards"),
     ).withColumnRenamed("_block", "_block2")
     joined = rows.join(blocks, F.col("_source").eqNullSafe(F.col("_source2")) & (block == F.col("_block2")))
-    inside = W.partitionBy("_source2", "_block2").orderBy("shuffle_key", F.md5(F.coalesce(F.col(text), F.lit("")))).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("_source2", "_block2").orderBy("shuffle_key", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_extra") - (F.sum("size").over(inside) - F.col("size"))))
     out = joined.withColumn("_part", part)
     return out.select(
