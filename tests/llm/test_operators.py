@@ -385,6 +385,24 @@ def test_lm_learns(spark, prose):
     assert got[1000] > got[1001] > got[1002]
 
 
+def test_lm_tables_do_not_depend_on_partitions(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = ["ab " * 2000 + "cd " * 1500] * 80  # nodes with 160,000 : 120,000 bits
+    texts = spark.createDataFrame([(t,) for t in rows], "text string").repartition(8)
+    none = [np.zeros(0, mixing_lm.U), np.zeros(0, mixing_lm.U), np.zeros(0, np.int64)]
+    code = mixing_lm.Code(*none, 1, np.bincount([*b"abababcdcd     "], minlength=256))
+    one, many = mixing_lm.bit_tables(texts.coalesce(1), code), mixing_lm.bit_tables(texts, code)
+    assert np.array_equal(one, many) and (one != 0).any()
+    # A task whose counts could pass 32 bits hands its table on in between.
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(rows[:1])})] * 3
+    count = mixing_lm._count_bits(type("Shared", (), {"value": code}))
+    total = lambda: sum(int(np.frombuffer(pa.decompress(c.as_buffer(), 4 * mixing_lm._PART, "zstd"), np.uint32).sum()) for b in count(iter(batches)) for c in b["counts"])
+    whole = total()
+    monkeypatch.setattr(mixing_lm, "_ROOM", 1)
+    assert total() == whole > 0
+
+
 # 10 top-k ----------------------------------------------------------------------------------------------------------------
 
 def test_top_k_against_brute_force(spark):

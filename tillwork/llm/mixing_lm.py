@@ -44,6 +44,7 @@ _GATES, _INPUTS = 32, len(TABLE_BITS) + 1
 _ROWS, _LEVELS = 256, 64  # of the refining map
 _FINE = 512  # steps of a mixed prediction in the table of log-probabilities
 _PART = 1 << 16
+_ROOM = (1 << 32) - 1  # bits that a task counts before it hands its table on, so that no count can pass 32 bits
 _LIMIT = 8.0
 _SCALE = 127 / _LIMIT  # stretched shares are kept as bytes
 _END_HASH = (int(mix(np.array([0xE11D], U))[0]), int(mix(np.array([0xE22D], U))[0]))
@@ -252,10 +253,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def _count_bits(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        table = np.zeros(2 * _SLOTS, np.uint32)
+        table, room = np.zeros(2 * _SLOTS, np.uint32), _ROOM
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            for i in range(len(table) // _PART):
+                part = table[i * _PART:(i + 1) * _PART]
+                if part.any():
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
         for batch in batches:
             for _, _, tokens in groups(batch.column("text")):
                 tokens.spell(code)
+                bits = int(tokens.n_bits[tokens.word].sum())
+                if bits > room:
+                    yield from parts()
+                    table[:], room = 0, _ROOM
+                room -= bits
                 times = np.repeat(np.bincount(tokens.word).astype(np.uint32), tokens.n_bits)
                 np.add.at(table, 2 * _slots(tokens.main, 0) + tokens.bit, times)
                 for k, context in enumerate(tokens.orders, 1):
@@ -263,10 +276,7 @@ def _count_bits(shared):
                 for at in range(0, len(tokens.word), 8192):
                     flat, slots = tokens.pairs(at, at + 8192)
                     np.add.at(table, 2 * slots + tokens.bit[flat], np.uint32(1))
-        for i in range(len(table) // _PART):
-            part = np.minimum(table[i * _PART:(i + 1) * _PART], 65535).astype(np.uint16)
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())})
+        yield from parts()
 
     return count
 
@@ -284,7 +294,7 @@ def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for part, counts in zip(batch["part"].to_pylist(), batch["counts"]):
-            counts = np.frombuffer(pa.decompress(counts.as_buffer(), 2 * _PART, "zstd"), np.uint16).astype(np.uint64)
+            counts = np.frombuffer(pa.decompress(counts.as_buffer(), 4 * _PART, "zstd"), np.uint32).astype(np.uint64)
             if part == now:
                 total += counts
             else:
