@@ -282,6 +282,29 @@ def test_quotas_of_the_splitting_tree(spark):
     assert totals.sum() == 3351 and totals.max() - totals.min() <= 1 and all((np.diff(c) >= 0).all() for c in cuts.values())
 
 
+def test_rows_are_taken_by_the_draws_of_the_leaves(spark, monkeypatch):
+    # Most blocks of "x" have no words; the last pass goes over them as well.
+    words = [(i, " ".join(["w"] * (7 if i % 3 == 0 else 0)), s) for i, s in enumerate(["x"] * 60 + ["y"] * 500 + [None] * 30)]
+    docs = spark.createDataFrame(words, "doc_id long, text string, source string").repartition(3)
+    whole = {r["doc_id"]: r for r in mixing.mix_sources(docs, shards=5, block_rows=1).collect()}
+    assert {shard for r in whole.values() for shard in r["shards"]} == set(range(5))
+    assert all(r["taken"] <= len(r["shards"]) * r["size"] for r in whole.values())
+    dealt = mixing.leaf_draws
+    monkeypatch.setattr(mixing, "leaf_draws", lambda cuts: dealt(cuts).where("_shard <> 2"))
+    less = {r["doc_id"]: r for r in mixing.mix_sources(docs, shards=5, block_rows=1).collect()}
+    gone = {i: whole[i]["shards"].count(2) for i in whole}
+    assert any(gone.values()) and all(2 not in r["shards"] for r in less.values())
+    assert all((less[i]["taken"] < whole[i]["taken"]) == (gone[i] > 0) for i in whole if whole[i]["size"])
+
+
+def test_leaves_draw_disjoint_blocks_of_their_quota(spark):
+    quotas = spark.createDataFrame([("a", 1000), ("b", 300), (None, 51), ("c", 0)], "_source string, _draws long")
+    draws = [(r["_source"], r["_shard"], r["_number"]) for r in mixing.leaf_draws(mixing.shard_cuts(quotas, 6, 1)).collect()]
+    assert sorted(((s, n) for s, _, n in draws), key=str) == sorted(((s, n) for s, k in (("a", 1000), ("b", 300), (None, 51)) for n in range(k)), key=str)
+    sizes = Counter(shard for _, shard, _ in draws)
+    assert set(sizes) == set(range(6)) and max(sizes.values()) - min(sizes.values()) <= 1
+
+
 def test_draws_are_hypergeometric(spark):
     n = 20_000
     df = spark.range(n).selectExpr("50L AS _total", "20L AS _marked", "15L AS _draws", "(id + 0.5D) / 20000 AS _u")

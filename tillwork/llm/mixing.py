@@ -5,7 +5,8 @@ a fixed random permutation of blocks, and of documents inside a block. A source'
 over its blocks and then by the leading blocks of the permutation; only the last of them is taken in part. The block
 draws of all sources are dealt to output shards by a binary tree: each node splits its draws between two halves of
 its shards, and the number that each source sends to the left is a multivariate hypergeometric draw, so every shard
-has its exact size and a random share of each source, without a global shuffle of rows.
+has its exact size and a random share of each source, without a global shuffle of rows. Every leaf draws its own blocks,
+as many as its quota of a source says, and what is taken of a row is the sum of these draws.
 
 Cases: a null text has size 0; a null source is a source of its own and sorts last; a null id is hashed as the text
 "null". Documents of size 0 take part with 0 words. Rows that are equal in every column are kept apart, and which of
@@ -154,6 +155,14 @@ def shard_cuts(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return per.select("_source", cuts.alias("_cuts"))
 
 
+def leaf_draws(cuts: DataFrame) -> DataFrame:
+    """(_source, _shard, _number): the draws of every leaf, numbered through the passes over the source's permuted blocks."""
+    n = F.size("_cuts") - 1
+    quota = F.arrays_zip(F.slice("_cuts", F.lit(1), n).alias("start"), F.slice("_cuts", F.lit(2), n).alias("stop"))
+    leaves = cuts.select("_source", F.posexplode(quota).alias("_shard", "_quota")).where("_quota.stop > _quota.start")
+    return leaves.select("_source", "_shard", F.explode(F.sequence(F.col("_quota.start"), F.col("_quota.stop") - 1)).alias("_number"))
+
+
 def mix_sources(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
     share=SHARE_OF_SIZES, repeats: int = REPEATS, shards: int = SHARDS, block_rows: int = BLOCK_ROWS, seed: int = 0,
@@ -182,21 +191,24 @@ def mix_sources(
     blocks = ordered.join(s, F.col("_source").eqNullSafe(F.col("_source2"))).drop("_source2")
     extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("_words"), F.col("_rest") - (F.col("_upto") - F.col("_words"))))
     blocks = pin(blocks.withColumn("_extra", extra), "mix-draws")
-    quotas = blocks.groupBy("_source").agg((F.first("_whole") * F.count(F.lit(1)) + F.sum(F.when(F.col("_extra") > 0, 1).otherwise(0))).alias("_draws"))
-    cuts = shard_cuts(quotas, shards, seed).withColumnRenamed("_source", "_source2")
-    passes = F.col("_whole") + F.when(F.col("_extra") > 0, 1).otherwise(0)
-    numbers = F.when(passes > 0, F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), lambda c: c * F.col("_blocks") + F.col("_place") - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    blocks = blocks.join(cuts, F.col("_source").eqNullSafe(F.col("_source2")))
-    blocks = blocks.select(
-        F.col("_source").alias("_source2"), "_block", "source_size", "target", "_whole", "_extra",
-        F.transform(numbers, lambda d: F.size(F.filter("_cuts", lambda x: x <= d)) - 1).alias("_shards"),
-    ).withColumnRenamed("_block", "_block2")
+    last = F.coalesce(F.max(F.when(F.col("_extra") > 0, F.col("_place"))), F.lit(0))
+    quotas = blocks.groupBy("_source").agg((F.first("_whole") * F.count(F.lit(1)) + last).cast("long").alias("_draws"))
+    draws = leaf_draws(shard_cuts(quotas, shards, seed)).withColumnRenamed("_source", "_source2")
+    draws = draws.join(sources.select("_source", "_blocks"), F.col("_source").eqNullSafe(F.col("_source2"))).select(
+        "_source2", "_shard", (F.col("_number") % F.col("_blocks") + 1).alias("_place2"), F.expr("_number div _blocks").alias("_pass"))
+    drawn = blocks.join(draws, F.col("_source").eqNullSafe(F.col("_source2")) & (F.col("_place") == F.col("_place2")), "left")
+    full = F.col("_pass") < F.col("_whole")
+    used = full | (F.col("_extra") > 0)
+    blocks = drawn.groupBy(F.col("_source").alias("_source2"), F.col("_block").alias("_block2"), "source_size", "target").agg(
+        F.count_if(full).alias("_full"), F.coalesce(F.sum(F.when(~full, F.col("_extra"))), F.lit(0).cast("long")).alias("_extra"),
+        F.transform(F.array_sort(F.collect_list(F.when(used, F.struct("_pass", "_shard")))), lambda d: d["_shard"]).alias("_shards"),
+    )
     joined = rows.join(blocks, F.col("_source").eqNullSafe(F.col("_source2")) & (block == F.col("_block2")))
     inside = W.partitionBy("_source2", "_block2").orderBy("shuffle_key", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_extra") - (F.sum("size").over(inside) - F.col("size"))))
     out = joined.withColumn("_part", part)
     return out.select(
-        *kept, "size", "source_size", "target", (F.col("_whole") * F.col("size") + F.col("_part")).alias("taken"),
-        F.when((F.col("_extra") > 0) & (F.col("_part") == 0), F.slice("_shards", F.lit(1), F.col("_whole").cast("int"))).otherwise(F.col("_shards")).alias("shards"),
+        *kept, "size", "source_size", "target", (F.col("_full") * F.col("size") + F.col("_part")).alias("taken"),
+        F.when((F.col("_extra") > 0) & (F.col("_part") == 0), F.slice("_shards", F.lit(1), F.col("_full").cast("int"))).otherwise(F.col("_shards")).alias("shards"),
         "shuffle_key",
     )
