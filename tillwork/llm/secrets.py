@@ -1,7 +1,8 @@
 """Secret scan: candidates from whole texts, judged by a random forest trained on labelled findings.
 
-Candidates are found with high recall: words with a long run of key characters and a digit, values behind an assignment,
-and private key blocks. Features are the candidate's length, its changes of character class, how unlikely its letter
+Candidates are found with high recall: words with a long run of key characters and a digit, values with a known prefix,
+values of 8 bytes and more behind an operator or a word like "password" (up to the closing quote or space), and private
+key blocks of any length, also without an end. Features are the candidate's length, its changes of character class, how unlikely its letter
 pairs are, its coverage by dictionary words, its make-up, the document's path, and the neighbouring words. The forest
 (Spark ML) is trained on labelled findings: rows of (path, text before, candidate, text after, label). Where nobody has
 labelled any, ``planted_findings`` makes them: generated keys and look-alikes in the contexts in which each kind occurs,
@@ -11,8 +12,8 @@ The dictionary holds the ``dictionary`` most frequent words of 4 to 12 letters,
 are counted over it. Forest and dictionary have a fixed size and are broadcast; scanning, judging and redacting are one
 pass over the texts.
 
-Cases: null and empty texts have no candidates. A null source is an empty path. Overlapping candidates are judged once, the
-longer one first. Every occurrence of a repeated secret is reported, in every copy of a text. Rows that repeat an id
+Cases: null and empty texts have no candidates. A null source is an empty path. Overlapping candidates are all judged; of
+those confirmed the first counts, and the longest of them. Every occurrence of a repeated secret is reported, in every copy of a text. Rows that repeat an id
 are scanned each. An empty table gives an empty result; with an empty dictionary the coverage is 0. In redaction all
 columns are kept and null stays null; n_chars follows the new text.
 """
@@ -51,12 +52,18 @@ _IS_DIGIT = np.zeros(256, bool)
 _IS_DIGIT[ord("0"):ord("9") + 1] = True
 
 _VALUE = re.compile(rb"[A-Za-z0-9+/_\-=.~]{8,}")
-_KEY_BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.{1,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----", re.S)
+_KEY_MARK = re.compile(rb"-----(BEGIN|END) [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
+_KEY_LINES = re.compile(rb"(?:\s+(?:(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash):[^\r\n]*|[A-Za-z0-9+/=]{16,}))*(?:\r?\n[A-Za-z0-9+/]+={0,2}(?!\S))?")
+_LONG_BLOCK = 20_000  # beyond, the words between the marks must be long, as those of keys are
 _ASSIGNED = re.compile(rb"(?i)(passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[\w\-]*[\"']?\s*(?:[:=]|=>|:=)?\s*[\"'(]?$")
+_GIVEN = re.compile(
+    rb"(?:(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[\w\-]*[\"']?\s+|[:=]>?\s*)([\"'(]?)(?![\s:=])")
+_GIVEN_END = re.compile(rb"[\s\"']")
 _OPERATOR = re.compile(rb"[:=>]\s*[\"'(]?$")
 _HARMLESS = re.compile(rb"(?i)\b(commit|sha\d*|md5|checksum|digest|hash|revision|rev|uuid|guid|etag|version|build|id|ref)\W{0,4}$")
 _EXAMPLE = re.compile(rb"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|test|fake|redacted|todo")
 _KNOWN = re.compile(rb"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|ya29\.|eyJ|npm_|SG\.)")
+_PREFIX = re.compile(_KNOWN.pattern[1:])
 _TEST_PATH = re.compile(r"(?i)test|example|sample|fixture|mock|spec|docs?/|readme")
 _CODE_PATH = re.compile(r"(?i)\.(env|ya?ml|json|ini|cfg|conf|py|js|ts|go|java|rb|sh|properties|toml|tf)$")
 _HEX = re.compile(rb"^[0-9a-f]+$|^[0-9A-F]+$")
@@ -84,7 +91,7 @@ class Language:
 
     def coverage(self, value: bytes) -> float:
         """Share of the characters in dictionary words, longest first from the left."""
-        low, at, covered = value.lower()[:4096], 0, 0
+        low, at, covered = value.lower(), 0, 0
         while at < len(low) - 3:
             for n in range(min(12, len(low) - at), 3, -1):
                 if low[at:at + n] in self.words:
@@ -123,7 +130,7 @@ def describe(path: str, before: bytes, value: bytes, after: bytes, language: Lan
 
 
 def candidates(words, data: bytes) -> Iterator[tuple[int, int, int]]:
-    """(text number, first byte, byte after the last) of the candidates of a block, in order, without overlaps."""
+    """(text number, first byte, byte after the last) of the candidates of a block, in order; they may overlap."""
     found: list[tuple[int, int]] = []
     if len(words):
         digits = np.append(0, np.cumsum(_IS_DIGIT[words.data]))
@@ -148,15 +155,48 @@ def candidates(words, data: bytes) -> Iterator[tuple[int, int, int]]:
                 z = a + len(value)
                 if len(value) >= 16 and any(48 <= c <= 57 for c in value) or len(value) >= 8 and (behind[i] or _OPERATOR.search(data, max(0, a - 4), a)):
                     found.append((a, z))
-    if b"-----BEGIN" in data:
-        for first, stop in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()):
-            found += [m.span() for m in _KEY_BLOCK.finditer(data, first, stop)]
-    found.sort(key=lambda s: (s[0], -s[1]))
-    end = -1
-    for a, z in found:
-        if a >= end:
-            yield int(np.searchsorted(words.offsets, a, "right")) - 1, a, z
-            end = z
+    for first, stop in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()):
+        found += _prefixed(data, first, stop)
+        found += _given(data, first, stop)
+        found += _key_blocks(data, first, stop)
+    for a, z in sorted(set(found), key=lambda s: (s[0], -s[1])):
+        yield int(np.searchsorted(words.offsets, a, "right")) - 1, a, z
+
+
+def _prefixed(data: bytes, first: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Values that begin as a known kind of key."""
+    for m in _PREFIX.finditer(data, first, stop):
+        a = m.start()
+        if a == first or not data[a - 1:a].isalnum():
+            value = _VALUE.match(data, a, stop)
+            if value and len(data[a:value.end()].rstrip(b".-")) >= 8:
+                yield a, a + len(data[a:value.end()].rstrip(b".-"))
+
+
+def _given(data: bytes, first: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Values behind an operator or a word that names a secret, up to the closing quote or space."""
+    at = first
+    while (m := _GIVEN.search(data, at, stop)) is not None:
+        a, quote, at = m.end(), m[1], max(m.end() - len(m[1]), m.start() + 1)
+        z = data.find(quote, a, stop) if quote in (b'"', b"'") and quote else -1
+        line = data.find(b"\n", a, z) if z >= 0 else -1
+        if z < 0 or line >= 0:
+            end = _GIVEN_END.search(data, a, stop)
+            z = a + len(data[a:end.start() if end else stop].rstrip(b".,;:)]}>"))
+        if z - a >= 8:
+            yield a, z
+
+
+def _key_blocks(data: bytes, first: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Private key blocks; one without an end has the lines behind it that look like a key's."""
+    marks = list(_KEY_MARK.finditer(data, first, stop)) if data.find(b"-----BEGIN", first, stop) >= 0 else []
+    for m, after in zip(marks, [*marks[1:], None]):
+        if m[1] == b"BEGIN":
+            body = data[m.end():after.start()] if after is not None and after[1] == b"END" else None
+            if body is not None and (len(body) <= _LONG_BLOCK or len(body) >= 16 * len(body.split())):
+                yield m.start(), after.end()
+            else:
+                yield m.start(), _KEY_LINES.match(data, m.end(), stop).end()
 
 
 class Forest:
@@ -224,7 +264,7 @@ def _generated(rng: np.random.Generator) -> bytes:
     kinds = (
         lambda: pick(hexa, int(rng.choice([32, 40, 40, 64]))), lambda: pick(alnum, int(rng.integers(20, 64))), lambda: pick(base64, int(rng.integers(24, 88))) + b"=" * int(rng.integers(0, 3)),
         lambda: b"AKIA" + pick(upper, 16), lambda: b"ghp_" + pick(alnum, 36), lambda: b"xoxb-" + pick(b"0123456789", 12) + b"-" + pick(alnum, 24), lambda: b"sk_live_" + pick(alnum, 24),
-        lambda: b"AIza" + pick(alnum, 35), lambda: b"eyJ" + pick(alnum, 33) + b"." + pick(alnum, 60) + b"." + pick(alnum, 43), lambda: pick(alnum, int(rng.integers(10, 20))) + pick(b"0123456789", 2),
+        lambda: pick(alnum + b"@!#$%^&*?", int(rng.integers(10, 20))), lambda: pick(alnum, int(rng.integers(10, 20))), lambda: b"AIza" + pick(alnum, 35), lambda: b"eyJ" + pick(alnum, 33) + b"." + pick(alnum, 60) + b"." + pick(alnum, 43), lambda: pick(alnum, int(rng.integers(10, 20))) + pick(b"0123456789", 2),
     )
     return kinds[int(rng.integers(len(kinds)))]()
 
@@ -242,12 +282,16 @@ def _look_alike(rng: np.random.Generator, words: list[bytes]) -> tuple[bytes, by
         lambda: (b"id: ", b"-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12)), b""), lambda: (b"", b"_".join(some(3)) + b"_" + pick(digits, 1), b""),
         lambda: (b'password = "', b"changeme" + pick(digits, 2), b'"'), lambda: (b'token = "', b"your_token_here_" + pick(digits, 1), b'"'), lambda: (b"api_key: ", b"xxxxxxxxxxxxxxxx" + pick(digits, 1), b""),
         lambda: (b'name = "', b"-".join(some(3)), b'"'), lambda: (b"secret: ", b"".join(some(2)), b""), lambda: (b"", b"".join(some(4)) + pick(digits, 1), b""),
+        lambda: (b"password ", b"".join(some(2)), b""), lambda: (b"token ", b"".join(some(2)), b""), lambda: (b"secret ", b"".join(some(3)), b""), lambda: (b"bearer ", b"-".join(some(2)), b""),
+        lambda: (b"note: ", b",".join(some(3)), b""), lambda: (b'title="', b" ".join(some(3)), b'"'), lambda: (b"url=", b"https://example.com/" + b"/".join(some(2)) + b"?p=" + pick(digits, 2), b""),
+        lambda: (b"contact: ", some(1)[0] + b"." + pick(digits, 2) + b"@mail" + pick(digits, 1) + b".example.com", b""), lambda: (b"at: ", b":".join(pick(digits, 2) for _ in range(3)), b""),
+        lambda: (b"https:", b"//example.com/" + b"/".join(some(3)), b""), lambda: (b"", b"sk-" + b"-".join(some(2)), b""),
         lambda: (b"version=", b".".join(pick(digits, 2) for _ in range(4)) + b"-" + some(1)[0], b""), lambda: (b"password: ", b"_".join(some(2)), b""),
     )
     return kinds[int(rng.integers(len(kinds)))]()
 
 
-_LEADS = (b'token = "', b'password = "', b"api_key=", b'"secret": "', b"SECRET_KEY: ", b"access_key = ", b"Authorization: Bearer ", b"export TOKEN=", b"auth_token: '", b'private_key="', b"credentials ", b"")
+_LEADS = (b'token = "', b'password = "', b"api_key=", b'"secret": "', b"SECRET_KEY: ", b"access_key = ", b"Authorization: Bearer ", b"export TOKEN=", b"auth_token: '", b'private_key="', b"credentials ", b"password ", b"password=", b"Bearer ", b"token ", b"")
 _PATHS = ("src/config.py", "deploy/prod.env", "app/settings.yaml", "web", "crawl/a", "tests/fixtures/keys.json", "docs/example.md", "")
 
 
@@ -319,14 +363,17 @@ def _judged(texts: pa.Array, paths: list, model: tuple[Language, Forest], thresh
         found = list(candidates(words, data))
         if not found:
             continue
+        is_block = np.array([bool(_KEY_MARK.match(data, a, z)) for _, a, z in found])
         x = np.array([
-            describe(paths[first + t] or "", data[max(int(words.offsets[t]), a - 2 * _NEAR):a], data[a:z], data[z:min(int(words.offsets[t + 1]), z + 2 * _NEAR)], language)
-            for t, a, z in found
+            describe(paths[first + t] or "", data[max(int(words.offsets[t]), a - 2 * _NEAR):a], data[a:a + 10] if block else data[a:z], data[z:min(int(words.offsets[t + 1]), z + 2 * _NEAR)], language)
+            for (t, a, z), block in zip(found, is_block.tolist())
         ])
         p = forest.probability(x)
-        p = np.where([data[a:a + 10] == b"-----BEGIN" for _, a, _ in found], 1.0, p)
+        p = np.where(is_block, 1.0, p)
+        end = -1
         for (t, a, z), probability in zip(found, p.tolist()):
-            if probability >= threshold:
+            if probability >= threshold and a >= end:
+                end = z
                 yield first + t, data[int(words.offsets[t]):int(words.offsets[t + 1])], a - int(words.offsets[t]), z - int(words.offsets[t]), probability
 
 
