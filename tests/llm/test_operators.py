@@ -424,6 +424,14 @@ def test_lm_probabilities_sum_to_at_most_one():
     assert logs.max() < 0 and 0.001 < (10 ** logs).sum() < 1
 
 
+def test_lm_bits_per_byte(odd):
+    fold_ = F.coalesce(ngrams.fold_of(F.col("doc_id"), 7), F.lit(-1))
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
+    for r in mixing_lm.score_texts(odd, fold_, 2).collect():
+        n = len((texts[r["doc_id"]] or "").encode())
+        assert r["bits_per_byte"] == (pytest.approx(-r["score"] * math.log2(10) / n) if n else None)
+
+
 def test_lm_learns(spark, prose):
     texts = [(i, prose[i % 12]) for i in range(300)] + [(1000, prose[0]), (1001, " ".join(prose[0].split()[::-1])), (1002, "qxz vwq zzx " * 20)]
     held = F.when(F.col("doc_id") >= 1000, 2).when(F.col("doc_id") % 5 == 3, 3).otherwise(0)

@@ -21,6 +21,7 @@ and ids get a row each. With no training text at all N is 0, V is 0 and every bi
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -460,7 +461,7 @@ def _score(shared):
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(as_long(x[other])))  # noqa: E731, B023
                 size = stop - first
                 yield pa.RecordBatch.from_pydict({
-                    "uid": batch.column("uid").slice(first, size), "doc_id": batch.column("doc_id").slice(first, size), "held_out": batch.column("held_out").slice(first, size),
+                    "n_bytes": pa.array(tokens.words.offsets[1:].astype(np.int64) - tokens.words.offsets[:-1]), "uid": batch.column("uid").slice(first, size), "doc_id": batch.column("doc_id").slice(first, size), "held_out": batch.column("held_out").slice(first, size),
                     "n_tokens": pa.array(np.bincount(tokens.text, minlength=n)), "known": pa.array(np.bincount(tokens.text[is_known], minlength=n)),
                     "logs": pa.array(np.bincount(tokens.text, known[tokens.word], n)), "score": pa.array(logs), "o1": lists(tokens.h1), "o2": lists(tokens.h2),
                 })
@@ -471,6 +472,7 @@ def _score(shared):
 def score_texts(docs: DataFrame, fold: Column, held_fold: int, *, doc_id: str = "doc_id", text: str = "text", mix_fold: int = MIX_FOLD, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per row of ``docs``.
 
+    ``bits_per_byte`` is that of the whole text with its end mark over its UTF-8 bytes, null for null and empty texts.
     Rows whose ``fold`` is ``held_fold`` are not learned from; those of ``mix_fold`` train the mixer, all others the tables.
     """
     spark = docs.sparkSession
@@ -497,7 +499,7 @@ def score_texts(docs: DataFrame, fold: Column, held_fold: int, *, doc_id: str =
     shared = spark.sparkContext.broadcast((model, heavy_words))
     scored = pin(
         rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (F.col("fold") == held_fold).alias("held_out"), "text")
-        .mapInArrow(_score(shared), "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, o1 array<long>, o2 array<long>"), "lm-scored")
+        .mapInArrow(_score(shared), "n_bytes long, uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, o1 array<long>, o2 array<long>"), "lm-scored")
     other = scored.select("uid", F.explode(F.arrays_zip("o1", "o2")).alias("w")).select("uid", F.col("w.o1").alias("h1"), F.col("w.o2").alias("h2"))
     rare = words.where(~is_heavy).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "n")
     found = other.join(rare, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).groupBy(F.col("uid").alias("_uid")).agg(
@@ -506,7 +508,7 @@ def score_texts(docs: DataFrame, fold: Column, held_fold: int, *, doc_id: str =
     base = F.coalesce(F.col("more_logs"), F.lit(0.0)) + F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        base.alias("base_score"), "score",
+        base.alias("base_score"), "score", F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
