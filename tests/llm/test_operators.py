@@ -424,6 +424,15 @@ def test_lm_probabilities_sum_to_at_most_one():
     assert logs.max() < 0 and 0.001 < (10 ** logs).sum() < 1
 
 
+def test_lm_tables_hold_the_mixing_fold(spark):
+    none = [np.zeros(0, mixing_lm.U), np.zeros(0, mixing_lm.U), np.zeros(0, np.int64)]
+    code = mixing_lm.Code(*none, 1, np.arange(256))
+    a, b = (spark.createDataFrame([(t,)] * 5, "text string") for t in ("aba abb aba", "xyx zyz xyx"))
+    model, alone = mixing_lm.fit_model(a, b, code), mixing_lm.bit_tables(a, code)
+    assert np.array_equal(model.odds, mixing_lm.bit_tables(a.union(b), code)) and not np.array_equal(model.odds, alone)
+    assert np.array_equal(model.weights, mixing_lm.fit_mixer(b, code, alone).weights)
+
+
 def test_lm_bits_per_byte(odd):
     fold_ = F.coalesce(ngrams.fold_of(F.col("doc_id"), 7), F.lit(-1))
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}

@@ -10,8 +10,8 @@ ones seen there refines the result, and both are averaged. A text's score is the
 
 Learning, all of it over every training text: (1) exact counts of all words; (2) counts of bits per slot, one table per
 partition, merged part by part; (3) on a fold of training texts kept out of (2), each partition learns weights online,
-bit by bit in small groups, and counts for the map; weights are averaged by the bits they saw, counts are summed. The model
-has a fixed size. Base scores need exact counts of every word, however many there are: the words with the
+bit by bit in small groups, and counts for the map; weights are averaged by the bits they saw, counts are summed; (4) the bits of
+that fold are added to the slots. The tables have a fixed size, so contexts share slots, the more the larger the input. Base scores need exact counts of every word, however many there are: the words with the
 highest counts (``heavy``, a fixed bound) are broadcast, the remaining ones are joined.
 
 Cases: null and empty texts are one end token. Words unknown to training have count 0 and are spelled by the model
@@ -306,16 +306,25 @@ def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def bit_tables(texts: DataFrame, code: Code) -> np.ndarray:
-    """Stretched share of ones per slot as a byte, 0 where nothing was seen."""
+def bit_counts(texts: DataFrame, code: Code) -> DataFrame:
+    """(part, counts): the bits of each slot, counted task by task."""
     shared = texts.sparkSession.sparkContext.broadcast(code)
+    return pin(texts.mapInArrow(_count_bits(shared), "part int, counts binary"), "lm-bits")
+
+
+def stretched(counts: DataFrame) -> np.ndarray:
+    """Stretched share of ones per slot as a byte, 0 where nothing was seen."""
     odds = np.zeros((2 * _SLOTS // _PART, _PART // 2), np.int8)
-    parts = texts.mapInArrow(_count_bits(shared), "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    parts = counts.repartition("part").sortWithinPartitions("part")
     for row in parts.mapInArrow(_merge_bits, "part int, odds binary").toLocalIterator():
         odds[row["part"]] = np.frombuffer(bytes(row["odds"]), np.int8)
     return odds.ravel()
 
 
+def bit_tables(texts: DataFrame, code: Code) -> np.ndarray:
+    return stretched(bit_counts(texts, code))
+
+
 # (3) mixing ---------------------------------------------------------------------------------------------------
 
 
@@ -440,6 +449,13 @@ def fit_mixer(texts: DataFrame, code: Code, odds: np.ndarray, rate: float = 0.1)
     return Model(code, odds, weights, ((seen[:, 1] + 4 * prior) / (seen[:, 0] + 4)).astype(np.float32))
 
 
+def fit_model(texts: DataFrame, mixing: DataFrame, code: Code) -> Model:
+    """Weights and map learned on ``mixing`` with tables of ``texts``; then the tables take in the bits of both."""
+    counts = bit_counts(texts, code)
+    mixer = fit_mixer(mixing, code, stretched(counts))
+    return Model(code, stretched(counts.unionByName(bit_counts(mixing, code))), mixer.weights, mixer.refined)
+
+
 # Scores -------------------------------------------------------------------------------------------------------
 
 
@@ -473,7 +489,7 @@ def score_texts(docs: DataFrame, fold: Column, held_fold: int, *, doc_id: str =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per row of ``docs``.
 
     ``bits_per_byte`` is that of the whole text with its end mark over its UTF-8 bytes, null for null and empty texts.
-    Rows whose ``fold`` is ``held_fold`` are not learned from; those of ``mix_fold`` train the mixer, all others the tables.
+    Rows whose ``fold`` is ``held_fold`` are not learned from; those of ``mix_fold`` train the mixer before they enter the tables.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(fold, F.lit(-1)).alias("fold"))
@@ -494,8 +510,7 @@ def score_texts(docs: DataFrame, fold: Column, held_fold: int, *, doc_id: str =
     most = np.lexsort((heavy_words[1], heavy_words[0], -heavy_words[2]))[:DICTIONARY]
     chosen = [x[most][heavy_words[2][most] >= LEAST] for x in heavy_words]
     code = Code(*chosen, int(n) - int(chosen[2].sum()), symbols)
-    odds = bit_tables(training.where(F.col("fold") != mix_fold).select("text"), code)
-    model = fit_mixer(training.where(F.col("fold") == mix_fold).select("text"), code, odds)
+    model = fit_model(training.where(F.col("fold") != mix_fold).select("text"), training.where(F.col("fold") == mix_fold).select("text"), code)
     shared = spark.sparkContext.broadcast((model, heavy_words))
     scored = pin(
         rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (F.col("fold") == held_fold).alias("held_out"), "text")
