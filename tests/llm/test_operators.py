@@ -254,6 +254,14 @@ def test_groups_against_brute_force(odd, prose, part):
         assert collected(got, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows, size, percent)
 
 
+def test_groups_of_null_and_repeated_ids(spark, prose):
+    near = lambda i, n: " ".join(prose[i].split() + ["tail"] * n)
+    rows = [(1, prose[0]), (None, near(0, 1)), (None, near(0, 1)), (2, prose[1]), (2, prose[2]), (3, near(1, 1)), (4, near(2, 1)), (None, prose[5]), (None, near(5, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicate_groups(docs, bands=31, rows=4)
+    assert collected(got, "doc_id", "n_shingles", "component_id", "kept") == brute_groups(rows, 3, 85)
+
+
 def test_one_of_each_group_stays(odd, empty):
     kept = neardup.one_of_each_group(odd)
     assert kept.columns == odd.columns

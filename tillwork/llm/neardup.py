@@ -285,7 +285,7 @@ def near_duplicate_groups(
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     signed = pin(docs.mapInArrow(_sign(shingle, bands, rows, hashes), "doc_id long, text_hash long, n long, d1 long, d2 long, signature binary, keys array<long>"), "neardup-signed")
     # One row per distinct set. Its number is a hash of the digest; the digest itself tells classes apart.
-    classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
     classes = pin(classes.withColumn("doc_class", F.xxhash64("n", "d1", "d2")), "neardup-classes")
     banded = classes.select("doc_class", F.explode("keys").alias("key"))
     members = in_parts(banded, ["key"], 2 * part, "doc_class", "neardup-buckets")
@@ -294,8 +294,10 @@ def near_duplicate_groups(
     links = (compared.repartition("key", "part_a", "part_b").sortWithinPartitions("key", "part_a", "part_b", "_own", "doc_class")
              .mapInArrow(_candidates(percent / 100, miss), "a long, b long"))
     coarse = components(links, "neardup-coarse")
-    picked = coarse.join(classes.select("doc_class", "first_id", "n", "d1", "d2"), F.col("node") == F.col("doc_class")).select("component", "doc_class", "first_id", "n", "d1", "d2")
-    texts = docs.join(picked.select("first_id", "doc_class", "component"), F.col("doc_id") == F.col("first_id")).select("doc_class", "component", "text")
+    picked = coarse.join(classes.select("doc_class", "row"), F.col("node") == F.col("doc_class")).select("component", "doc_class", "row")
+    # One text of each class: that of its first row, which other rows may repeat.
+    of_row = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("text_hash") == F.col("row.text_hash"))
+    texts = docs.join(picked, of_row).select("doc_class", "component", "text").dropDuplicates(["doc_class"])
     verified = in_parts(picked.select("component", "doc_class"), ["component"], part, "doc_class", "neardup-parts").join(
         texts.select(F.col("doc_class").alias("_class"), "text"), F.col("doc_class") == F.col("_class"))
     true_links = (verified.select("component", "part_a", "part_b", "_own", "doc_class", "text")
