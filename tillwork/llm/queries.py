@@ -185,3 +185,96 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
 FROM r
 """
+
+
+@_query
+def op11_conversation_trie(t: Tables) -> DataFrame:
+    from tillwork.llm.turn_trie import numbered_turns, prefix_trie, with_shared_openings
+
+    return prefix_trie(*with_shared_openings(numbered_turns(t.conversations), every=20, most=3)).drop("node")
+
+
+ORACLE["op11_conversation_trie"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS id,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+word AS (SELECT id, max(words) AS words FROM c GROUP BY id),
+o AS (
+  SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS t,
+         (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+              lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 4)::INT AS h
+  FROM c GROUP BY conv_id),
+b AS (
+  SELECT o.conv_id, coalesce(p.t[1:o.h], []) || o.t[o.h + 1:] AS t FROM o LEFT JOIN o p ON p.conv_id = o.conv_id - o.conv_id % 20),
+m AS (
+  SELECT conv_id, d, array_to_string(t[1:d], '') AS k, array_to_string(t[1:d - 1], '') AS up, len(t) = d AS ends, t[d] AS id
+  FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM b)),
+g AS (
+  SELECT k, max(up) AS up, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(id) AS id,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ends
+  FROM m GROUP BY k, d),
+kid AS (SELECT up AS k, count(*) AS n FROM g WHERE depth > 0 GROUP BY up),
+v AS (
+  SELECT g.*, coalesce(kid.n, 0) AS n_children, (g.n_convs - 1) * coalesce(words, 0) AS saved
+  FROM g LEFT JOIN kid ON g.k = kid.k LEFT JOIN word ON word.id = g.id),
+s AS (
+  SELECT array_to_string(t[1:a], '') AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT t, n_children, saved, unnest(range(0, depth + 1)) AS a FROM v JOIN b ON b.conv_id = v.conv_id) GROUP BY 1)
+SELECT v.conv_id, depth, CASE WHEN depth > 0 THEN p.conv_id END AS parent_conv_id, v.n_convs, n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s ON v.k = s.k LEFT JOIN (SELECT k, conv_id FROM g) p ON p.k = v.up
+"""
+
+
+@_query
+def op12_token_counts(t: Tables) -> DataFrame:
+    import public_tokenizers
+
+    from tillwork.llm.token_counts import count_tokens
+
+    return count_tokens(t.documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op13_filter_audit(t: Tables) -> DataFrame:
+    from tillwork.llm.filter_audit import audit_orders, failures
+
+    return audit_orders(failures(t.documents, t.labels))
+
+
+ORACLE["op13_filter_audit"] = r"""
+WITH d AS (SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t FROM documents),
+first AS (SELECT t, min(doc_id) AS f FROM d GROUP BY t),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+w AS (
+  SELECT part, regexp_extract_all(d.t, '[^\x20\x09-\x0D]+') AS w, len(regexp_extract_all(d.t, '[A-Z]')) AS capitals, length(d.t) AS points,
+         regexp_matches(d.t, '[#$%&*|]') AS markup, coalesce(d.doc_id > f, false) AS copy, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d JOIN first ON d.t = first.t LEFT JOIN l ON d.doc_id = l.doc_id),
+k AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * capitals > 3 * points, markup, copy] AS fail,
+         count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM w GROUP BY ALL),
+x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+p AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (
+  SELECT array_to_string(list_transform(o, lambda i: 'ABCDE'[i]), '') AS filter_order, step, o[step]::INT AS f, o[1:step - 1] AS earlier
+  FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+m AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fail[f] AS fails, len(list_filter(earlier, lambda i: fail[i])) > 0 AS gone,
+         len(list_filter(fail, lambda b: b)) = 1 AS single
+  FROM k, s),
+r AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND fails THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails AND single THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN NOT gone AND fails THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM m GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM r
+"""
