@@ -4,6 +4,7 @@ from tillwork.catalog import query
 from tillwork.catalog.sqltext import r
 from tillwork.functions.numbers import rounded
 from tillwork.operators.reports import experiments as x
+from tillwork.operators.reports import histories as h
 
 _LOG = """log AS (SELECT event_id AS experiment_id, ['retrieval', 'ranking', 'hybrid'][user_id % 3 + 1] AS model_type, ts AS completed_at,
   CASE WHEN user_id % 3 <> 1 THEN value / 500e0 END AS recall, CASE WHEN user_id % 3 <> 0 THEN value / 400e0 END AS rmse,
@@ -103,6 +104,85 @@ def training_heatmap(t):
     return x.training_heatmap(_histories(t), "experiment_id", "history", F.col("recall"))
 
 
+# Histories whose keys depend on the run; the SQL builds the same objects and does not list the keys either.
+_OPEN = f"""opened AS (SELECT *, range(n) AS ep, list_transform(range(n), lambda i: {r('value / (i + 1)', 4)}) AS down, list_transform(range(n), lambda i: 0.25e0 * i) AS up
+  FROM (SELECT *, 1 + user_id % 12 AS n FROM log)),
+hist AS (SELECT experiment_id, learning_rate, optimizer, n, ep, json_object(
+  'loss', json_object('loss', down, 'val_loss', up, 'aux_' || optimizer, down, 'steps', n),
+  'gradient', json_object('total', up, optimizer, down), 'metrics', json_object('recall_at_' || (5 * (1 + user_id % 3)), up, 'short', up[1:1]),
+  'weight_stats', json_object('query', json_object('mean', down, 'histogram', [ep, ep]), CASE WHEN model_type = 'ranking' THEN 'rating_head' ELSE 'candidate' END, json_object('std', up, 'skew', up),
+    'other', json_object('mean', up)),
+  'gradient_stats', json_object('candidate', json_object('norm', down, 'median', up)),
+  'final_metrics', json_object('test_' || optimizer, n, 'note', model_type, 'none', NULL),
+  'params', json_object('label_' || dataset, optimizer, 'learning_rate', 'other', 'deep', [n, n])) AS j FROM opened)"""
+
+
+def _open_histories(t):
+    n = (F.pmod("user_id", F.lit(12)) + 1).cast("int")
+    epochs = F.sequence(F.lit(0), n - 1)
+    down = F.transform(epochs, lambda i: rounded(F.col("value") / (i + 1), 4))
+    up = F.transform(epochs, lambda i: F.lit(0.25) * i)
+    opt = F.col("optimizer")
+
+    def obj(*pairs):
+        """An object of values of one type, with keys of the data."""
+        return F.create_map(*[F.lit(x) if isinstance(x, str) else x for pair in pairs for x in pair])
+
+    def both(*objects):
+        """One object of several, as JSON text."""
+        return F.concat(F.lit("{"), F.array_join(F.array(*[F.substring(o, F.lit(2), F.length(o) - 2) for o in objects]), ","), F.lit("}"))
+
+    def field(name, text):
+        return F.concat(F.lit('{"'), F.lit(name) if isinstance(name, str) else name, F.lit('":'), text, F.lit("}"))
+
+    js = F.to_json
+    second = F.when(F.col("model_type") == "ranking", "rating_head").otherwise("candidate")
+    history = both(
+        js(F.struct(epochs.alias("epochs"))),
+        field("loss", both(js(obj(("loss", down), ("val_loss", up), (F.concat(F.lit("aux_"), opt), down))), js(F.struct(n.alias("steps"))))),
+        field("gradient", js(obj(("total", up), (opt, down)))),
+        field("metrics", js(obj((F.concat(F.lit("recall_at_"), 5 * (1 + F.pmod("user_id", F.lit(3)))), up), ("short", F.slice(up, 1, 1))))),
+        field("weight_stats", both(
+            field("query", both(js(obj(("mean", down))), js(F.struct(F.array(epochs, epochs).alias("histogram"))))),
+            field(second, js(obj(("std", up), ("skew", up)))), field("other", js(obj(("mean", up)))))),
+        field("gradient_stats", field("candidate", js(obj(("norm", down), ("median", up))))),
+        field("final_metrics", both(js(obj((F.concat(F.lit("test_"), opt), n))), js(F.struct(F.col("model_type").alias("note"))), F.lit('{"none":null}'))),
+        field("params", both(js(obj((F.concat(F.lit("label_"), F.col("dataset")), opt), ("learning_rate", F.lit("other")))), js(F.struct(F.array(n, n).alias("deep"))))))
+    return _log(t).withColumn("history", history)
+
+
+@query("epoch_history_curves", f"""WITH {_LOG}, {_OPEN},
+entry AS (SELECT experiment_id, n, ep, s.key AS section, e.key AS name, e.value AS v FROM hist, json_each(j) s, json_each(s.value) e),
+curve AS (
+  SELECT experiment_id, n, ep, section, NULL AS tower, CASE WHEN section = 'loss' AND name = 'loss' THEN 'train'
+    WHEN section = 'loss' AND name = 'val_loss' THEN 'val' ELSE name END AS name, v FROM entry WHERE section IN ('loss', 'gradient', 'metrics')
+  UNION ALL
+  SELECT experiment_id, n, ep, section, entry.name, s.key, s.value FROM entry, json_each(v) s
+  WHERE section IN ('weight_stats', 'gradient_stats') AND entry.name IN ('query', 'candidate', 'rating_head')
+    AND (s.key IN ('mean', 'std', 'min', 'max') OR section = 'gradient_stats' AND s.key = 'norm')),
+point AS (SELECT *, unnest(CAST(v AS DOUBLE[])) AS value, generate_subscripts(CAST(v AS DOUBLE[]), 1) - 1 AS at_ FROM curve WHERE json_type(v) = 'ARRAY')
+SELECT experiment_id, section, tower, name, ep[at_ + 1] AS epoch, value FROM point WHERE n <= 5 OR at_ % 5 = 0 OR at_ = n - 1""")
+def epoch_history_curves(t):
+    """Every curve of a history, whatever its name, at the sampled epochs."""
+    curves = h.history_curves(_open_histories(t), "experiment_id", "history")
+    return x.downsample_epochs(curves).select("experiment_id", "section", "tower", "name", "epoch", "value")
+
+
+@query("history_values", f"""WITH {_LOG}, {_OPEN},
+entry AS (SELECT experiment_id, learning_rate, optimizer, s.key AS section, e.key AS name, e.value AS v FROM hist, json_each(j) s, json_each(s.value) e
+  WHERE s.key IN ('final_metrics', 'params'))
+SELECT experiment_id, section, name, CASE json_type(v) WHEN 'NULL' THEN NULL ELSE v->>'$' END AS value FROM entry WHERE NOT (section = 'params' AND name IN ('learning_rate', 'optimizer'))
+UNION ALL SELECT experiment_id, 'params', 'learning_rate', learning_rate FROM log UNION ALL SELECT experiment_id, 'params', 'optimizer', optimizer FROM log""")
+def history_values(t):
+    own = {"learning_rate": F.col("learning_rate"), "optimizer": F.col("optimizer")}
+    return h.history_values(_open_histories(t), "experiment_id", "history", own)
+
+
+@query("history_summary", f"WITH {_LOG} SELECT experiment_id, true AS available, CAST(1 + user_id % 12 AS INT) AS n_epochs, true AS histogram_available FROM log")
+def history_summary(t):
+    return h.history_summary(_open_histories(t), "experiment_id", "history")
+
+
 def _score(rows: str, metric: str, lower: bool) -> str:
     sign, pick = ("<=", "ASC") if lower else (">=", "DESC")
     return f"""th AS (SELECT {metric} AS t FROM (SELECT {metric}, ROW_NUMBER() OVER (ORDER BY {metric} {pick}) AS rn,

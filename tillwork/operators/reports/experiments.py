@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwork.functions.numbers import ratio, rounded
+from tillwork.operators.reports.histories import LOSS_NAMES
 from tillwork.operators.rolling import running_best
 from tillwork.plans.global_order import with_running
 
@@ -16,10 +17,6 @@ GOOD_PERCENT = 30
 SMOOTH_GOOD, SMOOTH_BAD, LEAST_BAD = 1, 1, 0.001
 HIGH_CONFIDENCE, MEDIUM_CONFIDENCE = 5, 3
 EPOCH_STEP, HEATMAP_STEP, HEATMAP_RUNS = 5, 10, 10
-LOSS_NAMES = {
-    "loss": "train", "val_loss": "val", "total_loss": "total", "val_total_loss": "val_total",
-    "regularization_loss": "regularization", "val_regularization_loss": "val_regularization",
-}
 
 
 def _mean(c: str) -> Column:
@@ -63,8 +60,8 @@ HISTORY_SCHEMA = (
 
 
 def flatten_history(log: DataFrame, key: str, history: str) -> DataFrame:
-    """One row per epoch of a JSON training history: losses under their short names, weight statistics
-    without histograms."""
+    """One wide row per epoch of a JSON training history: the known losses under their short names, weight statistics
+    without histograms. ``histories.history_curves`` gives every curve by its own name."""
     parsed = log.select(key, F.from_json(history, HISTORY_SCHEMA).alias("h"))
     weights = [f"h.weight_stats.{tower}.{s}" for tower in ("query", "candidate") for s in ("mean", "std", "min", "max")]
     sources = {short: f"h.loss.{long}" for long, short in LOSS_NAMES.items()}
