@@ -82,9 +82,23 @@ def hash_slices(rows: int, target: int = ROWS_PER_SLICE) -> int:
     return max(1, rows // target)
 
 
-def hash_predicates(column: str, slices: int) -> list[str]:
-    """Stable slices of an integer key for a JDBC read; every row is in exactly one."""
-    return [f"MOD(ABS({column}), {slices}) = {i}" + (f" OR {column} IS NULL" if i == 0 else "") for i in range(slices)]
+# The slice number of ``hash_slice`` in the SQL of databases: first eight hex digits of the md5 of the key's text.
+_HASH_SQL = {
+    "spark": "CAST(conv(substr(md5(CAST({k} AS STRING)), 1, 8), 16, 10) AS BIGINT) % {n}",
+    "duckdb": "CAST('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8) AS BIGINT) % {n}",
+    "postgresql": "MOD(('x' || SUBSTR(MD5(CAST({k} AS TEXT)), 1, 8))::bit(32)::bigint, {n})",
+    "mysql": "MOD(CAST(CONV(SUBSTR(MD5(CAST({k} AS CHAR)), 1, 8), 16, 10) AS UNSIGNED), {n})",
+    "bigquery": "MOD(CAST(CONCAT('0x', SUBSTR(TO_HEX(MD5(CAST({k} AS STRING))), 1, 8)) AS INT64), {n})",
+}
+
+
+def hash_predicates(column: str, slices: int, dialect: str = "spark") -> list[str]:
+    """Stable slices of an integer or text key for a read by predicates; every row is in exactly one, as in ``hash_slice``.
+
+    Keys without a value are in the first.
+    """
+    number = _HASH_SQL[dialect].format(k=column, n=slices)
+    return [f"{number} = {i}" + (f" OR {column} IS NULL" if i == 0 else "") for i in range(slices)]
 
 
 def hash_slice(key: Column, slices: int) -> Column:
