@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwork.functions.numbers import exact_sum, ratio
+from tillwork.operators.heavy import top_counts
 from tillwork.plans.global_order import tie_running
 from tillwork.session import pin
 
@@ -157,8 +159,7 @@ def min_distinct_products(df: DataFrame, customer: str, product: str, more_than:
 
 def search_values(df: DataFrame, column: str, term: str, limit: int = 20) -> DataFrame:
     """Distinct values containing a term in any case, most frequent first."""
-    return (
-        df.where(F.lower(F.col(column).cast("string")).contains(term.lower()))
-        .groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col("value").asc()).limit(limit)
-    )
+    hits = df.where(F.lower(F.col(column).cast("string")).contains(term.lower()))
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return top_counts(hits, [column], limit).orderBy("rank_no").select("value", "n")
+    return hits.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("value").asc()).limit(limit)

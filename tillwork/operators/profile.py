@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwork.functions.numbers import exact_sum, percent, ratio, rounded
+from tillwork.operators.distinct import distinct_counts, read_again
+from tillwork.operators.heavy import top_counts
 from tillwork.plans.global_order import percentiles, with_running
 from tillwork.session import pin
 
@@ -38,7 +40,7 @@ _STATS = {  # output column -> type, in order
 
 def _measures(name: str, kind: str, exact: bool, date_distinct: bool) -> dict[str, Column]:
     c = F.col(name)
-    distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
+    distinct = F.lit(0) if exact else F.approx_count_distinct(c)  # exact ones are counted apart
     out = {"null_count": F.count_if(c.isNull())}
     if kind == "string":
         out |= {"distinct_count": distinct, "max_length": F.max(F.length(c))}
@@ -62,18 +64,26 @@ def _measures(name: str, kind: str, exact: bool, date_distinct: bool) -> dict[st
 
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
                  date_distinct: bool = False, array_lengths: bool = True) -> DataFrame:
-    """One row per column, from one aggregation over the table.
+    """One row per column, from one aggregation over the table and one branch per distinct count.
 
-    ``exact=False`` replaces the distinct counts by sketches, which saves one row expansion per column.
+    ``exact=False`` replaces the distinct counts by sketches inside the aggregation.
     """
     names = list(columns or df.columns)
     kinds = {n: kind_of(df.schema[n].dataType) for n in names}
+    counted = [n for n in names if kinds[n] in ("string", "numeric") or (kinds[n] == "date" and date_distinct)]
+    if exact and counted:
+        df = read_again(df, names, "profiled")
+    distinct = distinct_counts(df, counted) if exact else {}
     aggs, parts = [F.count(F.lit(1)).alias("_rows")], []
     for i, n in enumerate(names):
         kind = kinds[n] if array_lengths or kinds[n] != "array" else "other"
         measures = _measures(n, kind, exact, date_distinct)
+        if n in distinct:
+            measures.pop("distinct_count")
         aggs += [m.alias(f"{stat}_{i}") for stat, m in measures.items()]
         got = {stat: F.col(f"{stat}_{i}") for stat in measures}
+        if n in distinct:
+            got["distinct_count"] = F.lit(distinct[n])
         got["null_pct"] = percent(got["null_count"], F.col("_rows"))
         if kind == "string":
             got["uniqueness_pct"] = percent(got["distinct_count"], F.col("_rows"))
@@ -90,9 +100,10 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
 
 
 def dataset_analysis(df: DataFrame, user: str, product: str) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_distinct(user).alias("unique_users"),
-        F.count_distinct(product).alias("unique_products"),
+    df = read_again(df, [user, product], "analysed")
+    distinct = distinct_counts(df, [user, product])
+    return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
+        "total_rows", F.lit(distinct[user]).cast(_LONG).alias("unique_users"), F.lit(distinct[product]).cast(_LONG).alias("unique_products"),
     ).select(
         "*", rounded(ratio(F.col("total_rows"), F.col("unique_users")), 2).alias("rows_per_user"),
         rounded(ratio(F.col("total_rows"), F.col("unique_products")), 2).alias("rows_per_product"),
@@ -107,44 +118,48 @@ def sample_values(df: DataFrame, column: str, limit: int) -> DataFrame:
 
 def category_values(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """Value counts with their share and rank: all of them, or the ``top`` most frequent ones that are asked for."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"))
     total = df.select(F.count(column)).scalar()
-    order = (F.col("n").desc(), F.col("value").asc())
     if top is None:
-        ranked = with_running(counts, order, position="rank_no")
-    else:  # the limit bounds what this window sees
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        ranked = with_running(counts, (F.col("n").desc(), F.col("value").asc()), position="rank_no")
+    elif isinstance(df.schema[column].dataType, T.StringType):
+        ranked = top_counts(df, [column], top)
+    else:  # ties are ordered by the value and not by its text; the limit bounds what the window sees
+        order = (F.col("n").desc(), F.col("value").asc())
+        counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
         ranked = counts.orderBy(*order).limit(top).withColumn("rank_no", F.row_number().over(Window.orderBy(*order)))
     return ranked.select("value", "n", percent(F.col("n"), total).alias("pct"), F.col("rank_no").cast("long").alias("rank_no"))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Range and mean; a column whose values are all whole is reported as INTEGER."""
-    aggs, parts = [], []
+    df = read_again(df, columns, "profiled")
+    aggs, parts, distinct = [], [], distinct_counts(df, columns)
     for i, n in enumerate(columns):
         x = F.col(n).cast("double")
         aggs += [F.min(x).alias(f"lo_{i}"), F.max(x).alias(f"hi_{i}"), F.avg(x).alias(f"mean_{i}"),
-                 F.count_distinct(F.col(n)).alias(f"d_{i}"), F.every(x == F.floor(x)).alias(f"whole_{i}")]
+                 F.every(x == F.floor(x)).alias(f"whole_{i}")]
         parts.append(F.struct(
             F.lit(n).alias("column_name"),
             F.when(F.col(f"whole_{i}"), F.lit("INTEGER")).otherwise(F.lit("FLOAT")).alias("value_type"),
             F.col(f"lo_{i}").alias("min_value"), F.col(f"hi_{i}").alias("max_value"),
-            rounded(F.col(f"mean_{i}"), 2).alias("mean"), F.col(f"d_{i}").alias("distinct_count")))
+            rounded(F.col(f"mean_{i}"), 2).alias("mean"), F.lit(distinct[n]).cast(_LONG).alias("distinct_count")))
     return df.agg(*aggs).select(F.inline(F.array(*parts)))
 
 
 def date_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Date range; a column whose values are all at midnight is reported as DATE."""
-    aggs, parts = [], []
+    df = read_again(df, columns, "profiled")
+    aggs, parts, distinct = [], [], distinct_counts(df, columns)
     for i, n in enumerate(columns):
         c = F.col(n)
         aggs += [F.min(F.to_date(c)).alias(f"lo_{i}"), F.max(F.to_date(c)).alias(f"hi_{i}"),
-                 F.count_distinct(c).alias(f"d_{i}"), F.every(c == F.date_trunc("day", c)).alias(f"mid_{i}")]
+                 F.every(c == F.date_trunc("day", c)).alias(f"mid_{i}")]
         parts.append(F.struct(
             F.lit(n).alias("column_name"),
             F.when(F.col(f"mid_{i}"), F.lit("DATE")).otherwise(F.lit("TIMESTAMP")).alias("value_type"),
             F.col(f"lo_{i}").alias("min_date"), F.col(f"hi_{i}").alias("max_date"),
-            F.col(f"d_{i}").alias("distinct_count")))
+            F.lit(distinct[n]).cast(_LONG).alias("distinct_count")))
     return df.agg(*aggs).select(F.inline(F.array(*parts)))
 
 
@@ -236,26 +251,24 @@ def numeric_histogram(df: DataFrame, numeric: Sequence[str], buckets: int = 10)
 
 def string_statistics(df: DataFrame, strings: Sequence[str]) -> DataFrame:
     """Count, missing, unique values and mean length of text and binary columns."""
-    aggs, parts = [F.count(F.lit(1)).alias("_rows")], []
+    df = read_again(df, strings, "profiled")
+    aggs, parts, distinct = [F.count(F.lit(1)).alias("_rows")], [], distinct_counts(df, strings)
     for i, n in enumerate(strings):
         binary = isinstance(df.schema[n].dataType, T.BinaryType)
         length = F.octet_length(F.col(n)) if binary else F.length(F.col(n))
-        aggs += [F.count(n).alias(f"n_{i}"), F.count_distinct(F.col(n)).alias(f"d_{i}"), F.avg(length).alias(f"l_{i}")]
+        aggs += [F.count(n).alias(f"n_{i}"), F.avg(length).alias(f"l_{i}")]
         parts.append(F.struct(
             F.lit(n).alias("feature"), F.col(f"n_{i}").alias("n"), (F.col("_rows") - F.col(f"n_{i}")).alias("missing"),
             percent(F.col("_rows") - F.col(f"n_{i}"), F.col("_rows")).alias("missing_pct"),
-            F.col(f"d_{i}").alias("unique_values"), rounded(F.col(f"l_{i}"), 4).alias("avg_length")))
+            F.lit(distinct[n]).cast(_LONG).alias("unique_values"), rounded(F.col(f"l_{i}"), 4).alias("avg_length")))
     return df.agg(*aggs).select(F.inline(F.array(*parts)))
 
 
 def top_values(df: DataFrame, strings: Sequence[str], top: int = 10) -> DataFrame:
-    """Most frequent values of every text column; counts are formed before the ranking sees them."""
-    counts = _long_text(df, strings).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Most frequent values of every text column, from summaries and exact counts of what they name."""
     # At most one row per column of the table.
     sizes = df.agg(*[F.count(c).alias(c) for c in strings]).unpivot([], list(strings), "feature", "total")
-    best = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("value").asc())
-    ranked = counts.withColumn("rank_no", F.row_number().over(best)).where(F.col("rank_no") <= top)
-    return ranked.join(F.broadcast(sizes), "feature").select(
+    return top_counts(df, strings, top).join(F.broadcast(sizes), "feature").select(
         "feature", "rank_no", "value", "n", percent(F.col("n"), F.col("total")).alias("pct"))
 
 

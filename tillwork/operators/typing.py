@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tillwork.functions.casts import for_schema
 from tillwork.functions.names import clean_name, clean_names
 from tillwork.functions.numbers import ratio
+from tillwork.operators.distinct import distinct_counts, read_again
 
 # Name patterns, value patterns, word lists and shares of the type guesses.
 DATE_NAMES = (r".*_date$", r".*_dt$", r"date_.*", r"created", r"updated", r"modified", r".*_on$", r".*_at$")
@@ -98,7 +99,11 @@ def _period(name: str, lo: Column, hi: Column) -> Column:
 
 def detect_semantic_types(df: DataFrame) -> DataFrame:
     """Kind of every column (history, date, id, cyclical, number, category) and the period of cyclical ones,
-    from one pass over the whole table."""
+    from one pass over the whole table and the distinct counts of its numbers."""
+    counted = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and not any(p in f.name.lower() for p in ID_NAME_PARTS)]
+    if counted:
+        df = read_again(df, df.columns, "typed")
+    distinct = distinct_counts(df, counted)
     aggs, parts = [F.count(F.lit(1)).alias("_rows")], []
     for i, f in enumerate(df.schema):
         name, c = f.name.lower(), F.col(f.name)
@@ -121,8 +126,8 @@ def detect_semantic_types(df: DataFrame) -> DataFrame:
                 kind = F.lit("id")
             else:
                 x = c.cast("double")
-                aggs += [F.count_distinct(c).alias(f"k_{i}"), F.min(x).alias(f"lo_{i}"), F.max(x).alias(f"hi_{i}")]
-                lo, hi, k = F.col(f"lo_{i}"), F.col(f"hi_{i}"), F.col(f"k_{i}")
+                aggs += [F.min(x).alias(f"lo_{i}"), F.max(x).alias(f"hi_{i}")]
+                lo, hi, k = F.col(f"lo_{i}"), F.col(f"hi_{i}"), F.lit(distinct[f.name])
                 many = (k > ID_MIN_DISTINCT) & (ratio(k, F.col("_rows")) > ID_MIN_SHARE)
                 cycle = (
                     ((lo >= 0) & (hi <= 23) & (hi - lo >= 10)) | ((lo >= 0) & (hi <= 6))
