@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tillwork.catalog import query
 from tillwork.catalog.sqltext import pct, r
+from tillwork.functions.numbers import rounded
 from tillwork.operators.reports import endpoints as ep
 from tillwork.operators.reports import runs as rr
 
@@ -139,9 +140,10 @@ def recent_activity(t):
 
 # Endpoints -----------------------------------------------------------------------------------------------
 
-_ENDPOINTS = """reqs AS (SELECT CAST(ts AS DATE) AS day, concat('p', user_id % 5) AS project, concat('e', user_id % 20) AS name,
-  value, event_type = 'error' AS failed, user_id FROM events),
+_ENDPOINTS = f"""reqs AS (SELECT CAST(ts AS DATE) AS day, concat('p', user_id % 5) AS project, concat('e', user_id % 20) AS name,
+  value, event_type = 'error' AS failed, user_id, CASE WHEN user_id % 20 > 7 THEN (event_id % 90) / 100e0 END AS cpu, CASE WHEN user_id % 20 > 12 THEN (event_id % 7) / 10e0 ELSE 0 END AS memory FROM events),
 eps AS (SELECT day, project, name, count(*) AS requests, count(*) FILTER (WHERE failed) AS errors, count(DISTINCT user_id) AS peak,
+  coalesce({r('CAST(sum(CAST(cpu AS DECIMAL(18,8))) * 100 AS DOUBLE) / count(cpu)', 1)}, 0) AS cpu, {r('CAST(sum(CAST(memory AS DECIMAL(18,8))) * 100 AS DOUBLE) / count(memory)', 1)} AS memory,
   quantile_cont(value, 0.5e0) AS p50, quantile_cont(value, 0.95e0) AS p95, quantile_cont(value, 0.99e0) AS p99 FROM reqs GROUP BY 1, 2, 3)"""
 
 
@@ -149,73 +151,112 @@ def _w(c: str, digits: int = 1) -> str:
     return r(f"CAST(sum(CAST({c} AS DECIMAL(18,8)) * CAST(requests AS DECIMAL(12,0))) AS DOUBLE) / sum(requests)", digits)
 
 
+def _use(c: str) -> str:
+    busy = "(cpu > 0 OR memory > 0)"
+    return f"coalesce({r(f'CAST(sum(CAST({c} AS DECIMAL(18,8))) FILTER (WHERE {busy}) AS DOUBLE) / nullif(count(*) FILTER (WHERE {busy}), 0)', 1)}, 0)"
+
+
 _PROJECTS = f"""{_ENDPOINTS}, proj AS (SELECT day, project, CAST(sum(requests) AS BIGINT) AS total_requests, CAST(sum(errors) AS BIGINT) AS error_count,
   {_w('p50')} AS latency_p50_ms, {_w('p95')} AS latency_p95_ms, {_w('p99')} AS latency_p99_ms, max(peak) AS instance_count_peak,
-  {r('avg(peak)', 1)} AS instance_count_avg, count(*) AS n_endpoints FROM eps GROUP BY 1, 2),
+  {r('avg(peak)', 1)} AS instance_count_avg, {_use('cpu')} AS cpu_utilization_avg, {_use('memory')} AS memory_utilization_avg, count(*) AS n_endpoints FROM eps GROUP BY 1, 2),
 det AS (SELECT day, project, name, requests, errors, {r('p50', 1)} AS p50, {r('p95', 1)} AS p95, peak FROM eps)"""
 
 
-def _projects(t):
+def _requests(t):
+    u = F.col("user_id")
+    return t.events.select(
+        F.to_date("ts").alias("day"), F.concat(F.lit("p"), F.pmod(u, F.lit(5))).alias("project"), F.concat(F.lit("e"), F.pmod(u, F.lit(20))).alias("name"),
+        "value", (F.col("event_type") == "error").alias("failed"), u, F.when(F.pmod(u, F.lit(20)) > 7, F.pmod("event_id", F.lit(90)) / F.lit(100.0)).alias("cpu"),
+        F.when(F.pmod(u, F.lit(20)) > 12, F.pmod("event_id", F.lit(7)) / F.lit(10.0)).otherwise(0.0).alias("memory"))
+
+
+_USES = {"cpu": "cpu", "memory": "memory"}
+
+
+def _endpoints(t):
     from tillwork.session import pin
 
-    reqs = t.events.select(
-        F.to_date("ts").alias("day"), F.concat(F.lit("p"), F.pmod("user_id", F.lit(5))).alias("project"),
-        F.concat(F.lit("e"), F.pmod("user_id", F.lit(20))).alias("name"), "value",
-        (F.col("event_type") == "error").alias("failed"), "user_id")
-    return pin(ep.project_metrics(ep.endpoint_metrics(reqs, "value", "failed", "user_id")), "projects")
+    return pin(ep.endpoint_metrics(_requests(t), "value", "failed", "user_id", _USES), "endpoints")
 
 
 @query("weighted_latency", f"""WITH {_PROJECTS} SELECT * FROM proj""")
 def weighted_latency(t):
-    out = _projects(t)
-    return out.withColumn("n_endpoints", F.size("endpoint_details").cast("bigint")).drop("endpoint_details", "instance_details")
+    return ep.project_metrics(_endpoints(t))
+
+
+@query("endpoint_days_stored", f"""WITH {_ENDPOINTS} SELECT day, project, name, requests, errors, peak, cpu, memory, {r('p50', 1)} AS p50, {r('p95', 1)} AS p95, {r('p99', 1)} AS p99 FROM eps""")
+def endpoint_days_stored(t):
+    """Days stored one part after the other; the second part repeats a day of the first, which it replaces."""
+    path, requests = _stored(t)
+    one = lambda c: rounded(F.col(f"latency_{c}_ms"), 1).alias(c)
+    return ep.stored_days(t.spark, path).select("day", "project", "name", "requests", "errors", "peak", "cpu", "memory", one("p50"), one("p95"), one("p99"))
+
+
+def _stored(t):
+    from tillwork.session import fresh_path, pin
+
+    path, requests = fresh_path(t.spark, "endpoint-days"), pin(_requests(t), "requests")
+    middle = requests.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    half = middle["a"] + (middle["b"] - middle["a"]) / 2
+    for part in (requests.where(F.col("day") <= half), requests.where(F.col("day") >= half)):
+        ep.store_days(part, path, "value", "failed", "user_id", _USES)
+    return path, requests
+
+
+@query("endpoint_period_latency", f"""WITH {_ENDPOINTS} SELECT project, name, {', '.join(f"{r(f'quantile_cont(value, {q}e0)', 4)} AS {n}" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))}
+FROM reqs GROUP BY 1, 2""")
+def endpoint_period_latency(t):
+    """Percentiles of all days from their stored counts; requests are read for the bins that hold them."""
+    path, requests = _stored(t)
+    found = ep.period_latencies(ep.stored_days(t.spark, path), requests, "value")
+    return found.select("project", "name", *[rounded(F.col(f"latency_{c}_ms"), 4).alias(c) for c in ("p50", "p95", "p99")])
 
 
-_ONE = "WHERE project = 'p3'"
-_AGED = f"""{_PROJECTS}, aged AS (SELECT *, date_diff('day', day, (SELECT max(day) FROM proj {_ONE})) AS age FROM proj {_ONE}),
-daged AS (SELECT *, date_diff('day', day, (SELECT max(day) FROM proj {_ONE})) AS age FROM det {_ONE})"""
+_AGED = f"""{_PROJECTS}, last AS (SELECT project, max(day) AS last, min(day) AS first FROM proj GROUP BY 1),
+aged AS (SELECT p.*, date_diff('day', day, last) AS age FROM proj p JOIN last l ON p.project = l.project),
+daged AS (SELECT p.*, date_diff('day', day, last) AS age FROM det p JOIN last l ON p.project = l.project)"""
 
 
 def _sum(x: str, cond: str) -> str:
     return f"coalesce(sum({x}) FILTER (WHERE {cond}), 0)::DOUBLE"
 
 
-@query("endpoint_week_compare", f"""WITH {_AGED}, a AS (SELECT coalesce(sum(total_requests) FILTER (WHERE age < 7), 0)::BIGINT AS requests,
+@query("endpoint_week_compare", f"""WITH {_AGED}, a AS (SELECT project, coalesce(sum(total_requests) FILTER (WHERE age < 7), 0)::BIGINT AS requests,
   {_sum('total_requests', 'age BETWEEN 7 AND 13')} AS rb, {_sum('error_count', 'age < 7')} AS e7,
   {_sum('CAST(latency_p95_ms AS DECIMAL(18,8)) * total_requests::DECIMAL(12,0)', 'age < 7')} AS p,
   {_sum('CAST(latency_p95_ms AS DECIMAL(18,8)) * total_requests::DECIMAL(12,0)', 'age BETWEEN 7 AND 13')} AS pb,
   {_sum('total_requests', 'age < 3')} AS n3, {_sum('error_count', 'age < 3')} AS e3,
   {_sum('total_requests', 'age BETWEEN 3 AND 6')} AS n4, {_sum('error_count', 'age BETWEEN 3 AND 6')} AS e4,
   count(DISTINCT day) FILTER (WHERE age < 7) AS days7, max(instance_count_peak) FILTER (WHERE age < 7) AS peak_instances,
-  avg(instance_count_avg) FILTER (WHERE age < 7 AND instance_count_avg > 0) AS av FROM aged)
-SELECT requests, coalesce({pct('requests - rb', 'nullif(rb, 0)', 1)}, 0) AS request_change_pct, {r('p / requests', 0)} AS p95_ms,
+  avg(instance_count_avg) FILTER (WHERE age < 7 AND instance_count_avg > 0) AS av FROM aged GROUP BY project)
+SELECT project, requests, coalesce({pct('requests - rb', 'nullif(rb, 0)', 1)}, 0) AS request_change_pct, {r('p / requests', 0)} AS p95_ms,
   {r('p / requests', 0)} - coalesce({r('pb / nullif(rb, 0)', 0)}, 0) AS p95_change_ms, {r('e7 * 100 / requests')} AS error_rate_pct,
   CASE WHEN days7 < 4 OR abs(e3 * 100 / n3 - e4 * 100 / n4) < 0.01 THEN 'stable' WHEN e3 * 100 / n3 > e4 * 100 / n4 THEN 'up' ELSE 'down' END AS error_trend,
   peak_instances, {r('av', 1)} AS avg_instances FROM a""")
 def endpoint_week_compare(t):
-    return ep.week_compare(_projects(t).where(F.col("project") == "p3"))
+    return ep.week_compare(ep.project_metrics(_endpoints(t)))
 
 
-@query("endpoint_performance", f"""WITH {_AGED}, a AS (SELECT name, sum(requests) FILTER (WHERE age < 7) AS requests,
+@query("endpoint_performance", f"""WITH {_AGED}, a AS (SELECT project, name, sum(requests) FILTER (WHERE age < 7) AS requests,
   sum(errors) FILTER (WHERE age < 7) AS errors, 
   CAST(sum(CAST(p50 AS DECIMAL(18,8)) * requests::DECIMAL(12,0)) FILTER (WHERE age < 7) AS DOUBLE) AS p50,
-  CAST(sum(CAST(p95 AS DECIMAL(18,8)) * requests::DECIMAL(12,0)) FILTER (WHERE age < 7) AS DOUBLE) AS p95, sum(requests) FILTER (WHERE age BETWEEN 7 AND 13) AS b FROM daged GROUP BY 1)
-SELECT name, requests::BIGINT AS requests, {r('p50 / requests', 1)} AS avg_latency, {r('p95 / requests', 1)} AS p95_latency,
+  CAST(sum(CAST(p95 AS DECIMAL(18,8)) * requests::DECIMAL(12,0)) FILTER (WHERE age < 7) AS DOUBLE) AS p95, sum(requests) FILTER (WHERE age BETWEEN 7 AND 13) AS b FROM daged GROUP BY 1, 2)
+SELECT project, name, requests::BIGINT AS requests, {r('p50 / requests', 1)} AS avg_latency, {r('p95 / requests', 1)} AS p95_latency,
   errors::BIGINT AS errors, {pct('errors', 'requests')} AS error_rate, coalesce({pct('requests - b', 'b', 1)}, 0) AS trend
 FROM a WHERE requests IS NOT NULL""")
 def endpoint_performance(t):
-    return ep.endpoint_performance(_projects(t).where(F.col("project") == "p3"))
+    return ep.endpoint_performance(_endpoints(t))
 
 
-@query("peak_periods", f"""WITH {_AGED} SELECT day, name, requests, peak AS max_instances FROM daged WHERE age < 30
-ORDER BY requests DESC, day, name LIMIT 5""")
+@query("peak_periods", f"""WITH {_AGED} SELECT project, rank_no, day, name, requests, peak AS max_instances FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY project ORDER BY requests DESC, day, name) AS rank_no FROM daged WHERE age < 30) WHERE rank_no <= 5""")
 def peak_periods(t):
-    return ep.peak_periods(_projects(t).where(F.col("project") == "p3"))
+    return ep.peak_periods(_endpoints(t))
 
 
-@query("endpoint_daily_matrix", f"""WITH {_AGED}, d AS (SELECT CAST(unnest(generate_series(CAST(greatest(min(day), max(day) - 29) AS TIMESTAMP),
-  CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM aged)
-SELECT d.day, n.name, coalesce(sum(requests), 0)::BIGINT AS requests FROM d CROSS JOIN (SELECT DISTINCT name FROM daged) n
-LEFT JOIN daged x ON x.day = d.day AND x.name = n.name GROUP BY 1, 2""")
+@query("endpoint_daily_matrix", f"""WITH {_AGED}, d AS (SELECT project, CAST(unnest(generate_series(CAST(greatest(first, last - 29) AS TIMESTAMP),
+  CAST(last AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM last)
+SELECT d.project, d.day, n.name, coalesce(sum(requests), 0)::BIGINT AS requests FROM d JOIN (SELECT DISTINCT project, name FROM daged WHERE age < 30) n ON n.project = d.project
+LEFT JOIN daged x ON x.project = d.project AND x.day = d.day AND x.name = n.name GROUP BY 1, 2, 3""")
 def endpoint_daily_matrix(t):
-    return ep.daily_matrix(_projects(t).where(F.col("project") == "p3"))
+    return ep.daily_matrix(_endpoints(t))

@@ -107,17 +107,24 @@ def _bin(value: str) -> Column:
     return F.struct(sign.alias("sign"), F.when(sign == 0, F.lit(0)).otherwise(step * sign).alias("step"))
 
 
-def _around(df: DataFrame, value: str, group: Sequence[str], touched) -> DataFrame:
+def bin_counts(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
+    """Rows per group and bin: ``_bin``, ``_n``. Counts of parts of a table add up, so they can be stored and merged."""
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, _bin(value).alias("_bin"))
+    return rows.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _around(df: DataFrame, value: str, group: Sequence[str], touched, counts: DataFrame | None = None) -> DataFrame:
     """Counted values around the wanted ranks, with ``_upto`` (rows up to and including the value) and ``_all``.
 
     The first pass only counts rows per bin, which is little after the map-side sums. ``touched(first, last,
     all)`` says whether the zero-based rows of a bin hold a wanted rank; the second pass sorts the values of
     those bins and nothing else. The wanted bins are written and counted; up to ``_BROADCAST_BINS`` of them are
-    broadcast, so that the other rows are dropped where they are read and never shuffled.
+    broadcast, so that the other rows are dropped where they are read and never shuffled. ``counts`` (of
+    ``bin_counts``, for the same rows) take the place of the first pass.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
         *group, value, _bin(value).alias("_bin"))
-    counts = rows.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    counts = bin_counts(df, value, group) if counts is None else counts
     upto = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)
     # A few thousand bins per group at most: the range of doubles in steps of one percent.
@@ -137,8 +144,8 @@ def _around(df: DataFrame, value: str, group: Sequence[str], touched) -> DataFra
     return run.withColumn("_upto", F.col("_before") + F.col("_inside"))
 
 
-def percentiles(df: DataFrame, value: str, shares: Mapping[str, float], group: Sequence[str] = ()) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group."""
+def percentiles(df: DataFrame, value: str, shares: Mapping[str, float], group: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per group; ``counts`` are stored ``bin_counts`` of the rows."""
 
     def at(all_rows: Column, share: float) -> Column:
         return (all_rows - F.lit(1)).cast("double") * F.lit(float(share))
@@ -150,7 +157,7 @@ def percentiles(df: DataFrame, value: str, shares: Mapping[str, float], group: S
             hit = hit | F.floor(place).between(first, last) | F.ceil(place).between(first, last)
         return hit
 
-    run = _around(df, value, group, touched)
+    run = _around(df, value, group, touched, counts)
     aggs = []
     for name, share in shares.items():
         place = at(F.col("_all"), share)
