@@ -248,22 +248,27 @@ matrix AS (SELECT fc.feature_config, mc.model_config, count(log.experiment_id) A
   GROUP BY fc.feature_config, mc.model_config, mc.model_type, fc.config_type)"""
 
 
-def _coverage(t):
+def _configs(t):
     log = _log(t)
     features = log.select("feature_config").distinct().withColumn(
         "config_type", F.when(F.pmod("feature_config", F.lit(2)) == 0, "retrieval").otherwise("ranking"))
     kinds = F.array(F.lit("retrieval"), F.lit("ranking"), F.lit("multitask"))
     models = log.select("model_config").distinct().withColumn(
         "model_type", F.element_at(kinds, (F.pmod("model_config", F.lit(3)) + 1).cast("int")))
-    return x.coverage(log, features, models, "recall")
+    return log, features, models
 
 
 @query("coverage_matrix", f"WITH {_LOG}, {_MATRIX} SELECT * FROM matrix")
 def coverage_matrix(t):
-    return _coverage(t)
+    return x.coverage(*_configs(t), "recall")
+
+
+@query("coverage_tested_pairs", f"WITH {_LOG}, {_MATRIX} SELECT feature_config, model_config, n, best_metric FROM matrix WHERE n > 0")
+def coverage_tested_pairs(t):
+    return x.tested_pairs(*_configs(t), "recall")
 
 
 @query("coverage_untested_pairs", f"""WITH {_LOG}, {_MATRIX} SELECT feature_config, model_config FROM matrix WHERE n = 0 AND is_compatible
 ORDER BY feature_config, model_config LIMIT 5""")
 def coverage_untested_pairs(t):
-    return x.untested_pairs(_coverage(t))
+    return x.untested_pairs(*_configs(t))

@@ -214,7 +214,7 @@ def load_catalog(t):
     path = fresh_path(t.spark, "catalog")
     loads.load_full(t.orders.where(F.col("o_orderstatus") == "F"), path)
     loads.load_full(t.orders, path)
-    return _orders_sum(t.spark.read.schema(t.orders.schema).parquet(path))
+    return _orders_sum(loads.read_full(t.spark, path))
 
 
 _MARK = "(SELECT max(o_orderdate) FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01')"
@@ -285,3 +285,9 @@ def load_reconcile(t):
     loads.load_append(t.orders.where(ok), path)
     written = t.spark.read.schema(t.orders.schema).parquet(path)
     return loads.reconcile(t.orders, t.orders.where(~ok), written, "o_orderpriority")
+
+
+@query("load_counted", """SELECT o_orderpriority, count(*) AS n_read, count(*) FILTER (WHERE o_totalprice < 20000) AS n_rejected,
+  count(*) FILTER (WHERE o_totalprice >= 20000) AS n_written, true AS agrees FROM orders GROUP BY 1""")
+def load_counted(t):
+    return loads.load_counted(t.orders, F.col("o_totalprice") >= 20000, fresh_path(t.spark, "counted"), "o_orderpriority")

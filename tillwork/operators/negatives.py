@@ -22,20 +22,22 @@ def grid(size: int) -> tuple[int, int]:
     return -(-size // b), b
 
 
-def shuffled_place(step: Column, keys: list[Column], a: int, b: int) -> Column:
-    """A keyed permutation of 0 .. a*b-1: rounds that add a mixed function of one grid side to the other."""
+def with_shuffled_place(df: DataFrame, step: str, keys: list[str], a: int, b: int, name: str) -> DataFrame:
+    """Add a keyed permutation of 0 .. a*b-1: rounds that add a mixed function of one grid side to the other.
 
-    def mixed(x: Column, key: Column) -> Column:
-        v = F.pmod(x * 40503 + key, F.lit(2147483647))
-        return F.floor(F.pmod(F.pmod(v * v, F.lit(2147483647)) * 48271, F.lit(2147483647)) / 16)
-
-    left, right = F.floor(step / b), F.pmod(step, F.lit(b))
+    A round is two projections. What one of them makes is used twice in the next, so the optimizer keeps them apart and the
+    generated code grows with the rounds; as one expression it would double with every round. The result can't be null, else
+    a join on it would have the optimizer push a null check of that one expression down to the steps.
+    """
+    sides = [f"{name}_left", f"{name}_right"]
+    out = df.withColumns({sides[0]: F.floor(F.col(step) / b), sides[1]: F.pmod(step, F.lit(b))})
     for i, key in enumerate(keys):
-        if i % 2 == 0:
-            left = F.pmod(left + mixed(right, key), F.lit(a))
-        else:
-            right = F.pmod(right + mixed(left, key), F.lit(b))
-    return left * b + right
+        mine, other, size = sides[i % 2], sides[1 - i % 2], (a, b)[i % 2]
+        v = F.col(f"{name}_v")
+        out = out.withColumn(f"{name}_v", F.pmod(F.col(other) * 40503 + F.col(key), F.lit(2147483647)))
+        mixed = F.floor(F.pmod(F.pmod(v * v, F.lit(2147483647)) * 48271, F.lit(2147483647)) / 16)
+        out = out.withColumn(mine, F.pmod(F.col(mine) + mixed, F.lit(size)))
+    return out.withColumn(name, F.coalesce(F.col(sides[0]) * b + F.col(sides[1]), F.lit(-1))).drop(*sides, f"{name}_v")
 
 
 def _number(salt: str, what: str, customer: str) -> Column:
@@ -82,10 +84,10 @@ def sample_negatives(
             .repartition(customer, "_chunk")
         first = F.col("_chunk") * chunk
         until = F.least(first + chunk, F.col("_length")) - 1
+        steps = chunks.withColumn("_step", F.explode(F.sequence(first, until)))
         return (
-            chunks.withColumn("_step", F.explode(F.sequence(first, until)))
-            .withColumn("_place", shuffled_place(F.col("_step"), [F.col(f"_key{i}") for i in range(ROUNDS)], rows, columns) + 1)
-            .select(customer, "_p", "_chunk", "_step", "_place")
+            with_shuffled_place(steps, "_step", [f"_key{i}" for i in range(ROUNDS)], rows, columns, "_cell")
+            .select(customer, "_p", "_chunk", "_step", (F.col("_cell") + 1).alias("_place"))
             .join(listed, "_place")
             .join(bought, [customer, product], "left_anti")
         )

@@ -11,6 +11,7 @@ from tillwork.functions.numbers import ratio, rounded
 from tillwork.operators.reports.histories import LOSS_NAMES
 from tillwork.operators.rolling import running_best
 from tillwork.plans.global_order import with_running
+from tillwork.session import pin
 
 # Share of experiments that count as good, smoothing, confidence limits, sampling steps.
 GOOD_PERCENT = 30
@@ -168,7 +169,39 @@ def coverage(log: DataFrame, features: DataFrame, models: DataFrame, metric: str
         "feature_config", "model_config", F.coalesce("_n", F.lit(0)).alias("n"), "best_metric", fits.alias("is_compatible"))
 
 
-def untested_pairs(matrix: DataFrame, limit: int = 5, compatible_only: bool = True) -> DataFrame:
-    rows = matrix.where(F.col("n") == 0)
-    rows = rows.where("is_compatible") if compatible_only else rows
-    return rows.orderBy("feature_config", "model_config").select("feature_config", "model_config").limit(limit)
+def tested_pairs(log: DataFrame, features: DataFrame, models: DataFrame, metric: str) -> DataFrame:
+    """The pairs that have experiments, with their number and best metric: as many rows as there were pairs tried."""
+    runs = log.groupBy("feature_config", "model_config").agg(F.count(F.lit(1)).alias("n"), F.max(metric).alias("best_metric"))
+    known = runs.join(features.select("feature_config").distinct(), "feature_config", "left_semi")
+    return known.join(models.select("model_config").distinct(), "model_config", "left_semi").select("feature_config", "model_config", "n", "best_metric")
+
+
+def untested_pairs(log: DataFrame, features: DataFrame, models: DataFrame, limit: int = 5, compatible_only: bool = True) -> DataFrame:
+    """The first ``limit`` pairs without an experiment, in order of feature and model, without forming all pairs.
+
+    Models are numbered in their order (among those that fit the kind of the feature config). What a feature was tried with
+    leaves gaps in these numbers; only the first ``limit`` features that have gaps are looked at, and of each gap only
+    its first ``limit`` numbers.
+    """
+    tried = log.select("feature_config", "model_config").distinct()
+    if compatible_only:
+        kind = F.when(F.col("config_type").isin("retrieval", "ranking"), F.col("config_type")).otherwise("any")
+        fitting = F.when(F.col("model_type") == "multitask", F.array(F.lit("any"), F.lit("retrieval"), F.lit("ranking"))) \
+            .when(F.col("model_type").isin("retrieval", "ranking"), F.array(F.lit("any"), F.col("model_type"))).otherwise(F.array(F.lit("any")))
+    else:
+        kind, fitting = F.lit("any"), F.array(F.lit("any"))
+    listed = features.select("feature_config", kind.alias("kind")).distinct()
+    fits = models.select("model_config", F.explode(fitting).alias("kind")).distinct()
+    placed = pin(with_running(fits, [F.col("model_config").asc()], position="place", group=["kind"], group_size="size"), "models")
+    sizes = F.broadcast(placed.groupBy("kind").agg(F.max("size").alias("size")))  # three rows at most
+    hit = tried.join(listed, "feature_config").join(placed.drop("size"), ["kind", "model_config"]).select("feature_config", "kind", "place")
+    open_ = listed.join(sizes, "kind").join(hit.groupBy("feature_config", "kind").agg(F.count(F.lit(1)).alias("_n")), ["feature_config", "kind"], "left")
+    first = open_.where(F.coalesce("_n", F.lit(0)) < F.col("size")).select("feature_config", "kind", "size").orderBy("feature_config", "kind").limit(limit)
+    first = F.broadcast(pin(first, "first"))  # ``limit`` rows
+    at = Window.partitionBy("feature_config", "kind").orderBy("place")
+    ends = first.select("feature_config", "kind", (F.col("size") + 1).alias("place"))
+    marks = hit.join(first, ["feature_config", "kind"], "left_semi").select("feature_config", "kind", "place").unionByName(ends)
+    gaps = marks.withColumn("_from", F.coalesce(F.lag("place").over(at), F.lit(0)) + 1).where(F.col("_from") < F.col("place"))
+    numbers = gaps.select("feature_config", "kind", F.explode(F.sequence("_from", F.least(F.col("place") - 1, F.col("_from") + limit - 1))).alias("place"))
+    few = numbers.orderBy("feature_config", "place").limit(limit)
+    return few.join(placed, ["kind", "place"]).select("feature_config", "model_config").orderBy("feature_config", "model_config")

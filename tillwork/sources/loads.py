@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Tolerance of modification times, and where history starts when nothing else is known.
@@ -64,8 +65,55 @@ def next_mark(batch: DataFrame, ts: str) -> DataFrame:
 
 # Sinks ---------------------------------------------------------------------------------------------------
 
+_SNAPSHOT, _ASIDE = "snapshot=", "_writing-"
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and a function for paths below it."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    return top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), lambda name: jvm.org.apache.hadoop.fs.Path(top, name)
+
+
+def _entries(spark: SparkSession, path: str) -> list[str]:
+    system, at = _folder(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(at("."))] if system.exists(at(".")) else []
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.removeprefix(_SNAPSHOT)) for n in _entries(spark, path) if n.startswith(_SNAPSHOT))
+
+
 def load_full(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Replace a table as a whole: readers (``read_full``) see the old rows or the new ones, never none or half.
+
+    The rows are written aside and published by one rename to the next snapshot. Of the older ones the last stays, for those
+    who are reading it. A load that ends before the rename leaves the table as it was; the next load removes what it wrote.
+    Two loads at once get the same number, and the rename of the later one fails.
+    """
+    spark = df.sparkSession
+    before, left = _snapshots(spark, path), [n for n in _entries(spark, path) if n.startswith(_ASIDE)]
+    aside, new = f"{_ASIDE}{uuid.uuid4().hex}", f"{_SNAPSHOT}{before[-1] + 1 if before else 0}"
+    df.write.parquet(f"{path}/{aside}")
+    _publish(spark, path, aside, new)
+    system, at = _folder(spark, path)
+    for name in [*left, *(f"{_SNAPSHOT}{n}" for n in before[:-1])]:
+        system.delete(at(name), True)
+
+
+def _publish(spark: SparkSession, path: str, aside: str, new: str) -> None:
+    system, at = _folder(spark, path)
+    # A rename onto a folder that is there would move below it.
+    if system.exists(at(new)) or not system.rename(at(aside), at(new)):
+        raise RuntimeError(f"another load has published {new} of {path}")
+
+
+def read_full(spark: SparkSession, path: str) -> DataFrame:
+    """The latest published snapshot."""
+    found = _snapshots(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path} has no published snapshot")
+    return spark.read.parquet(f"{path}/{_SNAPSHOT}{found[-1]}")
 
 
 def load_append(df: DataFrame, path: str, keys: Sequence[str] | None = None, ts: str | None = None, mark=None) -> None:
@@ -94,6 +142,34 @@ def read_days(spark: SparkSession, path: str, schema, first: str, last: str) ->
 
 # Reconciliation ------------------------------------------------------------------------------------------
 
+BATCHES = 1000
+
+
+def load_counted(df: DataFrame, accepted: Column, path: str, batch: str) -> DataFrame:
+    """Append the accepted rows and return rows read, rejected and written per batch, counted by the write itself.
+
+    The counts are observed on the rows as they pass, before and after the filter, so neither the source nor the destination is
+    read again. They are exact for up to ``BATCHES`` batches; with more, which the observed totals show, the counts are made
+    by ``reconcile``.
+    """
+    spark, seen, kept = df.sparkSession, Observation(), Observation()
+    key = F.coalesce(F.col(batch).cast("string"), F.lit(_NO_BATCH))
+    counts = f"approx_top_k(_batch, {BATCHES}, {4 * BATCHES})"  # as it never drops a value below its size, it counts exactly
+    rows = df.withColumn("_batch", key).observe(seen, F.count(F.lit(1)).alias("n"), F.expr(counts).alias("by"))
+    rows = rows.where(accepted).observe(kept, F.count(F.lit(1)).alias("n"), F.expr(counts).alias("by")).drop("_batch")
+    rows.write.mode("append").parquet(path)
+    read, written = ({r["item"]: r["count"] for r in o.get["by"] or []} for o in (seen, kept))
+    if len(read) >= BATCHES or sum(read.values()) != seen.get["n"] or sum(written.values()) != kept.get["n"]:
+        there = spark.read.schema(df.schema).parquet(path)
+        return reconcile(df, df.where(~F.coalesce(accepted, F.lit(False))), there, batch).withColumnRenamed("n_found", "n_written")
+    found = [(None if b == _NO_BATCH else b, n, n - written.get(b, 0), written.get(b, 0)) for b, n in read.items()]
+    out = spark.createDataFrame(found, "_b string, n_read long, n_rejected long, n_written long")
+    return out.select(F.col("_b").cast(df.schema[batch].dataType).alias(batch), "n_read", "n_rejected", "n_written",
+                      (F.col("n_read") == F.col("n_rejected") + F.col("n_written")).alias("agrees"))
+
+
+_NO_BATCH = "\x00"
+
 def reconcile(source: DataFrame, rejected: DataFrame, destination: DataFrame, batch: str) -> DataFrame:
     """Rows read, rejected and found per batch, and whether they agree."""
 
