@@ -5,8 +5,10 @@ shape is a word's letters reduced to a class (lower, Capital, CAPITALS, mixed, d
 trailing punctuation. An indicator is scaled by its class log-count ratio, rows are brought to unit length, and a linear
 hinge-loss model is fitted by dual coordinate descent. A logistic curve fitted out of fold turns margins into scores.
 
-The fit uses a bounded sample of labelled rows (``sample``, the smallest hashes of doc_id); weights have a fixed
-number of slots, so the model that is broadcast has a fixed size. All texts are scored whole, on Spark.
+The fit uses a bounded sample of labelled rows (``sample``, the smallest hashes of doc_id), which are turned into slots where
+they are read; the task that fits holds slots only, and takes rows in that order until ``SAMPLE_SLOTS`` slots are held, so
+that long texts do not make it larger. Weights have a fixed number of slots, so the model that is broadcast has a fixed
+size. All texts are scored whole, on Spark.
 
 Cases: null and empty texts have no features and get the score of the intercept. Labels that are null, and labelled ids
 that are missing from the texts, are left out; an id labelled twice counts with each label. A null id is never labelled
@@ -29,6 +31,7 @@ from tillwork.llm.text import U, Words, blocks, mix, window_hashes
 
 SLOT_BITS = 20
 SAMPLE = 16_000
+SAMPLE_SLOTS = 32_000_000
 FOLDS = 4
 EPOCHS = 12
 COST = 1.0
@@ -84,7 +87,10 @@ def features(words: Words, slot_bits: int = SLOT_BITS) -> tuple[np.ndarray, np.n
 
 
 def _counts(rows: list[np.ndarray], slot_bits: int) -> np.ndarray:
-    return np.bincount(np.concatenate(rows), minlength=1 << slot_bits) if rows else np.zeros(1 << slot_bits)
+    out = np.zeros(1 << slot_bits)
+    for at in range(0, len(rows), 512):
+        out += np.bincount(np.concatenate(rows[at:at + 512]), minlength=1 << slot_bits)
+    return out
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, slot_bits: int, *, epochs: int = EPOCHS, cost: float = COST, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -169,26 +175,41 @@ def fit_scores(rows: list[np.ndarray], labels: np.ndarray, slot_bits: int = SLOT
     return {"ratio": ratio, "weights": weights, "rest": np.array([intercept, slope, offset])}
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    rows, labels = _rows_of(table.column("text")), table.column("label").to_numpy().astype(np.int64)
-    yield pa.RecordBatch.from_pydict({"model": pa.array([_pack(fit_scores(rows, labels))], pa.binary())})
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (order, doc_id, label, text) with the slots of the text in its place."""
+    for batch in batches:
+        found = [r.tobytes() for r in _rows_of(batch.column(3))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, pa.binary())], ["order", "doc_id", "label", "slots"])
+
+
+def _train(limit: int):
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels, held = [], [], 0
+        for batch in batches:
+            for label, slots in zip(batch.column(1).to_pylist(), batch.column(0)):
+                if held >= limit:
+                    break
+                rows.append(np.frombuffer(slots.as_py(), np.int32))
+                labels.append(label)
+                held += len(rows[-1])
+        if rows:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([_pack(fit_scores(rows, np.array(labels, np.int64)))], pa.binary())})
+
+    return train
 
 
 def _pack(model: dict[str, np.ndarray]) -> bytes:
     return model["rest"].astype(np.float64).tobytes() + model["ratio"].astype(np.float32).tobytes() + model["weights"].astype(np.float32).tobytes()
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> bytes:
-    """A model of fixed size from at most ``sample`` labelled rows, fitted in one task."""
+def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, slots: int = SAMPLE_SLOTS) -> bytes:
+    """A model of fixed size from at most ``sample`` labelled rows (and some ``slots`` indicators), fitted in one task."""
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
     chosen = smallest_hashes(chosen, F.col("_id"), sample, "_id", "label")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("doc_id", "label", "text").repartition(1)
-    found = rows.mapInArrow(_train, "model binary").collect()
+    rows = rows.select(F.xxhash64("doc_id", F.lit(11)).alias("order"), "doc_id", "label", "text").mapInArrow(_slots, "order long, doc_id long, label int, slots binary")
+    rows = rows.repartition(1).sortWithinPartitions("order", "doc_id", "label", "slots").select("slots", "label")
+    found = rows.mapInArrow(_train(slots), "model binary").collect()
     return bytes(found[0]["model"]) if found else _pack(fit_scores([], np.empty(0, np.int64)))
 
 
