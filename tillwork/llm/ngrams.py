@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillwork.llm.samples import smallest_hashes
-from tillwork.llm.text import U, Words, blocks, mix, window_hashes
+from tillwork.llm.text import U, Words, blocks, by_bytes, mix, window_hashes
 
 SLOT_BITS = 20
 SAMPLE = 16_000
@@ -177,7 +177,7 @@ def fit_scores(rows: list[np.ndarray], labels: np.ndarray, slot_bits: int = SLOT
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (order, doc_id, label, text) with the slots of the text in its place."""
-    for batch in batches:
+    for batch in by_bytes(batches, 3):
         found = [r.tobytes() for r in _rows_of(batch.column(3))]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, pa.binary())], ["order", "doc_id", "label", "slots"])
 
@@ -222,7 +222,7 @@ def _unpack(model: bytes, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _score(shared, slot_bits: int, text: str, with_text: bool, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (intercept, slope, offset), ratio, weights = _unpack(shared.value, slot_bits)
-        for batch in batches:
+        for batch in by_bytes(batches, text):
             place = batch.schema.get_field_index(text)
             scores = np.zeros(batch.num_rows)
             for first, stop, words in blocks(batch.column(place)):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.llm.samples import smallest_hashes
-from tillwork.llm.text import blocks
+from tillwork.llm.text import blocks, by_bytes
 from tillwork.session import fresh_path, pin
 
 DICTIONARY = 20_000
@@ -231,12 +231,19 @@ class Forest:
 # Dictionary and training ---------------------------------------------------------------------------------------
 
 _LETTERS = re.compile(r"^[a-z]{4,12}$")
+_HELD_WORDS = 1 << 17  # that a task sums up before it hands them on
 
 
 def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: dict[bytes, int] = {}
-        for _, _, words in blocks(batch.column("text"), 4 << 20):
+    counts: dict[bytes, int] = {}
+
+    def counted() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()).cast(pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        counts.clear()
+        return made
+
+    for batch in by_bytes(batches, "text"):
+        for _, _, words in blocks(batch.column("text")):
             length = words.end - words.start
             some = np.flatnonzero((length >= 4) & (length <= 12))
             if not len(some):
@@ -247,7 +254,9 @@ def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 word = data[words.start[i]:words.end[i]]
                 if word.isalpha() and word.islower():
                     counts[word] = counts.get(word, 0) + k
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()).cast(pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        if len(counts) > _HELD_WORDS:
+            yield counted()
+    yield counted()
 
 
 def learn_language(docs: DataFrame, *, text: str = "text", dictionary: int = DICTIONARY) -> Language:
@@ -389,7 +398,7 @@ def scan_secrets(docs: DataFrame, model: tuple[Language, Forest], *, doc_id: str
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("path"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             ids, out = batch.column("doc_id").to_pylist(), []
             for row, data, a, z, p in _judged(batch.column("text"), batch.column("path").to_pylist(), shared.value, threshold):
                 out.append((ids[row], len(data[:a].decode("utf-8", "replace")), len(data[a:z].decode("utf-8", "replace")), hashlib.sha256(data[a:z]).hexdigest(), p))
@@ -405,7 +414,7 @@ def redact_secrets(docs: DataFrame, model: tuple[Language, Forest], *, text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, text):
             place, path = batch.schema.get_field_index(text), batch.schema.get_field_index(source)
             changed: dict[int, list] = {}
             for row, data, a, z, _ in _judged(batch.column(place), batch.column(path).cast(pa.string()).to_pylist(), shared.value, threshold):

@@ -7,11 +7,14 @@ mixed afterwards. Two independent hashes together identify a word or a sequence
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BLOCK_BYTES = 1 << 20
@@ -143,6 +146,28 @@ def blocks(texts: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES) ->
         row = stop
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int | str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of some ``limit`` bytes of a text column (a longer text is one of its own).
+
+    What a task makes of a batch is then as small as that, however many rows the engine sends at once. After the last
+    one, memory that is free in this process goes back to the system, as the process is kept for later tasks.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        texts = batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        row = done = 0
+        while row < batch.num_rows:
+            stop = min(batch.num_rows, max(row + 1, int(np.searchsorted(ends, done + limit, "right"))))
+            yield batch.slice(row, stop - row)
+            row, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and the offset of each row (one more than rows)."""
     texts = texts.cast(pa.large_string()).fill_null("")
