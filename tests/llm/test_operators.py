@@ -305,6 +305,25 @@ def test_targets_are_reached_and_shards_are_exact(spark, odd):
     assert mixing.mix_sources(odd.limit(0)).count() == 0
 
 
+CLASHING = ("_part", "_source", "_extra", "_full", "_tie", "_source2", "_block2", "_shards", "_copy", "_gone_id", "_gone_text", "_leak_id", "_leak_text", "_c0", "a.b")
+
+
+def with_clashing(df):
+    return df.select(*[F.lit(7 + i).alias(c) for i, c in enumerate(CLASHING)], "*")
+
+
+def test_columns_of_any_name_come_out_unchanged(spark, odd, prose):
+    docs = with_clashing(odd)
+    items = spark.createDataFrame([(1, prose[2])], "item_id long, text string")
+    plain = {"mix": lambda d: mixing.mix_sources(d), "groups": lambda d: neardup.one_of_each_group(d), "leaks": lambda d: decontaminate.without_leaks(d, items)}
+    for name, operator in plain.items():
+        got, want = operator(docs), operator(odd)
+        assert got.columns == [*CLASHING, *want.columns], name
+        rows = got.collect()
+        assert rows and all(tuple(r)[:len(CLASHING)] == tuple(range(7, 7 + len(CLASHING))) for r in rows), name
+        assert sorted((tuple(r)[len(CLASHING):] for r in rows), key=str) == sorted(map(tuple, want.collect()), key=str), name
+
+
 def test_quotas_of_the_splitting_tree(spark):
     quotas = spark.createDataFrame([("a", 1000), ("b", 300), (None, 51), ("c", 0), ("d", 2000)], "_source string, _draws long")
     cuts = {r["_source"]: r["_cuts"] for r in mixing.shard_cuts(quotas, 6, 1).collect()}
@@ -480,8 +499,9 @@ def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(90)]
     vectors += [(100, None), (101, [1.0, None, 2.0]), (102, [float("nan")] * 6), (103, [float("inf")] * 6), (104, []), (105, [2.0] * 9), (106, vectors[0][1]), (107, vectors[0][1]), (None, [1.0] * 6), (20, vectors[20][1])]
+    vectors += [(31, vectors[31][1])] * 9 + [(7, vectors[31][1])] + [(40, [0.5] * 6)] + [vectors[3]] * 2
     df = spark.createDataFrame([(i, v, "c") for i, v in vectors], "vec_id long, embedding array<float>, score string").repartition(4)
-    usable = {(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for q in sorted({i for i, _ in usable if i % 20 == 0}):
         found = sorted((-sum(a * b for a, b in zip(w, v)), i) for j, w in usable if j == q for i, v in usable if i != q)
@@ -490,3 +510,15 @@ def test_top_k_against_brute_force(spark):
         got = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, 7, candidate_block=block, query_block=3)
         assert collected(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=str)
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0, 7).count() == 0
+
+
+def test_top_k_of_large_components_and_hot_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [4e7, 0.0]), (2, [5e7, 0.0]), (4, [-1e17, 0.0]), (6, [-1e300, 0.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collected(topk.exact_top_k(df, F.col("vec_id") == 0, 5), "query_id", "rank", "vec_id", "score")
+    ends = [(0, 4, 4, -(1 << 63)), (0, 5, 6, -(1 << 63))]
+    assert got == sorted([(0, 1, 2, 204_800_000_000), (0, 2, 1, 163_840_000_000), (0, 3, 3, 0), *ends], key=str)
+    # One id with many rows is spread over blocks by its vectors.
+    hot = spark.range(600).select(F.lit(5).cast("long").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(0.0)).alias("embedding")).union(df.limit(1))
+    got = collected(topk.exact_top_k(hot, F.col("vec_id") == 0, 4, candidate_block=50), "query_id", "rank", "vec_id", "score")
+    assert got == sorted([(0, i + 1, 5, 64 * 64 * (599 - i)) for i in range(4)], key=str)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwork.llm.columns import Aside
 from tillwork.llm import sketch
 from tillwork.llm.text import U, Words, as_long, blocks, mix, window_hashes
 from tillwork.session import pin
@@ -191,7 +192,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
-    """The rows of ``docs`` without a leak, unchanged."""
+    """The rows of ``docs`` without a leak, unchanged; columns may have any names."""
+    aside = Aside(docs)
     leaks = find_leaks(docs, items, doc_id=doc_id, text=text, **names).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_text"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(text) == F.col("_leak_text"))
-    return docs.join(leaks, same, "left_anti")
+    same = F.col(aside.name(doc_id)).cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(aside.name(text)) == F.col("_leak_text"))
+    return aside.rows.join(leaks, same, "left_anti").select(*aside.back())

@@ -11,7 +11,7 @@ as many as its quota of a source says, and what is taken of a row is the sum of
 Cases: a null text has size 0; a null source is a source of its own and sorts last; a null id is hashed as the text
 "null". Documents of size 0 take part with 0 words. Rows that are equal in every column are kept apart, and which of
 them is taken at a cut is of no consequence. An empty table gives an empty result. Added columns replace input columns
-of the same name. Each row of the splitting tree holds one number per source, so sources must be nameable (thousands,
+of the same name; all other columns come out unchanged, whatever their names. Each row of the splitting tree holds one number per source, so sources must be nameable (thousands,
 not one per document).
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tillwork.llm.columns import Aside
 from tillwork.plans.global_order import with_running
 from tillwork.session import pin
 
@@ -171,10 +172,11 @@ def mix_sources(
 
     Inside a shard the copies stand in the order of their md5 key (``shuffle_key``).
     """
+    aside = Aside(docs)
+    doc_id, text, source = map(aside.name, (doc_id, text, source))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    added = ("size", "source_size", "target", "taken", "shards", "shuffle_key")
-    kept = [c for c in docs.columns if c not in added]
-    rows = docs.select(*kept, word_count(text).alias("size"), key.alias("shuffle_key"), F.col(source).alias("_source"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_tie"))
+    kept = aside.back("size", "source_size", "target", "taken", "shards", "shuffle_key")
+    rows = aside.rows.select("*", word_count(text).alias("size"), key.alias("shuffle_key"), F.col(source).alias("_source"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_tie"))
     ids = rows.select("_source", "size", "shuffle_key")
     n_rows = docs.count()
     digits = max(1, math.ceil(math.log(max(1, n_rows / block_rows), 16)))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tillwork.llm.columns import Aside
 from tillwork.llm.components import components
 from tillwork.llm.text import U, Words, as_long, blocks, mix, window_hashes
 from tillwork.session import pin
@@ -316,11 +317,13 @@ def near_duplicate_groups(
 def one_of_each_group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, unchanged: one of every group, and everything without a group.
 
-    Rows equal in id and text stay once.
+    Rows equal in id and text stay once. Columns may have any names.
     """
+    aside = Aside(docs)
     gone = near_duplicate_groups(docs, doc_id=doc_id, text=text, **options).where(~F.col("kept"))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_text"))
+    key, text_hash = F.col(aside.name(doc_id)).cast("long"), F.xxhash64(aside.name(text))
+    same = key.eqNullSafe(F.col("_gone_id")) & (text_hash == F.col("_gone_text"))
     # The join has brought rows of one id and text together.
-    copy = W.partitionBy(F.col(doc_id).cast("long"), F.xxhash64(text)).orderBy(F.lit(1))
-    return docs.join(gone, same, "left_anti").withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").drop("_copy")
+    copy = W.partitionBy(key, text_hash).orderBy(F.lit(1))
+    return aside.rows.join(gone, same, "left_anti").withColumn("_copy", F.row_number().over(copy)).where("_copy = 1").select(*aside.back())
