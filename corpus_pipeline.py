@@ -26,8 +26,11 @@ _SCORE = "__quality_score"
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = labels.where(F.coalesce(fold_of(F.col("doc_id"), 5) != 0, F.lit(True)))
-    scored = score_quality(docs, fit_quality(docs, labels), keep=docs.columns, name=_SCORE)
-    return scored.where(F.col(_SCORE) >= LEAST_QUALITY).drop(_SCORE)
+    score = _SCORE
+    while score in map(str.lower, docs.columns):
+        score += "_"
+    scored = score_quality(docs, fit_quality(docs, labels), keep=docs.columns, name=score)
+    return scored.where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
