@@ -387,6 +387,65 @@ def test_html_main_text(spark, extractor, prose):
     assert html.extract_main_text(df.limit(0), extractor).count() == 0
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<p title=it's>A</p><p>B</p>", ["A", "B"]),
+    ('<p title="x>A</p><p>B</p>', ["A", "B"]),
+    ("<p title='>A</p><p a=\"b>c\">B</p>", ["A", "B"]),
+    ('<p a"b=c d=\'x>y\'>A</p><p =">">B', ["A", '">B']),
+    ("A<!--><p>B</p><p>C</p>", ["A", "B", "C"]),
+    ("A<!---><p>B</p><!-- <p>no</p> --><p>C</p>", ["A", "B", "C"]),
+    ("<p>A<!-- a > b -- c --!>B</p></><p>C</ no>", ["AB", "C"]),
+    ("<p>x <math><mi>y</mi></math> z</p>", ["x y z"]),
+    ("<p>A</p><svg><path d='M0 0'/><p>B</p>", ["A", "B"]),
+    ("<object data=x><p>A</p></object><video src=y>B</video><template><p>C</p></template>", ["A", "B", "C"]),
+    ("<script src=/a/>no</script><p>A</p>", ["A"]),
+    ("<p>1 < 2 and 3 <4</p><p>a<b</p>", ["1 < 2 and 3 <4", "a"]),
+    ("<p class=a/b>A</p><div/>B", ["A", "B"]),
+])
+def test_html_parser_on_broken_markup(page, texts):
+    assert html.parse(page).texts == texts
+
+
+def test_html_parser_against_events_of_another():
+    from html.parser import HTMLParser
+
+    class Events(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words = []
+
+        def handle_data(self, data):
+            self.words.append(data)
+
+        def handle_starttag(self, tag, attrs):
+            self.words.append("" if tag in ("b", "i", "a", "span", "math") else " ")
+
+        def handle_endtag(self, tag):
+            self.words.append("" if tag in ("b", "i", "a", "span", "math") else " ")
+
+    rng = np.random.default_rng(12)
+    attributes = ["", " a=b", " a='b>c'", ' a="b>c"', " a = it's", " a=x\"y", " hidden", " a='' b=\"\"", " /", " data-x=a=b", " =a"]
+    for _ in range(300):
+        page = []
+        for i in range(int(rng.integers(1, 12))):
+            tag = ("p", "div", "b", "i", "span", "a", "li", "td", "section", "math")[int(rng.integers(10))]
+            inside = (f"w{i}", f"w{i} &amp; x", "<!-- <p>c</p> -->", "1 < 2", "", f"a{i}\nb")[int(rng.integers(6))]
+            page.append(f"<{tag}{attributes[int(rng.integers(len(attributes)))]}>{inside}</{tag}>")
+        page = "".join(page)
+        events = Events()
+        events.feed(page), events.close()
+        assert " ".join(html.parse(page).texts).split() == "".join(events.words).split(), page
+
+
+def test_html_parser_takes_long_pages_in_linear_time():
+    import time
+
+    for unit in ("<p a='", '<p a="x>y', "<!-", "</", "<p a=b ", "a<b", "<p\n", "<svg>", "&lt;"):
+        start = time.monotonic()
+        html.parse(unit * (300_000 // len(unit)))
+        assert time.monotonic() - start < 10, unit
+
+
 def test_html_layouts_held_out(prose, extractor):
     rng = np.random.default_rng(99)
     words = " ".join(prose).split()

@@ -37,13 +37,19 @@ _BLOCKS = {
     "table": "table", "thead": "table", "tbody": "table", "tfoot": "table", "tr": "table", "td": "cell", "th": "cell", "caption": "cell", "article": "article", "main": "article",
     "nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "section": "section", "div": "div", "center": "div", "body": "body", "html": "body",
     "blockquote": "quote", "pre": "quote", "figure": "quote", "figcaption": "quote", "address": "footer", "form": "form", "fieldset": "form", "legend": "form", "label": "form",
-    "button": "form", "option": "form", "optgroup": "form", "details": "section", "summary": "h", "dialog": "notice", "hgroup": "section",
+    "button": "form", "option": "form", "optgroup": "form", "select": "form", "details": "section", "summary": "h", "dialog": "notice", "hgroup": "section",
 }
-_RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "svg", "math", "object", "noframes", "xmp", "canvas", "audio", "video", "select"}
+_RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "noframes"}
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": set()}
 _INSIDE_P = {"label", "button", "option", "optgroup", "legend"}
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S)
+# Comments, other declarations, tags. A quote opens a value only right behind "="; one that is never closed is part of a
+# value without quotes.
+_TAG = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|"""
+    r"""<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>]*+))?+)*+)(?:>|\Z)""",
+    re.S)
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -135,7 +141,7 @@ def parse(html: str) -> Page:
             continue
         name = name.lower()
         if name in _RAW and not m[1]:
-            if not m[3].endswith("/"):
+            if not _SELF_CLOSED.search(m[3]):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|</{re.escape(name)}\Z", re.I).search(html, at)
                 at = end.end() if end else n
             pieces.append(" ")
@@ -167,7 +173,7 @@ def parse(html: str) -> Page:
             if name[0] == "h" and stack[-1][0][0] == "h" and name != "header" and _BLOCKS[name] == "h" == _BLOCKS.get(stack[-1][0]):
                 del stack[-1]
             node = page.add(stack[-1][1], _KIND_OF[name], _cues(m[3]) if m[3] else 0)
-            if not m[3].endswith("/"):
+            if not _SELF_CLOSED.search(m[3]):
                 stack.append((name, node))
         elif name in ("br", "hr", "img", "input", "wbr"):
             if name == "hr":
