@@ -57,8 +57,11 @@ _KEY_LINES = re.compile(rb"(?:\s+(?:(?:Proc-Type|DEK-Info|Version|Comment|Charse
 _LONG_BLOCK = 20_000  # beyond, the words between the marks must be long, as those of keys are
 _ASSIGNED = re.compile(rb"(?i)(passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[\w\-]*[\"']?\s*(?:[:=]|=>|:=)?\s*[\"'(]?$")
 _GIVEN = re.compile(
-    rb"(?:(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[\w\-]*[\"']?\s+|[:=]>?\s*)([\"'(]?)(?![\s:=])")
+    rb"((?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)[\w\-]*+)([\"']?\s++)?|[:=]>?\s*+")
 _GIVEN_END = re.compile(rb"[\s\"']")
+_SEPARATOR = re.compile(rb"[;,&|\s\"']")
+_NEXT = re.compile(rb"[:=;,&|\s\"']")
+_NO_VALUE = frozenset(b" \t\n\r\f\v:=")
 _OPERATOR = re.compile(rb"[:=>]\s*[\"'(]?$")
 _HARMLESS = re.compile(rb"(?i)\b(commit|sha\d*|md5|checksum|digest|hash|revision|rev|uuid|guid|etag|version|build|id|ref)\W{0,4}$")
 _EXAMPLE = re.compile(rb"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|test|fake|redacted|todo")
@@ -69,6 +72,7 @@ _CODE_PATH = re.compile(r"(?i)\.(env|ya?ml|json|ini|cfg|conf|py|js|ts|go|java|rb
 _HEX = re.compile(rb"^[0-9a-f]+$|^[0-9A-F]+$")
 _UUID = re.compile(rb"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_LETTER_RUN = re.compile(rb"[a-z]{4,}")
 
 FEATURES = (
     "length", "log_length", "class_changes", "pair_surprise", "entropy", "digits", "uppers", "others", "hex", "hex_key_length", "dictionary", "longest_letters",
@@ -82,6 +86,7 @@ class Language:
 
     def __init__(self, words: list[tuple[str, int]]):
         self.words = frozenset(w.encode() for w, _ in words)
+        self.beginnings = frozenset(w[:4] for w in self.words)
         pairs = np.ones((27, 27))
         for word, n in words:
             codes = [ord(c) - 96 for c in word]
@@ -91,16 +96,18 @@ class Language:
 
     def coverage(self, value: bytes) -> float:
         """Share of the characters in dictionary words, longest first from the left."""
-        low, at, covered = value.lower(), 0, 0
-        while at < len(low) - 3:
-            for n in range(min(12, len(low) - at), 3, -1):
-                if low[at:at + n] in self.words:
-                    covered += n
-                    at += n
-                    break
-            else:
+        covered = 0
+        for run in _LETTER_RUN.findall(value.lower()):
+            at = 0
+            while at < len(run) - 3:
+                if run[at:at + 4] in self.beginnings:
+                    for n in range(min(12, len(run) - at), 3, -1):
+                        if run[at:at + n] in self.words:
+                            covered += n
+                            at += n - 1
+                            break
                 at += 1
-        return covered / max(1, len(low))
+        return covered / max(1, len(value))
 
 
 def describe(path: str, before: bytes, value: bytes, after: bytes, language: Language) -> list[float]:
@@ -164,27 +171,68 @@ def candidates(words, data: bytes) -> Iterator[tuple[int, int, int]]:
 
 
 def _prefixed(data: bytes, first: int, stop: int) -> Iterator[tuple[int, int]]:
-    """Values that begin as a known kind of key."""
-    for m in _PREFIX.finditer(data, first, stop):
-        a = m.start()
-        if a == first or not data[a - 1:a].isalnum():
+    """Values that begin as a known kind of key: the first of a run of key characters with all of the run, and each
+    up to the next that begins so."""
+    starts = [m.start() for m in _PREFIX.finditer(data, first, stop) if m.start() == first or not data[m.start() - 1:m.start()].isalnum()]
+    end = first
+    for a, following in zip(starts, [*starts[1:], stop]):
+        ends = {min(following, end)}
+        if a >= end:
             value = _VALUE.match(data, a, stop)
-            if value and len(data[a:value.end()].rstrip(b".-")) >= 8:
-                yield a, a + len(data[a:value.end()].rstrip(b".-"))
+            end = value.end() if value else a
+            ends = {min(following, end), end}
+        for z in ends:
+            z = a + len(data[a:z].rstrip(b".-"))
+            if z - a >= 8:
+                yield a, z
 
 
 def _given(data: bytes, first: int, stop: int) -> Iterator[tuple[int, int]]:
-    """Values behind an operator or a word that names a secret, up to the closing quote or space."""
-    at = first
+    """Values behind an operator or a word that names a secret.
+
+    A quoted value ends at its closing quote in the line. Of the values of one run without quotes and spaces, the first
+    takes all of the run. The run is cut at ";", ",", "&" and "|": the first value of a piece, and the first behind a word
+    that names a secret, take the rest of the piece, others end before the next operator. So the bytes of all
+    candidates stay in proportion to the text, however many operators it has.
+    """
+    at, run, piece, named_in, word = first, first, first, first, -1
     while (m := _GIVEN.search(data, at, stop)) is not None:
-        a, quote, at = m.end(), m[1], max(m.end() - len(m[1]), m.start() + 1)
-        z = data.find(quote, a, stop) if quote in (b'"', b"'") and quote else -1
-        line = data.find(b"\n", a, z) if z >= 0 else -1
-        if z < 0 or line >= 0:
+        at = a = m.end()
+        if m[1] is not None and m[2] is None:
+            word = m.end()
+            continue
+        named = m[1] is not None or 0 <= m.start() - word <= 1
+        quote = data[a:a + 1] if a < stop and data[a] in b"\"'(" else b""
+        if quote and a + 1 < stop and data[a + 1] in _NO_VALUE:
+            quote = b""
+        a += len(quote)
+        if a >= stop or data[a] in _NO_VALUE:
+            continue
+        if quote in (b'"', b"'") and quote:
+            z = data.find(quote, a, stop)
+            if z >= 0 and data.find(b"\n", a, z) < 0:
+                if z - a >= 8:
+                    yield a, z
+                continue
+        ends = []
+        if a >= run:
             end = _GIVEN_END.search(data, a, stop)
-            z = a + len(data[a:end.start() if end else stop].rstrip(b".,;:)]}>"))
-        if z - a >= 8:
-            yield a, z
+            run = end.start() if end else stop
+            ends.append(run)
+        if a >= piece:
+            end = _SEPARATOR.search(data, a, run)
+            piece = end.start() if end else run
+            ends.append(piece)
+        if named and a >= named_in:
+            named_in = piece
+            ends.append(piece)
+        if not ends:
+            end = _NEXT.search(data, a, piece)
+            ends.append(end.start() if end else piece)
+        for z in set(ends):
+            z = a + len(data[a:z].rstrip(b".,;:)]}>"))
+            if z - a >= 8:
+                yield a, z
 
 
 def _key_blocks(data: bytes, first: int, stop: int) -> Iterator[tuple[int, int]]:
