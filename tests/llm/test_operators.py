@@ -205,6 +205,14 @@ def test_secrets_of_every_shape_are_candidates():
     assert set(enumerate([*shapes, *blocks_])) <= found
 
 
+def test_the_dictionary_holds_the_most_frequent_words(spark):
+    counts = Counter({f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}": 1 + i * i // 40 for i in range(100)})
+    docs = spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate(counts.items())], "doc_id long, text string").repartition(5)
+    for size in (1, 7, 30, 99, 200):
+        want = sorted(counts, key=lambda w: (-counts[w], w))[:size]
+        assert secrets.learn_language(docs, dictionary=size).words == {w.encode() for w in want}
+
+
 def found_in(text):
     import pyarrow as pa
 

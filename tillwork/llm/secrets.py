@@ -308,10 +308,20 @@ def _plain_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_language(docs: DataFrame, *, text: str = "text", dictionary: int = DICTIONARY) -> Language:
-    """The most frequent plain words, counted over all texts (ties by word)."""
+    """The most frequent plain words, counted over all texts (ties by word).
+
+    Counts fall into bins of a sixteenth of an octave, so that only words of the bins that can win are put in order; the
+    driver gets the bins and the dictionary.
+    """
     counts = docs.select(F.col(text).alias("text")).mapInArrow(_plain_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counts.orderBy(F.col("n").desc(), "word").limit(dictionary).collect()
-    return Language([(r["word"], r["n"]) for r in best])
+    counts = pin(counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "secrets-words")
+    least = held = 0
+    for r in sorted(counts.groupBy("bin").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        least, held = r["bin"], held + r["words"]
+        if held >= dictionary:
+            break
+    best = pin(counts.where(F.col("bin") >= least).orderBy(F.col("n").desc(), "word").limit(dictionary), "secrets-dictionary")
+    return Language([(r["word"], r["n"]) for r in best.collect()])
 
 
 def _generated(rng: np.random.Generator) -> bytes:
