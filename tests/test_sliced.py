@@ -116,3 +116,25 @@ def test_whole_number_keys_have_the_same_rule(spark):
     want = {r["k"]: r["s"] for r in df.select("k", tables.hash_slice(F.col("k"), 5).alias("s")).collect()}
     got = {r["k"]: i for i, p in enumerate(tables.hash_predicates("k", 5)) for r in spark.sql(f"SELECT k FROM numbered WHERE {p}").collect()}
     assert got == want
+
+
+def test_many_small_slices_are_few_partitions(spark, timed, tmp_path):
+    """The number of partitions, and so of passes over rows in no order, does not grow with the number of slices."""
+    table, most = spark.read.parquet(timed), 2 * spark.sparkContext.defaultParallelism
+    got = sliced.read_time_slices(spark, timed, "ts", ["id"], target=2, number="part")
+    assert got.columns == ["id", "ts", "part"] and got.rdd.getNumPartitions() <= most
+    rows = got.collect()
+    assert sorted((r["id"], r["ts"]) for r in rows) == sorted(map(tuple, table.select("id", "ts").collect()))
+    assert all(r["part"] == (0 if r["ts"] is None else (r["ts"] - DAY) // dt.timedelta(minutes=12)) for r in rows)
+    a, b = DAY + dt.timedelta(hours=30), DAY + dt.timedelta(hours=51)
+    args = (spark, timed, "ts", ["id"], 5, a, b)
+    plain = sliced.read_time_slices(*args).withColumn("part", F.spark_partition_id())
+    some = sliced.read_time_slices(*args, number="part").where("part > 3")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, plain.where("part > 3").collect())) and some.count() > 200
+    keys = [(i * i, str(i)) for i in range(-30, 200)] + [(None, "none")]
+    path = str(tmp_path / "n")
+    spark.createDataFrame(keys, "k long, v string").repartition(4).write.parquet(path)
+    plain = sliced.read_number_slices(spark, path, "k", target=2).withColumn("part", F.spark_partition_id())
+    packed = sliced.read_number_slices(spark, path, "k", target=2, number="part")
+    assert plain.rdd.getNumPartitions() == 115 and packed.rdd.getNumPartitions() <= most
+    assert sorted(map(tuple, packed.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)

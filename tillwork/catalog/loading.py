@@ -127,15 +127,15 @@ def partitioned_read_hash(t):
         F.count(F.lit(1)).alias("n_rows"), exact_sum("l_extendedprice").cast("double").alias("total"))
 
 
-# Slices that are read: each is one partition of the scan.
+# Slices that are read: a partition of the scan is a run of them.
 @query("sliced_read_time", f"""WITH s AS (SELECT date_trunc('day', min(ts)) AS a, max(ts) + INTERVAL 1 MICROSECOND AS b, count(*) AS n FROM events),
 w AS (SELECT a, 86400 // least(86400, greatest(1, CAST(ceil(floor(n / (1 + (epoch_us(b) - epoch_us(a)) // 86400000000)) / 100) AS BIGINT))) AS secs FROM s)
 SELECT CAST((epoch_us(ts) - epoch_us(a)) // (secs * 1000000) AS INT) AS slice, count(*) AS n_rows, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS first_at,
   strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%f') AS last_at, CAST({msum('value')} AS DOUBLE) AS total FROM events, w GROUP BY 1""")
 def sliced_read_time(t):
-    rows = sliced.read_time_slices(t.spark, f"{t.root}/events.parquet", "ts", ["ts", "value"], target=100)
+    rows = sliced.read_time_slices(t.spark, f"{t.root}/events.parquet", "ts", ["ts", "value"], target=100, number="slice")
     at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return rows.groupBy(F.spark_partition_id().alias("slice")).agg(
+    return rows.groupBy("slice").agg(
         F.count(F.lit(1)).alias("n_rows"), at(F.min("ts")).alias("first_at"), at(F.max("ts")).alias("last_at"), exact_sum("value").cast("double").alias("total"))
 
 
@@ -145,8 +145,8 @@ SELECT CAST(slice AS INT) AS slice, count(*) AS n_rows, CAST({msum('l_extendedpr
 FROM lineitem, (SELECT a + (b + 1 - a) * i // n AS low, a + (b + 1 - a) * (i + 1) // n AS high, i AS slice FROM (SELECT *, unnest(range(n)) AS i FROM w))
 WHERE l_orderkey >= low AND l_orderkey < high GROUP BY 1""")
 def sliced_read_number(t):
-    rows = sliced.read_number_slices(t.spark, f"{t.root}/lineitem.parquet", "l_orderkey", ["l_extendedprice"], target=5000)
-    return rows.groupBy(F.spark_partition_id().alias("slice")).agg(F.count(F.lit(1)).alias("n_rows"), exact_sum("l_extendedprice").cast("double").alias("total"))
+    rows = sliced.read_number_slices(t.spark, f"{t.root}/lineitem.parquet", "l_orderkey", ["l_extendedprice"], target=5000, number="slice")
+    return rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n_rows"), exact_sum("l_extendedprice").cast("double").alias("total"))
 
 
 @query("sliced_read_hash", f"""SELECT {bucket('c_name', 7)}::INT AS slice, count(*) AS n_rows, CAST(sum(c_custkey) AS BIGINT) AS total FROM customer GROUP BY 1""")

@@ -6,6 +6,9 @@ groups that do not. A bucket cannot be told from the outside of a file: such tab
 slice then opens the files of its own folder. For databases the same slices are predicates (``tables.TimeSlices`` and
 ``tables.hash_predicates``).
 
+Many small ranges can be read with their number as a column: a partition then holds a run of neighbouring slices, so that files
+are opened, and rows that lie in no order are passed, once per partition instead of once per slice.
+
 Slices together are the table once. Rows without a value (or key) belong to the first slice. The files are read with
 pyarrow, so their store must be one that it knows (local, S3, GCS, HDFS).
 """
@@ -17,6 +20,7 @@ import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
@@ -28,7 +32,7 @@ from pyspark.sql.datasource import (
     LessThan, LessThanOrEqual,
 )
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tillwork.session import fresh_path
 from tillwork.sources.tables import ROWS_PER_SLICE, TimeSlices, hash_slice
@@ -39,12 +43,16 @@ PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 @dataclass
 class Slice(InputPartition):
-    """Files that may hold rows of the slice, and the range [low, high) of its column (None: no bound there)."""
+    """Files that may hold rows of the slice, and the range [low, high) of its column (None: no bound there).
+
+    A run of numbered slices has ``cuts``: (base, span, n, first, last); slice i begins at base + span * i // n, times in microseconds.
+    """
 
     files: list[str]
     low: object = None
     high: object = None
     nulls: bool = False
+    cuts: Sequence[int] | None = None
 
 
 def _plain(value: object) -> object:
@@ -52,8 +60,8 @@ def _plain(value: object) -> object:
 
 
 class SlicedReader(DataSourceReader):
-    def __init__(self, schema: StructType, column: str | None, slices: list[Slice]):
-        self.schema, self.column, self.slices, self.where = schema, column, slices, []
+    def __init__(self, schema: StructType, column: str | None, slices: list[Slice], number: str | None = None):
+        self.schema, self.column, self.slices, self.number, self.where = schema, column, slices, number, []
 
     def partitions(self) -> Sequence[InputPartition]:
         # An empty table still has to have a partition.
@@ -108,12 +116,25 @@ class SlicedReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         schema, condition = to_arrow_schema(self.schema), self.condition(partition)
+        stored = [name for name in schema.names if name != self.number]
         for fragment in self.fragments(partition):
-            for batch in fragment.to_batches(columns=schema.names, filter=condition):
+            for batch in fragment.to_batches(columns=stored, filter=condition, batch_readahead=2):
                 if batch.num_rows:
+                    if self.number:
+                        batch = batch.append_column(self.number, slice_numbers(batch.column(self.column), partition.cuts))
                     yield batch.select(schema.names).cast(schema)
 
 
+def slice_numbers(values: pa.Array, cuts: Sequence[int]) -> pa.Array:
+    """The number of each value's slice; 0 without a value."""
+    base, span, n, first, last = cuts
+    if pa.types.is_temporal(values.type):
+        values = values.cast(pa.timestamp("us", getattr(values.type, "tz", None))).cast(pa.int64())
+    begins = np.array([base + span * i // n for i in range(first, last)], np.int64)
+    found = first - 1 + np.searchsorted(begins, values.fill_null(base).to_numpy(zero_copy_only=False), "right")
+    return pc.if_else(values.is_null(), pa.scalar(0, pa.int32()), pa.array(found, pa.int32()))
+
+
 class PushingReader(SlicedReader):
     """The same with filters of the query taken over: compared columns are checked while reading, and slices are left out."""
 
@@ -123,7 +144,7 @@ class PushingReader(SlicedReader):
         for f in filters:
             kind = self.KINDS.get(type(f))
             value = getattr(f, "value", None)
-            odd = kind is None or isinstance(f, EqualNullSafe) or len(f.attribute) != 1 or isinstance(value, float)
+            odd = kind is None or f.attribute[0] == self.number or isinstance(f, EqualNullSafe) or len(f.attribute) != 1 or isinstance(value, float)
             if odd or (kind == "in" and any(v is None for v in value)) or (isinstance(value, dt.datetime) and value.tzinfo):
                 yield f
             else:
@@ -131,7 +152,8 @@ class PushingReader(SlicedReader):
 
 
 class SlicedSource(DataSource):
-    """Options: ``column`` (of ranges), ``slices`` (JSON: files, low, high, nulls of each), ``pushdown`` (true or false)."""
+    """Options: ``column`` (of ranges), ``slices`` (JSON: files, low, high, nulls, cuts of each), ``pushdown`` (true or false),
+    ``number`` (the column of slice numbers, if wanted)."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,15 +161,18 @@ class SlicedSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         kind = PushingReader if self.options.get("pushdown") == "true" else SlicedReader
-        return kind(schema, self.options.get("column") or None, [Slice(*x) for x in json.loads(self.options["slices"])])
+        return kind(schema, self.options.get("column") or None, [Slice(*x) for x in json.loads(self.options["slices"])],
+                    self.options.get("number") or None)
 
 
-def read_slices(spark: SparkSession, schema: StructType, slices: Sequence[Slice], column: str | None = None) -> DataFrame:
-    """One partition per slice, in their order. Filters are pushed if the session allows it for Python sources."""
+def read_slices(spark: SparkSession, schema: StructType, slices: Sequence[Slice], column: str | None = None, number: str | None = None) -> DataFrame:
+    """One partition per slice (or run of numbered slices), in their order. Filters are pushed if the session allows it for Python sources."""
     spark.dataSource.register(SlicedSource)
-    told = json.dumps([[s.files, _plain(s.low), _plain(s.high), s.nulls] for s in slices])
+    told = json.dumps([[s.files, _plain(s.low), _plain(s.high), s.nulls, s.cuts] for s in slices])
+    if number:
+        schema = StructType([*schema.fields, StructField(number, IntegerType())])
     pushdown = (spark.conf.get(PUSHDOWN, "false") or "false").lower()
-    return spark.read.format(NAME).schema(schema).option("slices", told).option("pushdown", pushdown).option("column", column or "").load()
+    return spark.read.format(NAME).schema(schema).option("slices", told).option("pushdown", pushdown).option("column", column or "").option("number", number or "").load()
 
 
 # Ranges ------------------------------------------------------------------------------------------------------------
@@ -168,9 +193,27 @@ def range_slices(files: Sequence, bounds: Sequence[tuple], with_nulls: bool = Tr
     return out
 
 
+def numbered_runs(files: Sequence, base: int, span: int, n: int, runs: int, value=lambda x: x, with_nulls: bool = True, end: object = None) -> list[Slice]:
+    """Slices 0 .. n-1 in at most ``runs`` runs of neighbours; ``value`` makes a value of the column from a cut."""
+    edges = [n * i // min(n, runs) for i in range(min(n, runs) + 1)]
+    bounds = [(value(base + span * a // n), value(base + span * b // n)) for a, b in zip(edges[:-1], edges[1:])]
+    bounds[-1] = (bounds[-1][0], bounds[-1][1] if end is None else end)
+    out = range_slices(files, bounds, with_nulls)
+    for s, a, b in zip(out, edges[:-1], edges[1:]):
+        s.cuts = (base, span, n, a, b)
+    return out
+
+
+def _runs(spark: SparkSession) -> int:
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def read_time_slices(spark: SparkSession, path: str, column: str, columns: Sequence[str] | None = None, target: int = ROWS_PER_SLICE,
-                     start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
-    """A Parquet table, or its rows in [start, end), in equal slices of time of about ``target`` rows."""
+                     start: dt.datetime | None = None, end: dt.datetime | None = None, number: str | None = None) -> DataFrame:
+    """A Parquet table, or its rows in [start, end), in equal slices of time of about ``target`` rows.
+
+    A partition per slice; with ``number`` a partition holds a run of slices, and the column of that name has the slice of a row.
+    """
     table = spark.read.parquet(path)
     files = file_ranges(table, column)
     spans = [f for f in files if f["low"] is not None]
@@ -180,20 +223,33 @@ def read_time_slices(spark: SparkSession, path: str, column: str, columns: Seque
         low, high = min(f["low"] for f in spans), max(f["high"] for f in spans)
     a = start or dt.datetime.combine(low.date(), dt.time())
     b = end or high + dt.timedelta(microseconds=1)
-    bounds = TimeSlices.plan(a, b, sum(f["n"] for f in files), target).bounds() or [(a, max(a, b))]
-    slices = range_slices(files, bounds, with_nulls=start is None and end is None)
-    return read_slices(spark, _wanted(table, columns, column), slices, column)
+    plan, every = TimeSlices.plan(a, b, sum(f["n"] for f in files), target), start is None and end is None
+    if number:
+        zero, micro = dt.datetime(1970, 1, 1), dt.timedelta(microseconds=1)
+        n = max(1, -((a - b) // dt.timedelta(seconds=plan.seconds)))
+        slices = numbered_runs(files, (a - zero) // micro, plan.seconds * 1_000_000 * n, n, _runs(spark), lambda x: zero + x * micro, every, max(a, b))
+    else:
+        slices = range_slices(files, plan.bounds() or [(a, max(a, b))], with_nulls=every)
+    return read_slices(spark, _wanted(table, columns, column), slices, column, number)
+
 
+def read_number_slices(spark: SparkSession, path: str, column: str, columns: Sequence[str] | None = None, target: int = ROWS_PER_SLICE,
+                       number: str | None = None) -> DataFrame:
+    """A Parquet table in equal ranges of an integer column, of about ``target`` rows if its values are spread evenly.
 
-def read_number_slices(spark: SparkSession, path: str, column: str, columns: Sequence[str] | None = None, target: int = ROWS_PER_SLICE) -> DataFrame:
-    """A Parquet table in equal ranges of an integer column, of about ``target`` rows if its values are spread evenly."""
+    A partition per slice; with ``number`` a partition holds a run of slices, and the column of that name has the slice of a row.
+    """
     table = spark.read.parquet(path)
     files = file_ranges(table, column)
     spans = [f for f in files if f["low"] is not None]
     low, high = (min(f["low"] for f in spans), max(f["high"] for f in spans)) if spans else (0, 0)
     n = max(1, min(high - low + 1, sum(f["n"] for f in files) // target))
-    cuts = [low + (high + 1 - low) * i // n for i in range(n + 1)]
-    return read_slices(spark, _wanted(table, columns, column), range_slices(files, list(zip(cuts[:-1], cuts[1:]))), column)
+    if number:
+        slices = numbered_runs(files, low, high + 1 - low, n, _runs(spark))
+    else:
+        cuts = [low + (high + 1 - low) * i // n for i in range(n + 1)]
+        slices = range_slices(files, list(zip(cuts[:-1], cuts[1:])))
+    return read_slices(spark, _wanted(table, columns, column), slices, column, number)
 
 
 def _wanted(table: DataFrame, columns: Sequence[str] | None, column: str) -> StructType:
