@@ -221,3 +221,22 @@ def test_top_k_of_text_ids(spark):
         found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows)[:5]
         want += [(q, i, -s, rank) for rank, (s, i) in enumerate(found, 1)]
     assert sorted((r["query_id"], r["item_id"], r["score"], r["rank_no"]) for r in got) == sorted(want)
+
+
+def test_steps_are_found_backwards_and_not_joined_with_what_was_bought(spark):
+    a, b, keys = 7, 9, [f"k{i}" for i in range(negatives.ROUNDS)]
+    rows = spark.range(a * b).withColumnRenamed("id", "step").withColumns({k: F.lit(1_000_003 * i + 17) for i, k in enumerate(keys)})
+    there = negatives.with_shuffled_place(rows, "step", keys, a, b, "place")
+    back = negatives.with_step_of(there, "place", keys, a, b, "again").collect()
+    assert sorted(r["place"] for r in back) == list(range(a * b)) and all(r["again"] == r["step"] for r in back)
+    bought = spark.createDataFrame([(c, p) for c in range(5) for p in range(c, 40, 7)], "customer_id long, product_id long")
+    items = spark.range(37).withColumnRenamed("id", "product_id")
+    found = negatives.sample_negatives(bought, items, chunk=8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "row_number" not in plan
+    pairs = {(r["customer_id"], r["product_id"]) for r in bought.collect()}
+    got = [tuple(r) for r in found.collect()]
+    for c in range(5):
+        mine = [g for g in got if g[0] == c]
+        own = len([p for x, p in pairs if x == c and p < 37])
+        assert sorted(g[2] for g in mine) == list(range(1, min(4 * own, 37 - own) + 1)) and not pairs & {g[:2] for g in mine}

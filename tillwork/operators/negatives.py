@@ -40,6 +40,19 @@ def with_shuffled_place(df: DataFrame, step: str, keys: list[str], a: int, b: in
     return out.withColumn(name, F.coalesce(F.col(sides[0]) * b + F.col(sides[1]), F.lit(-1))).drop(*sides, f"{name}_v")
 
 
+def with_step_of(df: DataFrame, place: str, keys: list[str], a: int, b: int, name: str) -> DataFrame:
+    """The inverse of ``with_shuffled_place``: the step that leads to a place."""
+    sides = [f"{name}_left", f"{name}_right"]
+    out = df.withColumns({sides[0]: F.floor(F.col(place) / b), sides[1]: F.pmod(place, F.lit(b))})
+    for i, key in reversed(list(enumerate(keys))):
+        mine, other, size = sides[i % 2], sides[1 - i % 2], (a, b)[i % 2]
+        v = F.col(f"{name}_v")
+        out = out.withColumn(f"{name}_v", F.pmod(F.col(other) * 40503 + F.col(key), F.lit(2147483647)))
+        mixed = F.floor(F.pmod(F.pmod(v * v, F.lit(2147483647)) * 48271, F.lit(2147483647)) / 16)
+        out = out.withColumn(mine, F.pmod(F.col(mine) - mixed, F.lit(size)))
+    return out.withColumn(name, F.coalesce(F.col(sides[0]) * b + F.col(sides[1]), F.lit(-1))).drop(*sides, f"{name}_v")
+
+
 def _number(salt: str, what: str, customer: str) -> Column:
     return hash_number(F.concat(F.lit(f"{salt}_{what}_"), F.col(customer).cast("string")))
 
@@ -60,8 +73,10 @@ def sample_negatives(
     first (ratio + 1) * p steps inside the catalogue meet at most p products of a customer with p positives, so they
     hold enough negatives (or the whole catalogue). The work is proportional to the positives.
 
-    Walks are cut into chunks of bounded length, which are spread over tasks; the negatives are numbered
-    inside a chunk, and only the counts of the chunks of long walks are added up per customer.
+    Walks are cut into chunks of bounded length, which are spread over tasks. The permutation is read backwards to find the
+    steps that meet a bought product; they are taken out of a chunk before it is unfolded, so that neither steps nor
+    negatives are joined with what was bought. Negatives are numbered inside a chunk, and only the counts of the chunks of
+    long walks are added up per customer.
     """
     listed = pin(with_running(catalog.select(product).distinct(), [F.col(product).asc()], position="_place"),
                  "catalog")
@@ -73,32 +88,40 @@ def sample_negatives(
         return bought.withColumn("neg_rank", F.lit(None).cast("bigint")).limit(0)
     rows, columns = grid(size)
     spare = rows * columns - size
-    walks = bought.groupBy(customer).agg(F.count(F.lit(1)).alias("_p")).select(
+    # Written: read for the chunks, the steps to pass over and long walks, and its hashes stay out of the code of the rounds.
+    walks = pin(bought.groupBy(customer).agg(F.count(F.lit(1)).alias("_p")).select(
         customer, "_p", F.least(F.col("_p") * (ratio + 1) + spare, F.lit(size + spare).cast("bigint")).alias("_length"),
-        *[_number(salt, f"key{i}", customer).alias(f"_key{i}") for i in range(ROUNDS)])
+        *[_number(salt, f"key{i}", customer).alias(f"_key{i}") for i in range(ROUNDS)]), "walks")
+    keys = [f"_key{i}" for i in range(ROUNDS)]
+    # Steps to pass over: those of bought products, and of the few places past the end.
+    places = bought.join(listed, product).select(customer, (F.col("_place") - 1).alias("_at"))
+    if spare:
+        past = F.explode(F.sequence(F.lit(size).cast("bigint"), F.lit(size + spare - 1).cast("bigint")))
+        places = places.unionByName(walks.select(customer, past.alias("_at")))
+    met, inside = with_step_of(places.join(walks, customer), "_at", keys, rows, columns, "_step"), F.col("_step") < F.col("_length")
+    # No filter: it would be pushed below the rounds and doubled by each. Steps past a walk's end are one empty row per customer.
+    chunk_of = F.when(inside, F.floor(F.col("_step") / chunk).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
+    passed = met.groupBy(customer, chunk_of.alias("_chunk")).agg(F.collect_list(F.when(inside, F.col("_step"))).alias("_passed"))
 
     def survivors(of: DataFrame) -> DataFrame:
-        """Steps of the walks that meet a product the customer never bought."""
+        """Per chunk the steps of the walk that meet a product the customer never bought."""
         last_chunk = F.floor((F.col("_length") - 1) / chunk).cast("bigint")
-        chunks = of.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk))) \
-            .repartition(customer, "_chunk")
+        chunks = of.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
         first = F.col("_chunk") * chunk
         until = F.least(first + chunk, F.col("_length")) - 1
-        steps = chunks.withColumn("_step", F.explode(F.sequence(first, until)))
-        return (
-            with_shuffled_place(steps, "_step", [f"_key{i}" for i in range(ROUNDS)], rows, columns, "_cell")
-            .select(customer, "_p", "_chunk", "_step", (F.col("_cell") + 1).alias("_place"))
-            .join(listed, "_place")
-            .join(bought, [customer, product], "left_anti")
-        )
-
-    in_chunk = Window.partitionBy(customer, "_chunk").orderBy("_step")
-    numbered = survivors(walks).withColumn("_at", F.row_number().over(in_chunk))
+        left = F.array_except(F.sequence(first, until), F.coalesce("_passed", F.array().cast("array<bigint>")))
+        return chunks.join(passed, [customer, "_chunk"], "left").withColumn("_steps", left).drop("_passed")
+
     before = Window.partitionBy(customer).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        survivors(walks.where(F.col("_length") > chunk)).groupBy(customer, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+        survivors(walks.where(F.col("_length") > chunk)).select(customer, "_chunk", F.size("_steps").alias("_n"))
         .select(customer, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    ranked = numbered.join(offsets, [customer, "_chunk"], "left").withColumn(
-        "neg_rank", F.coalesce("_before", F.lit(0)) + F.col("_at"))
-    return ranked.where(F.col("neg_rank") <= F.col("_p") * ratio).select(customer, product, "neg_rank")
+    left = survivors(walks).join(offsets, [customer, "_chunk"], "left").withColumn("_before", F.coalesce("_before", F.lit(0)))
+    wanted = F.greatest(F.lit(0), F.least(F.lit(chunk), F.col("_p") * ratio - F.col("_before"))).cast("int")
+    steps = left.select(customer, *keys, "_before", F.posexplode(F.slice("_steps", F.lit(1), wanted)).alias("_at", "_step"))
+    return (
+        with_shuffled_place(steps, "_step", keys, rows, columns, "_cell")
+        .select(customer, (F.col("_before") + F.col("_at") + 1).alias("neg_rank"), (F.col("_cell") + 1).alias("_place"))
+        .join(listed, "_place").select(customer, product, "neg_rank")
+    )
