@@ -28,7 +28,7 @@ def training_examples(
 
     ``facts`` has customer_id, target_group, ts, store_id, product_id, sales; ``segments`` is a history with
     customer_id, segment and updated_at. Features are computed once per customer and day and joined back on
-    both, which spreads a customer with many lines over that customer's days.
+    both, together with the segment, which spreads a customer with many lines over that customer's days.
     """
     facts = facts.where(F.expr("try_cast(sales AS double)") > 0)
     features = rolling.rolling_features(rolling.daily_totals(facts), days).select(
@@ -38,9 +38,8 @@ def training_examples(
     return (
         facts.withColumn("day", F.to_date("ts"))
         .join(kept, "product_id")
-        .join(features, ["customer_id", "day"])
+        .join(features.join(latest, "customer_id", "left"), ["customer_id", "day"])
         .join(stores, "store_id", "left")
-        .join(latest, "customer_id", "left")
         .select("customer_id", "target_group", "ts", "store_id", "product_id", "sales", "cust_value",
                 "days_since_last_purchase", "cust_order_days", "cust_unique_products", "city",
                 *[c for c in products.columns if c != "product_id"], "segment")
@@ -59,7 +58,8 @@ def train_test_by_last_day(examples: DataFrame, percent: float = 80, test_days:
     train = rows.where(F.col("split") == "train")
     hist = rolling.purchase_history(rolling.pair_last_dates(train), history)
     stats = product_statistics(train)
-    return rows.join(hist, "customer_id", "left").join(stats, "product_id", "left")
+    # Histories come last: no later join moves their lists.
+    return rows.join(stats, "product_id", "left").join(hist, "customer_id", "left")
 
 
 def customer_contexts(examples: DataFrame) -> DataFrame:
@@ -106,22 +106,20 @@ class LabelledView:
         latest = joins.latest_per_key(self.train, ["customer_id", "product_id"], ["ts"])
         return (
             latest.withColumn("label", F.lit(1))
-            .join(self.history, "customer_id", "left").join(self.stats, "product_id", "left")
+            .join(self.stats, "product_id", "left").join(self.history, "customer_id", "left")
             .withColumn("purchase_history", rolling.without_target("purchase_history", "product_id"))
         )
 
     def negatives(self, ratio: int = 4, salt: str = "train", point_in_time: bool = True) -> DataFrame:
         """Sampled negatives, label 0, each with one of the customer's own day contexts in turn (or the latest)."""
-        sampled = negatives.sample_negatives(self.train, self.catalog, ratio, salt)
+        known = self.catalog.join(self.stats, "product_id", "left")
+        sampled = negatives.sample_negatives(self.train, self.catalog, ratio, salt).join(known, "product_id")
         if point_in_time:
             contexts = customer_contexts(self.before).drop("day")
             placed = joins.round_robin(sampled, contexts, "customer_id", "neg_rank", ["ts"])
         else:
             placed = sampled.join(latest_context(self.before), "customer_id")
-        return (
-            placed.withColumn("sales", F.lit(0.0)).withColumn("label", F.lit(0)).join(self.catalog, "product_id")
-            .join(self.history, "customer_id", "left").join(self.stats, "product_id", "left")
-        )
+        return placed.withColumn("sales", F.lit(0.0)).withColumn("label", F.lit(0)).join(self.history, "customer_id", "left")
 
     def pairs(self, ratio: int = 4, salt: str = "train") -> DataFrame:
         """Positives and negatives in one frame."""
