@@ -151,6 +151,25 @@ def test_serialize_nested(spark):
     assert (r["a"], r["s"]["x"], r["t"], r["b"]) == ([None, 1.5, None], "2024-01-02", "2024-01-02T03:04:05.500000", "aGk=")
 
 
+def test_serialize_values_on_odd_events(spark, tmp_path):
+    """Whole seconds, long properties, numbers with an exponent, ties of the fifth digit and a missing type."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    numbers = [0.0, 0.0005, 1e-6, 9.5e-7, 12345678.5, 1e7, 2.5e20 / 1e9, 1.5, 4.06495, 3.8642499999999997, -1.00005, None, 29.27]
+    rows = [(i, dt.datetime(2024, 1, 2, 3, 4, 5, 0 if i % 2 else 250), i, kind, x, '{"k": "' + "é" * i * 9 + '"}')
+            for i, (x, kind) in enumerate((x, k) for x in numbers for k in ("view", "click", "error", "signup", None))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    rel = con.execute(entry.oracle_sql()["serialize_values"])
+    names = [d[0] for d in rel.description]
+    got = entry.queries()["serialize_values"](spark, str(tmp_path)).select(names).orderBy("event_id").collect()
+    assert [tuple(r) for r in got] == sorted(rel.fetchall(), key=lambda r: r[0])
+
+
 def test_schema_from_warehouse_types(spark):
     ddl = casts.schema_ddl({"a b": "INT64", "c": "Numeric", "d": "timestamp"})
     assert spark.createDataFrame([], ddl).dtypes == [("a b", "bigint"), ("c", "decimal(38,9)"), ("d", "timestamp_ntz")]

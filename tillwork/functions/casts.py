@@ -124,7 +124,7 @@ def serialized(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DecimalType):
         return c.cast("double")
     if isinstance(dtype, T.BinaryType):
-        return F.base64(c)
+        return F.translate(F.base64(c), "\r\n", "")  # Spark breaks lines after 76 characters
     if isinstance(dtype, T.ArrayType):
         return F.transform(c, lambda x: serialized(x, dtype.elementType))
     if isinstance(dtype, T.MapType):

@@ -50,3 +50,24 @@ def percent(numerator: Column, denominator: Column, digits: int = 2) -> Column:
 def weighted_sum(value: Column, weight: Column) -> Column:
     """Exact sum of value x weight, with eight digits of the value."""
     return F.sum(value.cast("decimal(18,8)") * weight.cast("decimal(12,0)"))
+
+
+def nearest_units(c: Column, digits: int) -> Column:
+    """A double as a decimal with so many digits: scaled as a double first, as SQL engines do, then halves away from zero."""
+    units = F.round(c * F.lit(float(10 ** digits))).cast("decimal(18,0)")
+    return (units * F.lit(f"{10 ** -digits:.{digits}f}").cast(f"decimal({digits + 1},{digits})")).cast(f"decimal(18,{digits})")
+
+
+def json_number(c: Column) -> Column:
+    """A finite double as JSON text: plain digits from 1e-6 up to 1e21, an exponent elsewhere, and null."""
+    size = F.abs(c)
+
+    def plain(digits: int) -> Column:
+        return F.regexp_replace(c.cast(f"decimal(38,{digits})").cast("string"), r"(\.\d+?)0+$", "$1")
+
+    text = c.cast("string")
+    short = F.regexp_replace(F.lower(text), r"\.0e", "e")
+    return F.coalesce(
+        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), text)
+        .when((size >= 1e-6) & (size < 1e-3), plain(30)).when((size >= 1e7) & (size < 1e21), plain(17))
+        .otherwise(short), F.lit("null"))
