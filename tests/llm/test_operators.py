@@ -567,6 +567,26 @@ def test_lm_probabilities_sum_to_at_most_one():
     assert logs.max() < 0 and 0.001 < (10 ** logs).sum() < 1
 
 
+def test_lm_bits_of_paths():
+    """A path's steps are those of its code, and frequent symbols share blocks with rare ones; bits of words come before those of bytes."""
+    import pyarrow as pa
+
+    tree = mixing_lm.Tree(np.arange(5000) ** 2, 7)
+    length, bit, node, row, depth = tree.bits(np.arange(5000), 0)
+    ends = np.cumsum(length)
+    for x in (0, 1, 2047, 2048, 4999):
+        steps = bit[ends[x] - length[x]:ends[x]]
+        assert int("".join(map(str, steps)), 2) == int(tree.code[x]) and depth[ends[x] - 1] == length[x] - 1
+    assert len(np.unique(node)) == 4999 and row.max() <= 127  # a node for each fork
+    (_, _, known), = mixing_lm.groups(pa.array(["ab cd"]))
+    code = mixing_lm.Code(known.h1[:1], known.h2[:1], np.array([9]), 3, np.arange(256))
+    (_, _, tokens), = mixing_lm.groups(pa.array(["ab xyz ab"]))
+    tokens.spell(code)
+    assert len(tokens.bit) == tokens.split + int(tokens.n_byte.sum()) and (tokens.gate[tokens.split:] >= 2).all()
+    assert sorted((tokens.n_byte > 0).tolist()) == [False, True, True]  # "xyz" and the end are spelled
+    assert np.array_equal(tokens.per_word(np.ones(len(tokens.bit))), tokens.n_bits)
+
+
 def test_lm_tables_hold_the_mixing_fold(spark):
     none = [np.zeros(0, mixing_lm.U), np.zeros(0, mixing_lm.U), np.zeros(0, np.int64)]
     code = mixing_lm.Code(*none, 1, np.arange(256))

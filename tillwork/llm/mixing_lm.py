@@ -45,6 +45,7 @@ _GATES, _INPUTS = 32, len(TABLE_BITS) + 1
 _ROWS, _LEVELS = 256, 64  # of the refining map
 _FINE = 512  # steps of a mixed prediction in the table of log-probabilities
 _PART = 1 << 16
+_BLOCK = 2048  # words or tokens whose bits are worked on at a time
 _ROOM = (1 << 32) - 1  # bits that a task counts before it hands its table on, so that no count can pass 32 bits
 _LIMIT = 8.0
 _SCALE = 127 / _LIMIT  # stretched shares are kept as bytes
@@ -86,6 +87,30 @@ class Tree:
         self.code[by] = steps
         self.salt = U(salt)
 
+    def bits(self, symbols: np.ndarray, first_row: int) -> tuple[np.ndarray, ...]:
+        """Of the symbols' paths, one after another: length of each path, then bit, hash of the node, row of the map and depth of each step."""
+        length = self.length[symbols]
+        total = int(length.sum())
+        bit, node, row, depth = np.empty(total, np.uint8), np.empty(total, U), np.empty(total, np.int32), np.empty(total, np.uint8)
+        done = 0
+        for at in range(0, len(symbols), _BLOCK):  # blocks that stay in the processor's cache
+            n = length[at:at + _BLOCK]
+            ends = np.cumsum(n)
+            stop = done + int(ends[-1])
+            left = np.repeat(ends - 1, n) - np.arange(stop - done)
+            deep = np.repeat(n - 1, n) - left
+            so_far = np.repeat(self.code[symbols[at:at + _BLOCK]], n) >> left.astype(U)
+            bit[done:stop] = so_far & U(1)
+            so_far >>= U(1)
+            top = deep < 7
+            row[done:stop] = np.where(top, (1 << np.minimum(deep, 7)) + first_row - 1 + so_far.astype(np.int64), first_row + _ROWS // 2 - 1)
+            so_far *= U(64)
+            so_far += deep.astype(U)
+            so_far += self.salt
+            node[done:stop], depth[done:stop] = mix(so_far), deep
+            done = stop
+        return length, bit, node, row, depth
+
 
 class Code:
     """Words with a path of their own, the escape behind them, and the bytes."""
@@ -111,6 +136,7 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
+_PLACES = np.array([2, 3, 4, 5, 5, 6, 6, 6, 7], np.uint8)  # gates of the places in a spelled word, the last one for all from there on
 _NODE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -163,41 +189,39 @@ class Tokens:
         powers = np.cumprod(np.append(U(1), np.full(int(length.max(initial=1)), U(0x9FB21C651E98DF25), U)), dtype=U)
         sums = np.append(U(0), np.cumsum((wide + U(1)) * _NODE[symbol] * powers[place], dtype=U))
         prefix = mix(sums[:-1] - sums[begin] + place.astype(U) + U(1 << 40))
-        # Units in order: a word's own symbol, then the bytes of its spelling.
-        n_units = np.ones(len(number), np.int64)
-        n_units[other] += length
-        units_at = np.cumsum(n_units) - n_units
-        spelled = ranges(units_at[other] + 1, length)
-        n = np.empty(int(n_units.sum()), np.int64)
-        path, salt, context, gate = np.empty(len(n), U), np.full(len(n), code.words.salt), np.zeros(len(n), U), np.zeros(len(n), np.uint8)
-        n[units_at], n[spelled] = code.words.length[number], code.bytes.length[symbol]
-        path[units_at], path[spelled] = code.words.code[number], code.bytes.code[symbol]
-        salt[spelled], context[spelled], gate[spelled] = code.bytes.salt, prefix, 2 + np.digitize(place, [1, 2, 3, 5, 8])
-        # Bits of the units: the node is named by the depth and the path so far.
-        depth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        so_far = np.repeat(path, n) >> (np.repeat(n, n) - depth - 1).astype(U)
-        self.bit = (so_far & U(1)).astype(np.uint8)
-        so_far >>= U(1)
-        node = mix(so_far * U(64) + depth.astype(U) + np.repeat(salt, n))
-        self.main = node + np.repeat(context, n)
-        self.gate = np.repeat(gate, n)
-        is_byte = self.gate >= 2
-        self.gate[~is_byte & (depth >= 6)] = 1
-        self.node = np.where(is_byte, np.int32(_ROWS - 1), np.int32(_ROWS // 2 - 1))
-        top = np.flatnonzero(depth < 7)
-        self.node[top] += ((1 << depth[top]) - _ROWS // 2 + so_far[top].astype(np.int64)).astype(np.int32)
-        self.spelled = np.flatnonzero(is_byte)
-        salted, n_bytes = node[self.spelled], n[spelled]
-        self.orders = [np.repeat(c, n_bytes) + salted for c in orders]
-        self.n_pairs = np.minimum(n[units_at], PAIR_DEPTH)
-        self.n_bits = np.add.reduceat(n, units_at) if len(n) else n
-        self.bits_at = np.cumsum(self.n_bits) - self.n_bits
+        # First the bits of all paths in the tree of words, then those of all spelled bytes.
+        self.n_word, word_bit, word_main, word_row, depth = code.words.bits(number, 0)
+        self.split = len(word_bit)
+        steps, byte_bit, byte_node, byte_row, _ = code.bytes.bits(np.arange(256), _ROWS // 2)
+        n = steps[symbol]
+        at = ranges((np.cumsum(steps) - steps)[symbol], n)
+        node = byte_node[at]
+        self.bit = np.concatenate([word_bit, byte_bit[at]])
+        self.node = np.concatenate([word_row, byte_row[at]])
+        self.main = np.concatenate([word_main, node + np.repeat(prefix, n)])
+        self.gate = np.concatenate([(depth >= 6).view(np.uint8), np.repeat(_PLACES[np.minimum(place, 8)], n)])
+        self.orders = [np.repeat(c, n) + node for c in orders]
+        self.n_pairs = np.minimum(self.n_word, PAIR_DEPTH)
+        self.word_at = np.cumsum(self.n_word) - self.n_word
+        self.n_byte = np.zeros(len(number), np.int64)
+        self.n_byte[other] = np.add.reduceat(n, last + 1 - length) if len(other) else 0
+        self.byte_at = np.cumsum(self.n_byte) - self.n_byte + self.split
+        self.n_bits = self.n_word + self.n_byte
+
+    def per_bit(self, values: np.ndarray) -> np.ndarray:
+        """A value of each distinct word for each of its bits."""
+        return np.concatenate([np.repeat(values, self.n_word), np.repeat(values, self.n_byte)])
+
+    def per_word(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the bits of each distinct word."""
+        upto = np.append(0.0, np.cumsum(values, dtype=np.float64))
+        return upto[self.word_at + self.n_word] - upto[self.word_at] + upto[self.byte_at + self.n_byte] - upto[self.byte_at]
 
     def pairs(self, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """Of some tokens the first bits in the tree of words, and their slots with the word before."""
         word = self.word[at:stop]
         n = self.n_pairs[word]
-        flat = ranges(self.bits_at[word], n)
+        flat = ranges(self.word_at[word], n)
         return flat, _slots(_pair(self.main[flat], np.repeat(self.before[at:stop], n)), 3)
 
 
@@ -270,12 +294,12 @@ def _count_bits(shared):
                     yield from parts()
                     table[:], room = 0, _ROOM
                 room -= bits
-                times = np.repeat(np.bincount(tokens.word).astype(np.uint32), tokens.n_bits)
+                times = tokens.per_bit(np.bincount(tokens.word).astype(np.uint32))
                 np.add.at(table, 2 * _slots(tokens.main, 0) + tokens.bit, times)
                 for k, context in enumerate(tokens.orders, 1):
-                    np.add.at(table, 2 * _slots(context, k) + tokens.bit[tokens.spelled], times[tokens.spelled])
-                for at in range(0, len(tokens.word), 8192):
-                    flat, slots = tokens.pairs(at, at + 8192)
+                    np.add.at(table, 2 * _slots(context, k) + tokens.bit[tokens.split:], times[tokens.split:])
+                for at in range(0, len(tokens.word), _BLOCK):
+                    flat, slots = tokens.pairs(at, at + _BLOCK)
                     np.add.at(table, 2 * slots + tokens.bit[flat], np.uint32(1))
         yield from parts()
 
@@ -347,7 +371,7 @@ class Model:
         tokens.spell(self.code)
         inputs = [self.odds[_slots(tokens.main, 0)], np.zeros(len(tokens.main), np.int8), np.zeros(len(tokens.main), np.int8)]
         for k, context in enumerate(tokens.orders, 1):
-            inputs[k][tokens.spelled] = self.odds[_slots(context, k)]
+            inputs[k][tokens.split:] = self.odds[_slots(context, k)]
         return tokens.gate + np.int64(8) * (inputs[0] != 0), [x * np.float32(1 / _SCALE) for x in inputs]
 
     def slices(self, tokens: Tokens, size: int) -> Iterator[tuple]:
@@ -355,8 +379,8 @@ class Model:
         gates, inside = self.inside(tokens)
         for at in range(0, len(tokens.word), size):
             word = tokens.word[at:at + size]
-            n = tokens.n_bits[word]
-            flat = ranges(tokens.bits_at[word], n)
+            n = tokens.n_word[word]
+            flat = np.concatenate([ranges(tokens.word_at[word], n), ranges(tokens.byte_at[word], tokens.n_byte[word])])
             pair = np.zeros(len(flat), np.int8)
             pair[ranges(np.cumsum(n) - n, tokens.n_pairs[word])] = self.odds[tokens.pairs(at, at + size)[1]]
             yield tokens.node[flat], tokens.bit[flat], gates[flat] + 16 * (pair != 0), [*(x[flat] for x in inside), pair * np.float32(1 / _SCALE)]
@@ -373,10 +397,22 @@ class Model:
         level = ((mixed + np.float32(_LIMIT)) * np.float32((_LEVELS - 1) / (2 * _LIMIT)) + np.float32(0.5)).astype(np.int64)
         return node.astype(np.int64) * _LEVELS + level
 
-    def bit_logs(self, mixed: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def cell(node: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Where the log-probabilities of each bit begin."""
+        return node * np.int32(2 * _FINE) + bit
+
+    @staticmethod
+    def steps(mixed: np.ndarray) -> np.ndarray:
+        step = np.clip(mixed, -_LIMIT, _LIMIT)
+        step += np.float32(_LIMIT)
+        step *= np.float32((_FINE - 1) / (2 * _LIMIT))
+        step += np.float32(0.5)
+        return step.astype(np.int32) * np.int32(2)
+
+    def cell_logs(self, mixed: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Log-probability of each bit."""
-        step = (np.clip(mixed, -_LIMIT, _LIMIT) + np.float32(_LIMIT)) * np.float32((_FINE - 1) / (2 * _LIMIT)) + np.float32(0.5)
-        return self.logs.take((node * _FINE + step.astype(np.int32)) * 2 + bit)
+        return self.logs.take(self.cell(node, bit) + self.steps(mixed))
 
     def log10(self, tokens: Tokens) -> np.ndarray:
         """Log-probability of each text.
@@ -384,24 +420,34 @@ class Model:
         Without the word before, a bit's prediction is that of its distinct word; only bits whose pair of words is
         known are predicted again for each token.
         """
-        gates, inside = self.inside(tokens)
-        alone = self.bit_logs(self.mixed(gates, inside), tokens.node, tokens.bit)
-        with_pair = self.mixed(gates + 16, inside)
-        pair_weight = np.ascontiguousarray(self.weights[:, len(inside)]) * np.float32(1 / _SCALE)
-        upto = np.append(0.0, np.cumsum(alone, dtype=np.float64))
-        by_word = upto[tokens.bits_at + tokens.n_bits] - upto[tokens.bits_at]
-        total = np.zeros(tokens.n_texts)
-        for at in range(0, len(tokens.word), 8192):
-            word = tokens.word[at:at + 8192]
-            flat, slots = tokens.pairs(at, at + 8192)
+        tokens.spell(self.code)
+        k, scale = tokens.split, np.float32(1 / _SCALE)
+        odds = self.odds[_slots(tokens.main, 0)]
+        gates = tokens.gate + np.int64(8) * (odds != 0)
+        main = odds * scale
+        # In the tree of words only the place in it predicts, besides the word before.
+        alone = np.concatenate([
+            self.cell_logs(self.mixed(gates[:k], [main[:k]]), tokens.node[:k], tokens.bit[:k]),
+            self.cell_logs(self.mixed(gates[k:], [main[k:], *(self.odds[_slots(c, i)] * scale for i, c in enumerate(tokens.orders, 1))]), tokens.node[k:], tokens.bit[k:])])
+        with_pair = self.mixed(gates[:k] + 16, [main[:k]])
+        pair_weight = (np.ascontiguousarray(self.weights[:, -2]) * scale).take(gates[:k] + 16)
+        cell = self.cell(tokens.node[:k], tokens.bit[:k])
+        by_word = tokens.per_word(alone)
+        per_token = by_word[tokens.word]
+        for at in range(0, len(tokens.word), _BLOCK):
+            flat, slots = tokens.pairs(at, at + _BLOCK)
             pair = self.odds[slots]
             known = np.flatnonzero(pair)
             there = flat[known]
-            mixed = with_pair[there] + pair_weight.take(gates[there] + 16) * pair[known]
-            gain = self.bit_logs(mixed, tokens.node[there], tokens.bit[there]) - alone[there]
+            mixed = pair_weight[there]
+            mixed *= pair[known]
+            mixed += with_pair[there]
+            gain = self.logs.take(cell[there] + self.steps(mixed))
+            gain -= alone[there]
+            word = tokens.word[at:at + _BLOCK]
             token = np.repeat(np.arange(len(word)), tokens.n_pairs[word])[known]
-            per_token = by_word[word] + np.bincount(token, gain, len(word))
-            total += np.bincount(tokens.text[at:at + 8192], per_token, tokens.n_texts)
+            per_token[at:at + _BLOCK] += np.bincount(token, gain, len(word))
+        total = np.bincount(tokens.text, per_token, tokens.n_texts)
         return total
 
 
