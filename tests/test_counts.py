@@ -108,3 +108,25 @@ def test_searched_values(spark):
     assert [tuple(r) for r in filters.search_values(df, "v", "AB").collect()] == [("ab", 2), ("Ab", 1), ("xABx", 1)]
     numbers = spark.createDataFrame([(12,), (2,), (12,), (32,)], "v int")
     assert [tuple(r) for r in filters.search_values(numbers, "v", "2").collect()] == [(12, 2), (2, 1), (32, 1)]
+
+
+def test_summaries_of_several_filters(spark):
+    """Far-apart, negative and missing ids, missing amounts, and a filter that keeps nothing; one pass without a copy of rows per count."""
+    from tillwork.catalog import filters
+
+    ids = [0, 63, 64, -1, -64, 1 << 40, None, 64, 0]
+    df = spark.createDataFrame([(c, p, s) for c in ids for p, s in ((5, 1.25), (None, None), (1 << 50, -2.5))],
+                               "customer_id long, product_id long, sales double")
+    cases = {"all": F.lit(True), "some": F.col("sales") > 0, "none": F.col("sales") > 9, "odd": F.col("customer_id") % 2 != 0}
+    out = filters._summaries(df, "case", cases)
+    want = {name: filters._summary(df.where(c)).first() for name, c in cases.items()}
+    assert {r["case"]: tuple(r)[1:] for r in out.collect()} == {name: tuple(r) for name, r in want.items()}
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filter_queries_join_once(spark):
+    from tillwork.catalog import QUERIES
+
+    for name in ("filter_numeric", "filter_category"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner") == 1, name

@@ -26,10 +26,14 @@ def start_date(df: DataFrame, ts: str, start: str) -> DataFrame:
     return df.where(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
 
 
-def category(df: DataFrame, column: str, values: Sequence, exclude: bool = False) -> DataFrame:
+def category_condition(column: str, values: Sequence, exclude: bool = False) -> Column:
     """Membership test; excluding also drops NULL, as SQL's NOT IN does."""
     inside = F.col(column).isin(list(values))
-    return df.where(~inside if exclude else inside)
+    return ~inside if exclude else inside
+
+
+def category(df: DataFrame, column: str, values: Sequence, exclude: bool = False) -> DataFrame:
+    return df.where(category_condition(column, values, exclude))
 
 
 def numeric_condition(column: str, op: str, value: float | None = None, low: float | None = None,
