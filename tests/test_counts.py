@@ -130,3 +130,14 @@ def test_filter_queries_join_once(spark):
     for name in ("filter_numeric", "filter_category"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join Inner") == 1, name
+
+
+def test_fitted_queries_join_once(spark, monkeypatch):
+    from tillwork.catalog import QUERIES, features
+
+    calls, real = [], features.transactions
+    monkeypatch.setattr(features, "transactions", lambda t: calls.append(1) or real(t))
+    for name in ("zscore", "analyze_train_eval_only"):
+        calls.clear()
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(calls) == 1 and "l_orderkey" not in plan, name

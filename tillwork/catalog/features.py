@@ -8,6 +8,7 @@ from tillwork.operators import features as f
 from tillwork.operators import rolling, splits
 from tillwork.plans.feature_model import FeatureSpec
 from tillwork.plans.transactions import transactions
+from tillwork.session import pin
 
 _ROWS = ["order_id", "line_no", "product_id", "store_id", "sales"]
 _ROW = ", ".join(_ROWS)
@@ -21,6 +22,12 @@ def _split(t):
     return splits.time_holdout(transactions(t), "ts", 30)
 
 
+def _written_split(t, *columns):
+    """The split of lines that are joined and written once, so that fitting, the cut of time and the rows themselves read the same files."""
+    lines = pin(transactions(t).select(*dict.fromkeys([*_ROWS, *columns, "ts"])), "lines")
+    return splits.time_holdout(lines, "ts", 30)
+
+
 def _fit(t):
     return _split(t).where(F.col("split") != "test")
 
@@ -61,9 +68,10 @@ def vocabulary_sorted(t):
   stddev_samp(quantity) + 1e-8 AS qs FROM fit)
 SELECT {_ROW}, {r('(sales - m) / s', 6)} AS sales_z, {r('(quantity - qm) / qs', 6)} AS quantity_z FROM sp, m""")
 def zscore(t):
-    fit = _fit(t)
+    rows = _written_split(t, "quantity")
+    fit = rows.where(F.col("split") != "test")
     pop, smp = f.fit_moments(fit, ["sales"]), f.fit_moments(fit, ["quantity"], null_as_zero=False, sample=True)
-    return _split(t).select(
+    return rows.select(
         *_ROWS, rounded(f.zscore("sales", pop["sales"]), 6).alias("sales_z"),
         rounded(f.zscore("quantity", smp["quantity"], null_as_zero=False), 6).alias("quantity_z"))
 
@@ -261,6 +269,7 @@ SELECT {_ROW}, split, coalesce(idx, (SELECT count(*) FROM vocab)) AS customer_id
 FROM sp LEFT JOIN vocab ON token = CAST(customer_id AS VARCHAR), m, q""")
 def analyze_train_eval_only(t):
     spec = FeatureSpec(vocabulary={"customer_id": 30}, scaled=("sales",), bucketed={"quantity": 10})
-    model = spec.fit(_fit(t))
-    out = model.transform(_split(t), keep=[*_ROWS, "split"])
+    rows = _written_split(t, "quantity", "customer_id")
+    model = spec.fit(rows.where(F.col("split") != "test"))
+    out = model.transform(rows, keep=[*_ROWS, "split"])
     return out.withColumn("sales_z", rounded(F.col("sales_z"), 6))
