@@ -141,3 +141,17 @@ def test_fitted_queries_join_once(spark, monkeypatch):
         calls.clear()
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert len(calls) == 1 and "l_orderkey" not in plan, name
+
+
+def test_lists_are_made_of_histories_with_a_vector_only(spark, monkeypatch):
+    from tillwork.catalog import QUERIES, evaluation
+
+    root, seen, real = "/root/testdata/sf0.01", [], evaluation.rolling.purchase_history
+    monkeypatch.setattr(evaluation.rolling, "purchase_history", lambda pairs: seen.append(pairs) or real(pairs))
+    QUERIES["batch_recommend"](spark, root)
+    vectors = {r[0] for r in spark.read.parquet(f"{root}/embeddings.parquet").select("vec_id").collect()}
+    bought = {}
+    for r in seen[0].select("customer_id", "product_id").collect():
+        bought.setdefault(r[0], set()).add(r[1])
+    assert bought and all(products & vectors for products in bought.values())
+    assert any(products - vectors for products in bought.values())  # what has no vector still counts among the last 50
