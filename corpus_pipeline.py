@@ -9,6 +9,9 @@ operators say.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +20,27 @@ from tillwork.llm.mixing import mix_sources
 from tillwork.llm.neardup import one_of_each_group
 from tillwork.llm.ngrams import fit_quality, fold_of, score_quality
 from tillwork.llm.secrets import fit_scanner, redact_secrets
-from tillwork.session import fresh_path
+from tillwork.session import fresh_path, trim_driver
 
 LEAST_QUALITY = 0.3
 _SCORE = "__quality_score"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _trimmed(stage: Stage) -> Stage:
+    """``stage``, which leaves to the next jobs of the driver no memory that it or its predecessor has freed."""
+
+    @wraps(stage)
+    def trimmed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        trim_driver(spark)
+        out = stage(spark, docs, sf_dir)
+        trim_driver(spark)
+        return out
+
+    return trimmed
 
 
+@_trimmed
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = labels.where(F.coalesce(fold_of(F.col("doc_id"), 5) != 0, F.lit(True)))
@@ -33,18 +51,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
+@_trimmed
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each_group(docs, shingle=5, percent=80, bands=31, rows=4)
 
 
+@_trimmed
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_trimmed
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact_secrets(docs, fit_scanner(docs))
 
 
+@_trimmed
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs).where("taken > 0")
 
