@@ -587,6 +587,75 @@ def test_lm_bits_of_paths():
     assert np.array_equal(tokens.per_word(np.ones(len(tokens.bit))), tokens.n_bits)
 
 
+def test_lm_forks_of_paths():
+    """Walked from left to right, all paths at once, the steps are those of each path alone, also in deep and tiny trees."""
+    for counts in (np.arange(5000) ** 2, 2 ** np.arange(45), np.ones(40_000, np.int64), np.array([7, 1]), np.array([3])):
+        tree = mixing_lm.Tree(counts, 7)
+        assert len(tree.forks[0]) == len(counts) - 1 and sorted(tree.left[tree.order].tolist()) == tree.left[tree.order].tolist()
+        seen = np.zeros(len(counts), np.int64)
+        path = np.zeros(len(counts), mixing_lm.U)
+        for first, stop, step in tree.walk(tree.order, 64):
+            there = tree.order[first:stop]
+            hashes = mixing_lm.mix(path[there] * mixing_lm.U(64) + seen[there].astype(mixing_lm.U) + tree.salt)
+            assert np.array_equal(tree.forks[0][step >> 1], hashes) and np.array_equal(tree.forks[2][step >> 1], seen[there])
+            path[there] = path[there] * mixing_lm.U(2) + (step & 1).astype(mixing_lm.U)
+            seen[there] += 1
+        assert np.array_equal(seen, tree.length) and np.array_equal(path, tree.code)
+
+
+def lm_of(texts, own=30):
+    """A code with the first words of the texts, and the tokens."""
+    import pyarrow as pa
+
+    (_, _, tokens), = mixing_lm.groups(pa.array(texts))
+    h1, at = np.unique(tokens.h1, return_index=True)
+    return mixing_lm.Code(h1[:own], tokens.h2[at[:own]], np.arange(own) ** 3, 50, np.arange(256)), tokens
+
+
+def test_lm_scores_and_counts_are_those_of_every_token(prose):
+    """Pairs worked on once give what each bit of each token gives by itself."""
+    texts = [*prose, prose[0].upper(), None, "", "same " * 500, prose[1] + " " + prose[1]]
+    code, tokens = lm_of(texts)
+    rng = np.random.default_rng(5)
+    odds = np.where(rng.random(mixing_lm._SLOTS) < 0.3, 0, rng.integers(-100, 100, mixing_lm._SLOTS)).astype(np.int8)
+    weights = rng.uniform(0.1, 0.6, (mixing_lm._GATES, mixing_lm._INPUTS)).astype(np.float32)
+    model = mixing_lm.Model(code, odds, weights, rng.uniform(0.01, 0.99, mixing_lm._ROWS * mixing_lm._LEVELS).astype(np.float32))
+    want = [model.cell_logs(model.mixed(gate, inputs), node, bit).sum(dtype=np.float64) for node, bit, gate, inputs in model.slices(tokens, 1)]
+    assert np.allclose(model.log10(tokens), np.bincount(tokens.text, want), rtol=1e-6)
+    import pyarrow as pa
+
+    table = np.zeros(2 * mixing_lm._SLOTS, np.uint32)
+    shared = type("Shared", (), {"value": code})
+    for batch in mixing_lm._count_bits(shared)(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts)})] * 2)):
+        for part, counts in zip(batch["part"].to_pylist(), batch["counts"]):
+            table[part * mixing_lm._PART:(part + 1) * mixing_lm._PART] = np.frombuffer(pa.decompress(counts.as_buffer(), 4 * mixing_lm._PART, "zstd"), np.uint32)
+    tokens.spell(code)
+    plain, times, k = np.zeros_like(table), np.bincount(tokens.word), tokens.split
+    times = np.concatenate([np.repeat(times, tokens.n_word), np.repeat(times, tokens.n_byte)])
+    np.add.at(plain, 2 * mixing_lm._slots(tokens.main, 0) + tokens.bit, 2 * times.astype(np.uint32))
+    for i, context in enumerate(tokens.orders, 1):
+        np.add.at(plain, 2 * mixing_lm._slots(context, i) + tokens.bit[k:], 2 * times[k:].astype(np.uint32))
+    flat, slots = tokens.pairs(0, len(tokens.word))
+    np.add.at(plain, 2 * slots + tokens.bit[flat], np.uint32(2))
+    assert np.array_equal(table, plain)
+
+
+def test_lm_works_on_a_repeated_pair_once(monkeypatch):
+    """Neither counting nor scoring goes through the bits of a pair of words again for each of its tokens."""
+    import pyarrow as pa
+
+    plain, hashed = mixing_lm._pair, []
+    monkeypatch.setattr(mixing_lm, "_pair", lambda prefix, before: hashed.append(len(prefix)) or plain(prefix, before))
+    texts = ["ab cd ef " * 3000, "cd ab " * 3000]
+    code, tokens = lm_of(texts, 4)
+    model = mixing_lm.Model(code, np.ones(mixing_lm._SLOTS, np.int8))
+    model.log10(tokens)
+    assert 0 < sum(hashed) < 100  # 15,002 tokens, 8 distinct pairs
+    hashed.clear()
+    list(mixing_lm._count_bits(type("Shared", (), {"value": code}))(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts)})])))
+    assert 0 < sum(hashed) < 100
+
+
 def test_lm_tables_hold_the_mixing_fold(spark):
     none = [np.zeros(0, mixing_lm.U), np.zeros(0, mixing_lm.U), np.zeros(0, np.int64)]
     code = mixing_lm.Code(*none, 1, np.arange(256))

@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ _ROWS, _LEVELS = 256, 64  # of the refining map
 _FINE = 512  # steps of a mixed prediction in the table of log-probabilities
 _PART = 1 << 16
 _BLOCK = 2048  # words or tokens whose bits are worked on at a time
+_WALK = 1 << 14  # paths that are walked at a time
 _ROOM = (1 << 32) - 1  # bits that a task counts before it hands its table on, so that no count can pass 32 bits
 _LIMIT = 8.0
 _SCALE = 127 / _LIMIT  # stretched shares are kept as bytes
@@ -86,12 +88,43 @@ class Tree:
         self.code = np.empty(n, U)
         self.code[by] = steps
         self.salt = U(salt)
+        self.order, self.rank = by, np.argsort(by)  # symbols from left to right, and the place of each
+        self.left = self.code << (64 - np.maximum(self.length, 1)).astype(U)  # paths that begin at the highest bit
+        # At each depth leaves lie to the left of forks. Forks are numbered by depth, then from left to right.
+        self.first_fork, self.n_forks = [], []
+        for d, leaves in enumerate(np.bincount(self.length).tolist()):
+            self.first_fork.append((2 * self.first_fork[-1] if d else 0) + leaves)
+            self.n_forks.append((1 << d) - self.first_fork[-1])
+        self.step_from = [2 * (sum(self.n_forks[:d]) - first) for d, first in enumerate(self.first_fork)]
+
+    @cached_property
+    def forks(self) -> tuple[np.ndarray, ...]:
+        """Hash, row of the map (from 0) and depth of every fork."""
+        depth = np.repeat(np.arange(len(self.n_forks)), self.n_forks)
+        so_far = np.concatenate([np.arange(a, a + n, dtype=U) for a, n in zip(self.first_fork, self.n_forks)])
+        row = np.where(depth < 7, (1 << np.minimum(depth, 7)) - 1 + so_far.astype(np.int64), _ROWS // 2 - 1)
+        return mix(so_far * U(64) + depth.astype(U) + self.salt), row.astype(np.int32), depth.astype(np.uint8)
+
+    def steps(self, left: np.ndarray, d: int) -> np.ndarray:
+        """Twice the number of the fork at depth d on each path, plus the bit that follows it."""
+        return (left >> U(63 - d)).view(np.int64) + self.step_from[d]
+
+    def walk(self, symbols: np.ndarray, depth: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, stop, steps) at each depth below ``depth`` of the paths of symbols that go from left to right, block by block."""
+        for at in range(0, len(symbols), _WALK):
+            block = symbols[at:at + _WALK]
+            left, length = self.left[block], self.length[block]
+            for d in range(min(depth, int(length[-1]))):
+                first = int(np.searchsorted(length, d, "right"))  # shorter paths lie to the left
+                yield at + first, at + len(block), self.steps(left[first:], d)
 
     def bits(self, symbols: np.ndarray, first_row: int) -> tuple[np.ndarray, ...]:
         """Of the symbols' paths, one after another: length of each path, then bit, hash of the node, row of the map and depth of each step."""
         length = self.length[symbols]
         total = int(length.sum())
         bit, node, row, depth = np.empty(total, np.uint8), np.empty(total, U), np.empty(total, np.int32), np.empty(total, np.uint8)
+        hashes, rows, _ = self.forks
+        step_from = np.array(self.step_from)
         done = 0
         for at in range(0, len(symbols), _BLOCK):  # blocks that stay in the processor's cache
             n = length[at:at + _BLOCK]
@@ -99,15 +132,10 @@ class Tree:
             stop = done + int(ends[-1])
             left = np.repeat(ends - 1, n) - np.arange(stop - done)
             deep = np.repeat(n - 1, n) - left
-            so_far = np.repeat(self.code[symbols[at:at + _BLOCK]], n) >> left.astype(U)
-            bit[done:stop] = so_far & U(1)
-            so_far >>= U(1)
-            top = deep < 7
-            row[done:stop] = np.where(top, (1 << np.minimum(deep, 7)) + first_row - 1 + so_far.astype(np.int64), first_row + _ROWS // 2 - 1)
-            so_far *= U(64)
-            so_far += deep.astype(U)
-            so_far += self.salt
-            node[done:stop], depth[done:stop] = mix(so_far), deep
+            step = (np.repeat(self.code[symbols[at:at + _BLOCK]], n) >> left.astype(U)).view(np.int64) + step_from[deep]
+            bit[done:stop] = step & 1
+            fork = step >> 1
+            node[done:stop], row[done:stop], depth[done:stop] = hashes.take(fork), rows.take(fork) + np.int32(first_row), deep
             done = stop
         return length, bit, node, row, depth
 
@@ -155,18 +183,27 @@ class Tokens:
         self.stop = np.insert(words.end, at, -1)
         before = np.empty_like(self.h1)
         before[1:] = self.h1[:-1]
-        before[np.append(0, np.cumsum(words.counts + 1)[:-1])] = U(0)
+        self.begin = np.append(0, np.cumsum(words.counts + 1)[:-1])
+        before[self.begin] = U(0)
         self.before = before
 
     def distinct(self) -> None:
-        _, first, self.word = np.unique(self.h1, return_index=True, return_inverse=True)
-        self.first_at = first
-
-    def spell(self, code: Code) -> None:
-        """Bit arrays of all distinct words, one word after another: node, bit, gate and contexts."""
+        by = np.argsort(self.h1)
+        h1 = self.h1[by]
+        new = np.append(True, h1[1:] != h1[:-1])
+        self.first_at = by[new]  # any token of the word: all have the same bytes, lower-cased
+        self.word = np.empty(len(by), np.int64)
+        self.word[by] = np.cumsum(new) - 1
+
+    def find(self, code: Code) -> None:
+        """The symbol of each distinct word, and the bits of those that are spelled."""
         self.distinct()
-        number = code.number(self.h1[self.first_at], self.h2[self.first_at])
-        other = np.flatnonzero(number == len(code.h1))
+        self.number = code.number(self.h1[self.first_at], self.h2[self.first_at])
+        self.spell_bytes(code)
+
+    def spell_bytes(self, code: Code) -> None:
+        """Bit arrays of all distinct words that are spelled, one word after another: node, bit, gate and contexts."""
+        other = np.flatnonzero(self.number == len(code.h1))
         start, stop = self.start[self.first_at[other]], self.stop[self.first_at[other]]
         length = np.where(start < 0, 1, stop - start + 1)
         last = np.cumsum(length) - 1
@@ -189,28 +226,45 @@ class Tokens:
         powers = np.cumprod(np.append(U(1), np.full(int(length.max(initial=1)), U(0x9FB21C651E98DF25), U)), dtype=U)
         sums = np.append(U(0), np.cumsum((wide + U(1)) * _NODE[symbol] * powers[place], dtype=U))
         prefix = mix(sums[:-1] - sums[begin] + place.astype(U) + U(1 << 40))
-        # First the bits of all paths in the tree of words, then those of all spelled bytes.
-        self.n_word, word_bit, word_main, word_row, depth = code.words.bits(number, 0)
-        self.split = len(word_bit)
         steps, byte_bit, byte_node, byte_row, _ = code.bytes.bits(np.arange(256), _ROWS // 2)
         n = steps[symbol]
         at = ranges((np.cumsum(steps) - steps)[symbol], n)
         node = byte_node[at]
-        self.bit = np.concatenate([word_bit, byte_bit[at]])
-        self.node = np.concatenate([word_row, byte_row[at]])
-        self.main = np.concatenate([word_main, node + np.repeat(prefix, n)])
-        self.gate = np.concatenate([(depth >= 6).view(np.uint8), np.repeat(_PLACES[np.minimum(place, 8)], n)])
+        self.bit, self.node, self.main = byte_bit[at], byte_row[at], node + np.repeat(prefix, n)
+        self.gate = np.repeat(_PLACES[np.minimum(place, 8)], n)
         self.orders = [np.repeat(c, n) + node for c in orders]
+        self.n_byte = np.zeros(len(self.number), np.int64)
+        self.n_byte[other] = np.add.reduceat(n, last + 1 - length) if len(other) else 0
+        self.byte_at = np.cumsum(self.n_byte) - self.n_byte
+
+    def spell(self, code: Code) -> None:
+        """Bit arrays of all distinct words: first the bits of all paths in the tree of words, then those of all spelled bytes."""
+        self.find(code)
+        self.n_word, word_bit, word_main, word_row, depth = code.words.bits(self.number, 0)
+        self.split = len(word_bit)
+        self.bit = np.concatenate([word_bit, self.bit])
+        self.node = np.concatenate([word_row, self.node])
+        self.main = np.concatenate([word_main, self.main])
+        self.gate = np.concatenate([(depth >= 6).view(np.uint8), self.gate])
         self.n_pairs = np.minimum(self.n_word, PAIR_DEPTH)
         self.word_at = np.cumsum(self.n_word) - self.n_word
-        self.n_byte = np.zeros(len(number), np.int64)
-        self.n_byte[other] = np.add.reduceat(n, last + 1 - length) if len(other) else 0
-        self.byte_at = np.cumsum(self.n_byte) - self.n_byte + self.split
+        self.byte_at += self.split
         self.n_bits = self.n_word + self.n_byte
 
-    def per_bit(self, values: np.ndarray) -> np.ndarray:
-        """A value of each distinct word for each of its bits."""
-        return np.concatenate([np.repeat(values, self.n_word), np.repeat(values, self.n_byte)])
+    def follow(self, tree: Tree) -> tuple[np.ndarray, ...]:
+        """The distinct pairs of a word and the symbol after it, by the symbol's path from left to right.
+
+        Tokens in that order, where the tokens of each pair begin there, and symbol and hash of the word before of each pair.
+        """
+        last = np.empty(len(self.word), np.int64)
+        last[1:] = self.word[:-1] + 1
+        last[self.begin] = 0
+        key = (tree.rank[self.number] << 40)[self.word] + last  # a group has fewer words than 1 << 40
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        token = order[first]
+        return order, first, self.number[self.word[token]], self.before[token]
 
     def per_word(self, values: np.ndarray) -> np.ndarray:
         """Sums over the bits of each distinct word."""
@@ -278,9 +332,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def _count_bits(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        table, room = np.zeros(2 * _SLOTS, np.uint32), _ROOM
+        words = code.words
+        table, seen, room = np.zeros(2 * _SLOTS, np.uint32), np.zeros(len(words.code), np.int64), _ROOM
+        fork = words.forks[0]
 
         def parts() -> Iterator[pa.RecordBatch]:
+            # The place in the tree of words alone: all that the task saw of a symbol goes down its path once.
+            there = words.order[seen[words.order] > 0]
+            for first, stop, step in words.walk(there, len(words.n_forks)):
+                np.add.at(table, 2 * _slots(fork.take(step >> 1), 0) + (step & 1), seen[there[first:stop]].astype(np.uint32))
             for i in range(len(table) // _PART):
                 part = table[i * _PART:(i + 1) * _PART]
                 if part.any():
@@ -288,19 +348,21 @@ def _count_bits(shared):
 
         for batch in batches:
             for _, _, tokens in groups(batch.column("text")):
-                tokens.spell(code)
-                bits = int(tokens.n_bits[tokens.word].sum())
+                tokens.find(code)
+                times = np.bincount(tokens.word)
+                bits = int((times * (words.length[tokens.number] + tokens.n_byte)).sum())
                 if bits > room:
                     yield from parts()
-                    table[:], room = 0, _ROOM
+                    table[:], seen[:], room = 0, 0, _ROOM
                 room -= bits
-                times = tokens.per_bit(np.bincount(tokens.word).astype(np.uint32))
-                np.add.at(table, 2 * _slots(tokens.main, 0) + tokens.bit, times)
-                for k, context in enumerate(tokens.orders, 1):
-                    np.add.at(table, 2 * _slots(context, k) + tokens.bit[tokens.split:], times[tokens.split:])
-                for at in range(0, len(tokens.word), _BLOCK):
-                    flat, slots = tokens.pairs(at, at + _BLOCK)
-                    np.add.at(table, 2 * slots + tokens.bit[flat], np.uint32(1))
+                np.add.at(seen, tokens.number, times)
+                spelled = np.repeat(times.astype(np.uint32), tokens.n_byte)
+                for k, context in enumerate([tokens.main, *tokens.orders]):
+                    np.add.at(table, 2 * _slots(context, k) + tokens.bit, spelled)
+                order, start, symbol, before = tokens.follow(words)
+                times = np.diff(start, append=len(order)).astype(np.uint32)
+                for first, stop, step in words.walk(symbol, PAIR_DEPTH):
+                    np.add.at(table, 2 * _slots(_pair(fork.take(step >> 1), before[first:stop]), 3) + (step & 1), times[first:stop])
         yield from parts()
 
     return count
@@ -418,37 +480,56 @@ class Model:
         """Log-probability of each text.
 
         Without the word before, a bit's prediction is that of its distinct word; only bits whose pair of words is
-        known are predicted again for each token.
+        known are predicted again, once for each distinct pair.
         """
-        tokens.spell(self.code)
-        k, scale = tokens.split, np.float32(1 / _SCALE)
-        odds = self.odds[_slots(tokens.main, 0)]
-        gates = tokens.gate + np.int64(8) * (odds != 0)
+        tokens.find(self.code)
+        tree, at, scale = self.code.words, self.in_tree, np.float32(1 / _SCALE)
+        inputs = [self.odds.take(_slots(c, k)) for k, c in enumerate([tokens.main, *tokens.orders])]
+        gates = tokens.gate + np.int64(8) * (inputs[0] != 0)
+        spelled = self.cell_logs(self.mixed(gates, [x * scale for x in inputs]), tokens.node, tokens.bit)
+        upto = np.append(0.0, np.cumsum(spelled, dtype=np.float64))
+        by_word = at.path.take(tokens.number) + (upto[tokens.byte_at + tokens.n_byte] - upto[tokens.byte_at])
+        order, start, symbol, before = tokens.follow(tree)
+        gains = np.zeros(len(symbol))
+        for first, stop, step in tree.walk(symbol, PAIR_DEPTH):
+            node = step >> 1
+            pair = self.odds.take(_slots(_pair(at.fork.take(node), before[first:stop]), 3))
+            mixed = at.pair_weight.take(node)
+            mixed *= pair
+            mixed += at.with_pair.take(node)
+            gain = self.logs.take(at.cell.take(step) + self.steps(mixed))
+            gain -= at.alone.take(step)
+            if not pair.all():
+                gain[pair == 0] = 0
+            gains[first:stop] += gain
+        with_before = np.repeat(gains, np.diff(start, append=len(order)))
+        return np.bincount(tokens.text, by_word[tokens.word], tokens.n_texts) + np.bincount(tokens.text[order], with_before, tokens.n_texts)
+
+    @cached_property
+    def in_tree(self) -> InTree:
+        return InTree(self)
+
+
+class InTree:
+    """What a model says in the tree of words, fork by fork; only the place there predicts, besides the word before."""
+
+    def __init__(self, model: Model):
+        tree, scale = model.code.words, np.float32(1 / _SCALE)
+        self.fork, row, depth = tree.forks
+        odds = model.odds.take(_slots(self.fork, 0))
+        gates = (depth >= 6) + np.int64(8) * (odds != 0)
         main = odds * scale
-        # In the tree of words only the place in it predicts, besides the word before.
-        alone = np.concatenate([
-            self.cell_logs(self.mixed(gates[:k], [main[:k]]), tokens.node[:k], tokens.bit[:k]),
-            self.cell_logs(self.mixed(gates[k:], [main[k:], *(self.odds[_slots(c, i)] * scale for i, c in enumerate(tokens.orders, 1))]), tokens.node[k:], tokens.bit[k:])])
-        with_pair = self.mixed(gates[:k] + 16, [main[:k]])
-        pair_weight = (np.ascontiguousarray(self.weights[:, -2]) * scale).take(gates[:k] + 16)
-        cell = self.cell(tokens.node[:k], tokens.bit[:k])
-        by_word = tokens.per_word(alone)
-        per_token = by_word[tokens.word]
-        for at in range(0, len(tokens.word), _BLOCK):
-            flat, slots = tokens.pairs(at, at + _BLOCK)
-            pair = self.odds[slots]
-            known = np.flatnonzero(pair)
-            there = flat[known]
-            mixed = pair_weight[there]
-            mixed *= pair[known]
-            mixed += with_pair[there]
-            gain = self.logs.take(cell[there] + self.steps(mixed))
-            gain -= alone[there]
-            word = tokens.word[at:at + _BLOCK]
-            token = np.repeat(np.arange(len(word)), tokens.n_pairs[word])[known]
-            per_token[at:at + _BLOCK] += np.bincount(token, gain, len(word))
-        total = np.bincount(tokens.text, per_token, tokens.n_texts)
-        return total
+        row, bit = np.repeat(row, 2), np.tile(np.arange(2, dtype=np.int32), len(row))
+        self.cell = model.cell(row, bit)
+        self.alone = model.cell_logs(np.repeat(model.mixed(gates, [main]), 2), row, bit)
+        self.with_pair = model.mixed(gates + 16, [main])
+        self.pair_weight = (np.ascontiguousarray(model.weights[:, -2]) * scale).take(gates + 16)
+        # Log-probability of the whole path of each symbol.
+        path = np.zeros(len(tree.code))
+        for first, stop, step in tree.walk(tree.order, len(tree.n_forks)):
+            path[first:stop] += self.alone.take(step)
+        self.path = np.empty(len(path))
+        self.path[tree.order] = path
 
 
 def _learn(shared, rate: float):
