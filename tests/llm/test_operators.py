@@ -656,6 +656,32 @@ def test_lm_works_on_a_repeated_pair_once(monkeypatch):
     assert 0 < sum(hashed) < 100
 
 
+def test_lm_small_groups(prose, monkeypatch):
+    """Counts and scores are the same whatever the groups, and tasks hand their memory back after their last batch."""
+    import pyarrow as pa
+
+    texts = [*prose, None, "", prose[2], "é" * 400]
+    code, _ = lm_of(texts)
+    model = mixing_lm.Model(code, np.random.default_rng(6).integers(-100, 100, mixing_lm._SLOTS).astype(np.int8))
+    none = [np.zeros(0, mixing_lm.U), np.zeros(0, mixing_lm.U), np.zeros(0, np.int64)]
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "uid": pa.array(range(n)), "doc_id": pa.array(range(n)), "held_out": pa.array([False] * n)})
+    given = []
+    monkeypatch.setattr(mixing_lm, "give_back", lambda: given.append(1))
+
+    def run(work):
+        return pa.Table.from_batches(list(mixing_lm.kept_small(work)(iter([batch, batch]))))
+
+    shared = lambda value: type("Shared", (), {"value": value})
+    found = []
+    for size in (1 << 19, 300):
+        monkeypatch.setattr(mixing_lm, "SMALL_GROUP", size)
+        found.append((run(mixing_lm._count_bits(shared(code))), run(mixing_lm._score(shared((model, none))))))
+    (bits, scores), (bits_2, scores_2) = found
+    assert bits.equals(bits_2) and np.allclose(scores["score"], scores_2["score"], rtol=1e-9) and scores.drop(["score"]).equals(scores_2.drop(["score"]))
+    assert len(given) == 4
+
+
 def test_lm_tables_hold_the_mixing_fold(spark):
     none = [np.zeros(0, mixing_lm.U), np.zeros(0, mixing_lm.U), np.zeros(0, np.int64)]
     code = mixing_lm.Code(*none, 1, np.arange(256))

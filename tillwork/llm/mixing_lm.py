@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.text import U, Words, as_long, blocks, mix
+from tillwork.llm.text import U, Words, as_long, blocks, give_back, mix
 from tillwork.session import pin
 
 TABLE_BITS = (22, 18, 20, 22)
@@ -41,6 +41,7 @@ LEAST = 5  # times that such a word occurs; rarer ones teach how unknown words a
 PAIR_DEPTH = 20  # bits of a word's path that the word before predicts too
 MIX_FOLD = 3
 GROUP_BYTES = 1 << 20
+SMALL_GROUP = 1 << 19  # where nothing depends on the groups, and smaller ones take less memory
 _SPACE, _END = 0x20, 0x0A
 _GATES, _INPUTS = 32, len(TABLE_BITS) + 1
 _ROWS, _LEVELS = 256, 64  # of the refining map
@@ -293,11 +294,20 @@ def _pair(prefix: np.ndarray, before: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(29))
 
 
-def groups(texts: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
-    for first, stop, words in blocks(texts, GROUP_BYTES):
+def groups(texts: pa.Array, size: int = GROUP_BYTES) -> Iterator[tuple[int, int, Tokens]]:
+    for first, stop, words in blocks(texts, size):
         yield first, stop, Tokens(words, stop - first)
 
 
+def kept_small(work: Callable) -> Callable:
+    """``work`` on batches; when it ends, its memory goes back to the system, as the process is kept for later tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 # (1) word and byte counts ------------------------------------------------------------------------------------
 
 
@@ -314,17 +324,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not found:
             continue
         h1, h2, n = (np.concatenate(x) for x in zip(*found))
-        by = np.argsort(h1, kind="stable")
-        h1, h2, n = h1[by], h2[by], n[by]
+        del found
+        by = np.argsort(h1)
+        h1 = h1[by]
         first = np.flatnonzero(np.append(True, h1[1:] != h1[:-1]))
-        n = np.add.reduceat(n, first)
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(first), np.int8)), "h1": pa.array(as_long(h1[first])), "h2": pa.array(as_long(h2[first])), "n": pa.array(n)})
+        h1, n, h2 = h1[first], np.add.reduceat(n[by], first), h2[by[first]]
+        del by
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(first), np.int8)), "h1": pa.array(as_long(h1)), "h2": pa.array(as_long(h2)), "n": pa.array(n)})
     yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(256, np.int8)), "h1": pa.array(np.arange(256)), "h2": pa.array(np.zeros(256, np.int64)), "n": pa.array(symbols)})
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(kind, h1, h2, n): exact counts of all tokens (kind 0) and of the spelled bytes (kind 1)."""
-    return pin(texts.mapInArrow(_count_words, "kind byte, h1 long, h2 long, n long").groupBy("kind", "h1", "h2").agg(F.sum("n").alias("n")), "lm-words")
+    return pin(texts.mapInArrow(kept_small(_count_words), "kind byte, h1 long, h2 long, n long").groupBy("kind", "h1", "h2").agg(F.sum("n").alias("n")), "lm-words")
 
 
 # (2) bit counts per slot --------------------------------------------------------------------------------------
@@ -347,7 +359,7 @@ def _count_bits(shared):
                     yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
         for batch in batches:
-            for _, _, tokens in groups(batch.column("text")):
+            for _, _, tokens in groups(batch.column("text"), SMALL_GROUP):
                 tokens.find(code)
                 times = np.bincount(tokens.word)
                 bits = int((times * (words.length[tokens.number] + tokens.n_byte)).sum())
@@ -395,7 +407,7 @@ def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bit_counts(texts: DataFrame, code: Code) -> DataFrame:
     """(part, counts): the bits of each slot, counted task by task."""
     shared = texts.sparkSession.sparkContext.broadcast(code)
-    return pin(texts.mapInArrow(_count_bits(shared), "part int, counts binary"), "lm-bits")
+    return pin(texts.mapInArrow(kept_small(_count_bits(shared)), "part int, counts binary"), "lm-bits")
 
 
 def stretched(counts: DataFrame) -> np.ndarray:
@@ -562,7 +574,7 @@ def _learn(shared, rate: float):
 def fit_mixer(texts: DataFrame, code: Code, odds: np.ndarray, rate: float = 0.1) -> Model:
     """Weights learned online in every partition and averaged; the refining map counted over all of them."""
     shared = texts.sparkSession.sparkContext.broadcast((code, odds))
-    learned = texts.mapInArrow(_learn(shared, rate), "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    learned = texts.mapInArrow(kept_small(_learn(shared, rate)), "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
     found = learned.collect()  # as many rows as the mixer has numbers
     if not found:
         return Model(code, odds)
@@ -591,7 +603,7 @@ def _score(shared):
         model, heavy = shared.value
         h1, h2, counts = heavy
         for batch in batches:
-            for first, stop, tokens in groups(batch.column("text")):
+            for first, stop, tokens in groups(batch.column("text"), SMALL_GROUP):
                 logs = model.log10(tokens)
                 u1, u2 = tokens.h1[tokens.first_at], tokens.h2[tokens.first_at]
                 at = np.minimum(np.searchsorted(h1, u1), max(len(h1) - 1, 0))
@@ -641,7 +653,7 @@ def score_texts(docs: DataFrame, fold: Column, held_fold: int, *, doc_id: str =
     shared = spark.sparkContext.broadcast((model, heavy_words))
     scored = pin(
         rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (F.col("fold") == held_fold).alias("held_out"), "text")
-        .mapInArrow(_score(shared), "n_bytes long, uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, o1 array<long>, o2 array<long>"), "lm-scored")
+        .mapInArrow(kept_small(_score(shared)), "n_bytes long, uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, o1 array<long>, o2 array<long>"), "lm-scored")
     other = scored.select("uid", F.explode(F.arrays_zip("o1", "o2")).alias("w")).select("uid", F.col("w.o1").alias("h1"), F.col("w.o2").alias("h2"))
     rare = words.where(~is_heavy).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "n")
     found = other.join(rare, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).groupBy(F.col("uid").alias("_uid")).agg(

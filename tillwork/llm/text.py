@@ -163,6 +163,11 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int | str, limit: int =
             stop = min(batch.num_rows, max(row + 1, int(np.searchsorted(ends, done + limit, "right"))))
             yield batch.slice(row, stop - row)
             row, done = stop, int(ends[stop - 1])
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)
