@@ -412,6 +412,18 @@ def test_leaves_draw_disjoint_blocks_of_their_quota(spark):
     assert set(sizes) == set(range(6)) and max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_targets_of_more_words_than_an_int_holds(spark):
+    # The words left to share fit an int, times a weight they do not.
+    sizes = [(f"s{i:02}", w) for i, w in enumerate([300_000_000, 90_000_000, 120_000_000, 8_000_000, 7_000_000, 6_000_000])]
+    rest, free = sum(w for _, w in sizes) * 3, {i: (5, 2, 1)[i % 3] for i in range(len(sizes))}
+    while full := {i for i, k in free.items() if 4 * sizes[i][1] * sum(free.values()) <= rest * k}:
+        rest, free = rest - sum(4 * sizes[i][1] for i in full), {i: k for i, k in free.items() if i not in full}
+    assert rest < 2**31 < rest * 5
+    want = {s: free[i] * rest / (2 * sum(free.values())) if i in free else 2.0 * w for i, (s, w) in enumerate(sizes)}
+    got = mixing.source_targets(spark.createDataFrame(sizes, "_source string, _words long"))
+    assert {r["_source"]: r["target"] for r in got.collect()} == want
+
+
 def test_draws_are_hypergeometric(spark):
     n = 20_000
     df = spark.range(n).selectExpr("50L AS _total", "20L AS _marked", "15L AS _draws", "(id + 0.5D) / 20000 AS _u")

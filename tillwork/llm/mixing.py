@@ -63,7 +63,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE_OF_SIZES, repe
         if (int(left or 0), wanted - int(used or 0)) == (free, rest):
             break
         free, rest = int(left or 0), wanted - int(used or 0)
-    shared = (F.col("weight") * F.lit(rest)).cast("double") / F.lit(float(down * max(free, 1)))
+    shared = (F.lit(rest).cast(_BIG) * F.col("weight")).cast("double") / F.lit(float(down * max(free, 1)))
     above = (limit * F.lit(free).cast(_BIG) <= F.lit(rest).cast(_BIG) * F.col("weight")) | F.lit(free == 0)
     return table.withColumn("target", F.when(above, (F.col("_words") * repeats).cast("double")).otherwise(shared))
 
