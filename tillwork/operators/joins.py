@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.functions.numbers import percent, ratio, rounded
@@ -127,13 +127,12 @@ def candidate_counts(pairs: DataFrame, catalog: DataFrame, customer: str, produc
 def round_robin(items: DataFrame, contexts: DataFrame, key: str, item_rank: str, context_order: Sequence[str]) -> DataFrame:
     """Give item number k of a key that key's context number 1 + (k - 1) mod n.
 
-    Contexts must be few per key (customer days); items may be many, so they are matched on (key, number).
+    Contexts must be few per key (customer days): they become one sorted list per key, equal ones of ``context_order`` by their other
+    columns. Items may be many; they are shuffled by the key alone, so that further joins on it move nothing again.
     """
-    whole = Window.partitionBy(key)
-    numbered = contexts.select(
-        "*", F.row_number().over(whole.orderBy(*context_order)).alias("_slot"),
-        F.count(F.lit(1)).over(whole).alias("_slots"),
-    )
-    slots = numbered.groupBy(key).agg(F.max("_slots").alias("_n"))
-    placed = items.join(slots, key).withColumn("_slot", F.pmod(F.col(item_rank) - 1, F.col("_n")) + 1).drop("_n")
-    return placed.join(numbered.drop("_slots"), [key, "_slot"]).drop("_slot")
+    rest = [c for c in contexts.columns if c != key]
+    order = [c for c in context_order if c != key]
+    lists = contexts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in rest if c not in order]))).alias("_contexts"))
+    place = (F.pmod(F.col(item_rank) - 1, F.size("_contexts")) + 1).cast("int")
+    placed = items.where(F.col(item_rank).isNotNull()).join(lists, key).withColumn("_context", F.element_at("_contexts", place))
+    return placed.select(key, *[c for c in items.columns if c != key], *[F.col(f"_context.{c}").alias(c) for c in rest])

@@ -65,9 +65,13 @@ def sample_negatives(
     customer: str = "customer_id",
     product: str = "product_id",
     chunk: int = CHUNK,
+    attributes: DataFrame | None = None,
 ) -> DataFrame:
     """``ratio`` products per positive that the customer never bought, numbered by ``neg_rank``.
 
+    ``attributes`` are joined to the products by ``product``; they come with the join of the places, so that no negative is
+    shuffled once more for them.
+
     Every customer walks through the catalogue in an own pseudo-random order: a permutation of the places of a
     grid, keyed by a salted hash of the customer; the few places past the catalogue's end are passed over. The
     first (ratio + 1) * p steps inside the catalogue meet at most p products of a customer with p positives, so they
@@ -85,7 +89,8 @@ def sample_negatives(
     bought = pin(positives.select(customer, product).distinct().join(listed.select(product), product, "left_semi"),
                  "bought")
     if size == 0:
-        return bought.withColumn("neg_rank", F.lit(None).cast("bigint")).limit(0)
+        none = bought.withColumn("neg_rank", F.lit(None).cast("bigint")).limit(0)
+        return none if attributes is None else none.join(attributes, product).select(*none.columns, *[c for c in attributes.columns if c != product])
     rows, columns = grid(size)
     spare = rows * columns - size
     # Written: read for the chunks, the steps to pass over and long walks, and its hashes stay out of the code of the rounds.
@@ -100,7 +105,8 @@ def sample_negatives(
         places = places.unionByName(walks.select(customer, past.alias("_at")))
     met, inside = with_step_of(places.join(walks, customer), "_at", keys, rows, columns, "_step"), F.col("_step") < F.col("_length")
     # No filter: it would be pushed below the rounds and doubled by each. Steps past a walk's end are one empty row per customer.
-    chunk_of = F.when(inside, F.floor(F.col("_step") / chunk).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
+    # Never null, else the join on it would push a null check down there.
+    chunk_of = F.coalesce(F.when(inside, F.floor(F.col("_step") / chunk)).cast("bigint"), F.lit(-1).cast("bigint"))
     passed = met.groupBy(customer, chunk_of.alias("_chunk")).agg(F.collect_list(F.when(inside, F.col("_step"))).alias("_passed"))
 
     def survivors(of: DataFrame) -> DataFrame:
@@ -120,8 +126,9 @@ def sample_negatives(
     left = survivors(walks).join(offsets, [customer, "_chunk"], "left").withColumn("_before", F.coalesce("_before", F.lit(0)))
     wanted = F.greatest(F.lit(0), F.least(F.lit(chunk), F.col("_p") * ratio - F.col("_before"))).cast("int")
     steps = left.select(customer, *keys, "_before", F.posexplode(F.slice("_steps", F.lit(1), wanted)).alias("_at", "_step"))
+    known = listed if attributes is None else listed.join(attributes, product)
     return (
         with_shuffled_place(steps, "_step", keys, rows, columns, "_cell")
         .select(customer, (F.col("_before") + F.col("_at") + 1).alias("neg_rank"), (F.col("_cell") + 1).alias("_place"))
-        .join(listed, "_place").select(customer, product, "neg_rank")
+        .join(known, "_place").select(customer, product, "neg_rank", *[c for c in known.columns if c not in (product, "_place")])
     )

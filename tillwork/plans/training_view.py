@@ -29,18 +29,23 @@ def training_examples(
     ``facts`` has customer_id, target_group, ts, store_id, product_id, sales; ``segments`` is a history with
     customer_id, segment and updated_at. Features are computed once per customer and day and joined back on
     both, together with the segment, which spreads a customer with many lines over that customer's days.
+
+    The facts and the customer days are written, so that the shuffles behind them are gone before the lines are joined; the lines
+    meet the narrowest table first, as each join moves what the ones before have added.
     """
-    facts = facts.where(F.expr("try_cast(sales AS double)") > 0)
+    lines = ["customer_id", "target_group", "ts", "store_id", "product_id", "sales"]
+    facts = pin(facts.where(F.expr("try_cast(sales AS double)") > 0).select(*lines), "facts")
     features = rolling.rolling_features(rolling.daily_totals(facts), days).select(
         "customer_id", "day", "cust_value", "days_since_last_purchase", "cust_order_days", "cust_unique_products")
     kept = products.where(~F.col("category").isin(list(excluded_categories))) if excluded_categories else products
     latest = joins.latest_per_key(segments, ["customer_id"], ["updated_at"]).select("customer_id", "segment")
+    state = pin(features.join(latest, "customer_id", "left"), "customer-days")
     return (
         facts.withColumn("day", F.to_date("ts"))
-        .join(kept, "product_id")
-        .join(features.join(latest, "customer_id", "left"), ["customer_id", "day"])
         .join(stores, "store_id", "left")
-        .select("customer_id", "target_group", "ts", "store_id", "product_id", "sales", "cust_value",
+        .join(kept, "product_id")
+        .join(state, ["customer_id", "day"])
+        .select(*lines, "cust_value",
                 "days_since_last_purchase", "cust_order_days", "cust_unique_products", "city",
                 *[c for c in products.columns if c != "product_id"], "segment")
     )
@@ -56,8 +61,8 @@ def train_test_by_last_day(examples: DataFrame, percent: float = 80, test_days:
     top = filters.top_revenue_entities(examples, "product_id", "sales", percent)
     rows = labelled.join(top, "product_id", "left_semi")
     train = rows.where(F.col("split") == "train")
-    hist = rolling.purchase_history(rolling.pair_last_dates(train), history)
-    stats = product_statistics(train)
+    hist = pin(rolling.purchase_history(rolling.pair_last_dates(train), history), "histories")
+    stats = pin(product_statistics(train), "product-statistics")
     # Histories come last: no later join moves their lists.
     return rows.join(stats, "product_id", "left").join(hist, "customer_id", "left")
 
@@ -95,11 +100,13 @@ class LabelledView:
         examples = pin(examples, "examples")
         before = splits.last_days(examples, "ts", test_days).where(F.col("split") == "train").drop("split")
         top = pin(filters.top_revenue_entities(examples, "product_id", "sales", percent), "top-products")
-        train = before.join(top, "product_id", "left_semi").select(*examples.columns)
-        sold = joins.latest_per_key(examples.join(top, "product_id", "left_semi"), ["product_id"], ["ts"])
+        # Read by all that follows, and written by itself: what is shuffled for it is gone before the next step.
+        train = pin(before.join(top, "product_id", "left_semi").select(*examples.columns), "train")
+        # One row per product before the join, which then moves no lines.
+        sold = joins.latest_per_key(examples, ["product_id"], ["ts"]).join(top, "product_id", "left_semi")
         return LabelledView(
-            before, train, sold.select("product_id", *[c for c in ("name", "brand", "category") if c in sold.columns]),
-            rolling.purchase_history(rolling.pair_last_dates(train), history), product_statistics(train))
+            before, train, pin(sold.select("product_id", *[c for c in ("name", "brand", "category") if c in sold.columns]), "catalog"),
+            pin(rolling.purchase_history(rolling.pair_last_dates(train), history), "histories"), pin(product_statistics(train), "product-statistics"))
 
     def positives(self) -> DataFrame:
         """Latest row per (customer, product), label 1; the pair's own product is taken out of the history."""
@@ -113,12 +120,12 @@ class LabelledView:
     def negatives(self, ratio: int = 4, salt: str = "train", point_in_time: bool = True) -> DataFrame:
         """Sampled negatives, label 0, each with one of the customer's own day contexts in turn (or the latest)."""
         known = self.catalog.join(self.stats, "product_id", "left")
-        sampled = negatives.sample_negatives(self.train, self.catalog, ratio, salt).join(known, "product_id")
+        sampled = negatives.sample_negatives(self.train, self.catalog, ratio, salt, attributes=known)
         if point_in_time:
-            contexts = customer_contexts(self.before).drop("day")
+            contexts = pin(customer_contexts(self.before).drop("day"), "contexts")
             placed = joins.round_robin(sampled, contexts, "customer_id", "neg_rank", ["ts"])
         else:
-            placed = sampled.join(latest_context(self.before), "customer_id")
+            placed = sampled.join(pin(latest_context(self.before), "contexts"), "customer_id")
         return placed.withColumn("sales", F.lit(0.0)).withColumn("label", F.lit(0)).join(self.history, "customer_id", "left")
 
     def pairs(self, ratio: int = 4, salt: str = "train") -> DataFrame:

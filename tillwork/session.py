@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 from py4j.protocol import Py4JError
@@ -104,14 +104,33 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+# Fixed value: Spark removes the shuffle files of a query when it ends, instead of when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind; what they wrote is all that later queries read."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Cuts lineage so that several branches see the very same rows, survives the loss of executors,
-    and gives the optimizer a real size for the result.
+    and gives the optimizer a real size for the result. The shuffle files behind it go when it is written.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
