@@ -3,10 +3,11 @@
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillwork.operators import joins
+from tillwork.operators import features, joins, retrieval
 from tillwork.plans import training_view
 from tillwork.session import pin
 
@@ -78,3 +79,25 @@ def test_contexts_go_round(spark):
     assert got.columns == ["who", "k", "item", "day", "name", "v"]
     days = [(10, "x", 1.0), (20, "y", 2.0), (30, "z", None)]
     assert sorted(map(tuple, got.collect())) == [(1, k, f"i{k}", *days[(k - 1) % 3]) for k in range(1, 8)] + [(2, 1, "a", None, None, None)]
+
+
+def test_exact_lists_in_rounds(spark):
+    rng = np.random.default_rng(2)
+    m, q = rng.normal(size=(90, 5)).round(2), rng.normal(size=(70, 5)).round(2)
+    frame = lambda x: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").repartition(3)
+    got = {}
+    for moved in (1, 200, 1 << 24):  # one block of queries a round, two, all
+        found = retrieval.topk(frame(q), frame(m), 4, "id", "v", "id", "v", item_block=40, query_block=10, moved=moved)
+        got[moved] = sorted(map(tuple, found.select("query_id", "rank_no", "item_id").collect()))
+    want = sorted((i, n + 1, j) for i, s in enumerate(q @ m.T) for n, j in enumerate(sorted(range(90), key=lambda j: (-s[j], j))[:4]))
+    assert got[1] == got[200] == got[1 << 24] == want
+
+
+def test_means_of_histories_move_the_vectors_only(no_broadcasts, spark):
+    hist = spark.createDataFrame([(1, [1, 2, 2]), (2, [3]), (3, []), (4, None), (None, [1])], "who long, h array<long>")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 3.0]), (5, [9.0, 9.0])], "id long, v array<double>")
+    out = features.history_mean(hist, "who", "h", vectors, "id", "v", 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = next(x for x in plan[plan.index("Exchange"):].splitlines()[1:] if "Project" in x)
+    assert "partial_avg" not in plan[plan.index("Exchange"):] and moved.count("#") == 2
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, 3, [1 / 3, 2.0]), (None, 1, [1.0, 0.0])], key=str)
