@@ -96,7 +96,7 @@ FROM rows_ e LEFT JOIN hist ON e.customer_id = hist.customer_id LEFT JOIN stats
 def split_last_day(t):
     from tillwork.session import pin
 
-    df = v.train_test_by_last_day(pin(_examples(t), "examples"), 80, test_days=30)
+    df = v.train_test_by_last_day(pin(_examples(t), "examples", "zstd"), 80, test_days=30)
     return df.select("split", "customer_id", "product_id", "sales", "cust_value",
                      *_ends(), "unique_buyers", "order_count", "total_sales", "avg_sale", "revenue_pctile")
 

@@ -34,12 +34,12 @@ def training_examples(
     meet the narrowest table first, as each join moves what the ones before have added.
     """
     lines = ["customer_id", "target_group", "ts", "store_id", "product_id", "sales"]
-    facts = pin(facts.where(F.expr("try_cast(sales AS double)") > 0).select(*lines), "facts")
+    facts = pin(facts.where(F.expr("try_cast(sales AS double)") > 0).select(*lines), "facts", "zstd")
     features = rolling.rolling_features(rolling.daily_totals(facts), days).select(
         "customer_id", "day", "cust_value", "days_since_last_purchase", "cust_order_days", "cust_unique_products")
     kept = products.where(~F.col("category").isin(list(excluded_categories))) if excluded_categories else products
     latest = joins.latest_per_key(segments, ["customer_id"], ["updated_at"]).select("customer_id", "segment")
-    state = pin(features.join(latest, "customer_id", "left"), "customer-days")
+    state = pin(features.join(latest, "customer_id", "left"), "customer-days", "zstd")
     return (
         facts.withColumn("day", F.to_date("ts"))
         .join(stores, "store_id", "left")
@@ -61,7 +61,7 @@ def train_test_by_last_day(examples: DataFrame, percent: float = 80, test_days:
     top = filters.top_revenue_entities(examples, "product_id", "sales", percent)
     rows = labelled.join(top, "product_id", "left_semi")
     train = rows.where(F.col("split") == "train")
-    hist = pin(rolling.purchase_history(rolling.pair_last_dates(train), history), "histories")
+    hist = pin(rolling.purchase_history(rolling.pair_last_dates(train), history), "histories", "zstd")
     stats = pin(product_statistics(train), "product-statistics")
     # Histories come last: no later join moves their lists.
     return rows.join(stats, "product_id", "left").join(hist, "customer_id", "left")
@@ -97,16 +97,16 @@ class LabelledView:
 
     @staticmethod
     def of(examples: DataFrame, percent: float = 80, test_days: int = 1, history: int = 50) -> LabelledView:
-        examples = pin(examples, "examples")
+        examples = pin(examples, "examples", "zstd")
         before = splits.last_days(examples, "ts", test_days).where(F.col("split") == "train").drop("split")
         top = pin(filters.top_revenue_entities(examples, "product_id", "sales", percent), "top-products")
         # Read by all that follows, and written by itself: what is shuffled for it is gone before the next step.
-        train = pin(before.join(top, "product_id", "left_semi").select(*examples.columns), "train")
+        train = pin(before.join(top, "product_id", "left_semi").select(*examples.columns), "train", "zstd")
         # One row per product before the join, which then moves no lines.
         sold = joins.latest_per_key(examples, ["product_id"], ["ts"]).join(top, "product_id", "left_semi")
         return LabelledView(
             before, train, pin(sold.select("product_id", *[c for c in ("name", "brand", "category") if c in sold.columns]), "catalog"),
-            pin(rolling.purchase_history(rolling.pair_last_dates(train), history), "histories"), pin(product_statistics(train), "product-statistics"))
+            pin(rolling.purchase_history(rolling.pair_last_dates(train), history), "histories", "zstd"), pin(product_statistics(train), "product-statistics"))
 
     def positives(self) -> DataFrame:
         """Latest row per (customer, product), label 1; the pair's own product is taken out of the history."""
@@ -122,10 +122,10 @@ class LabelledView:
         known = self.catalog.join(self.stats, "product_id", "left")
         sampled = negatives.sample_negatives(self.train, self.catalog, ratio, salt, attributes=known)
         if point_in_time:
-            contexts = pin(customer_contexts(self.before).drop("day"), "contexts")
+            contexts = pin(customer_contexts(self.before).drop("day"), "contexts", "zstd")
             placed = joins.round_robin(sampled, contexts, "customer_id", "neg_rank", ["ts"])
         else:
-            placed = sampled.join(pin(latest_context(self.before), "contexts"), "customer_id")
+            placed = sampled.join(pin(latest_context(self.before), "contexts", "zstd"), "customer_id")
         return placed.withColumn("sales", F.lit(0.0)).withColumn("label", F.lit(0)).join(self.history, "customer_id", "left")
 
     def pairs(self, ratio: int = 4, salt: str = "train") -> DataFrame:

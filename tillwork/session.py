@@ -122,15 +122,16 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
+def pin(df: DataFrame, label: str = "pinned", codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
     Cuts lineage so that several branches see the very same rows, survives the loss of executors,
-    and gives the optimizer a real size for the result. The shuffle files behind it go when it is written.
+    and gives the optimizer a real size for the result. The shuffle files behind it go when it is written. ``codec`` is
+    for rows whose size on disk counts more than the writers' time and memory.
     """
     path = fresh_path(df.sparkSession, label)
     with shuffles_removed(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
